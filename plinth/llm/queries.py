@@ -15,6 +15,12 @@ def _vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plinth.llm.secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plinth.llm.tokenbin import document_digests
 
@@ -33,9 +39,17 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plinth.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_files": op3_token_files,
     "op5_simhash": op5_simhash,
     "op6_word_bpe": op6_word_bpe,
+    "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}

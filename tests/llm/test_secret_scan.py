@@ -1,0 +1,84 @@
+"""op2 against a brute-force scan."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from plinth.llm import secret_scan as S
+from plinth.llm.queries import QUERIES
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    return out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+
+
+def entropy(s):
+    return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
+
+
+def all_spans(text):
+    base = base_spans(text)
+    out = []
+    for m in re.finditer(S.CANDIDATE, text):
+        if any(re.search(p, m.group()) for p in S.ALLOW):
+            continue
+        least = next(x for _, p, _, x in S.CHARACTER_CLASSES if re.fullmatch(p, m.group()))
+        spans = []
+        for i in range(len(m.group()) - S.WINDOW + 1):
+            if round(entropy(m.group()[i : i + S.WINDOW]), 9) >= least:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + S.WINDOW
+                else:
+                    spans.append([i, i + S.WINDOW])
+        out += [(m.start() + a, 3, m.start() + b) for a, b in spans]
+    return sorted(base + [e for e in out if not any(b[0] <= e[0] and e[2] <= b[2] for b in base)])
+
+
+def join(spans):
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def want(text):
+    text = text or ""
+    base = sorted(base_spans(text))
+    counts = [sum(k == i for _, k, _ in base) for i in range(3)]
+    return (*counts, hashlib.sha256(join(base).encode()).hexdigest(), join(all_spans(text)))
+
+
+def check(rows, texts):
+    for r in rows:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == want(texts[r.doc_id]), (r, want(texts[r.doc_id]))
+
+
+def test_against_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = QUERIES["op2_secret_scan"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    check(rows, texts)
+
+
+def test_odd_texts(spark):
+    rnd = random.Random(5)
+    parts = ["token = ", "Secret:", "api_key='", "APIKEY=", "passwd", '"', " ", "=", "AKIA", "ABCDEFGH01234567", "deadbeef", "é😀", "\n", "0a1b2c3d4e5f", "Zx9/Kq+7Lw_2=pR-4", "example", "key", "ſecret=abcdefgh", "a" * 25, "x7Yp2Qm9Rt4Vw8Zk1Ns5"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(300)]
+    letters = S.CHARACTER_CLASSES[2][2]
+    texts += [None, "", "".join(rnd.choice(letters) for _ in range(3000)), "0a1b2c3d4e5f6a7b8c9d0e1f " * 2000, "token=secret=abcdefg", "token = token:abcdefgh"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, secret_spans int")
+    rows = S.report(docs).collect()
+    assert len(rows) == len(texts) and any(r.n_entropy for r in rows)
+    check(rows, texts)
+    assert S.report(docs.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    text = "héllo token = \"" + "0123abcd" * 5 + "\" end x7Yp2Qm9Rt4Vw8Zk1Ns5Bd"
+    docs = spark.createDataFrame([(1, text, len(text)), (1, text, len(text)), (2, None, 3), (None, "clean", 9)], "doc_id long, text string, n_chars long")
+    rows = sorted((tuple(r) for r in S.redact(docs).collect()), key=str)
+    assert rows.count((1, 'héllo [SECRET]" end [SECRET]', 28)) == 2
+    assert (2, None, 3) in rows and (None, "clean", 9) in rows
