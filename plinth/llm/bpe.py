@@ -42,7 +42,7 @@ _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{
 
 
 @cache
-def _unassigned() -> re.Pattern:
+def unassigned() -> re.Pattern:
     """Characters without an assignment here; libraries of other Unicode versions may class them otherwise."""
     spans, start = [], None
     for c in range(sys.maxunicode + 2):
@@ -55,7 +55,7 @@ def _unassigned() -> re.Pattern:
     return re.compile(f"[{''.join(spans)}]")
 
 
-_HIGH = re.compile("[Ͱ-\U0010ffff]")
+HIGH = re.compile("[Ͱ-\U0010ffff]")
 
 
 @cache
@@ -113,8 +113,8 @@ class WordBpe:
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""
-        if _HIGH.search(text):
-            if _unassigned().search(text):
+        if HIGH.search(text):
+            if unassigned().search(text):
                 t = self._library()
                 plain = t.normalizer.normalize_str(text)
                 return [plain[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(plain)]

@@ -68,3 +68,23 @@ def hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+class Memory(dict):
+    """A bounded memory of make(key): the newest `limit` keys, and of the `limit` before those what was asked for again."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.old = limit, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

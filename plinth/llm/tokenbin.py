@@ -24,13 +24,15 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import fresh_dir, python_workers
+from plinth.llm.bpe import HIGH, byte_letters, unassigned
+from plinth.llm.common import Memory, fresh_dir, python_workers
 
 #: Fixed values of the seekable format: skippable-frame magic, table magic, checksum flag.
 SKIPPABLE, DOCS_SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
@@ -38,6 +40,8 @@ END_ID = 0
 FRAME_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 NO_ID = -(1 << 63)
+#: Pieces, and words, that a worker remembers of late.
+REMEMBERED = 1 << 17
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("frame", "<u4")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
@@ -118,31 +122,78 @@ class Reader:
             yield int(doc["doc_id"]), int(self.offsets[r]), ids[at : at + int(doc["n"])]
 
 
-@cache
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: White space of Unicode, and the pattern that splits text before byte-level merges.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+class _Pieces(Memory):
+    """Piece between merges -> its ids, from the library's merges."""
+
+    def __init__(self, library) -> None:
+        super().__init__(REMEMBERED)
+        self.model, self.letters = library.model, dict(enumerate(byte_letters()))
+
+    def make(self, piece: str) -> bytes:
+        if piece[1:].isalpha() and piece.isascii():
+            piece = piece.replace(" ", self.letters[32])
+        else:
+            piece = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Words(Memory):
+    """What stands between two single spaces -> ids of it and of the space before it."""
+
+    def __init__(self, pieces: _Pieces) -> None:
+        super().__init__(REMEMBERED)
+        self.pieces = pieces
 
-    return Tokenizer.from_file(path)
+    def make(self, word: str) -> bytes:
+        if word.isalpha():  # letters after a space are one piece
+            return self.pieces.make(" " + word)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
 
 
-def _encoded(vocab: str, batch: pa.RecordBatch, chars: int = 1 << 19) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids with the end id) of a batch, encoded in groups of bounded size."""
-    tok = _library(vocab)
-    group: list[tuple[int | None, str]] = []
-    held = 0
+class Encoder:
+    """Texts to ids, with the library's merges made once for each distinct piece.
+
+    Pieces are independent, and a single space begins a piece, so words are
+    remembered too. Texts with special tokens, or characters that are unassigned
+    here (the library may class them by another version of Unicode), are given to
+    the library whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.pieces = _Pieces(self.library)
+        self.words = _Words(self.pieces)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids, with the end id."""
+        end = END_ID.to_bytes(4, "little")
+        if "<|" in text or HIGH.search(text) and unassigned().search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
+        if "  " in text:
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text))) + end
+        first, *rest = text.split(" ")
+        head = b"".join(map(self.pieces.__getitem__, _PIECE.findall(first)))
+        return head + b"".join(map(self.words.__getitem__, rest)) + end
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
-    def flush():
-        for (doc_id, _), e in zip(group, tok.encode_batch_fast([t for _, t in group], add_special_tokens=False)):
-            yield doc_id, np.array([*e.ids, END_ID], dtype=np.uint32)
 
+def _encoded(vocab: str, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+    encode = encoder(vocab).encode
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        group.append((doc_id, text or ""))
-        held += len(text or "")
-        if held >= chars:
-            yield from flush()
-            group, held = [], 0
-    yield from flush()
+        yield doc_id, np.frombuffer(encode(text), dtype="<u4")
 
 
 def write_tokens(docs: DataFrame, vocab: str, to: str) -> list[tuple[str, int, int]]:
