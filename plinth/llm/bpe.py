@@ -9,8 +9,6 @@ exactly; nothing is capped, the lexicon only saves time.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import json
 import re
 import sys
 import unicodedata
@@ -25,12 +23,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import fresh_dir, hadoop_fs, python_workers
+from plinth.llm.common import Memory, fresh_dir, hadoop_fs, python_workers
 from plinth.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words that the transducer holds: a few MB of file, whatever the corpus.
 LEXICON = 32768
-#: Words that a task remembers before it forgets them all.
+#: Chunks of text that a worker remembers of late.
 REMEMBERED = 1 << 17
 #: Longest word, in characters, that is counted for the lexicon.
 WORD_CHARS = 64
@@ -67,55 +65,26 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """Merges, words and texts of a vocabulary file whose words end in a suffix."""
+    """Words, merges and tokens of a vocabulary file whose words end in a suffix."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            held = json.load(f)
-        model = held["model"]
-        self.path = path
-        self.suffix = model["end_of_word_suffix"]
-        self.vocab: dict[str, int] = dict(model["vocab"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(model["merges"])}
-        self.special = {x["content"]: x["id"] for x in held["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.letters = dict(enumerate(byte_letters()))
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word: the pair of lowest rank, leftmost first, is merged until none is left."""
-        letters = byte_letters()
-        parts: list[str | None] = [letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.suffix
-        n, ranks = len(parts), self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] != x or j >= n or parts[j] != y:
-                continue
-            parts[i], parts[j] = x + y, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := ranks.get((parts[i], parts[k]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [self.vocab[p] for p in parts if p is not None]
-
-    @cache  # noqa: B019
-    def _library(self):
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(self.path)
+        """Ids of one normalised word by the vocabulary's merges."""
+        return [t.id for t in self.library.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""
         if HIGH.search(text):
             if unassigned().search(text):
-                t = self._library()
+                t = self.library
                 plain = t.normalizer.normalize_str(text)
                 return [plain[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(plain)]
             text = text.replace("Σ", "σ")
@@ -138,36 +107,31 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-class _Ids(dict):
-    """piece -> decimal ids joined by spaces; misses go to the transducer, then to the merges."""
+class _Chunks(Memory):
+    """What stands between two spaces -> its decimal ids and its tokens, both joined by spaces.
+
+    Nothing reaches over a space: words hold none, and neither normal forms nor
+    lower case look across one. A word goes to the transducer, then to the merges.
+    """
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None) -> None:
+        super().__init__(REMEMBERED)
         self.bpe, self.lexicon = bpe, lexicon
 
-    def __missing__(self, piece: str) -> str:
+    def ids(self, piece: str) -> list[int]:
         if (special := self.bpe.special.get(piece)) is not None:
-            ids = [special]
-        else:
-            ids = self.lexicon.get(piece.encode("utf-8", "surrogatepass")) if self.lexicon else None
-            if ids is None:
-                ids = self.bpe.merge(piece)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[piece] = " ".join(map(str, ids))
-        return out
-
+            return [special]
+        found = self.lexicon.get(piece.encode("utf-8", "surrogatepass")) if self.lexicon else None
+        return self.bpe.merge(piece) if found is None else found
 
-class _Decoded(dict):
-    """Decimal ids of a piece -> its tokens joined by spaces."""
+    def make(self, chunk: str) -> tuple[str, str]:
+        ids = [i for piece in self.bpe.pieces(chunk) for i in self.ids(piece)]
+        return " ".join(map(str, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
 
-    def __init__(self, bpe: WordBpe) -> None:
-        self.bpe = bpe
-
-    def __missing__(self, ids: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[ids] = " ".join(self.bpe.tokens[int(i)] for i in ids.split())
-        return out
+    def text(self, text: str | None) -> tuple[str, str]:
+        """Ids and tokens of a whole text, joined by spaces."""
+        found = [x for x in map(self.__getitem__, (text or "").split(" ")) if x[0]]
+        return " ".join([i for i, _ in found]), " ".join([t for _, t in found])
 
 
 @cache
@@ -176,27 +140,30 @@ def _mapped(name: str) -> Lexicon:
 
 
 @cache
-def _memory(path: str, name: str | None) -> tuple[_Ids, _Decoded]:
-    bpe = tokenizer(path)
-    return _Ids(bpe, _mapped(name) if name else None), _Decoded(bpe)
+def _memory(path: str, name: str | None) -> _Chunks:
+    return _Chunks(tokenizer(path), _mapped(name) if name else None)
 
 
 def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
     """(word, n) over the whole texts of all documents; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, held = tokenizer(vocab), Counter()
+        bpe, chunks = tokenizer(vocab), Counter()
 
         def out():
+            held: Counter = Counter()
+            for chunk, n in chunks.items():
+                for w in bpe.pieces(chunk):
+                    held[w] += n
             keys = [w for w in held if len(w) <= WORD_CHARS and w not in bpe.special]
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[w] for w in keys], pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column("text").to_pylist():
-                held.update(bpe.pieces(text or ""))
-            if len(held) > REMEMBERED:
+                chunks.update((text or "").split(" "))
+            if len(chunks) > REMEMBERED:
                 yield out()
-                held.clear()
+                chunks.clear()
         yield out()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -236,10 +203,8 @@ def encode_decode(docs: DataFrame, vocab: str, size: int = LEXICON) -> DataFrame
     def run(texts):
         import pandas as pd
 
-        ids, decoded = _memory(vocab, name)
-        bpe = tokenizer(vocab)
-        parts = [list(map(ids.__getitem__, bpe.pieces(t))) if t else [] for t in texts]
-        return pd.DataFrame({"token_ids": [[int(i) for x in p for i in x.split()] for p in parts], "decoded": [" ".join(map(decoded.__getitem__, p)) for p in parts]})
+        found = [_memory(vocab, name).text(t) for t in texts]
+        return pd.DataFrame({"token_ids": [[int(i) for i in ids.split()] for ids, _ in found], "decoded": [t for _, t in found]})
 
     return docs.withColumn("__bpe", run(F.col("text").cast("string"))).withColumns({"token_ids": F.col("__bpe.token_ids"), "decoded": F.col("__bpe.decoded")}).drop("__bpe")
 
@@ -252,16 +217,13 @@ def digests(docs: DataFrame, vocab: str, size: int = LEXICON) -> DataFrame:
     name = _prepare(docs, vocab, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, decoded = _memory(vocab, name)
-        bpe = tokenizer(vocab)
         for b in batches:
             counts, first, second = [], [], []
             for text in b.column("text").to_pylist():
-                parts = list(map(ids.__getitem__, bpe.pieces(text))) if text else []
-                line = " ".join(parts)
-                counts.append(line.count(" ") + 1 if line else 0)
-                first.append(hashlib.sha256(line.encode()).hexdigest())
-                second.append(hashlib.sha256(" ".join(map(decoded.__getitem__, parts)).encode()).hexdigest())
+                ids, tokens = _memory(vocab, name).text(text)
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                first.append(hashlib.sha256(ids.encode()).hexdigest())
+                second.append(hashlib.sha256(tokens.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,7 @@ a reader maps it instead of parsing it.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -79,7 +80,7 @@ class Lexicon:
         self.root, *sizes = struct.unpack("<8q", raw[8:72].tobytes())
         at = 72
         for name, size in zip(_PARTS, sizes):
-            setattr(self, name, raw[at : at + size].view(_TYPES[name]))
+            setattr(self, name, memoryview(raw[at : at + size].view(_TYPES[name])))
             at += size + -size % 8
 
     def __len__(self) -> int:
@@ -94,12 +95,12 @@ class Lexicon:
         state, rank = self.root, 0
         first, label, target, output = self.first, self.label, self.target, self.output
         for byte in word:
-            lo, hi = int(first[state]), int(first[state + 1])
-            at = lo + int(np.searchsorted(label[lo:hi], byte))
-            if at >= hi or label[at] != byte:
+            hi = first[state + 1]
+            at = bisect_left(label, byte, first[state], hi)
+            if at == hi or label[at] != byte:
                 return None
-            rank += int(output[at])
-            state = int(target[at])
+            rank += output[at]
+            state = target[at]
         if not self.final[state]:
             return None
         return self.ids[self.offset[rank] : self.offset[rank + 1]].tolist()
