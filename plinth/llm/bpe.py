@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -71,6 +72,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.letters = dict(enumerate(byte_letters()))
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
@@ -78,7 +80,9 @@ class WordBpe:
 
     def merge(self, word: str) -> list[int]:
         """Ids of one normalised word by the vocabulary's merges."""
-        return [t.id for t in self.library.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
+        if not (word.isascii() and word.isalpha()):
+            word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(word)]
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""
@@ -94,6 +98,9 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         """Words, with special tokens as they stand."""
+        low = text.lower()
+        if low.isalpha() and not HIGH.search(low):  # letters of old, composed already: one word
+            return [low]
         if "<|" not in text:
             return self.words(text)
         out = []
@@ -204,7 +211,7 @@ def encode_decode(docs: DataFrame, vocab: str, size: int = LEXICON) -> DataFrame
         import pandas as pd
 
         found = [_memory(vocab, name).text(t) for t in texts]
-        return pd.DataFrame({"token_ids": [[int(i) for i in ids.split()] for ids, _ in found], "decoded": [t for _, t in found]})
+        return pd.DataFrame({"token_ids": [np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32) for ids, _ in found], "decoded": [t for _, t in found]})
 
     return docs.withColumn("__bpe", run(F.col("text").cast("string"))).withColumns({"token_ids": F.col("__bpe.token_ids"), "decoded": F.col("__bpe.decoded")}).drop("__bpe")
 

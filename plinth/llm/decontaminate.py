@@ -18,12 +18,14 @@ the hash at a word is that of the next step at this word or the one after it.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,6 +228,16 @@ def _batches(batches: Iterator[pa.RecordBatch], index: Index, make) -> Iterator[
         yield make(b, list(index.hits([words_of(t) for t in b.column("text").to_pylist()])))
 
 
+def _blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """The distinct items in blocks of about BLOCK_WORDS words, each broadcast under a name of its own."""
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    words = tests.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
+    blocks = -(-words // BLOCK_WORDS)
+    for k in range(blocks):
+        part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r.item_id, words_of(r.text)) for r in part), key=str)))
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, first_word, end_word): documents that hold an item at SIMILARITY or more.
 
@@ -240,14 +252,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     python_workers(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    size = tests.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
-    blocks = -(-size // BLOCK_WORDS)
     schema = "doc_id long, item_id long, distance long, first_word long, end_word long"
-    out = spark.createDataFrame([], schema)
-    for k in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(sorted(((r.item_id, words_of(r.text)) for r in part), key=str))
+    out = None
+    for held in _blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = _index(held)
@@ -260,19 +267,20 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             return _batches(batches, index, make)
 
         found = rows.mapInArrow(run, schema)
-        out = found if k == 0 else out.union(found)
-    return out
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
-_INDEXES: dict[int, Index] = {}
+_INDEXES: dict[str, Index] = {}
 
 
 def _index(held) -> Index:
     """The index of a broadcast block, built once in a worker."""
-    if held.id not in _INDEXES:
+    key, items = held.value
+    if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[held.id] = Index(held.value)
-    return _INDEXES[held.id]
+        _INDEXES[key] = Index(items)
+    return _INDEXES[key]
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -283,13 +291,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     python_workers(spark)
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    size = tests.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
-    blocks = -(-size // BLOCK_WORDS)
     out = docs
-    for k in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(sorted(((r.item_id, words_of(r.text)) for r in part), key=str))
+    for held in _blocks(items):
 
         @F.pandas_udf("boolean")
         def holds(texts, held=held):

@@ -10,7 +10,6 @@ a reader maps it instead of parsing it.
 from __future__ import annotations
 
 import struct
-from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -78,6 +77,8 @@ class Lexicon:
         if raw[:8].tobytes() != MAGIC:
             raise ValueError(f"{path} is not a lexicon")
         self.root, *sizes = struct.unpack("<8q", raw[8:72].tobytes())
+        #: Edges of the states that a lookup has come through.
+        self.edges: dict[int, dict[int, tuple[int, int]]] = {}
         at = 72
         for name, size in zip(_PARTS, sizes):
             setattr(self, name, memoryview(raw[at : at + size].view(_TYPES[name])))
@@ -92,15 +93,17 @@ class Lexicon:
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of word, or None if the automaton does not hold it."""
-        state, rank = self.root, 0
-        first, label, target, output = self.first, self.label, self.target, self.output
+        state, rank, known = self.root, 0, self.edges
         for byte in word:
-            hi = first[state + 1]
-            at = bisect_left(label, byte, first[state], hi)
-            if at == hi or label[at] != byte:
+            edges = known.get(state)
+            if edges is None:
+                lo, hi = self.first[state], self.first[state + 1]
+                edges = known[state] = dict(zip(self.label[lo:hi], zip(self.target[lo:hi], self.output[lo:hi])))
+            step = edges.get(byte)
+            if step is None:
                 return None
-            rank += output[at]
-            state = target[at]
+            state = step[0]
+            rank += step[1]
         if not self.final[state]:
             return None
         return self.ids[self.offset[rank] : self.offset[rank + 1]].tolist()

@@ -77,6 +77,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_digests(table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plinth.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plinth.llm.simhash import simhash_groups
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_files": op3_token_files,
+    "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_word_bpe": op6_word_bpe,
     "op7_quality_rules": op7_quality_rules,
