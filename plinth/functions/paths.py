@@ -46,7 +46,12 @@ def line_count(text: Column) -> Column:
 
 def singular(name: Column) -> Column:
     """English plural endings off, one rule after the other."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "ies$", "y"), "ses$", "s"), "([^s])s$", "$1")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "ies$", "y"), "ses$", "s"), "s$", "")
+
+
+def plain_name(name: Column) -> Column:
+    """A name as it is compared: lower case, letters and digits only, singular."""
+    return singular(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""))
 
 
 def fingerprint(*parts: Column) -> Column:

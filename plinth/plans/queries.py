@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.functions.paths import fingerprint, line_count, singular
+from plinth.functions.paths import fingerprint, line_count, plain_name
 from plinth.operators import change, classify, graph, history, lookup, match, rules, sets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,11 +209,11 @@ COLUMNS = ("c_nationkeys", "s_nationkey", "o_custkey", "l_orderkey", "l_partkey"
 
 @query("""WITH c(col) AS (VALUES ('c_nationkeys'), ('s_nationkey'), ('o_custkey'), ('l_orderkey'), ('l_partkey'), ('n_regionkey'), ('p_size'), ('x_companieskey')),
     e(entity) AS (VALUES ('nations'), ('Region'), ('orders'), ('parts'), ('company'), ('customer'))
-    SELECT col, entity AS refers_to FROM c JOIN e ON regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(col, '^[a-z]_(.*)keys?$', 1), 'ies$', 'y'), 'ses$', 's'), '([^s])s$', '\\1'), '', '') = regexp_replace(regexp_replace(regexp_replace(lower(entity), 'ies$', 'y'), 'ses$', 's'), '([^s])s$', '\\1')""")
+    SELECT col, entity AS refers_to FROM c JOIN e ON regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(col, '^[a-z]_(.*)keys?$', 1), 'ies$', 'y'), 'ses$', 's'), 's$', ''), '', '') = regexp_replace(regexp_replace(regexp_replace(lower(entity), 'ies$', 'y'), 'ses$', 's'), 's$', '')""")
 def q15_implicit_keys(spark, d):
     columns = spark.createDataFrame([(c,) for c in COLUMNS], "col string")
     entities = spark.createDataFrame([(e,) for e in ("nations", "Region", "orders", "parts", "company", "customer")], "entity string")
-    return lookup.implicit_keys(columns, entities, singular(F.regexp_extract("col", "^[a-z]_(.*)keys?$", 1)), singular(F.lower("entity"))).select("col", "refers_to")
+    return lookup.implicit_keys(columns, entities, plain_name(F.regexp_extract("col", "^[a-z]_(.*)keys?$", 1)), plain_name(F.col("entity"))).select("col", "refers_to")
 
 
 @query("""SELECT lang, count(*) AS total, count(l.doc_id) AS tested, round(count(l.doc_id) / count(*), 3) AS ratio, (SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) <= 0.25 * count(*) FROM labels) AS reliable
