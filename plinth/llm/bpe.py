@@ -24,13 +24,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import Memory, fresh_dir, hadoop_fs, python_workers
+from plinth.llm.common import Memory, durable, fresh_dir, hadoop_fs, python_workers
 from plinth.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words that the transducer holds: a few MB of file, whatever the corpus.
 LEXICON = 32768
 #: Chunks of text that a worker remembers of late.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 #: Longest word, in characters, that is counted for the lexicon.
 WORD_CHARS = 64
 
@@ -54,6 +54,8 @@ def unassigned() -> re.Pattern:
     return re.compile(f"[{''.join(spans)}]")
 
 
+#: Marks that are pieces of their own after letters.
+_MARKS = frozenset(".,;:!?)")
 HIGH = re.compile("[Ͱ-\U0010ffff]")
 
 
@@ -76,6 +78,7 @@ class WordBpe:
         self.letters = dict(enumerate(byte_letters()))
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.digits = {i: str(i) for i in self.tokens}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def merge(self, word: str) -> list[int]:
@@ -101,6 +104,8 @@ class WordBpe:
         low = text.lower()
         if low.isalpha() and not HIGH.search(low):  # letters of old, composed already: one word
             return [low]
+        if low[-1:] in _MARKS and (head := low[:-1]).isalpha() and not HIGH.search(head):
+            return [head, low[-1]]
         if "<|" not in text:
             return self.words(text)
         out = []
@@ -133,7 +138,7 @@ class _Chunks(Memory):
 
     def make(self, chunk: str) -> tuple[str, str]:
         ids = [i for piece in self.bpe.pieces(chunk) for i in self.ids(piece)]
-        return " ".join(map(str, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
+        return " ".join(map(self.bpe.digits.__getitem__, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
 
     def text(self, text: str | None) -> tuple[str, str]:
         """Ids and tokens of a whole text, joined by spaces."""
@@ -176,10 +181,25 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, size: int) -> list[str]:
+    """At most `size` words of the highest counts, and only those reach the driver.
+
+    The counts' histogram tells above which count all words fit; equal counts
+    are taken whole or not at all. Words that occur once are never frequent.
+    """
+    counts = durable(counts.where("n > 1"))
+    room, least = size, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
+        if r.words > room:
+            break
+        room, least = room - r.words, r.n
+    return [] if least is None else sorted(r.word for r in counts.where(F.col("n") >= least).select("word").collect())
+
+
 def build_lexicon(docs: DataFrame, vocab: str, size: int = LEXICON) -> str | None:
     """Compile the `size` most frequent words, ship the file to all executors, and give its name."""
     spark = docs.sparkSession
-    top = [r.word for r in word_counts(docs, vocab).orderBy(F.desc("n"), "word").limit(size).collect()]
+    top = frequent(word_counts(docs, vocab), size)
     if not top:
         return None
     bpe = tokenizer(vocab)
