@@ -41,7 +41,7 @@ FRAME_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 #: Pieces, and words, that a worker remembers of late.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("frame", "<u4")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
@@ -126,6 +126,9 @@ class Reader:
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
+#: Marks that are pieces of their own after letters and before a space.
+_MARKS = frozenset(".,;:!?)")
+
 
 class _Pieces(Memory):
     """Piece between merges -> its ids, from the library's merges."""
@@ -153,6 +156,8 @@ class _Words(Memory):
     def make(self, word: str) -> bytes:
         if word.isalpha():  # letters after a space are one piece
             return self.pieces.make(" " + word)
+        if word[-1:] in _MARKS and word[:-1].isalpha():  # and so is the mark
+            return self.pieces.make(" " + word[:-1]) + self.pieces[word[-1]]
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
 
 
