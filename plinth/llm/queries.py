@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm.common import table
+from plinth.llm.oracles import quality_rules_sql, secret_scan_sql
 
 
 def _vocab(name: str) -> str:
@@ -133,4 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
+    "op2_secret_scan": secret_scan_sql(),
+    "op7_quality_rules": quality_rules_sql(),
 }

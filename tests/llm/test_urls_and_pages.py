@@ -73,3 +73,12 @@ def test_op8_edges(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 1), (2, "u", "<p>a", 1), (2, "u", "<p>a", 1)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, H.extract(pages).collect()), key=str) == sorted([(None, None, "", 0), (1, "u", "", 0), (2, "u", "a", 1), (2, "u", "a", 1)], key=str)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_native_queries_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name in ("op2_secret_scan", "op7_quality_rules"):
+        got = QUERIES[name](spark, sf)
+        want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
