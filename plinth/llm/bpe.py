@@ -102,7 +102,7 @@ class WordBpe:
     def pieces(self, text: str) -> list[str]:
         """Words, with special tokens as they stand."""
         low = text.lower()
-        if low.isalpha() and not HIGH.search(low):  # letters of old, composed already: one word
+        if low.isalpha() and (low.isascii() or not HIGH.search(low)):  # letters of old, composed already: one word
             return [low]
         if low[-1:] in _MARKS and (head := low[:-1]).isalpha() and not HIGH.search(head):
             return [head, low[-1]]
@@ -131,7 +131,7 @@ class _Chunks(Memory):
         self.bpe, self.lexicon = bpe, lexicon
 
     def ids(self, piece: str) -> list[int]:
-        if (special := self.bpe.special.get(piece)) is not None:
+        if piece.startswith("<|") and (special := self.bpe.special.get(piece)) is not None:
             return [special]
         found = self.lexicon.get(piece.encode("utf-8", "surrogatepass")) if self.lexicon else None
         return self.bpe.merge(piece) if found is None else found
