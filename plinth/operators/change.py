@@ -64,3 +64,44 @@ def request_drift(calls: DataFrame) -> DataFrame:
     missing = F.array_sort(F.array_except(F.map_keys(F.map_filter("expected", lambda k, optional: ~optional)), "sent"))
     status = F.when(F.col("sent").isNull() | F.col("expected").isNull(), "unread").when((F.size(extra) > 0) | (F.size(missing) > 0), "differ").otherwise("agree")
     return calls.select("call_key", extra.alias("extra"), missing.alias("missing"), status.alias("status"))
+
+
+def summary(classed: DataFrame) -> DataFrame:
+    """(class, brick, n, calls): pairs by class and the existing brick they hang on.
+
+    Grafts hang on their source, attachments on their target; other classes on
+    their source.
+    """
+    brick = F.when(F.col("class") == "attachment", F.col("dst")).otherwise(F.col("src"))
+    return classed.groupBy("class", brick.alias("brick")).agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("new_calls")))).alias("calls"))
+
+
+def endpoint_delta(base: DataFrame, head: DataFrame, calls_base: DataFrame, calls_head: DataFrame) -> DataFrame:
+    """(endpoint_id, change, callers): endpoints that came or went, with the callers that reach or reached them.
+
+    Calls are rows (caller, endpoint_id).
+    """
+    came = head.select("endpoint_id").distinct().join(base.select("endpoint_id"), "endpoint_id", "left_anti").withColumn("change", F.lit("added"))
+    went = base.select("endpoint_id").distinct().join(head.select("endpoint_id"), "endpoint_id", "left_anti").withColumn("change", F.lit("removed"))
+    callers = calls_head.withColumn("change", F.lit("added")).unionByName(calls_base.withColumn("change", F.lit("removed"))).groupBy("endpoint_id", "change").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+    return came.unionByName(went).join(callers, ["endpoint_id", "change"], "left").withColumn("callers", F.coalesce("callers", F.array().cast("array<string>")))
+
+
+def new_drift(base: DataFrame, head: DataFrame) -> DataFrame:
+    """Contracts (call_key, status, extra, missing) that differ at the head and not in the same way at the base."""
+    same = base.where("status = 'differ'").select("call_key", F.to_json(F.struct("extra", "missing")).alias("__was"))
+    rows = head.where("status = 'differ'").withColumn("__is", F.to_json(F.struct("extra", "missing")))
+    return rows.join(same, "call_key", "left").where("__was is null or __was <> __is").drop("__was", "__is")
+
+
+def violation_delta(added: DataFrame, fixed: DataFrame, renames: DataFrame, changed: DataFrame) -> DataFrame:
+    """added (fingerprint, rule, src, dst) without what a rename explains, with in_diff.
+
+    A finding whose ends, moved by renames (old, new), equal a fixed one's is
+    the same finding. in_diff tells whether an end is among the changed paths.
+    """
+    moved = renamed(renamed(fixed.select("rule", "src", "dst"), renames, "src"), renames, "dst").distinct()
+    left = added.join(moved, ["rule", "src", "dst"], "left_anti")
+    paths = changed.select("path").distinct()
+    touched = left.join(paths.select(F.col("path").alias("src")), "src", "left_semi").select("fingerprint").union(left.join(paths.select(F.col("path").alias("dst")), "dst", "left_semi").select("fingerprint")).distinct().withColumn("in_diff", F.lit(True))
+    return left.join(touched, "fingerprint", "left").withColumn("in_diff", F.coalesce("in_diff", F.lit(False)))
