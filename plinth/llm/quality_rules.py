@@ -27,7 +27,7 @@ COMMON_WORDS = {
 }
 MIN_WORDS = 80
 MIN_REFERENCE = 1000
-#: Languages that get a reference, by number of words: bounds what is broadcast.
+#: Languages whose references are broadcast, by number of documents; the others' are joined by shuffle.
 LANGUAGES = 256
 MAX_CHAR_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.31
@@ -103,14 +103,32 @@ def _runs(ws: Column) -> Column:
 
 
 def references(measured: DataFrame, common_words: dict[str, list[str]]) -> DataFrame:
-    """(lang, ref_chars array, ref_words map) of each language with enough words; ref_words is null without a list."""
+    """(lang, docs, ref_chars array, ref_words map) of each language with enough words; ref_words is null without a list."""
     spark = measured.sparkSession
     lists = spark.createDataFrame([(k, w) for k, ws in common_words.items() for w in dict.fromkeys(ws)], "lang string, word string")
-    totals = measured.groupBy("lang").agg(F.sum("n_words").alias("all_words"), F.sum("n_chars").alias("all_chars"), *[F.sum(k).alias(k) for k in CLASSES]).where(F.col("all_words") >= MIN_REFERENCE).orderBy(F.desc("all_words"), "lang").limit(LANGUAGES)
+    totals = measured.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("all_words"), F.sum("n_chars").alias("all_chars"), *[F.sum(k).alias(k) for k in CLASSES]).where(F.col("all_words") >= MIN_REFERENCE)
     counts = measured.select("lang", F.explode("runs").alias("r")).groupBy("lang", F.col("r.word").alias("word")).agg(F.sum("r.n").alias("n"))
     words = lists.join(counts, ["lang", "word"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n")))).alias("top"))
     found = totals.join(words, "lang", "left")
-    return found.select("lang", F.array(*[F.col(k) / F.col("all_chars") for k in CLASSES]).alias("ref_chars"), F.when(F.col("top").isNotNull(), F.map_from_entries(F.transform("top", lambda t: F.struct(t["word"], t["n"] / F.col("all_words"))))).alias("ref_words"))
+    return found.select("lang", "docs", F.array(*[F.col(k) / F.col("all_chars") for k in CLASSES]).alias("ref_chars"), F.when(F.col("top").isNotNull(), F.map_from_entries(F.transform("top", lambda t: F.struct(t["word"], t["n"] / F.col("all_words"))))).alias("ref_words"))
+
+
+def by_language(rows: DataFrame, known: DataFrame, wanted: Column) -> DataFrame:
+    """rows with the columns of known (lang, docs, ...); null where a language has none or a row is not wanted.
+
+    The LANGUAGES with most documents are broadcast. Each of the others has a
+    small part of the documents, so a join on lang has no hot key.
+    """
+    known = durable(known)
+    names = [c for c in known.columns if c not in ("lang", "docs")]
+    if known.count() <= LANGUAGES:
+        return rows.join(F.broadcast(known.drop("docs")), "lang", "left")
+    head = durable(known.orderBy(F.desc("docs"), "lang").limit(LANGUAGES))
+    out = rows.join(F.broadcast(head.withColumn("__head", F.lit(True)).drop("docs")), "lang", "left")
+    other = F.col("__head").isNull() & F.coalesce(wanted, F.lit(False))
+    tail = known.join(F.broadcast(head.select("lang")), "lang", "left_anti").drop("docs")
+    rest = out.where(other).drop("__head", *names).join(tail, "lang", "left")
+    return out.where(~other).drop("__head").unionByName(rest)
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -155,10 +173,9 @@ def quality_rules(docs: DataFrame, common_words: dict[str, list[str]] | None = N
     """
     lists = COMMON_WORDS if common_words is None else common_words
     rows = durable(measures(docs, lists))
-    known = F.broadcast(references(rows, lists))  # at most LANGUAGES rows, each with one word list
     shares = F.array(*[F.col(k) / F.col("n_chars") for k in CLASSES])
     judged = (F.col("n_words") >= MIN_WORDS) & ~F.col("base_failed")
-    out = rows.join(known, "lang", "left")
+    out = by_language(rows, references(rows, lists), judged)
     out = out.withColumns({"js_chars": F.when(judged & F.col("ref_chars").isNotNull(), char_distance(shares, F.col("ref_chars"))), "js_words": F.when(judged & F.col("ref_words").isNotNull(), word_distance(F.col("runs"), F.col("n_words").cast("double"), F.col("ref_words")))})
     far = F.coalesce(F.col("js_chars") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("js_words") > MAX_WORD_DISTANCE, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_chars", "js_words")
