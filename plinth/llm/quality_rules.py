@@ -4,16 +4,17 @@ Each language's reference holds the shares of character classes and of the
 language's common words, counted over all its documents. A document is compared
 with the reference of its language by the Jensen-Shannon distance (base 2).
 Documents under MIN_WORDS words and languages under MIN_REFERENCE words are not
-judged by distance, and languages without a word list by character classes only.
+judged by distance. Languages without a word list get their COMMON most frequent
+words, counted over all their documents first.
 
-Every text is read once: what is counted of it (a few numbers, and the runs of
-its common words) goes to the shared folder, and the references and verdicts are
-made of that.
+Then every text is read once: what is counted of it (a few numbers, and the runs
+of its common words) goes to the shared folder, and the references and verdicts
+are made of that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import durable, let
@@ -25,18 +26,22 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du une que est pour par avec qui dans sur il au ne pas ce se plus sont son aux ou mais".split(),
     "es": "de la que el en y los se las del un por con no una para su al lo como más o pero sus le ha me sin sobre este".split(),
 }
-MIN_WORDS = 80
+MIN_WORDS = 50
+#: Words that are counted for a language without a list.
+COMMON = 50
 MIN_REFERENCE = 1000
 #: Languages whose references are broadcast, by number of documents; the others' are joined by shuffle.
 LANGUAGES = 256
 MAX_CHAR_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.31
+#: For counted words, which take a larger and less even part of a text than listed ones.
+MAX_COUNTED_DISTANCE = 0.45
 WINDOW = 5
 MIN_BASE_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 BLANK = "[\\x20\\x09-\\x0D]+"
-CLASSES = ("upper", "digit", "symbol", "blank", "other")
+CLASSES = ("lower", "upper", "digit", "symbol", "blank", "other")
 #: Fixed value: the contract's symbols.
 SYMBOL = "[#*$%&|<>]+"
 
@@ -78,20 +83,38 @@ def repeated_words(words: Column) -> Column:
     return let(words, lambda ws: F.when(F.size(ws) <= WINDOW, F.lit(0).cast("long")).otherwise(each(ws)))
 
 
-def measures(docs: DataFrame, common_words: dict[str, list[str]]) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def counted_words(docs: DataFrame, common_words: dict[str, list[str]]) -> DataFrame:
+    """(lang, docs, vocab array) of each language with enough words and no list: its COMMON most frequent words with a letter."""
+    rows = _rows(docs).where(~F.col("lang").isin(list(common_words)))
+    counts = durable(rows.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")))
+    enough = counts.groupBy("lang").agg(F.sum("n").alias("all_words")).where(F.col("all_words") >= MIN_REFERENCE).select("lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.where(F.col("word").rlike("\\p{L}")).withColumn("rank", rank).where(F.col("rank") <= COMMON).groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("vocab"))
+    return rows.groupBy("lang").agg(F.count("*").alias("docs")).join(enough, "lang").join(top, "lang")
+
+
+def measures(docs: DataFrame, common_words: dict[str, list[str]], counted: DataFrame | None = None) -> DataFrame:
     """doc_id and lang of every row of docs, with the contract's base measures.
 
     n_chars is the text's length, CLASSES are counts of its code points, and runs
-    its words that some list has, as (word, n).
+    its words that some list has, or its language's vocab in counted, as (word, n).
     """
     listed = sorted({w for ws in common_words.values() for w in ws})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = _rows(docs)
+    if counted is not None:
+        rows = by_language(rows, counted, ~F.col("lang").isin(list(common_words)))
     rows = rows.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     common = F.sort_array(F.filter("words", lambda w: w.isin(listed))) if listed else F.array().cast("array<string>")
-    counts = {"n_chars": F.length("text"), "n_words": F.size("words"), "word_chars": F.length(F.array_join("words", "")), "n_symbols": _count(F.col("text"), SYMBOL), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_repeat_words": repeated_words(F.col("words")), "upper": _count(F.col("text"), "\\p{Lu}+"), "digit": _count(F.col("text"), "[0-9]+")}
+    if counted is not None:
+        common = F.when(F.col("vocab").isNull(), common).otherwise(F.sort_array(F.filter("words", lambda w: F.array_contains("vocab", w))))
+    counts = {"n_chars": F.length("text"), "n_words": F.size("words"), "word_chars": F.length(F.array_join("words", "")), "n_symbols": _count(F.col("text"), SYMBOL), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_repeat_words": repeated_words(F.col("words")), "lower": _count(F.col("text"), "\\p{Ll}+"), "upper": _count(F.col("text"), "\\p{Lu}+"), "digit": _count(F.col("text"), "[0-9]+")}
     rows = rows.select("doc_id", "lang", *[v.cast("long").alias(k) for k, v in counts.items()], let(common, _runs).alias("runs"))
-    rows = rows.withColumns({"symbol": F.col("n_symbols"), "blank": F.col("n_chars") - F.col("word_chars")}).withColumn("other", F.col("n_chars") - F.col("upper") - F.col("digit") - F.col("symbol") - F.col("blank"))
+    rows = rows.withColumns({"symbol": F.col("n_symbols"), "blank": F.col("n_chars") - F.col("word_chars")}).withColumn("other", F.col("n_chars") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("symbol") - F.col("blank"))
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -102,10 +125,12 @@ def _runs(ws: Column) -> Column:
     return F.when(F.size(ws) == 0, F.array().cast("array<struct<word:string,n:bigint>>")).otherwise(some)
 
 
-def references(measured: DataFrame, common_words: dict[str, list[str]]) -> DataFrame:
-    """(lang, docs, ref_chars array, ref_words map) of each language with enough words; ref_words is null without a list."""
+def references(measured: DataFrame, common_words: dict[str, list[str]], counted: DataFrame | None = None) -> DataFrame:
+    """(lang, docs, ref_chars array, ref_words map) of each language with enough words; ref_words is null without a list or counted words."""
     spark = measured.sparkSession
     lists = spark.createDataFrame([(k, w) for k, ws in common_words.items() for w in dict.fromkeys(ws)], "lang string, word string")
+    if counted is not None:
+        lists = lists.union(counted.select("lang", F.explode("vocab")))
     totals = measured.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("all_words"), F.sum("n_chars").alias("all_chars"), *[F.sum(k).alias(k) for k in CLASSES]).where(F.col("all_words") >= MIN_REFERENCE)
     counts = measured.select("lang", F.explode("runs").alias("r")).groupBy("lang", F.col("r.word").alias("word")).agg(F.sum("r.n").alias("n"))
     words = lists.join(counts, ["lang", "word"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n")))).alias("top"))
@@ -166,16 +191,18 @@ def quality_rules(docs: DataFrame, common_words: dict[str, list[str]] | None = N
 
     A null text is an empty one; a null lang is a language of its own. Texts
     with no words have base_failed true. js_chars and js_words are null where no
-    distance is taken (few words, no reference, no list); such rows are kept
+    distance is taken (few words, no reference); such rows are kept
     unless base_failed or too far by the other distance. Repeated rows come back
     as often as they came; an empty table gives an empty result; other columns
     are not looked at.
     """
     lists = COMMON_WORDS if common_words is None else common_words
-    rows = durable(measures(docs, lists))
+    counted = durable(counted_words(docs, lists))
+    counted = None if counted.isEmpty() else counted
+    rows = durable(measures(docs, lists, counted))
     shares = F.array(*[F.col(k) / F.col("n_chars") for k in CLASSES])
     judged = (F.col("n_words") >= MIN_WORDS) & ~F.col("base_failed")
-    out = by_language(rows, references(rows, lists), judged)
+    out = by_language(rows, references(rows, lists, counted), judged)
     out = out.withColumns({"js_chars": F.when(judged & F.col("ref_chars").isNotNull(), char_distance(shares, F.col("ref_chars"))), "js_words": F.when(judged & F.col("ref_words").isNotNull(), word_distance(F.col("runs"), F.col("n_words").cast("double"), F.col("ref_words")))})
-    far = F.coalesce(F.col("js_chars") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("js_words") > MAX_WORD_DISTANCE, F.lit(False))
+    far = F.coalesce(F.col("js_chars") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("js_words") > F.when(F.col("lang").isin(list(lists)), MAX_WORD_DISTANCE).otherwise(MAX_COUNTED_DISTANCE), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_chars", "js_words")
