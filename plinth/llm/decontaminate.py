@@ -8,7 +8,9 @@ sensitive hash. A walk of STEPS steps reads about half as many words, so the
 walk from a document's word serves the item-sized windows that begin there,
 whatever the item's size, and an item is indexed at every offset from which the
 walk stays inside it. REPEATS independent walks with SAMPLED places each give
-the recall. Every hit is verified by the exact word edit distance of the item to
+the recall. Items under LONG words leave a walk too little room and are found
+without it: whole, or as two halves, one of which has one edit at most, by equal
+keys of pieces with any one word left out. Every hit is verified by the exact word edit distance of the item to
 its best window of the document.
 
 All windows of a batch of documents are walked at once, from the last step back:
@@ -35,8 +37,10 @@ STEPS, SAMPLED, REPEATS = 15, 5, 4
 #: Words of an item that the sampled places of a walk must come from at least.
 SPREAD = 4
 SIMILARITY = 0.8
-#: Items with fewer words are matched word for word.
-SHORT = 8
+#: Items with fewer words are matched word for word: one edit is more than SIMILARITY lets them have.
+SHORT = 5
+#: Items with fewer words are found by pieces with one word left out.
+LONG = 20
 #: Words of benchmark items that are broadcast at once; more items go in further blocks.
 BLOCK_WORDS = 2_000_000
 CHUNK = 1 << 16
@@ -115,6 +119,27 @@ def visited(walk: np.ndarray, sampled: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(first, end) of the pieces of an item of n words, one of which has one edit at most where the item is similar."""
+    return [(0, n)] if n < 2 * SHORT else [(0, n // 2), (n // 2, n)]
+
+
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def left_out(symbol: np.ndarray, m: int) -> Iterator[np.ndarray]:
+    """For each word of the window the keys of the m words from every place on, without that word."""
+    n = len(symbol)
+    s = np.concatenate([symbol.astype(np.uint64), np.zeros(m, np.uint64)])
+    h = np.zeros(n, np.uint64)
+    for k in range(1, m):
+        h += s[k : k + n] * _FACTORS[k - 1]
+    for j in range(m):
+        yield (h >> np.uint64(32)).astype(np.uint32) ^ np.uint32(0x9E3779B1 * m & 0xFFFFFFFF)
+        if j < m - 1:
+            h += (s[j : j + n] - s[j + 1 : j + 1 + n]) * _FACTORS[j]
+
+
 def best_window(item: list[str], text: list[str]) -> tuple[int, int]:
     """(distance, end) of the window of text nearest to item by edit distance, by bit-parallel columns."""
     n = len(item)
@@ -141,6 +166,32 @@ def best_window(item: list[str], text: list[str]) -> tuple[int, int]:
     return best, end
 
 
+def _bits(size: int) -> int:
+    bits = 16
+    while 1 << bits < 128 * size and bits < 26:
+        bits += 1
+    return bits
+
+
+def _table(keys: list[np.ndarray], places: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys in order, each one's (item, offset), and which low bits occur."""
+    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint32)
+    order = np.argsort(keys, kind="stable")
+    seen = np.zeros(1 << bits, bool)
+    seen[keys & np.uint32((1 << bits) - 1)] = True
+    return keys[order], np.concatenate(places)[order] if len(keys) else np.zeros((0, 2), np.int64), seen
+
+
+def _matches(h: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int) -> Iterator[tuple[int, int]]:
+    """(item, place where it would begin) of each hash of h that the table has."""
+    keys, places, seen = table
+    hit = np.flatnonzero(seen[h & np.uint32((1 << bits) - 1)])
+    lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
+    for p, a, b in zip(hit[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
+        for k, offset in places[a:b].tolist():
+            yield k, p - offset
+
+
 class Index:
     """The hashes of a block of items."""
 
@@ -150,27 +201,32 @@ class Index:
         self.sets = [set(w) for _, w in self.items]
         self.short: dict[str, list[int]] = {}
         found: list[tuple[list, list]] = [([], []) for _ in range(REPEATS)]
+        cut: dict[int, list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(self.items):
             if len(words) < SHORT:
                 self.short.setdefault(words[0], []).append(k)
                 continue
+            if len(words) < LONG:
+                for first, last in pieces(len(words)):
+                    cut.setdefault(last - first, []).append((k, first))
+                continue
             symbol, walk = _Codes(len(words)).of(words)
             for r, sampled in enumerate(plan()):
                 places = visited(walk[:, r], sampled)
                 inside = np.flatnonzero((np.arange(len(words)) + places[:, -1] < len(words)) & (1 + (np.diff(places, axis=1) > 0).sum(axis=1) >= SPREAD))
                 found[r][0].append(embed(symbol, walk[:, r], sampled)[inside])
                 found[r][1].append(np.stack([np.full(len(inside), k), inside], 1))
-        self.bits = 16
-        size = sum(len(x) for x in found[0][0])
-        while 1 << self.bits < 128 * size and self.bits < 26:
-            self.bits += 1
-        self.walks = []
-        for keys, places in found:
-            keys = np.concatenate(keys) if keys else np.zeros(0, np.uint32)
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(1 << self.bits, bool)
-            seen[keys & np.uint32((1 << self.bits) - 1)] = True
-            self.walks.append((keys[order], np.concatenate(places)[order] if len(keys) else np.zeros((0, 2), np.int64), seen))
+        self.bits = _bits(sum(len(x) for x in found[0][0]))
+        self.walks = [_table(keys, places, self.bits) for keys, places in found]
+        self.lengths = sorted(cut)
+        keys, places = [], []
+        for m, at in cut.items():
+            symbol, _ = _Codes(m * len(at)).of([w for k, first in at for w in self.items[k][1][first : first + m]])
+            for key in left_out(symbol, m):
+                keys.append(key[::m])
+                places.append(np.array(at, np.int64))
+        self.cut_bits = _bits(sum(map(len, keys)))
+        self.cut = _table(keys, places, self.cut_bits)
 
     def candidates(self, words: list[str]) -> Iterator[tuple[int, int]]:
         """(item, place where it would begin) for the words of several documents; repeated."""
@@ -178,15 +234,12 @@ class Index:
         for at in range(0, len(words), CHUNK):
             part = slice(at, at + CHUNK + STEPS + 1)
             for r, sampled in enumerate(plan()):
-                keys, places, seen = self.walks[r]
-                if not len(keys):
-                    continue
-                h = embed(symbol[part], np.ascontiguousarray(walk[part, r]), sampled)[:CHUNK]
-                hit = np.flatnonzero(seen[h & np.uint32((1 << self.bits) - 1)])
-                lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-                for p, a, b in zip(hit[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
-                    for k, offset in places[a:b].tolist():
-                        yield k, at + p - offset
+                if len(self.walks[r][0]):
+                    h = embed(symbol[part], np.ascontiguousarray(walk[part, r]), sampled)[:CHUNK]
+                    yield from ((k, at + p) for k, p in _matches(h, self.walks[r], self.bits))
+            for m in self.lengths:
+                for h in left_out(symbol[at : at + CHUNK + m], m):
+                    yield from ((k, at + p) for k, p in _matches(h[:CHUNK], self.cut, self.cut_bits))
         if self.short:
             for p, w in enumerate(words):
                 for k in self.short.get(w, ()):

@@ -78,3 +78,40 @@ def test_many_blocks_find_the_same(spark, monkeypatch):
     one = sorted(map(tuple, D.contamination(docs, items).collect()))
     monkeypatch.setattr(D, "BLOCK_WORDS", 200)
     assert sorted(map(tuple, D.contamination(docs, items).collect())) == one and one
+
+
+def plain(docs, items):
+    """brute without the cut at SHORT words."""
+    out = set()
+    for i, text in docs:
+        words = D.words_of(text)
+        for k, item in items:
+            n = D.words_of(item)
+            allowed = int(len(n) * (1 - D.SIMILARITY) + 1e-9)
+            if n and len(set(n) & set(words)) >= len(set(n)) - allowed and (e := distance(n, words)) <= allowed:
+                out.add((i, k, e))
+    return out
+
+
+def edited(lengths, seed, each=60):
+    rnd = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    items, docs = [], []
+    for n in lengths:
+        for _ in range(each):
+            words = [rnd.choice(vocab) for _ in range(n)]
+            items.append((len(items), " ".join(words)))
+            for _ in range(int(n * (1 - D.SIMILARITY) + 1e-9)):
+                p = rnd.randrange(len(words))
+                words[p : p + rnd.randint(0, 1)] = [rnd.choice(vocab)] if rnd.random() < 0.7 else []
+            noise = [rnd.choice(vocab) for _ in range(rnd.randint(0, 60))]
+            p = rnd.randint(0, len(noise))
+            docs.append((len(docs), " ".join([*noise[:p], *words, *noise[p:]])))
+    return docs, items
+
+
+def test_all_short_items_are_found(spark):
+    docs, items = edited(range(1, D.LONG), 6, 30)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in D.contamination(*frames).collect()}
+    assert got == plain(docs, items) and any(e for *_, e in got)
