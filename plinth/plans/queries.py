@@ -343,7 +343,7 @@ def q27_blast_radius(spark, d):
 
 
 def _traced(spark, d):
-    down = _tree(spark, d).where("src not like 'c%'").select(F.col("dst").alias("src"), F.lit(0).alias("ord"), F.col("src").alias("dst"))
+    down = _tree(spark, d).select(F.col("dst").alias("src"), F.lit(0).alias("ord"), F.col("src").alias("dst"))
     starts = t(spark, d, "region").select("r_regionkey", F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node")).select(F.col("r_regionkey").alias("start"), "node")
     return graph.traces(starts, down)
 
