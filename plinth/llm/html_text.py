@@ -6,7 +6,8 @@ as links take a larger part. The sum of its children's densities is its density
 sum; the node with the largest sum holds the main text. The least density on
 the path from it up to the body is the threshold for branches beside the path.
 Menus, adverts and the like that their element, role, class or id names are cut
-before densities are taken.
+before densities are taken, but a form or a name cuts no branch that holds most
+of the body's characters outside links, unless an article stands beside it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CUT = frozenset("nav header footer aside form button select option script style noscript template svg canvas iframe object menu dialog head title textarea audio video map".split())
-#: Parts of class, id and role names that mark what is not the article.
+#: Elements that may also wrap a whole page.
+WRAPS = frozenset(("form",))
+#: Class, id and role names that mark what is not the article; so do names put together of these alone.
 CUT_NAMES = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs combx comment comments contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split())
 #: Start tag -> open elements that it ends, looked for up to the nearest of SCOPE.
 BLOCKS = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -38,11 +41,21 @@ SCOPE = frozenset("article aside blockquote body button details div fieldset fig
 MAIN = frozenset(("article", "main"))
 
 
+def _is_cut(name: str) -> bool:
+    """Whether all parts of a class, id or role name are CUT_NAMES."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return bool(parts) and CUT_NAMES.issuperset(parts)
+
+
 class Tree:
-    """Nodes in page order; a node's subtree is the range from it to its end. Items are (place of node, text)."""
+    """Nodes in page order; a node's subtree is the range from it to its end. Items are (place of node, text).
+
+    cut has the branches that their elements cut; doubted the nodes that settle()
+    cuts with their branches or lets stand.
+    """
 
     def __init__(self, page: str) -> None:
-        self.tag, self.up, self.cut = ["#"], [-1], [False]
+        self.tag, self.up, self.cut, self.doubted = ["#"], [-1], [False], [False]
         self.items: list[tuple[int, str | None]] = []
         open_: list[int] = [0]
         at, n = 0, len(page)
@@ -68,17 +81,37 @@ class Tree:
                 continue
             if name in ("html", "body") and body and name in self.tag:
                 continue
-            names = {x for g in _NAMES.findall(m[3] or m[6] or "") for x in re.split(r"[^a-z]+", "".join(g).lower())}
+            names = [x for g in _NAMES.findall(m[3] or m[6] or "") for x in "".join(g).lower().split()]
             self.tag.append(name)
             self.up.append(open_[-1])
             top = name in ("html", "body") or name in MAIN
-            self.cut.append(self.cut[open_[-1]] or not top and (name in CUT or not CUT_NAMES.isdisjoint(names)))
+            self.cut.append(self.cut[open_[-1]] or not top and name in CUT and name not in WRAPS)
+            self.doubted.append(not top and (name in WRAPS or any(map(_is_cut, names))))
             body = body or name == "body"
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
                 at = end.start() if end else n
             open_.append(len(self.tag) - 1)
 
+    def settle(self, items: list[tuple[int, str | None]], link: list[bool]) -> None:
+        """Cut the doubted nodes' branches but those that hold most of the body's characters outside links."""
+        n = len(self.tag)
+        if not any(self.doubted):
+            return
+        plain = [0] * n
+        for i, text in items:
+            if text and not self.cut[i] and not link[i]:
+                plain[i] += sum(map(len, text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.up[i]] += plain[i]
+        body = next((i for i in range(n) if self.tag[i] == "body" and plain[i]), 0)
+        under = [False] * n
+        for i in range(1, n):
+            under[i] = under[self.up[i]] or self.doubted[i]
+        beside = any(self.tag[i] in MAIN and plain[i] and not under[i] and not self.cut[i] for i in range(n))
+        for i in range(1, n):
+            self.cut[i] = self.cut[i] or self.cut[self.up[i]] or self.doubted[i] and (beside or 2 * plain[i] <= plain[body])
+
     def _imply(self, open_: list[int], name: str) -> None:
         """End what the start tag `name` ends by itself."""
         ends = ENDS.get(name) or ({"p"} if name in BLOCKS else None)
@@ -128,6 +161,8 @@ def main_text(page: str | None) -> str:
     for i in range(1, n):
         link[i] = link[tree.up[i]] or tree.tag[i] == "a"
     items = [(i, None if t is None else html.unescape(t)) for i, t in tree.items if not tree.cut[i]]
+    tree.settle(items, link)
+    items = [x for x in items if not tree.cut[x[0]]]
     for i, text in items:
         if text:
             own[i] += sum(map(len, text.split()))

@@ -82,3 +82,13 @@ def test_native_queries_against_sql(spark, sf):
         got = QUERIES[name](spark, sf)
         want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_op8_wrappers_do_not_cut_the_article():
+    text = "One long sentence of the article that goes on and on for a while, and then some more. " * 4
+    plain = text.strip()
+    for wrap in ("div class='content has-sidebar'", "div id=page-header-wrap", "div class=search", "form action=/x", "div class='share-widget'"):
+        page = f"<html><body><nav><a href=/>Home</a></nav><{wrap}><div><p>{text}<p>{text}</div><div class=comments><p>{text}</div></{wrap.split()[0]}></body></html>"
+        assert H.main_text(page) == f"{plain} {plain}", wrap
+    assert H.main_text(f"<body><main><p>{text}</main><div class='comments'><p>{text}<p>{text}</div></body>") == plain
+    assert H.main_text(f"<body><div><p>{text}<p>{text}<section class='related-work'><p>{text}</section></div><div class='cookie-notice'>{text}</div></body>") == f"{plain} {plain} {plain}"
