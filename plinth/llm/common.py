@@ -88,3 +88,20 @@ class Memory(dict):
             self.clear()
         self[key] = value
         return value
+
+
+_HELD: dict = {}
+
+
+def held(owner: str, key: object, make: Callable[[], object]):
+    """make() for key, kept in this Python worker until another operator asks.
+
+    Workers are reused by all stages of an application, so memories that every
+    operator kept for good would add up.
+    """
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]

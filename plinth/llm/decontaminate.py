@@ -4,92 +4,133 @@ The CGK walk reads a word sequence step by step and stays on a word or moves on
 as a random bit of (step, word) says. Sequences at a small edit distance soon
 walk in step again, so their outputs differ in few places: edit distance
 becomes Hamming distance, and sampling a few output places is a locality
-sensitive hash. A walk of STEPS steps reads about half as many words, so the
-walk from a document's word serves the item-sized windows that begin there,
-whatever the item's size, and an item is indexed at every offset from which the
-walk stays inside it. REPEATS independent walks with SAMPLED places each give
-the recall. Items under LONG words leave a walk too little room and are found
-without it: whole, or as two halves, one of which has one edit at most, by equal
-keys of pieces with any one word left out. Every hit is verified by the exact word edit distance of the item to
-its best window of the document.
+sensitive hash. A walk reads about half as many words as it has steps, and its
+length goes by the size of the items: PLANS gives items of like size their
+walks, samples and repeats. An item is indexed at every offset from which the
+walk stays inside it, a document is asked at every word, and independent walks
+give the recall. Every hit is verified by the exact word edit distance of the
+item to its best window of the document.
 
 All windows of a batch of documents are walked at once, from the last step back:
 the hash at a word is that of the next step at this word or the one after it.
+Words are code points between others, hashed as polynomials of prefix sums, so
+no word becomes a Python object unless a candidate is verified.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import Memory, python_workers
+from plinth.llm.common import held, python_workers
 
-STEPS, SAMPLED, REPEATS = 15, 5, 4
-#: Words of an item that the sampled places of a walk must come from at least.
-SPREAD = 4
 SIMILARITY = 0.8
-#: Items with fewer words are matched word for word: one edit is more than SIMILARITY lets them have.
-SHORT = 5
-#: Items with fewer words are found by pieces with one word left out.
-LONG = 20
+
+
+class Plan(NamedTuple):
+    """Walks for items of `least` words or more."""
+
+    least: int
+    steps: int
+    sampled: int
+    #: Words of an item that the sampled places of a walk must come from at least.
+    spread: int
+    repeats: int
+
+
+#: Under five words one edit is more than SIMILARITY allows: equal words have equal walks, so one finds them.
+PLANS = (Plan(1, 1, 1, 1, 1), Plan(2, 2, 2, 1, 1), Plan(3, 3, 3, 1, 1), Plan(4, 4, 4, 1, 1), Plan(5, 3, 3, 2, 6), Plan(7, 5, 5, 3, 8), Plan(10, 7, 4, 3, 8), Plan(20, 12, 4, 4, 8))
 #: Words of benchmark items that are broadcast at once; more items go in further blocks.
 BLOCK_WORDS = 2_000_000
+#: Words that are hashed, and code points that are read, at once.
 CHUNK = 1 << 16
+SPAN = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
+_ODD = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-class _Codes(Memory):
-    """Word -> place in the code arrays; a full array is begun anew."""
-
-    def __init__(self, limit: int = 1 << 17) -> None:
-        super().__init__(limit)
-        self.symbol, self.walk = np.zeros(limit + 2, np.uint32), np.zeros((limit + 2, REPEATS), np.uint16)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self) + 1
-        raw = word.encode("utf-8", "surrogatepass")
-        self.symbol[at] = xxhash.xxh32_intdigest(raw) | 1
-        self.walk[at] = np.array([xxhash.xxh64_intdigest(raw, s) for s in range(1, -(-REPEATS // 4) + 1)], np.uint64).view(np.uint16)[:REPEATS]
-        self[word] = at
-        return at
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """symbol and walk bits of each word; empty strings, between documents, have zero."""
-        distinct = len(set(words))
-        if distinct > self.limit:
-            half = len(words) // 2
-            return tuple(np.concatenate(p) for p in zip(self.of(words[:half]), self.of(words[half:])))
-        if len(self) + distinct > self.limit:
-            self.clear()
-        self[""] = 0
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.symbol[at], self.walk[at]
-
-
-@cache
-def _codes() -> _Codes:
-    return _Codes()
-
-
-@cache
-def plan() -> np.ndarray:
-    """For each walk the sampled steps, one in each of SAMPLED stretches, as a row of booleans."""
-    rnd = np.random.default_rng(11)
-    each = STEPS // SAMPLED
-    return np.stack([(np.arange(STEPS) % each == np.repeat(rnd.integers(0, each, SAMPLED), each)) for _ in range(REPEATS)])
+def allowed(n: int) -> int:
+    """Edits that an item of n words may have."""
+    return int(n * (1 - SIMILARITY) + 1e-9)
+
+
+def _letters() -> np.ndarray:
+    """Whether a code point belongs to words."""
+    return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _ODD and of its inverse, modulo 2**64."""
+    up, down = np.full(SPAN, _ODD, np.uint64), np.full(SPAN, pow(_ODD, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+class Words:
+    """The words of several texts: where each begins and ends in `text`, its hash, and the texts' first words."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        lower = [(t or "").lower() for t in texts]
+        self.text = "\n".join(lower)
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.zeros(len(points) + 2, np.int8)
+        inside[1:-1] = held("decontaminate", "letters", _letters)[points]
+        edges = np.flatnonzero(np.diff(inside))
+        self.begin, self.end = edges[::2], edges[1::2]
+        self.first = np.searchsorted(self.begin, np.cumsum([0, *(len(t) + 1 for t in lower)]))
+        self.hash = self._hashes(points)
+
+    def _hashes(self, points: np.ndarray) -> np.ndarray:
+        up, down = held("decontaminate", "powers", _powers)
+        out, i = np.zeros(len(self.begin), np.uint64), 0
+        while i < len(out):
+            at = self.begin[i]
+            j = max(i + 1, int(np.searchsorted(self.end, at + SPAN, "right")))
+            part = points[at : min(self.end[j - 1], at + SPAN)]  # of a longer word, what fits
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part + np.uint32(1)) * up[: len(part)])])
+            first, last = self.begin[i:j] - at, np.minimum(self.end[i:j] - at, len(part))
+            out[i:j] = (sums[last] - sums[first]) * down[first]
+            i = j
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ out >> np.uint64(29)
+
+    def symbols(self) -> np.ndarray:
+        return (self.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+    def walk(self, r: int) -> np.ndarray:
+        """Random bits of each word for the r-th walk: step j moves on where bit j is set."""
+        x = self.hash + np.uint64(r * _ODD & (1 << 64) - 1)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        return (x * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.uint32)
+
+    def words(self, a: int, b: int) -> list[str]:
+        return [self.text[x:y] for x, y in zip(self.begin[a:b].tolist(), self.end[a:b].tolist())]
+
+
+def samples(plan: Plan) -> np.ndarray:
+    """For each walk of a plan the sampled steps, one in each of `sampled` stretches, as a row of booleans."""
+    rnd = np.random.default_rng(11 + plan.least)
+    cuts = np.linspace(0, plan.steps, plan.sampled + 1).astype(int)
+    out = np.zeros((plan.repeats, plan.steps), bool)
+    for row in out:
+        row[[rnd.integers(a, b) for a, b in zip(cuts, cuts[1:])]] = True
+    return out
 
 
 def embed(symbol: np.ndarray, walk: np.ndarray, sampled: np.ndarray) -> np.ndarray:
@@ -97,7 +138,7 @@ def embed(symbol: np.ndarray, walk: np.ndarray, sampled: np.ndarray) -> np.ndarr
     n = len(symbol)
     h = np.zeros(n + 1, np.uint32)
     for j in range(int(np.flatnonzero(sampled)[-1]), -1, -1):
-        on = -(walk >> np.uint16(j) & np.uint16(1)).astype(np.uint32)  # all bits where the walk moves on
+        on = -(walk >> np.uint32(j) & np.uint32(1))  # all bits where the walk moves on
         now = h[:-1] ^ ((h[1:] ^ h[:-1]) & on)
         if sampled[j]:
             now *= np.uint32(0x9E3779B1 + 2 * j)
@@ -115,31 +156,10 @@ def visited(walk: np.ndarray, sampled: np.ndarray) -> np.ndarray:
         if sampled[j]:
             out.append(at - np.arange(n))
         inside = np.minimum(at, n - 1)
-        at = at + np.where(at < n, walk[inside] >> np.uint16(j) & np.uint16(1), 1)
+        at = at + np.where(at < n, walk[inside] >> np.uint32(j) & np.uint32(1), 1)
     return np.stack(out, axis=1)
 
 
-def pieces(n: int) -> list[tuple[int, int]]:
-    """(first, end) of the pieces of an item of n words, one of which has one edit at most where the item is similar."""
-    return [(0, n)] if n < 2 * SHORT else [(0, n // 2), (n // 2, n)]
-
-
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def left_out(symbol: np.ndarray, m: int) -> Iterator[np.ndarray]:
-    """For each word of the window the keys of the m words from every place on, without that word."""
-    n = len(symbol)
-    s = np.concatenate([symbol.astype(np.uint64), np.zeros(m, np.uint64)])
-    h = np.zeros(n, np.uint64)
-    for k in range(1, m):
-        h += s[k : k + n] * _FACTORS[k - 1]
-    for j in range(m):
-        yield (h >> np.uint64(32)).astype(np.uint32) ^ np.uint32(0x9E3779B1 * m & 0xFFFFFFFF)
-        if j < m - 1:
-            h += (s[j : j + n] - s[j + 1 : j + 1 + n]) * _FACTORS[j]
-
-
 def best_window(item: list[str], text: list[str]) -> tuple[int, int]:
     """(distance, end) of the window of text nearest to item by edit distance, by bit-parallel columns."""
     n = len(item)
@@ -163,33 +183,32 @@ def best_window(item: list[str], text: list[str]) -> tuple[int, int]:
         down = hp & d0
         if score < best:
             best, end = score, j
+            if not best:
+                break
     return best, end
 
 
-def _bits(size: int) -> int:
-    bits = 16
-    while 1 << bits < 128 * size and bits < 26:
-        bits += 1
-    return bits
-
+class Table:
+    """Hashes of one walk: for each key the items that have it, with the least and the largest offset in the item."""
 
-def _table(keys: list[np.ndarray], places: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys in order, each one's (item, offset), and which low bits occur."""
-    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint32)
-    order = np.argsort(keys, kind="stable")
-    seen = np.zeros(1 << bits, bool)
-    seen[keys & np.uint32((1 << bits) - 1)] = True
-    return keys[order], np.concatenate(places)[order] if len(keys) else np.zeros((0, 2), np.int64), seen
+    def __init__(self, keys: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> None:
+        order = np.lexsort((offsets, items, keys))
+        keys, items, offsets = keys[order], items[order], offsets[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (items[1:] != items[:-1])])) if len(keys) else np.zeros(0, int)
+        self.keys, self.items = keys[first], items[first]
+        self.low = offsets[first]
+        self.high = np.maximum.reduceat(offsets, first) if len(first) else offsets
+        self.bits = min(24, max(16, (128 * len(first)).bit_length()))
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self.keys & np.uint32((1 << self.bits) - 1)] = True
 
-
-def _matches(h: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int) -> Iterator[tuple[int, int]]:
-    """(item, place where it would begin) of each hash of h that the table has."""
-    keys, places, seen = table
-    hit = np.flatnonzero(seen[h & np.uint32((1 << bits) - 1)])
-    lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-    for p, a, b in zip(hit[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
-        for k, offset in places[a:b].tolist():
-            yield k, p - offset
+    def matches(self, h: np.ndarray) -> np.ndarray:
+        """Rows of (place, item, least and largest place where the item would begin) for the hashes h."""
+        at = np.flatnonzero(self.seen[h & np.uint32((1 << self.bits) - 1)])
+        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
+        place, first, n = np.repeat(at, hi - lo), np.repeat(lo, hi - lo), hi - lo
+        row = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        return np.stack([place, self.items[row], place - self.high[row], place - self.low[row]], axis=1)
 
 
 class Index:
@@ -197,88 +216,76 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, list[str]]]) -> None:
         self.items = [(i, w) for i, w in items if w]
-        self.allowed = [int(len(w) * (1 - SIMILARITY) + 1e-9) for _, w in self.items]
-        self.sets = [set(w) for _, w in self.items]
-        self.short: dict[str, list[int]] = {}
-        found: list[tuple[list, list]] = [([], []) for _ in range(REPEATS)]
-        cut: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, words) in enumerate(self.items):
-            if len(words) < SHORT:
-                self.short.setdefault(words[0], []).append(k)
-                continue
-            if len(words) < LONG:
-                for first, last in pieces(len(words)):
-                    cut.setdefault(last - first, []).append((k, first))
+        size = np.array([len(w) for _, w in self.items], int)
+        read = Words([" ".join(w) for _, w in self.items])
+        symbol = read.symbols()
+        self.sets = [set(symbol[a:b].tolist()) for a, b in zip(read.first, read.first[1:])]
+        group = np.searchsorted([p.least for p in PLANS], size, "right") - 1
+        #: (plan, number of the walk, its sampled steps, its table), for the plans that the items need.
+        self.walks: list[tuple[Plan, int, np.ndarray, Table]] = []
+        for g in np.unique(group).tolist():
+            plan = PLANS[g]
+            for r, sampled in enumerate(samples(plan)):
+                walk, found = read.walk(r), []
+                for k in np.flatnonzero(group == g).tolist():
+                    part = slice(read.first[k], read.first[k + 1])
+                    places = visited(walk[part], sampled)
+                    inside = np.flatnonzero((np.arange(size[k]) + places[:, -1] < size[k]) & (1 + (np.diff(places, axis=1) > 0).sum(axis=1) >= plan.spread))
+                    inside = inside if allowed(size[k]) else inside[:1]
+                    found.append((embed(symbol[part], walk[part], sampled)[inside], np.full(len(inside), k), inside))
+                self.walks.append((plan, r, sampled, Table(*map(np.concatenate, zip(*found)))))
+
+    def candidates(self, read: Words) -> np.ndarray:
+        """Rows of (document, item, least and largest word of the document where the item would begin)."""
+        symbol, out = read.symbols(), [np.zeros((0, 4), np.int64)]
+        for r in sorted({r for _, r, *_ in self.walks}):
+            walk = read.walk(r)
+            for plan, _, sampled, table in (w for w in self.walks if w[1] == r):
+                for at in range(0, len(symbol), CHUNK):
+                    part = slice(at, at + CHUNK + plan.steps + 1)
+                    out.append(table.matches(embed(symbol[part], walk[part], sampled)[:CHUNK]) + [at, 0, at, at])
+        found = np.concatenate(out)
+        doc = np.searchsorted(read.first, found[:, 0], "right") - 1
+        return np.column_stack([doc, found[:, 1], found[:, 2:] - read.first[doc][:, None]])
+
+    def hits(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, distance, first word, end word) of the best verified window of each pair.
+
+        Candidates of a pair that overlap are verified as one stretch, so no
+        document is read more than once for an item.
+        """
+        if not self.walks:
+            return []
+        read = Words(texts)
+        symbol, out = read.symbols(), {}
+        found = self.candidates(read)
+        for doc, k, lo, hi in self._stretches(found[np.lexsort(found.T[::-1])], np.diff(read.first)):
+            item, slack = self.items[k][1], allowed(len(self.items[k][1]))
+            at = read.first[doc]
+            if len(self.sets[k].intersection(symbol[at + lo : at + hi].tolist())) < len(self.sets[k]) - slack:  # each edit loses one word at most
                 continue
-            symbol, walk = _Codes(len(words)).of(words)
-            for r, sampled in enumerate(plan()):
-                places = visited(walk[:, r], sampled)
-                inside = np.flatnonzero((np.arange(len(words)) + places[:, -1] < len(words)) & (1 + (np.diff(places, axis=1) > 0).sum(axis=1) >= SPREAD))
-                found[r][0].append(embed(symbol, walk[:, r], sampled)[inside])
-                found[r][1].append(np.stack([np.full(len(inside), k), inside], 1))
-        self.bits = _bits(sum(len(x) for x in found[0][0]))
-        self.walks = [_table(keys, places, self.bits) for keys, places in found]
-        self.lengths = sorted(cut)
-        keys, places = [], []
-        for m, at in cut.items():
-            symbol, _ = _Codes(m * len(at)).of([w for k, first in at for w in self.items[k][1][first : first + m]])
-            for key in left_out(symbol, m):
-                keys.append(key[::m])
-                places.append(np.array(at, np.int64))
-        self.cut_bits = _bits(sum(map(len, keys)))
-        self.cut = _table(keys, places, self.cut_bits)
-
-    def candidates(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """(item, place where it would begin) for the words of several documents; repeated."""
-        symbol, walk = _codes().of(words)
-        for at in range(0, len(words), CHUNK):
-            part = slice(at, at + CHUNK + STEPS + 1)
-            for r, sampled in enumerate(plan()):
-                if len(self.walks[r][0]):
-                    h = embed(symbol[part], np.ascontiguousarray(walk[part, r]), sampled)[:CHUNK]
-                    yield from ((k, at + p) for k, p in _matches(h, self.walks[r], self.bits))
-            for m in self.lengths:
-                for h in left_out(symbol[at : at + CHUNK + m], m):
-                    yield from ((k, at + p) for k, p in _matches(h[:CHUNK], self.cut, self.cut_bits))
-        if self.short:
-            for p, w in enumerate(words):
-                for k in self.short.get(w, ()):
-                    yield k, p
-
-    def hits(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, distance, first word, end word) of the best verified window of each pair."""
-        words: list[str] = []
-        starts = []
-        for d in docs:
-            starts.append(len(words))
-            words += d
-            words.append("")
-        tried: set[tuple[int, int, int]] = set()
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k, begin in self.candidates(words):
-            item, slack = self.items[k][1], self.allowed[k]
-            d = int(np.searchsorted(starts, max(begin, 0) + (len(item) - 1) // 2, "right")) - 1
-            for doc in {d, int(np.searchsorted(starts, max(begin, 0), "right")) - 1}:
-                step = max(1, slack)
-                place = (begin - starts[doc]) // step
-                if (doc, k, place) in tried or best.get((doc, k), (1,))[0] == 0:
-                    continue
-                tried.add((doc, k, place))
-                lo = max(0, place * step - slack)
-                near = docs[doc][lo : (place + 1) * step + len(item) + slack]
-                if len(self.sets[k].intersection(near)) < len(self.sets[k]) - slack:  # each edit loses one word at most
-                    continue
-                distance, end = best_window(item, near)
-                if distance <= slack and (distance, lo + end) < best.get((doc, k), (slack + 1, 0, 0))[:2]:
-                    back, length = best_window(item[::-1], near[:end][::-1])
-                    best[doc, k] = (distance, lo + end, lo + end - (length if back == distance else len(item)))
-        for (doc, k), (distance, end, first) in sorted(best.items()):
-            yield doc, k, distance, first, end
-
-
-def _batches(batches: Iterator[pa.RecordBatch], index: Index, make) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield make(b, list(index.hits([words_of(t) for t in b.column("text").to_pylist()])))
+            near = read.words(at + lo, at + hi)
+            distance, end = best_window(item, near)
+            if distance <= slack and distance < out.get((doc, k), (slack + 1,))[0]:
+                back, length = best_window(item[::-1], near[max(0, end - len(item) - slack) : end][::-1])
+                out[doc, k] = (distance, lo + end - (length if back == distance else len(item)), lo + end)
+        return [(*pair, *window) for pair, window in sorted(out.items())]
+
+    def _stretches(self, found: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first, end) of the words that sorted candidates ask for, overlapping ones as one."""
+        now = None
+        for doc, k, low, high in found.tolist():
+            n = len(self.items[k][1])
+            slack = allowed(n)
+            lo, hi = max(0, low - slack), min(int(sizes[doc]), high + n + slack)
+            if now and now[:2] == (doc, k) and lo <= now[3]:
+                now = (doc, k, now[2], max(hi, now[3]))
+            else:
+                if now:
+                    yield now
+                now = (doc, k, lo, hi)
+        if now:
+            yield now
 
 
 def _blocks(items: DataFrame) -> Iterator[Broadcast]:
@@ -291,13 +298,19 @@ def _blocks(items: DataFrame) -> Iterator[Broadcast]:
         yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r.item_id, words_of(r.text)) for r in part), key=str)))
 
 
+def _index(block) -> Index:
+    """The index of a broadcast block, built once in a worker."""
+    key, items = block.value
+    return held("decontaminate", key, lambda: Index(items))
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, first_word, end_word): documents that hold an item at SIMILARITY or more.
 
     A document's words are its runs of letters and digits, in lower case. The
-    similarity of an item of n words to a window is 1 - edits/n; items under
-    SHORT words must occur word for word, and items without words never match.
-    Of several windows the nearest counts, then the first. Null texts have no
+    similarity of an item of n words to a window is 1 - edits/n, so items under
+    five words must occur word for word; items without words never match. Of
+    several windows the nearest counts, then the first. Null texts have no
     words; null doc_ids and item_ids are carried. Repeated rows of docs come
     back as often as they match, repeated items once. Empty tables give an empty
     result; other columns are not looked at.
@@ -307,52 +320,41 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance long, first_word long, end_word long"
     out = None
-    for held in _blocks(items):
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = _index(held)
+    for block in _blocks(items):
 
-            def make(b: pa.RecordBatch, hits: list) -> pa.RecordBatch:
-                ids = b.column("doc_id").to_pylist()
-                cols = list(zip(*((ids[d], index.items[k][0], e, first, end) for d, k, e, first, end in hits))) or [[]] * 5
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "distance", "first_word", "end_word"])
-
-            return _batches(batches, index, make)
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                index, ids = _index(block), b.column("doc_id").to_pylist()
+                hits = index.hits(b.column("text").to_pylist())
+                cols = list(zip(*((ids[d], index.items[k][0], *window) for d, k, *window in hits))) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(map(_int, c), pa.int64()) for c in cols], ["doc_id", "item_id", "distance", "first_word", "end_word"])
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-_INDEXES: dict[str, Index] = {}
+def _int(x) -> int | None:
+    return None if x is None else int(x)
 
 
-def _index(held) -> Index:
-    """The index of a broadcast block, built once in a worker."""
-    key, items = held.value
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Index(items)
-    return _INDEXES[key]
+def _holder(block: Broadcast):
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        dirty = {d for d, *_ in _index(block).hits(texts.to_pylist())}
+        return pa.array([i in dirty for i in range(len(texts))], pa.bool_())
+
+    return holds
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold an item, with docs' own columns.
 
-    Decided row by row where the items fit one block, so no text is shuffled. A
-    row with a null doc_id is decided like any other.
+    Decided row by row, so no text is shuffled. A row with a null doc_id is
+    decided like any other.
     """
-    spark = docs.sparkSession
-    python_workers(spark)
+    python_workers(docs.sparkSession)
     out = docs
-    for held in _blocks(items):
-
-        @F.pandas_udf("boolean")
-        def holds(texts, held=held):
-            import pandas as pd
-
-            dirty = {d for d, *_ in _index(held).hits([words_of(t) for t in texts])}
-            return pd.Series([i in dirty for i in range(len(texts))], dtype=bool)
-
-        out = out.where(~holds(F.col("text").cast("string")))
+    for block in _blocks(items):
+        out = out.where(~_holder(block)(F.col("text").cast("string")))
     return out
