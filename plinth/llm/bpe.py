@@ -24,13 +24,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import Memory, durable, fresh_dir, hadoop_fs, python_workers
+from plinth.llm.common import Memory, durable, fresh_dir, hadoop_fs, held, python_workers
 from plinth.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words that the transducer holds: a few MB of file, whatever the corpus.
 LEXICON = 32768
-#: Chunks of text that a worker remembers of late.
-REMEMBERED = 1 << 18
+#: Bytes of the chunks of text that a worker remembers of late, and chunks that it counts at once.
+REMEMBERED = 24 << 20
+COUNTED = 1 << 17
 #: Longest word, in characters, that is counted for the lexicon.
 WORD_CHARS = 64
 
@@ -114,16 +115,23 @@ class WordBpe:
         return out
 
 
-@cache
 def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+    return held("bpe", path, lambda: WordBpe(path))
+
+
+def chunks_of(text: str | None) -> list[str]:
+    """The text cut at spaces, tabs and line ends.
+
+    Nothing reaches over white space: words hold none, and neither normal forms
+    nor lower case look across it. Other white space stays within a chunk.
+    """
+    return (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 class _Chunks(Memory):
-    """What stands between two spaces -> its decimal ids and its tokens, both joined by spaces.
+    """One of chunks_of() -> its decimal ids and its tokens, both joined by spaces.
 
-    Nothing reaches over a space: words hold none, and neither normal forms nor
-    lower case look across one. A word goes to the transducer, then to the merges.
+    A word goes to the transducer, then to the merges.
     """
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None) -> None:
@@ -136,47 +144,66 @@ class _Chunks(Memory):
         found = self.lexicon.get(piece.encode("utf-8", "surrogatepass")) if self.lexicon else None
         return self.bpe.merge(piece) if found is None else found
 
+    def weigh(self, value: tuple[str, str]) -> int:
+        return len(value[0]) + len(value[1])
+
     def make(self, chunk: str) -> tuple[str, str]:
         ids = [i for piece in self.bpe.pieces(chunk) for i in self.ids(piece)]
         return " ".join(map(self.bpe.digits.__getitem__, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
 
     def text(self, text: str | None) -> tuple[str, str]:
         """Ids and tokens of a whole text, joined by spaces."""
-        found = [x for x in map(self.__getitem__, (text or "").split(" ")) if x[0]]
+        found = [x for x in map(self.__getitem__, chunks_of(text)) if x[0]]
         return " ".join([i for i, _ in found]), " ".join([t for _, t in found])
 
 
-@cache
-def _mapped(name: str) -> Lexicon:
-    return Lexicon(SparkFiles.get(name))
-
-
-@cache
 def _memory(path: str, name: str | None) -> _Chunks:
-    return _Chunks(tokenizer(path), _mapped(name) if name else None)
+    return held("bpe", (path, name), lambda: _Chunks(tokenizer(path), Lexicon(SparkFiles.get(name)) if name else None))
+
+
+class _Counts:
+    """Counts of words from counts of chunks; what it holds is bounded, long words are left out."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        self.bpe, self.chunks, self.words = bpe, Counter(), Counter()
+
+    def add(self, text: str | None) -> None:
+        found = chunks_of(text)
+        if len(max(found, key=len)) > WORD_CHARS:
+            for chunk in found:
+                if len(chunk) > WORD_CHARS:
+                    self._count(chunk, 1)
+            found = [x for x in found if len(x) <= WORD_CHARS]
+        self.chunks.update(found)
+
+    def _count(self, chunk: str, n: int) -> None:
+        for w in self.bpe.pieces(chunk):
+            if len(w) <= WORD_CHARS and w not in self.bpe.special:
+                self.words[w] += n
+
+    def full(self) -> bool:
+        return len(self.chunks) + len(self.words) > COUNTED
+
+    def take(self) -> pa.RecordBatch:
+        for chunk, n in self.chunks.items():
+            self._count(chunk, n)
+        out = pa.RecordBatch.from_arrays([pa.array(self.words.keys(), pa.string()), pa.array(self.words.values(), pa.int64())], ["word", "n"])
+        self.chunks.clear()
+        self.words.clear()
+        return out
 
 
 def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
     """(word, n) over the whole texts of all documents; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, chunks = tokenizer(vocab), Counter()
-
-        def out():
-            held: Counter = Counter()
-            for chunk, n in chunks.items():
-                for w in bpe.pieces(chunk):
-                    held[w] += n
-            keys = [w for w in held if len(w) <= WORD_CHARS and w not in bpe.special]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[w] for w in keys], pa.int64())], ["word", "n"])
-
+        counts = _Counts(tokenizer(vocab))
         for b in batches:
-            for text in b.column("text").to_pylist():
-                chunks.update((text or "").split(" "))
-            if len(chunks) > REMEMBERED:
-                yield out()
-                chunks.clear()
-        yield out()
+            for text in b.column("text"):
+                counts.add(text.as_py())
+                if counts.full():
+                    yield counts.take()
+        yield counts.take()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -226,12 +253,16 @@ def encode_decode(docs: DataFrame, vocab: str, size: int = LEXICON) -> DataFrame
     """
     name = _prepare(docs, vocab, size)
 
-    @F.pandas_udf("token_ids array<int>, decoded string")
-    def run(texts):
-        import pandas as pd
-
-        found = [_memory(vocab, name).text(t) for t in texts]
-        return pd.DataFrame({"token_ids": [np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32) for ids, _ in found], "decoded": [t for _, t in found]})
+    @F.arrow_udf("struct<token_ids:array<int>,decoded:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids, decoded, at = [], [], [0]
+        for t in texts:
+            found, tokens = _memory(vocab, name).text(t.as_py())
+            ids.append(np.fromstring(found, np.int32, sep=" ") if found else np.zeros(0, np.int32))
+            decoded.append(tokens)
+            at.append(at[-1] + len(ids[-1]))
+        flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(decoded, pa.string())], ["token_ids", "decoded"])
 
     return docs.withColumn("__bpe", run(F.col("text").cast("string"))).withColumns({"token_ids": F.col("__bpe.token_ids"), "decoded": F.col("__bpe.decoded")}).drop("__bpe")
 
@@ -246,8 +277,8 @@ def digests(docs: DataFrame, vocab: str, size: int = LEXICON) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, first, second = [], [], []
-            for text in b.column("text").to_pylist():
-                ids, tokens = _memory(vocab, name).text(text)
+            for text in b.column("text"):
+                ids, tokens = _memory(vocab, name).text(text.as_py())
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 first.append(hashlib.sha256(ids.encode()).hexdigest())
                 second.append(hashlib.sha256(tokens.encode()).hexdigest())

@@ -19,15 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_workers(spark: SparkSession, rows: int = 512) -> None:
-    """Let Python workers import this package, and bound the rows of an Arrow batch.
-
-    Very long documents make a batch of Spark's default 10,000 rows too large for a worker.
+def python_workers(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
+    """Bound the rows and bytes of the Arrow batches that Python workers get, and put this source on their path.
+
+    Very long documents make a batch of Spark's default 10,000 rows too large
+    for a worker. Plans are made when the caller runs them, so the bounds stay
+    set in the session; a smaller number of rows is left as it is. On machines
+    without this source at the driver's path, install the package or name it in
+    --py-files.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    at = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(at)) <= rows:
+        spark.conf.set(at, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,21 +78,37 @@ def hadoop_fs(spark: SparkSession, path: str):
 
 
 class Memory(dict):
-    """A bounded memory of make(key): the newest `limit` keys, and of the `limit` before those what was asked for again."""
+    """A bounded memory of make(key): the newest keys, and of those before them what was asked for again.
+
+    `budget` bounds the bytes of either half, as weigh() estimates them. Keys of
+    more than KEY_CHARS characters are made anew each time: they rarely return.
+    """
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.old = limit, {}
+    KEY_CHARS = 64
+    #: Bytes of an entry besides its characters: table slots, headers of the objects.
+    ENTRY = 260
 
-    def make(self, key):
+    def __init__(self, budget: int) -> None:
+        self.budget, self.weight, self.old = budget, 0, {}
+
+    def make(self, key: str):
         raise NotImplementedError
 
-    def __missing__(self, key):
+    def weigh(self, value) -> int:
+        """Bytes of a value beyond ENTRY."""
+        return 0
+
+    def __missing__(self, key: str):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+            if len(key) > self.KEY_CHARS:
+                return value
+        self.weight += self.ENTRY + len(key) + self.weigh(value)
+        if self.weight > self.budget:
             self.old = dict(self)
             self.clear()
+            self.weight = 0
         self[key] = value
         return value
 

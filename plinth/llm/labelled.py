@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, train_only: bool = True) -> DataFrame:
-    """docs' rows of at most `rows` labelled doc_ids, with the label columns as y_<name>.
+def sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, train_only: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs' doc_id, text and `keep` of at most `rows` labelled doc_ids, with the label columns as y_<name>.
 
     The doc_ids are those of the smallest hashes, so the sample does not depend
     on order or partitioning. train_only leaves out doc_ids whose crc32 (as
@@ -22,7 +22,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, tr
     if train_only:
         chosen = chosen.where(~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(*[F.max(f"y_{c}").alias(f"y_{c}") for c in columns]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     return text.join(F.broadcast(chosen), "doc_id")  # `rows` rows of a few integers
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -20,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import Memory, python_workers
+from plinth.llm.common import Memory, held, python_workers
 from plinth.llm.labelled import held_out, sample
 from plinth.llm.toxicity import sigmoid
 
 #: Labelled rows that the model is fitted on; the only bounded part.
 SAMPLE = 8000
+#: Bytes of the words that a worker remembers of late.
+REMEMBERED = 16 << 20
 WORD_BUCKETS = 1 << 13
 RANK = 6
 EPOCHS = 12
@@ -55,9 +56,8 @@ class _Buckets(Memory):
         return crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
 
 
-@cache
 def _memory() -> _Buckets:
-    return _Buckets(1 << 17)
+    return held("quality", "words", lambda: _Buckets(REMEMBERED))
 
 
 def statistics(text: str, words: list[str], counts: Counter) -> dict[str, float]:
@@ -157,10 +157,8 @@ def _meta(docs: DataFrame):
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Machine | None:
     """The machine fitted on labels' doc_id and quality, without held-out rows; None if there is nothing to learn."""
     python_workers(docs.sparkSession)
-    chosen = sample(docs, labels, ["quality"], rows)
-    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _meta(docs).alias("n_chars"))
-    ids = chosen.select("doc_id", "y_quality").distinct()
-    found = meta.join(F.broadcast(ids), "doc_id").select("doc_id", "y_quality", F.col("text").cast("string").alias("text"), "n_chars").mapInArrow(_extract, "doc_id long, y_quality int, idx array<int>, val array<float>").toArrow()
+    chosen = sample(docs.select("doc_id", "text", _meta(docs).alias("n_chars")), labels, ["quality"], rows, keep=("n_chars",))
+    found = chosen.select("doc_id", "y_quality", "text", "n_chars").mapInArrow(_extract, "doc_id long, y_quality int, idx array<int>, val array<float>").toArrow()
     if not found.num_rows:
         return None
     idx, val = found["idx"].combine_chunks(), found["val"].combine_chunks()
@@ -174,15 +172,15 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """Per row of docs: doc_id, held_out, score and predicted; without a machine every score is 0.5."""
     spark = docs.sparkSession
     python_workers(spark)
-    held = spark.sparkContext.broadcast(machine)  # SIZE * (RANK + 1) floats
+    sent = spark.sparkContext.broadcast(machine)  # SIZE * (RANK + 1) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t, n) for t, n in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist())]
             p = np.full(len(found), 0.5)
-            if found and held.value is not None:
+            if found and sent.value is not None:
                 ptr = np.concatenate([[0], np.cumsum([len(i) for i, _ in found])])
-                p = sigmoid(held.value.logits(ptr, np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found])).astype(float))
+                p = sigmoid(sent.value.logits(ptr, np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found])).astype(float))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _meta(docs).alias("n_chars"))

@@ -18,15 +18,14 @@ bucket and loses no connection.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import durable, python_workers
+from plinth.llm.common import durable, held, python_workers
 from plinth.llm.components import components
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -36,9 +35,12 @@ SHINGLE = 3
 SEED = 42
 
 
-@cache
 def golay_table() -> np.ndarray:
     """Index of the nearest codeword for each 23-bit word: the code is perfect, radius 3."""
+    return held("simhash", "golay", _golay_table)
+
+
+def _golay_table() -> np.ndarray:
     index = np.arange(4096, dtype=np.uint32)
     words = np.zeros(4096, dtype=np.uint32)
     for bit in range(12):
@@ -88,7 +90,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("tag"), pa.array(fps.view(np.int64))], ["doc_id", "tag", "fp"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +119,14 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("bit_count(a ^ b) <= 2")
 
 
+def _named(docs: DataFrame, *columns: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), *columns)
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, fingerprint, root and component_id.
+    """Per row of docs (doc_id, text): doc_id, tag, fingerprint, root and component_id.
 
-    fingerprint is 16 hex digits; root names the component by its smallest
+    tag is a hash of the text; fingerprint is 16 hex digits; root names the component by its smallest
     fingerprint; component_id is the smallest doc_id of the component. Null and
     wordless texts have fingerprint zero and link to each other. Rows with a
     null doc_id are grouped like others; component_id is null only where every
@@ -129,29 +135,24 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     python_workers(spark)
-    prints = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    prints = durable(_named(docs, F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, tag long, fp long"))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(distinct.select("fp")))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = placed.select("fp", "root").join(lowest, "root")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "tag", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group, with docs' own columns.
+    """One document of each group, with docs' own columns: that with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays; a group whose doc_ids are all
-    null keeps one row.
+    A null doc_id comes after all others. Of different texts with the smallest
+    doc_id the one with the smallest hash stays, of repeated rows any one. Other
+    columns may have any name.
     """
-    groups = simhash_groups(docs).select("doc_id", "root", "component_id")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    named = kept.where("doc_id is not null").select("doc_id").distinct()
-    out = docs.join(named, docs.doc_id.cast("long") == named.doc_id, "left_semi").dropDuplicates(["doc_id"])
-    nameless = kept.where("doc_id is null").select("root")
-    if nameless.isEmpty():
-        return out
-    spare = durable(docs.where("doc_id is null").dropDuplicates(["text"]).withColumn("__row", F.monotonically_increasing_id()))
-    marks = simhash_groups(spare.select(F.col("__row").alias("doc_id"), "text"))
-    first = marks.join(nameless, "root").select("component_id").distinct()
-    return out.unionByName(spare.join(first, F.col("__row") == first.component_id, "left_semi").drop("__row"))
+    key = lambda doc_id: [doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col("tag")]
+    kept = simhash_groups(docs).groupBy("root").agg(F.min(F.struct(*key(F.col("doc_id")))).alias("k")).select("k.*")
+    rows = _named(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(*key(F.col("doc_id")), "row")
+    names = ["nameless", "id", "tag"]
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -19,8 +19,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm.bpe import HIGH, byte_letters, unassigned
-from plinth.llm.common import Memory, fresh_dir, python_workers
+from plinth.llm.common import Memory, fresh_dir, held, python_workers
 
 #: Fixed values of the seekable format: skippable-frame magic, table magic, checksum flag.
 SKIPPABLE, DOCS_SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
@@ -40,8 +40,8 @@ END_ID = 0
 FRAME_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 NO_ID = -(1 << 63)
-#: Pieces, and words, that a worker remembers of late.
-REMEMBERED = 1 << 18
+#: Bytes of the words, and of the pieces, that a worker remembers of late.
+REMEMBERED_WORDS, REMEMBERED_PIECES = 48 << 20, 16 << 20
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("frame", "<u4")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
@@ -66,6 +66,10 @@ class Writer:
         if self._held >= self.frame_ids:
             self._close()
 
+    def range(self) -> tuple[int, int]:
+        """The first and the last document's doc_id."""
+        return self._docs[0][0], self._docs[-1][0]
+
     def _close(self) -> None:
         raw = np.concatenate(self._open).astype("<u4").tobytes() if self._open else b""
         packed = self._zstd.compress(raw)
@@ -134,9 +138,12 @@ class _Pieces(Memory):
     """Piece between merges -> its ids, from the library's merges."""
 
     def __init__(self, library) -> None:
-        super().__init__(REMEMBERED)
+        super().__init__(REMEMBERED_PIECES)
         self.model, self.letters = library.model, dict(enumerate(byte_letters()))
 
+    def weigh(self, value: bytes) -> int:
+        return len(value)
+
     def make(self, piece: str) -> bytes:
         if piece[1:].isalpha() and piece.isascii():
             piece = piece.replace(" ", self.letters[32])
@@ -150,9 +157,12 @@ class _Words(Memory):
     """What stands between two single spaces -> ids of it and of the space before it."""
 
     def __init__(self, pieces: _Pieces) -> None:
-        super().__init__(REMEMBERED)
+        super().__init__(REMEMBERED_WORDS)
         self.pieces = pieces
 
+    def weigh(self, value: bytes) -> int:
+        return len(value)
+
     def make(self, word: str) -> bytes:
         if word.isalpha():  # letters after a space are one piece
             return self.pieces.make(" " + word)
@@ -190,9 +200,8 @@ class Encoder:
         return head + b"".join(map(self.words.__getitem__, rest)) + end
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held("tokens", path, lambda: Encoder(path))
 
 
 def _encoded(vocab: str, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -201,11 +210,20 @@ def _encoded(vocab: str, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np
         yield doc_id, np.frombuffer(encode(text), dtype="<u4")
 
 
-def write_tokens(docs: DataFrame, vocab: str, to: str) -> list[tuple[str, int, int]]:
+class Part(NamedTuple):
+    """A file: its documents, ids, and least and largest doc_id (NO_ID for null)."""
+
+    file: str
+    docs: int
+    ids: int
+    low: int
+    high: int
+
+
+def write_tokens(docs: DataFrame, vocab: str, to: str) -> list[Part]:
     """Write the ids of docs (doc_id, text) in ascending doc_id order below the folder `to`.
 
-    Gives (file, documents, ids) of each file in order; that list has a row per
-    32 MB of output. Null doc_ids come first; a null text counts as empty and
+    Gives the files in order; that list has a row per 32 MB of output. Null doc_ids come first; a null text counts as empty and
     still has its end id. Repeated doc_ids stay together, in the order of their
     texts' hashes. An empty table writes no files.
     """
@@ -226,7 +244,7 @@ def write_tokens(docs: DataFrame, vocab: str, to: str) -> list[tuple[str, int, i
                 with store.open_output_stream(draft) as f:
                     f.write(writer.finish())
                 store.move(draft, f"{base}/{name}")
-                done.append((name, n, writer.ids))
+                done.append(Part(name, n, writer.ids, *writer.range()))
             writer, n = Writer(), 0
 
         for b in batches:
@@ -236,38 +254,47 @@ def write_tokens(docs: DataFrame, vocab: str, to: str) -> list[tuple[str, int, i
                 if writer.size >= FILE_BYTES:
                     save()
         save()
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else ([], [], []), (pa.string(), pa.int64(), pa.int64()))], ["file", "docs", "ids"])
+        yield pa.RecordBatch.from_pylist([p._asdict() for p in done], pa.schema([("file", pa.string()), *((k, pa.int64()) for k in Part._fields[1:])]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
-    return sorted((r.file, r.docs, r.ids) for r in rows.mapInArrow(run, "file string, docs long, ids long").collect())
+    return sorted(Part(*r) for r in rows.mapInArrow(run, "file string, docs long, ids long, low long, high long").collect())
 
 
-def read_tokens(spark: SparkSession, folder: str, files: list[tuple[str, int, int]], each, schema: str, wanted: list[int] | None = None) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, files: list[Part], each, schema: str, wanted: list[int] | None = None) -> DataFrame:
     """Rows that each(doc_id, start, ids) makes of the files' documents; start counts all ids before.
 
-    wanted limits the documents, and then only their frames are decompressed.
-    schema names and types the rows; a null doc_id is given as None.
+    wanted limits the documents: files whose range has none of them are not
+    opened, and of the others only their frames are read and decompressed.
+    schema names and types the rows; a null doc_id is given as None. A task
+    reads one file by ranges.
     """
-    names = [f for f, _, _ in files]
-    starts = dict(zip(names, accumulate((n for _, _, n in files), initial=0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                view = memoryview(content.as_buffer())
-                base = starts[path.rsplit("/", 1)[1]]
-                reader = Reader(lambda at, n: bytes(view[at : at + n]), len(view))
-                rows = [each(None if d == NO_ID else d, base + s, ids) for d, s, ids in reader.documents(wanted)]
+            for name, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
+                store, at = fs.FileSystem.from_uri(f"{folder}/{name}")
+                with store.open_input_file(at) as f:
+
+                    def read(start: int, n: int) -> bytes:
+                        f.seek(start)
+                        return f.read(n)
+
+                    reader = Reader(read, f.size())
+                    rows = [each(None if d == NO_ID else d, base + s, ids) for d, s, ids in reader.documents(wanted)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], columns)
 
     python_workers(spark)
     columns = [x.split()[0] for x in schema.split(",")]
-    if not names:
+    bases = accumulate((p.ids for p in files), initial=0)
+    opened = [(p.file, base) for p, base in zip(files, bases) if wanted is None or any(p.low <= w <= p.high for w in wanted)]
+    if not opened:
         return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names]).select("path", "content").mapInArrow(run, schema)
+    return spark.createDataFrame(opened, "file string, base long").repartition(len(opened)).mapInArrow(run, schema)
 
 
 def document_digests(docs: DataFrame, vocab: str) -> DataFrame:

@@ -8,7 +8,8 @@ logistic regression over the buckets that part the labels best.
 
 The labels table has one toxicity label, so the query's categories are graded
 by it: `insult` (toxic, with a telling word), `repeated` (toxic, with REPEATS
-or more) and `toxic` itself. fit_chain takes any categories.
+or more) and `toxic` itself. Which words tell is found anew without a fold's
+rows for the models that predict that fold. fit_chain takes any categories.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import Memory, python_workers
+from plinth.llm.common import Memory, held, python_workers
 from plinth.llm.labelled import sample
 
 #: Labelled rows that the models are fitted on; the only bounded part.
 SAMPLE = 12000
+#: Bytes of the words that a worker remembers of late.
+REMEMBERED = 16 << 20
 BUCKETS = 1 << 20
 BEGINNING = 6
 #: Buckets that a model looks at, and the fewest documents of the sample a bucket must have.
@@ -48,9 +50,8 @@ class _Buckets(Memory):
         return h + ((crc32(b"^" + word[:BEGINNING].encode("utf-8", "surrogatepass")) % BUCKETS,) if len(word) >= BEGINNING else ())
 
 
-@cache
 def _memory() -> _Buckets:
-    return _Buckets(1 << 17)
+    return held("toxicity", "words", lambda: _Buckets(REMEMBERED))
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -134,15 +135,20 @@ def _part(rows: Rows, keep: np.ndarray) -> Rows:
     return Rows.of([rows.idx[rows.ptr[i] : rows.ptr[i + 1]] for i in np.flatnonzero(keep)])
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
-    """One model per column of labels; folds numbers each row's fold."""
+def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray, by_fold: dict[int, np.ndarray] | None = None) -> list[Linear]:
+    """One model per column of labels; folds numbers each row's fold.
+
+    by_fold has for each fold the labels that its out-of-fold models learn, where
+    they are made from the rows themselves: then without that fold's.
+    """
     chain, seen = [], np.zeros((len(rows), 0))
-    for y in labels.T.astype(float):
+    for c, y in enumerate(labels.T.astype(float)):
         chain.append(fit_linear(rows, seen, y))
         out = np.zeros(len(rows))
-        for f in np.unique(folds):
+        for f in np.unique(folds).tolist():
             inside, outside = folds == f, folds != f
-            model = fit_linear(_part(rows, outside), seen[outside], y[outside])
+            learned = y if by_fold is None else by_fold[f][:, c].astype(float)
+            model = fit_linear(_part(rows, outside), seen[outside], learned[outside])
             out[inside] = sigmoid(model.logits(_part(rows, inside), seen[inside]))
         seen = np.column_stack([seen, out])
     return chain
@@ -156,9 +162,9 @@ def predict_chain(chain: list[Linear], rows: Rows) -> np.ndarray:
     return seen
 
 
-def graded(rows: Rows, toxic: np.ndarray) -> np.ndarray:
-    """The columns of CATEGORIES for a single toxicity label."""
-    known = np.sort(telling(rows, toxic.astype(float), TELLING))
+def graded(rows: Rows, toxic: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """The columns of CATEGORIES for a single toxicity label; what tells is learned from the rows of `among` alone."""
+    known = np.sort(telling(_part(rows, among), toxic[among].astype(float), TELLING))
     place = np.searchsorted(known, rows.idx)
     place[place == len(known)] = 0
     hit = known[place] == rows.idx if len(known) else np.zeros(len(rows.idx), bool)
@@ -184,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> list[Linear
     given, toxic = found["doc_id"].to_numpy()[order], found["y_toxic"].to_numpy()[order] == 1
     folds = np.array([crc32(str(d).encode()) // 5 % FOLDS for d in given])
     data = Rows.of(parts)
-    return fit_chain(data, graded(data, toxic), folds)
+    by_fold = {f: graded(data, toxic, folds != f) for f in np.unique(folds).tolist()}
+    return fit_chain(data, graded(data, toxic, np.ones(len(data), bool)), folds, by_fold)
 
 
 def score(docs: DataFrame, chain: list[Linear]) -> DataFrame:
@@ -196,15 +203,13 @@ def score(docs: DataFrame, chain: list[Linear]) -> DataFrame:
     """
     spark = docs.sparkSession
     python_workers(spark)
-    held = spark.sparkContext.broadcast(chain)  # SELECTED weights for each category
-
-    @F.pandas_udf(", ".join(f"{c} double" for c in CATEGORIES))
-    def run(texts):
-        import pandas as pd
+    sent = spark.sparkContext.broadcast(chain)  # SELECTED weights for each category
 
-        rows = Rows.of([buckets(t) for t in texts])
-        p = predict_chain(held.value, rows) if held.value else np.zeros((len(rows), len(CATEGORIES)))
-        return pd.DataFrame(dict(zip(CATEGORIES, p.T)))
+    @F.arrow_udf(f"struct<{','.join(f'{c}:double' for c in CATEGORIES)}>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = Rows.of([buckets(t.as_py()) for t in texts])
+        p = predict_chain(sent.value, rows) if sent.value else np.zeros((len(rows), len(CATEGORIES)))
+        return pa.StructArray.from_arrays([pa.array(x) for x in p.T], list(CATEGORIES))
 
     names = {f"p_{c}": F.col(f"__chain.{c}") for c in CATEGORIES}
     out = docs.withColumn("__chain", run(F.col("text").cast("string"))).withColumns(names).drop("__chain")
@@ -219,3 +224,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic. Null doc_ids are scored, never learned from.
     """
     return score(docs, train(docs, labels))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the documents that the chain rejects, with docs' own columns, whatever their names; see toxicity."""
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = score(packed, train(docs, labels)).where(~F.col("is_toxic"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -66,6 +66,65 @@ def test_chain_uses_out_of_fold_predictions_and_order():
     assert ((p > 0.5) == first[:, None]).all()
 
 
+def test_op9_scores_by_plain_sums(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = M.train(docs, labels)
+    texts = {r.doc_id: r for r in docs.collect()}
+    for r in M.score(docs.limit(40), m).collect():
+        idx, val = (x.tolist() for x in M.features(texts[r.doc_id].text, texts[r.doc_id].n_chars))
+        z = float(m.bias) + sum(float(m.linear[i]) * v for i, v in zip(idx, val))
+        for f in range(M.RANK):
+            column = [float(m.factors[i, f]) * v for i, v in zip(idx, val)]
+            z += sum(a * b for k, a in enumerate(column) for b in column[:k])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-3
+
+
+def test_op10_chain_by_plain_sums(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = T.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in T.score(docs.limit(60), chain).collect():
+        seen = []
+        for model in chain:
+            weight = dict(zip(model.at.tolist(), model.weights.tolist()))
+            z = model.bias + sum(weight.get(b, 0.0) for b in T.buckets(texts[r.doc_id]).tolist()) + sum(w * p for w, p in zip(model.dense, seen))
+            seen.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(seen, [r[f"p_{c}"] for c in T.CATEGORIES]) and r.is_toxic == (seen[-1] >= T.THRESHOLD)
+
+
+def test_grades_of_a_fold_do_not_look_at_its_labels():
+    rnd = np.random.default_rng(5)
+    rows = T.Rows.of([np.array(sorted(rnd.choice(60, 9, replace=False))) for _ in range(300)])
+    toxic, folds = rnd.random(300) < 0.3, np.arange(300) % 4
+    other = np.where(folds == 1, ~toxic, toxic)
+    a, b = (T.graded(rows, y, folds != 1)[folds != 1] for y in (toxic, other))
+    assert (a == b).all() and a[:, 0].any()
+
+
+def test_odd_rows_through_the_whole_chain(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    spaceless = "".join(chr(0x4E00 + i % 9000) for i in range(60000))
+    texts = [(1, None), (2, ""), (3, "one text of a few words that stays as it is"), (3, "one text of a few words that stays as it is"), (None, "nameless words that stand here by themselves"), (4, "before " * 3 + item), (5, "token = abcdefgh12345 and more"), (6, spaceless), (7, "word " * 90000)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, tag string, row int, secret_spans int, __text string, token_ids string, is_toxic string, decoded string"
+    docs = spark.createDataFrame([(i, t, None, "s", None, "x", 1, 2, "y", "z", "w", "v") for i, t in texts], columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.schema.names == [c.split()[0] for c in columns.split(", ")], name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    left = {r.doc_id: r for r in docs.collect()}
+    assert len(left) == docs.count() and set(left) == {1, 3, None, 5, 6, 7}  # 1 and 2 are one group, 4 holds an item
+    assert left[1].text is None and left[5].text == "[SECRET] and more" and (left[5].tag, left[5].n_chars, left[5]["__text"], left[5].is_toxic) == ("x", 17, "y", "w")
+    last = corpus_pipeline.STAGES[-1][1]
+    got = {r.doc_id: r for r in last(spark, docs, str(tmp_path)).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, r in left.items():
+        assert list(got[i].token_ids) == library.encode(r.text or "", add_special_tokens=False).ids and got[i].n_tokens == len(got[i].token_ids)
+    assert last(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_against_plain_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in T.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
