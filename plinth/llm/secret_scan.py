@@ -11,6 +11,8 @@ and so are spans that a base span covers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,31 +34,36 @@ CHARACTER_CLASSES = (
     ("base64", "[A-Za-z0-9+/_=-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
 )
 #: A candidate that one of these finds is no secret: no digit or no letter, runs of the alphabet, documentation samples, paths, UUIDs, counted hex.
-ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "(?i)abcdefghijklmnop", "(?i)example", "(?i)placeholder", "(?i)x{8}", "0123456789", "^(/[a-z0-9_-]+)+/?$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "^[a-z]+([_-][a-z]+)*[_-]?[0-9]{0,4}$")
+PATH, NAME = "^(/[a-z0-9_-]+)+/?$", "^[a-z]+([_-][a-z]+)*[_-]?[0-9]{0,4}$"
+ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "(?i)abcdefghijklmnop", "(?i)example", "(?i)placeholder", "(?i)x{8}", "0123456789", PATH, "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", NAME)
 #: Matches whose places are summed in one block; bounds the copying in prefix sums.
 BLOCK = 256
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+def _running(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(values, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(op(F.coalesce(F.get(a, F.size(a) - 1), F.lit(zero)), x))))
 
 
-def _running(values: Column) -> Column:
-    return F.aggregate(values, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
+def _in_blocks(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of int, in blocks so that long arrays stay cheap."""
+def prefixes(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """Running op of an array of int from zero, in blocks so that long arrays stay cheap."""
 
     def blocked(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
-        with_base = let(blocks, lambda bs: let(_running(F.transform(bs, _sum)), lambda up: F.transform(bs, lambda b, k: F.transform(_running(b), lambda x: x + F.coalesce(F.get(up, k - 1), F.lit(0))))))
+        whole = lambda b: F.aggregate(b, F.lit(zero), op)
+        with_base = let(_in_blocks(v), lambda bs: let(_running(F.transform(bs, whole), zero, op), lambda up: F.transform(bs, lambda b, k: F.transform(_running(b, zero, op), lambda x: op(x, F.coalesce(F.get(up, k - 1), F.lit(zero)))))))
         return F.flatten(with_base)
 
     return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, blocked))
 
 
+def prefix_sums(values: Column) -> Column:
+    return prefixes(values, 0, lambda a, x: a + x)
+
+
 def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
     """start, end and value of group for each match, left to right without overlap, in code points.
 
@@ -81,34 +88,52 @@ def high_windows(value: Column, alphabet: str, least: float) -> Column:
 
     The state holds a count for each character of the alphabet, the sum of
     c*log2(c), the open span and the closed ones; a step moves the window on by
-    one character.
+    one character. Letters are numbered once, so a step does not depend on the
+    length of value.
     """
     size = len(alphabet)
     start = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast("array<struct<a:int,b:int>>").alias("done"))
-    letter = lambda at: F.position(F.substr(value, at, F.lit(1)), F.lit(alphabet)) - 1
+    numbered = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(alphabet)) - 1)
+
+    def slide(letters: Column) -> Column:
+        def step(st: Column, i: Column) -> Column:
+            def move(m: Column) -> Column:
+                came, went = m["came"], m["went"]
+                n_in = F.get(st["n"], came)
+                s = st["s"] + _weight(n_in + 1) - _weight(n_in)
+                n_out = F.get(st["n"], went) + F.when(came == went, 1).otherwise(0)
+                s = F.when(went >= 0, s - _weight(n_out) + _weight(n_out - 1)).otherwise(s)
+                n = F.transform(st["n"], lambda c, k: c + F.when(k == came, 1).otherwise(0) - F.when(k == went, 1).otherwise(0))
+                return F.struct(n.alias("n"), s.alias("s"))
 
-    def step(st: Column, i: Column) -> Column:
-        def move(m: Column) -> Column:
-            came, went = m["came"], m["went"]
-            n_in = F.get(st["n"], came)
-            s = st["s"] + _weight(n_in + 1) - _weight(n_in)
-            n_out = F.get(st["n"], went) + F.when(came == went, 1).otherwise(0)
-            s = F.when(went >= 0, s - _weight(n_out) + _weight(n_out - 1)).otherwise(s)
-            n = F.transform(st["n"], lambda c, k: c + F.when(k == came, 1).otherwise(0) - F.when(k == went, 1).otherwise(0))
-            return F.struct(n.alias("n"), s.alias("s"))
+            def close(m: Column) -> Column:
+                high = (i >= WINDOW) & (F.round(F.log2(F.lit(float(WINDOW))) - m["s"] / WINDOW, 9) >= least)
+                joins = high & (st["a"] >= 0) & (i - WINDOW <= st["b"])
+                return F.struct(m["n"].alias("n"), m["s"].alias("s"), F.when(joins | ~high, st["a"]).otherwise(i - WINDOW).alias("a"), F.when(high, i).otherwise(st["b"]).alias("b"), F.when(high & ~joins & (st["a"] >= 0), F.concat(st["done"], F.array(F.struct(st["a"].alias("a"), st["b"].alias("b"))))).otherwise(st["done"]).alias("done"))
 
-        def close(m: Column) -> Column:
-            high = (i >= WINDOW) & (F.round(F.log2(F.lit(float(WINDOW))) - m["s"] / WINDOW, 9) >= least)
-            joins = high & (st["a"] >= 0) & (i - WINDOW <= st["b"])
-            return F.struct(m["n"].alias("n"), m["s"].alias("s"), F.when(joins | ~high, st["a"]).otherwise(i - WINDOW).alias("a"), F.when(high, i).otherwise(st["b"]).alias("b"), F.when(high & ~joins & (st["a"] >= 0), F.concat(st["done"], F.array(F.struct(st["a"].alias("a"), st["b"].alias("b"))))).otherwise(st["done"]).alias("done"))
+            both = F.struct(F.get(letters, i - 1).alias("came"), F.when(i > WINDOW, F.get(letters, i - 1 - WINDOW)).otherwise(-1).alias("went"))
+            return let(let(both, move), close)
 
-        both = F.struct(letter(i).alias("came"), F.when(i > WINDOW, letter(i - WINDOW)).otherwise(-1).alias("went"))
-        return let(let(both, move), close)
+        def finish(st: Column) -> Column:
+            return F.when(st["a"] >= 0, F.concat(st["done"], F.array(F.struct(st["a"].alias("a"), st["b"].alias("b"))))).otherwise(st["done"])
 
-    def finish(st: Column) -> Column:
-        return F.when(st["a"] >= 0, F.concat(st["done"], F.array(F.struct(st["a"].alias("a"), st["b"].alias("b"))))).otherwise(st["done"])
+        return F.aggregate(F.sequence(F.lit(1), F.size(letters)), start, step, finish)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, finish)
+    return let(numbered, slide)
+
+
+def allowed(value: Column) -> Column:
+    """Whether an ALLOW pattern finds value.
+
+    Two of them repeat a group, which the JVM's matcher does by recursion, a
+    frame for each repetition. They are asked as a run of their characters
+    without two separators in a row, which is the same.
+    """
+    steps = {PATH: value.rlike("^/[a-z0-9_/-]+$") & ~value.contains("//"), NAME: value.rlike("^[a-z][a-z_-]*[0-9]{0,4}$") & ~value.rlike("[_-]{2}")}
+    out = F.lit(False)
+    for pattern in ALLOW:
+        out = out | steps.get(pattern, value.rlike(pattern))
+    return out
 
 
 def entropy_spans(text: Column) -> Column:
@@ -116,10 +141,7 @@ def entropy_spans(text: Column) -> Column:
     none = F.array().cast("array<struct<a:int,b:int>>")
 
     def judge(c: Column) -> Column:
-        allowed = F.lit(False)
-        for pattern in ALLOW:
-            allowed = allowed | c["value"].rlike(pattern)
-        found = F.when(allowed, none)
+        found = F.when(allowed(c["value"]), none)
         for _, pattern, alphabet, least in CHARACTER_CLASSES:
             found = found.when(c["value"].rlike(f"^{pattern}$"), high_windows(c["value"], alphabet, least))
         return F.transform(found.otherwise(none), lambda w: F.struct((c["start"] + w["a"]).alias("start"), (c["start"] + w["b"]).alias("end")))
@@ -160,28 +182,49 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secret_spans")).alias("spans"), count(3).alias("n_entropy"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret span replaced by mark; overlapping spans become one mark.
+def without(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in place of every span of spans, which are sorted by start; overlapping ones become one mark.
 
-    Columns stay as they are, but n_chars, where it exists, is the new length of
-    a text that changed. A null text stays null.
+    Each block of spans is cut out of its own stretch of the text, so that a text
+    with many spans is not read from its start for each.
     """
-    found = scan(docs)
 
-    def cut(spans: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-        text = F.col("text").cast("string")
+    def cut(x: Column) -> Column:
+        all_spans, ends = x["spans"], x["ends"]
+        until = lambda k: F.coalesce(F.get(ends, k), F.lit(0))
+
+        def block(b: Column) -> Column:
+            first, last = until(b * BLOCK - 1), F.get(ends, F.least(F.size(ends), (b + 1) * BLOCK) - 1)
+
+            def piece(stretch: Column) -> Column:
+                def gap(s: Column, k: Column) -> Column:
+                    return let(until(b * BLOCK + k - 1), lambda at: F.when(s["start"] >= at, F.concat(F.substr(stretch["text"], at - stretch["first"] + 1, s["start"] - at), F.lit(mark))).otherwise(F.lit("")))
+
+                return F.array_join(F.transform(F.slice(all_spans, b * BLOCK + 1, F.lit(BLOCK)), gap), "")
+
+            return let(let(first, lambda at: F.struct(at.alias("first"), F.substr(text, at + 1, last - at).alias("text"))), piece)
+
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / BLOCK).cast("int")), block)
+        return F.concat(F.array_join(blocks, ""), F.substr(text, F.get(ends, F.size(ends) - 1) + 1, F.length(text)))
 
-        def step(st: Column, x: Column) -> Column:
-            gap = F.when(x["start"] >= st["at"], F.array(F.substr(text, st["at"] + 1, x["start"] - st["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-            return F.struct(F.concat(st["out"], gap).alias("out"), F.greatest(st["at"], x["end"]).alias("at"))
+    ends = prefixes(F.transform(spans, lambda s: s["end"]), 0, lambda a, x: F.greatest(a, x))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(spans.alias("spans"), ends.alias("ends")), cut))
 
-        return F.aggregate(spans, start, step, lambda st: F.concat(F.array_join(st["out"], ""), F.substr(text, st["at"] + 1, F.length(text))))
 
-    text = F.when(F.size("secret_spans") > 0, cut(F.col("secret_spans"))).otherwise(F.col("text"))
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret span replaced by mark; overlapping spans become one mark.
+
+    Columns stay as they are, but n_chars, where it exists, is the new length of
+    a text that changed. A null text stays null. A column of docs named
+    secret_spans or __text is kept as it is.
+    """
+    names = docs.columns
+    spans = scan(docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
     changed = F.size("secret_spans") > 0
-    out = found.withColumn("__text", text)
-    if "n_chars" in docs.columns:
+    columns = {c: F.col("row").getField(c) for c in names} | {"text": F.when(changed, without(F.col("text"), F.col("secret_spans"), mark)).otherwise(F.col("row.text"))}
+    cut = spans.select("row", changed.alias("changed"), columns["text"].alias("text"))
+    if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("__text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__text")).select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    columns["text"] = F.col("text")
+    return cut.select(*[columns[c].alias(c) for c in names])
