@@ -3,11 +3,16 @@
 Every node of the page's tree gets its characters and tags, and those in links.
 Its composite density is characters per tag, adjusted by a logarithm that falls
 as links take a larger part. The sum of its children's densities is its density
-sum; the node with the largest sum holds the main text. The least density on
-the path from it up to the body is the threshold for branches beside the path.
-Menus, adverts and the like that their element, role, class or id names are cut
-before densities are taken, but a form or a name cuts no branch that holds most
-of the body's characters outside links, unless an article stands beside it.
+sum, and the node with the largest sum holds the main text. The least density on
+the path from it up to the body is the threshold for what stands beside the
+path: a branch joins if it is as dense, mostly outside links, and has a fair
+part of the target's own density sum; so do headings before and all that stands
+between two branches that joined.
+
+Element, class, id and role names only correct what density cannot know:
+notices, adverts and reader comments are prose too. Such branches are left out,
+but a form or a named branch that holds most of the page's characters outside
+links, with no article beside it, wraps the page and stays.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +35,14 @@ _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CUT = frozenset("nav header footer aside form button select option script style noscript template svg canvas iframe object menu dialog head title textarea audio video map".split())
-#: Elements that may also wrap a whole page.
+#: Content that is never prose, and elements whose prose is not the article's.
+CUT = frozenset("button select option script style noscript template svg canvas iframe object head title textarea audio video map".split())
+ASIDE = frozenset("nav header footer aside form menu dialog".split())
+#: Those of ASIDE that may also wrap a whole page.
 WRAPS = frozenset(("form",))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Part of the target's density sum that a branch beside the path must have.
+FAIR = 0.25
 #: Class, id and role names that mark what is not the article; so do names put together of these alone.
 CUT_NAMES = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs combx comment comments contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split())
 #: Start tag -> open elements that it ends, looked for up to the nearest of SCOPE.
@@ -50,16 +61,18 @@ def _is_cut(name: str) -> bool:
 class Tree:
     """Nodes in page order; a node's subtree is the range from it to its end. Items are (place of node, text).
 
-    cut has the branches that their elements cut; doubted the nodes that settle()
-    cuts with their branches or lets stand.
+    cut has the branches that are no prose; doubted the nodes that settle() cuts
+    with their branches or lets stand.
     """
 
     def __init__(self, page: str) -> None:
         self.tag, self.up, self.cut, self.doubted = ["#"], [-1], [False], [False]
         self.items: list[tuple[int, str | None]] = []
         open_: list[int] = [0]
+        #: How many elements of a name are open.
+        self.open: Counter[str] = Counter()
         at, n = 0, len(page)
-        body = 0
+        body = False
         while at < n:
             m = _TAG.search(page, at)
             if m is None:
@@ -79,19 +92,20 @@ class Tree:
                 self.items.append((open_[-1], None))
             if name in VOID:
                 continue
-            if name in ("html", "body") and body and name in self.tag:
+            if name in ("html", "body") and body and self.open[name]:
                 continue
             names = [x for g in _NAMES.findall(m[3] or m[6] or "") for x in "".join(g).lower().split()]
             self.tag.append(name)
             self.up.append(open_[-1])
             top = name in ("html", "body") or name in MAIN
-            self.cut.append(self.cut[open_[-1]] or not top and name in CUT and name not in WRAPS)
-            self.doubted.append(not top and (name in WRAPS or any(map(_is_cut, names))))
+            self.cut.append(self.cut[open_[-1]] or name in CUT)
+            self.doubted.append(not top and (name in ASIDE or any(map(_is_cut, names))))
             body = body or name == "body"
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
                 at = end.start() if end else n
             open_.append(len(self.tag) - 1)
+            self.open[name] += 1
 
     def settle(self, items: list[tuple[int, str | None]], link: list[bool]) -> None:
         """Cut the doubted nodes' branches but those that hold most of the body's characters outside links."""
@@ -110,12 +124,12 @@ class Tree:
             under[i] = under[self.up[i]] or self.doubted[i]
         beside = any(self.tag[i] in MAIN and plain[i] and not under[i] and not self.cut[i] for i in range(n))
         for i in range(1, n):
-            self.cut[i] = self.cut[i] or self.cut[self.up[i]] or self.doubted[i] and (beside or 2 * plain[i] <= plain[body])
+            self.cut[i] = self.cut[i] or self.cut[self.up[i]] or self.doubted[i] and (beside or self.tag[i] in ASIDE - WRAPS or 2 * plain[i] <= plain[body])
 
     def _imply(self, open_: list[int], name: str) -> None:
         """End what the start tag `name` ends by itself."""
-        ends = ENDS.get(name) or ({"p"} if name in BLOCKS else None)
-        if not ends:
+        ends = ENDS.get(name) or ({"p"} if name in BLOCKS else ())
+        if not any(self.open[t] for t in ends):
             return
         last = None
         for k in range(len(open_) - 1, 0, -1):
@@ -125,19 +139,26 @@ class Tree:
                 break
         if last is not None:
             self.items.append((open_[-1], None))
-            del open_[last:]
+            self._close(open_, last)
 
     def _end(self, open_: list[int], name: str) -> None:
         if name not in INLINE:
             self.items.append((open_[-1], None))
+        if not self.open[name]:
+            return
         for k in range(len(open_) - 1, 0, -1):
             t = self.tag[open_[k]]
             if t == name:
-                del open_[k:]
+                self._close(open_, k)
                 return
             if name in INLINE and t in SCOPE:
                 return
 
+    def _close(self, open_: list[int], first: int) -> None:
+        for i in open_[first:]:
+            self.open[self.tag[i]] -= 1
+        del open_[first:]
+
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
     """Composite text density of a node; body_share is the part of links among the body's characters."""
@@ -148,64 +169,90 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share:
     return chars / t * math.log(max(chars / lc * t / lt, 1.0)) / math.log(base) if base > 1 + 1e-9 else chars / t * math.log(max(chars / lc * t / lt, 1.0))
 
 
+class Page:
+    """The measures of a page's nodes: characters, tags, densities and density sums."""
+
+    def __init__(self, page: str) -> None:
+        tree = self.tree = Tree(page)
+        up, tag, n = tree.up, tree.tag, len(tree.tag)
+        link = [False] * n
+        for i in range(1, n):
+            link[i] = link[up[i]] or tag[i] == "a"
+        items = [(i, None if t is None else html.unescape(t)) for i, t in tree.items if not tree.cut[i]]
+        tree.settle(items, link)
+        self.items = [x for x in items if not tree.cut[x[0]]]
+        own = self.own = [0] * n
+        for i, text in self.items:
+            if text:
+                own[i] += sum(map(len, text.split()))
+        chars, tags, in_link, link_tags = own[:], [0] * n, [own[i] if link[i] else 0 for i in range(n)], [0] * n
+        for i in range(n - 1, 0, -1):
+            if not tree.cut[i]:
+                p = up[i]
+                chars[p] += chars[i]
+                in_link[p] += in_link[i]
+                tags[p] += tags[i] + 1
+                link_tags[p] += link_tags[i] + (tag[i] == "a")
+        self.chars, self.in_link = chars, in_link
+        self.body = next((i for i in range(n) if tag[i] == "body" and chars[i]), 0)
+        share = in_link[self.body] / chars[self.body] if chars[self.body] else 0.0
+        self.dense = [0.0 if tree.cut[i] else density(chars[i], tags[i], in_link[i], link_tags[i], share) for i in range(n)]
+        #: The density of a node's own text, as if it were a child.
+        self.alone = [density(own[i], 0, own[i] if link[i] else 0, 0, share) if own[i] else 0.0 for i in range(n)]
+        self.total = self.alone[:]
+        for i in range(1, n):
+            self.total[up[i]] += self.dense[i]
+
+    def chosen(self) -> list[bool]:
+        """Which nodes' own text belongs to the main text."""
+        up, n = self.tree.up, len(self.tree.tag)
+        under = [False] * n
+        under[self.body] = True
+        for i in range(self.body + 1, n):
+            under[i] = under[up[i]] and not self.tree.cut[i]
+        target = max((i for i in range(n) if under[i]), key=lambda i: (self.total[i], -i))
+        path = [target]
+        while path[-1] != self.body:
+            path.append(up[path[-1]])
+        least = min(self.dense[i] for i in path)
+        taken, roots = [False] * n, {target}
+        above = set(path[1:])
+        beside: dict[int, list[int]] = {i: [] for i in above}
+        for i in range(self.body + 1, n):
+            if up[i] in above and under[i]:
+                beside[up[i]].append(i)
+        for i, child in zip(path[1:], path):
+            roots.update(self._joining(beside[i], child, target, least))
+            taken[i] = self.alone[i] >= max(least, FAIR * self.total[target])
+        for i in range(self.body, n):
+            taken[i] = taken[i] or i in roots or (under[i] and i > self.body and taken[up[i]] and up[i] not in above)
+        return taken
+
+    def _joining(self, children: list[int], child: int, target: int, least: float) -> list[int]:
+        """Children of a node on the path that join its child on the path."""
+        fair = FAIR * self.total[target]
+        prose = [2 * self.in_link[i] <= self.chars[i] for i in children]
+        joins = [k for k, i in enumerate(children) if i == child or prose[k] and self.dense[i] >= least and self.total[i] >= fair]
+        first, last = joins[0], joins[-1]
+        while first and self.tree.tag[children[first - 1]] in HEADINGS:
+            first -= 1
+        return [i for k, i in enumerate(children[first : last + 1], first) if i != child and prose[k]]
+
+
 def main_text(page: str | None) -> str:
     """The page's article as one line; empty where there is none."""
     if not page:
         return ""
-    tree = Tree(page)
-    n = len(tree.tag)
-    end = list(range(1, n + 1))
-    for i in range(n - 1, 0, -1):
-        end[tree.up[i]] = max(end[tree.up[i]], end[i])
-    own, link = [0] * n, [False] * n
-    for i in range(1, n):
-        link[i] = link[tree.up[i]] or tree.tag[i] == "a"
-    items = [(i, None if t is None else html.unescape(t)) for i, t in tree.items if not tree.cut[i]]
-    tree.settle(items, link)
-    items = [x for x in items if not tree.cut[x[0]]]
-    for i, text in items:
-        if text:
-            own[i] += sum(map(len, text.split()))
-    chars, tags, in_link, link_tags = own[:], [0] * n, [own[i] if link[i] else 0 for i in range(n)], [0] * n
-    for i in range(n - 1, 0, -1):
-        if not tree.cut[i]:
-            p = tree.up[i]
-            chars[p] += chars[i]
-            in_link[p] += in_link[i]
-            tags[p] += tags[i] + 1
-            link_tags[p] += link_tags[i] + (tree.tag[i] == "a")
-    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
-    share = in_link[body] / chars[body] if chars[body] else 0.0
-    if not chars[body]:
-        body, share = 0, in_link[0] / chars[0] if chars[0] else 0.0
-    dense = [0.0 if tree.cut[i] else density(chars[i], tags[i], in_link[i], link_tags[i], share) for i in range(n)]
-    total = [density(own[i], 0, own[i] if link[i] else 0, 0, share) if own[i] else 0.0 for i in range(n)]
-    for i in range(1, n):
-        if not tree.cut[i]:
-            total[tree.up[i]] += dense[i]
-    inside = [i for i in range(body, end[body]) if not tree.cut[i]]
-    if not inside:
+    read = Page(page)
+    if not read.chars[read.body]:
         return ""
-    target = max(inside, key=lambda i: (total[i], -i))
-    at = target
-    while at > body and tree.tag[at] not in MAIN:
-        at = tree.up[at]
-    target = at if tree.tag[at] in MAIN else target
-    path, at = set(), target
-    while at >= body and at >= 0:
-        path.add(at)
-        at = tree.up[at]
-    least = min(dense[i] for i in path)
-    taken = [False] * n
-    for i in inside:
-        p = tree.up[i]
-        taken[i] = i == target or (i > body and taken[p] and p not in path - {target}) or (i in path) or (p in path and dense[i] >= least and in_link[i] * 2 <= chars[i])
+    taken = read.chosen()
     blocks, part = [], []
-    for i, text in items:
+    for i, text in read.items:
         if text is None:
             blocks.append("".join(part))
             part = []
-        elif taken[i] and (i not in path or i == target or own[i]):
+        elif taken[i]:
             part.append(text)
     blocks.append("".join(part))
     return " ".join(w for b in blocks for w in b.split())

@@ -70,7 +70,7 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = asked.select("url", "fetched_at", F.explode(F.array_distinct(keys_of(F.col("url")))).alias("key"))
     valid = intervals(entries)
     active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    if len(valid.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+    if valid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hits = asked.join(F.broadcast(valid), "key").where(active)
     else:
         used = valid.join(asked.select("key").distinct(), "key", "left_semi")

@@ -1,6 +1,7 @@
 """op1 against its SQL and a plain loop; op8 against the pages' articles."""
 
 import html
+import time
 import re
 from datetime import datetime
 
@@ -92,3 +93,42 @@ def test_op8_wrappers_do_not_cut_the_article():
         assert H.main_text(page) == f"{plain} {plain}", wrap
     assert H.main_text(f"<body><main><p>{text}</main><div class='comments'><p>{text}<p>{text}</div></body>") == plain
     assert H.main_text(f"<body><div><p>{text}<p>{text}<section class='related-work'><p>{text}</section></div><div class='cookie-notice'>{text}</div></body>") == f"{plain} {plain} {plain}"
+
+
+def plain_page(paragraphs, menu=12, foot=1):
+    """A page of plain divs: a menu of links, the article, more links and a short last line."""
+    links = "".join(f"<div><a href=/{i}>Topic {i}</a></div>" for i in range(menu))
+    body = "".join(f"<div>{p}</div>" for p in paragraphs)
+    return f"<html><body><div>{links}</div><div><h2>Title</h2><div>{body}</div></div><div>{links}</div>" + "<div>(c) All rights.</div>" * foot + "</body></html>"
+
+
+def test_op8_density_decides_on_plain_divs(monkeypatch):
+    long = [f"Sentence {i} of the article says this and that, and goes on for quite a while. " * 3 for i in range(6)]
+    want = " ".join(" ".join(["Title", *long]).split())
+    assert H.main_text(plain_page(long)) == want
+    short = [*long[:2], "Brief.", *long[2:]]
+    assert H.main_text(plain_page(short, menu=60, foot=9)) == " ".join(" ".join(["Title", *short]).split())
+    monkeypatch.setattr(H, "density", lambda chars, *_: 1.0 if chars else 0.0)
+    assert H.main_text(plain_page(long)) != want
+
+
+def test_op8_density_alone_finds_most_articles(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    for name in ("ASIDE", "CUT_NAMES", "MAIN"):
+        monkeypatch.setattr(H, name, frozenset())
+    assert sum(H.main_text(p) == article(p) for p in pages) >= 0.9 * len(pages)
+
+
+def test_op8_parts_of_an_article_join():
+    long = "Sentence of the article says this and that, and goes on for quite a while. " * 4
+    page = f"<body><div><h1>Top</h1><div><p>{long}<p>{long}<p>{long}</div><div><p>Between.</div><div><p>{long}<p>{long}</div></div><div><a href=/>{long}</a></div></body>"
+    assert H.main_text(page) == " ".join(f"Top {long} {long} {long} Between. {long} {long}".split())
+
+
+def test_op8_deep_pages_take_time_in_proportion():
+    for page in ("<div>" * 40000 + "deep", "<div><td>" * 20000 + "deep" + "</x>" * 20000, "<b>" * 40000 + "deep" + "</i>" * 40000):
+        began = time.process_time()
+        assert H.main_text(page) == "deep"
+        assert time.process_time() - began < 1.5
