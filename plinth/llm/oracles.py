@@ -18,23 +18,30 @@ def _term(p: str, q: str) -> str:
 def quality_rules_sql() -> str:
     listed = ", ".join(f"({_text(k)}, {_text(w)})" for k, ws in Q.COMMON_WORDS.items() for w in dict.fromkeys(ws))
     blank = "'[\\x20\\x09-\\x0D]+'"
+    names = ", ".join(map(_text, Q.COMMON_WORDS))
+    lower, upper, letter = r"\p{Ll}+", r"\p{Lu}+", r"\p{L}"
+    count = lambda pattern: f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
     return f"""
-WITH listed(lang, word) AS (VALUES {listed}),
+WITH fixed(lang, word) AS (VALUES {listed}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(text, {blank}), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+w AS (SELECT *, list_filter(string_split_regex(text, {blank}), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+other AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(ws) AS word FROM w WHERE lang NOT IN ({names})) GROUP BY lang, word),
+listed AS (SELECT * FROM fixed UNION ALL SELECT lang, word FROM other WHERE regexp_matches(word, {_text(letter)}) AND lang IN (SELECT lang FROM other GROUP BY lang HAVING sum(n) >= {Q.MIN_REFERENCE})
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {Q.COMMON}),
 g AS (SELECT r, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r),
-m AS (SELECT w.r, doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+m AS (SELECT w.r, doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {count('[#*$%&|<>]+')} AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(text) AS n_chars,
-    length(text) - length(regexp_replace(text, '\\p{{Lu}}+', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[0-9]+', '', 'g')) AS dig, ws FROM w LEFT JOIN rep USING (r)),
-b AS (SELECT *, n_words < {Q.MIN_BASE_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed, [up, dig, n_symbols, n_chars - word_chars, word_chars - up - dig - n_symbols] AS cs FROM m),
-ref AS (SELECT lang, sum(n_words) AS words, list_transform([sum(cs[1]), sum(cs[2]), sum(cs[3]), sum(cs[4]), sum(cs[5])], lambda x: x / sum(n_chars)) AS q FROM b GROUP BY lang HAVING sum(n_words) >= {Q.MIN_REFERENCE}),
-c AS (SELECT r, b.lang, word, count(*) AS n FROM (SELECT r, lang, unnest(ws) AS word FROM b) b JOIN listed USING (lang, word) GROUP BY ALL),
+    {count(lower)} AS low, {count(upper)} AS up, {count('[0-9]+')} AS dig, ws FROM w LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < {Q.MIN_BASE_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed, [low, up, dig, n_symbols, n_chars - word_chars, word_chars - low - up - dig - n_symbols] AS cs FROM m),
+ref AS (SELECT lang, sum(n_words) AS words, list_transform([sum(cs[1]), sum(cs[2]), sum(cs[3]), sum(cs[4]), sum(cs[5]), sum(cs[6])], lambda x: x / sum(n_chars)) AS q FROM b WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= {Q.MIN_REFERENCE}),
+c AS (SELECT r, b.lang, word, count(*) AS n FROM (SELECT r, lang, unnest(ws) AS word FROM b WHERE NOT base_failed) b JOIN listed USING (lang, word) GROUP BY ALL),
 rw AS (SELECT l.lang, l.word, coalesce(sum(c.n), 0) / any_value(ref.words) AS q FROM listed l JOIN ref USING (lang) LEFT JOIN c ON c.lang = l.lang AND c.word = l.word GROUP BY l.lang, l.word),
-jw AS (SELECT r, sum({_term('p', 'q')}) + {_term('(1 - sum(p))', '(1 - sum(q))')} AS d FROM (SELECT b.r, coalesce(c.n, 0) / b.n_words AS p, rw.q FROM b JOIN rw ON b.lang = rw.lang LEFT JOIN c ON c.r = b.r AND c.word = rw.word WHERE b.n_words >= {Q.MIN_WORDS}) GROUP BY r),
-jc AS (SELECT r, list_sum(list_transform(list_zip(list_transform(cs, lambda x: x / n_chars), q), lambda z: {_term('z[1]', 'z[2]')})) AS d FROM b JOIN ref USING (lang) WHERE n_words >= {Q.MIN_WORDS})
+jw AS (SELECT r, sum({_term('p', 'q')}) + {_term('(1 - sum(p))', '(1 - sum(q))')} AS d FROM (SELECT b.r, coalesce(c.n, 0) / b.n_words AS p, rw.q FROM b JOIN rw ON b.lang = rw.lang LEFT JOIN c ON c.r = b.r AND c.word = rw.word WHERE b.n_words >= {Q.MIN_WORDS} AND NOT base_failed) GROUP BY r),
+jc AS (SELECT r, list_sum(list_transform(list_zip(list_transform(cs, lambda x: x / n_chars), q), lambda z: {_term('z[1]', 'z[2]')})) AS d FROM b JOIN ref USING (lang) WHERE n_words >= {Q.MIN_WORDS} AND NOT base_failed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND NOT coalesce(sqrt(greatest(jc.d, 0)) > {Q.MAX_CHAR_DISTANCE}, FALSE) AND NOT coalesce(sqrt(greatest(jw.d, 0)) > {Q.MAX_WORD_DISTANCE}, FALSE) AS kept
+    NOT base_failed AND NOT coalesce(sqrt(greatest(jc.d, 0)) > {Q.MAX_CHAR_DISTANCE}, FALSE)
+    AND NOT coalesce(sqrt(greatest(jw.d, 0)) > CASE WHEN lang IN ({names}) THEN {Q.MAX_WORD_DISTANCE} ELSE {Q.MAX_COUNTED_DISTANCE} END, FALSE) AS kept
 FROM b LEFT JOIN jc USING (r) LEFT JOIN jw USING (r)
 """
 

@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame operations only.
 
 Each language's reference holds the shares of character classes and of the
-language's common words, counted over all its documents. A document is compared
+language's common words, counted over all its documents that pass the base rules. A document is compared
 with the reference of its language by the Jensen-Shannon distance (base 2).
 Documents under MIN_WORDS words and languages under MIN_REFERENCE words are not
 judged by distance. Languages without a word list get their COMMON most frequent
@@ -126,8 +126,12 @@ def _runs(ws: Column) -> Column:
 
 
 def references(measured: DataFrame, common_words: dict[str, list[str]], counted: DataFrame | None = None) -> DataFrame:
-    """(lang, docs, ref_chars array, ref_words map) of each language with enough words; ref_words is null without a list or counted words."""
+    """(lang, docs, ref_chars array, ref_words map) of each language with enough words in rows that pass the base rules.
+
+    ref_words is null without a list or counted words.
+    """
     spark = measured.sparkSession
+    measured = measured.where(~F.col("base_failed"))
     lists = spark.createDataFrame([(k, w) for k, ws in common_words.items() for w in dict.fromkeys(ws)], "lang string, word string")
     if counted is not None:
         lists = lists.union(counted.select("lang", F.explode("vocab")))

@@ -21,7 +21,7 @@ def base(text):
 def kinds(text):
     import regex
 
-    found = {"upper": len(regex.findall(r"\p{Lu}", text)), "digit": len(re.findall("[0-9]", text)), "symbol": len(re.findall(r"[#*$%&|<>]", text)), "blank": len(re.findall(r"[\x20\x09-\x0d]", text))}
+    found = {"lower": len(regex.findall(r"\p{Ll}", text)), "upper": len(regex.findall(r"\p{Lu}", text)), "digit": len(re.findall("[0-9]", text)), "symbol": len(re.findall(r"[#*$%&|<>]", text)), "blank": len(re.findall(r"[\x20\x09-\x0d]", text))}
     return [*found.values(), len(text) - sum(found.values())]
 
 
@@ -32,27 +32,44 @@ def distance(p, q):
     return math.sqrt(max(out, 0.0))
 
 
+def fails(b):
+    return b[0] < 10 or 100 * b[4] > 20 * b[0]
+
+
+def common_words(rows):
+    """The listed words of a language, or its most frequent ones with a letter."""
+    import regex
+
+    counts = defaultdict(Counter)
+    for _, lang, text in rows:
+        counts[lang or ""].update(WORD.findall(text or ""))
+    for lang, words in counts.items():
+        top = sorted((w for w in words if regex.search(r"\p{L}", w)), key=lambda w: (-words[w], w))[: Q.COMMON]
+        if lang in Q.COMMON_WORDS or sum(words.values()) >= Q.MIN_REFERENCE and top:
+            yield lang, Q.COMMON_WORDS.get(lang, top)
+
+
 def brute(rows):
-    chars, words = defaultdict(lambda: [0] * 5), defaultdict(Counter)
+    chars, words = defaultdict(lambda: [0] * 6), defaultdict(Counter)
     for _, lang, text in rows:
-        chars[lang or ""] = [a + b for a, b in zip(chars[lang or ""], kinds(text or ""))]
-        words[lang or ""].update(WORD.findall(text or ""))
-    out = {}
+        if not fails(base(text)):
+            chars[lang or ""] = [a + b for a, b in zip(chars[lang or ""], kinds(text or ""))]
+            words[lang or ""].update(WORD.findall(text or ""))
+    out, lists = {}, dict(common_words(rows))
     for lang, counts in words.items():
         total = sum(counts.values())
         if total >= Q.MIN_REFERENCE:
-            listed = Q.COMMON_WORDS.get(lang)
+            listed = lists.get(lang)
             out[lang] = ([x / sum(chars[lang]) for x in chars[lang]], listed and {w: counts[w] / total for w in listed})
     for i, lang, text in rows:
         b = base(text)
-        failed = b[0] < 10 or 100 * b[4] > 20 * b[0]
-        far = False
+        failed, far = fails(b), False
         if not failed and b[0] >= Q.MIN_WORDS and (ref := out.get(lang or "")):
             counts = Counter(WORD.findall(text))
             far = distance([x / len(text) for x in kinds(text)], ref[0]) > Q.MAX_CHAR_DISTANCE
             if ref[1]:
                 p, q = [counts[w] / b[0] for w in ref[1]], list(ref[1].values())
-                far = far or distance([*p, 1 - sum(p)], [*q, 1 - sum(q)]) > Q.MAX_WORD_DISTANCE
+                far = far or distance([*p, 1 - sum(p)], [*q, 1 - sum(q)]) > (Q.MAX_WORD_DISTANCE if lang in Q.COMMON_WORDS else Q.MAX_COUNTED_DISTANCE)
         yield (i, *b, failed, not failed and not far)
 
 
