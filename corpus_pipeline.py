@@ -23,7 +23,7 @@ def _vocabulary() -> str:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier chain rejects."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where(~F.col("is_toxic")).select(*docs.columns)
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
