@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.extract.grammar import ARGUMENTS, DECORATOR, MODIFIERS, NAME, arguments_of, literal
 from plinth.operators.lookup import bind
 from plinth.operators.match import bridge, url_segments
 
-CONTROLLER = r"""@Controller\(\s*(?:['"`]([^'"`]*)['"`]|\{[^}]*?path:\s*['"`]([^'"`]*)['"`][^}]*\})?\s*\)"""
-CLASS = r"\bclass\s+(\w+)"
-ROUTE = r"""@(Get|Post|Put|Patch|Delete|All|Head|Options)\(\s*(?:['"`]([^'"`]*)['"`])?\s*\)((?:\s*@\w+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?)*)\s*(?:public\s+|private\s+|protected\s+)?(?:async\s+)?(\w+)\s*\("""
-UNREAD_ROUTE = r"""@(?:Get|Post|Put|Patch|Delete|All|Head|Options)\(\s*[^'"`)\s][^)]*\)"""
-CONSTRUCTOR = r"constructor\s*\(((?:[^()]|\([^()]*\))*)\)"
+CLASS = rf"\bclass\s+({NAME})"
+#: The decorators of routes.
+VERBS = ("Get", "Post", "Put", "Patch", "Delete", "Head", "Options", "All")
+ROUTE = rf"@({'|'.join(VERBS)})\s*+({ARGUMENTS})\s*+((?:{DECORATOR})*+){MODIFIERS}({NAME})\s*+\("
+CONSTRUCTOR = rf"\bconstructor\s*+({ARGUMENTS})"
 PARAMETER = r"""(?:@Inject\(\s*['"`]?([\w.]+)['"`]?\s*\)\s*)?(?:public\s+|private\s+|protected\s+)?(?:readonly\s+)?(\w+)\??\s*:\s*([\w.]+)"""
 PROVIDER = r"""provide:\s*['"`]?([\w.]+)['"`]?\s*,\s*(useClass|useExisting|useValue|useFactory):\s*([\w.]*)"""
 CALL = r"""\b(?:\w+)\.(get|post|put|patch|delete)(?:<[^>(]*>)?\(\s*['"`]([^'"`]+)['"`]"""
@@ -35,19 +36,29 @@ def _matches(files: DataFrame, pattern: str, **groups: int) -> DataFrame:
     return files.select("path", F.posexplode(zipped).alias("ord", "m")).select("path", "ord", *[F.col(f"m.{k}").alias(k) for k in groups])
 
 
+def _routes(files: DataFrame) -> DataFrame:
+    found = _matches(files, ROUTE, verb=1, arguments=2, handler=4)
+    bare = F.col("arguments").rlike(r"^\(\s*\)$")
+    return found.withColumn("route", F.when(bare, F.lit("")).otherwise(literal(F.col("arguments"), "path")))
+
+
 def endpoints(files: DataFrame) -> DataFrame:
     """(path, cls, verb, route, handler): routes of files with one controller, its prefix before each."""
-    prefix = F.concat(F.regexp_extract("text", CONTROLLER, 1), F.regexp_extract("text", CONTROLLER, 2))
-    held = files.where(F.col("text").rlike(r"@Controller\(")).select("path", "text", prefix.alias("prefix"), F.regexp_extract("text", CLASS, 1).alias("cls"))
-    routes = _matches(held, ROUTE, verb=1, route=2, handler=4)
-    joined = routes.join(held.select("path", "prefix", "cls"), "path")
+    held = files.where(F.col("text").rlike(r"@Controller\b")).select("path", "text", F.coalesce(literal(arguments_of(F.col("text"), "Controller"), "path"), F.lit("")).alias("prefix"), F.regexp_extract("text", CLASS, 1).alias("cls"))
+    joined = _routes(held).where("route is not null").join(held.select("path", "prefix", "cls"), "path")
     route = F.concat(F.lit("/"), F.array_join(F.filter(F.split(F.concat_ws("/", "prefix", "route"), "/"), lambda s: s != ""), "/"))
     return joined.select("path", "cls", F.upper("verb").alias("verb"), route.alias("route"), "handler")
 
 
 def unread_routes(files: DataFrame) -> DataFrame:
     """(path, detail): route decorators whose argument is no plain string."""
-    return files.select("path", F.explode(_all(UNREAD_ROUTE, 0)).alias("detail"))
+    return _routes(files).where("route is null").select("path", F.concat(F.lit("@"), "verb", "arguments").alias("detail"))
+
+
+def unread_prefixes(files: DataFrame) -> DataFrame:
+    """(path, detail): controllers whose prefix is neither absent nor a plain string."""
+    given = arguments_of(F.col("text"), "Controller")
+    return files.select("path", given.alias("detail")).where(~F.col("detail").rlike(r"^(\(\s*\))?$") & literal(F.col("detail"), "path").isNull())
 
 
 def bindings(files: DataFrame) -> DataFrame:
@@ -58,7 +69,8 @@ def bindings(files: DataFrame) -> DataFrame:
 
 def injections(files: DataFrame) -> DataFrame:
     """(path, cls, ord, prop, type, token): constructor parameters; token is the @Inject name or the type."""
-    one = files.where(F.col("text").rlike(CONSTRUCTOR)).select("path", F.regexp_extract("text", CLASS, 1).alias("cls"), F.regexp_extract("text", CONSTRUCTOR, 1).alias("text"))
+    inside = F.regexp_replace(F.regexp_extract("text", CONSTRUCTOR, 1), r"^\(|\)$", "")
+    one = files.where(F.col("text").rlike(CONSTRUCTOR)).select("path", F.regexp_extract("text", CLASS, 1).alias("cls"), inside.alias("text"))
     found = _matches(one, PARAMETER, token=1, prop=2, type=3).join(one.select("path", "cls"), "path")
     return found.select("path", "cls", "ord", "prop", "type", F.when(F.col("token") == "", F.col("type")).otherwise(F.col("token")).alias("token"))
 

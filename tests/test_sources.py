@@ -82,5 +82,30 @@ def test_imports_and_symbols(spark):
 def test_entities(spark):
     found = X.entities(tree.from_mapping(spark, FILES))
     note = found.where("cls = 'Note'").first()
-    assert (note.tbl, [c.name for c in note.columns], [tuple(r) for r in note.relations]) == ("notes", ["id", "userId", "tagId"], [("ManyToOne", "Tag")])
+    assert (note.tbl, [c.name for c in note.columns], [tuple(r) for r in note.relations]) == ("notes", ["id", "userId", "tagId"], [("ManyToOne", "Tag", "tag")])
     assert [tuple(r) for r in X.implicit_relations(found).collect()] == [("Note", "userId", "User")]
+
+
+def test_import_clauses(spark):
+    files = tree.from_mapping(spark, {"a.ts": "import React, { useState as use, type Ref } from 'react';\nimport * as path from \"path\"\nimport type { Only } from './only';\nimport def from './d'\n"})
+    got = {tuple(r) for r in X.clauses(files).collect()}
+    assert got == {("a.ts", "default", "React", "default", "react"), ("a.ts", "named", "use", "useState", "react"), ("a.ts", "named", "Ref", "Ref", "react"), ("a.ts", "namespace", "path", "*", "path"), ("a.ts", "named", "Only", "Only", "./only"), ("a.ts", "default", "def", "default", "./d")}
+
+
+def test_relations_fold_into_their_declared_twins(spark):
+    found = X.entities(tree.from_mapping(spark, FILES))
+    note = found.where("cls = 'Note'").first()
+    assert [(c.name, c.nullable, c.pk) for c in note.columns] == [("id", False, True), ("userId", True, False), ("tagId", False, False)]
+    assert {tuple(r) for r in X.relations(found).collect()} == {("Note", "Tag", "ManyToOne", "tagId", True), ("Note", "User", "implicit", "userId", False)}
+
+
+def test_long_declarations_are_read(spark):
+    from plinth.extract import wiring as W
+
+    many = ", ".join(f"private readonly p{i}: Service{i}" for i in range(3000))
+    text = f"@Controller({{ path: 'big', version: '1' }})\nclass Big {{ constructor({many}) {{}}\n @Get(':id')\n @Guard(roles(1), all())\n async one(@Param('id') id: string) {{}}\n @Post(NAME)\n two() {{}}\n}}"
+    files = tree.from_mapping(spark, {"big.ts": text, "odd.ts": "@Controller(PREFIX) class Odd { @Get() a() {} }"})
+    assert W.injections(files).count() == 3000
+    assert {tuple(r) for r in W.endpoints(files).collect()} == {("big.ts", "Big", "GET", "/big/:id", "one"), ("odd.ts", "Odd", "GET", "/", "a")}
+    assert [tuple(r) for r in W.unread_routes(files).collect()] == [("big.ts", "@Post(NAME)")]
+    assert [tuple(r) for r in W.unread_prefixes(files).collect()] == [("odd.ts", "(PREFIX)")]
