@@ -84,5 +84,53 @@ def broken_calls(bridged: DataFrame) -> DataFrame:
     return _found(bridged.where("status in ('unmatched', 'ambiguous')").select(F.col("call_id").alias("src"), F.col("status").alias("dst")), "http-broken")
 
 
+def _noted(rows: DataFrame, finding: str) -> DataFrame:
+    return _found(rows, finding, tone="note", gate=False)
+
+
+def module_cycles(edges: DataFrame) -> DataFrame:
+    """One ungated finding for each cycle of modules (src, dst)."""
+    return circular(edges).withColumns({"finding": F.lit("dag"), "gate": F.lit(False)})
+
+
+def unregistered(controllers: DataFrame, registered: DataFrame) -> DataFrame:
+    """Controllers (path, cls) that no module's list (cls) has."""
+    return _found(controllers.join(registered.select("cls").distinct(), "cls", "left_anti").select(F.col("path").alias("src"), F.col("cls").alias("dst")), "controller-unregistered")
+
+
+def implicit_keys(relations: DataFrame) -> DataFrame:
+    """Undeclared relations (cls, column, refers_to)."""
+    return _noted(relations.select(F.concat_ws(".", "cls", "column").alias("src"), F.col("refers_to").alias("dst")), "implicit-fk")
+
+
+def hotspots(top: DataFrame, item: str) -> DataFrame:
+    return _noted(top.select(F.col(item).alias("src"), F.col("score").alias("dst")), "hotspots")
+
+
+def coupled(pairs: DataFrame, least: float = 0.6) -> DataFrame:
+    """Pairs (a, b, degree, imports) that change together without an import."""
+    return _noted(pairs.where((F.col("degree") >= least) & (F.col("imports") == 0)).select(F.col("a").alias("src"), F.col("b").alias("dst")), "logical-coupling")
+
+
+def test_ratios(ratios: DataFrame, gate: DataFrame, by: str) -> DataFrame:
+    """The ratio of each pattern, if the one row of gate says that tests are reliable."""
+    rows = ratios.join(F.broadcast(gate.where("reliable").select("reliable")))
+    return _noted(rows.select(F.col(by).alias("src"), F.concat_ws("/", F.col("tested").cast("string"), F.col("total").cast("string")).alias("dst")), "test-ratio")
+
+
+def untested_risk(top: DataFrame, item: str) -> DataFrame:
+    """A warning without a gate for each untested hotspot."""
+    return _found(top.select(F.col(item).alias("src"), F.col("score").alias("dst")), "untested-risk", gate=False)
+
+
+def absent_patterns(absent: DataFrame, pattern: str) -> DataFrame:
+    return _noted(absent.select(F.col(pattern).alias("src"), F.lit("").alias("dst")), "absent-patterns")
+
+
+def contract_drift(contracts: DataFrame) -> DataFrame:
+    """Contracts (call_key, status) that differ."""
+    return _found(contracts.where("status = 'differ'").select(F.col("call_key").alias("src"), F.lit("").alias("dst")), "contract-drift", gate=False)
+
+
 def catalogue(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.operators.graph import settled
+
 
 def churn(changes: DataFrame, item: str, author: str, at: str, added: Column, removed: Column) -> DataFrame:
     """Per item: commits (rows), sums of added and removed, first and last time, distinct authors.
@@ -26,6 +31,16 @@ def hotspots(churned: DataFrame, deps: DataFrame, item: str) -> DataFrame:
     return joined.select(item, "commits", "deps", (F.col("commits") * (1 + F.col("deps"))).alias("score"))
 
 
+def untested_risk(scored: DataFrame, files: DataFrame, tested: DataFrame, item: str, noise: Sequence[str]) -> DataFrame:
+    """scored items that no test claims and whose pattern (files: item, pattern) is no noise."""
+    return quiet(scored, files, item, noise).join(tested.select(item).distinct(), item, "left_anti")
+
+
+def quiet(scored: DataFrame, files: DataFrame, item: str, noise: Sequence[str]) -> DataFrame:
+    """scored items whose pattern (files: item, pattern) is none of noise; items without a file are left out."""
+    return scored.join(files.where(~F.col("pattern").isin(list(noise))).select(item).distinct(), item, "left_semi")
+
+
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.orderBy(*order).limit(k)
 
@@ -33,14 +48,19 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 def ranked(scored: DataFrame, item: str) -> DataFrame:
     """scored with the rank of every item; equal scores by item.
 
-    The rank is global without a global task: scores are counted, running sums
-    over the distinct scores give each score its first rank, and only equal
-    scores are numbered by a window of their own.
+    The rank is global without a global task: rows are partitioned by range and
+    sorted there, the number of rows of each partition gives the next one's
+    offset, and only those numbers reach the driver. Many equal scores part by
+    item.
     """
-    per = scored.groupBy("score").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("score").orderBy(item))
-    return scored.withColumn("own", own).join(before, "score").withColumn("rank", F.col("own") + F.col("before")).drop("own", "before")
+    order = (F.desc("score"), F.asc(item))
+    placed = settled(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(p, start) for (p, _), start in zip(counts, accumulate((n for _, n in counts), initial=0))]
+    offsets = scored.sparkSession.createDataFrame(before, "__part long, __before long")  # a row per partition
+    ranks = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return ranks.select(*scored.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
 
 
 def cochange(baskets: DataFrame, basket: str, item: str, max_items: int = 25, min_changes: int = 5, min_degree: float = 0.3) -> DataFrame:

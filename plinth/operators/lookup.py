@@ -52,15 +52,27 @@ def nearest_ancestor(rows: DataFrame, owners: DataFrame, path: str = "path") ->
     return rows.join(found, path, "left")
 
 
+def _cell(at: Column, width: Column) -> Column:
+    return at - F.pmod(at, width)
+
+
 def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, name: str) -> DataFrame:
     """points with the name of the narrowest span (by, lo, hi, name) that holds them, null if none does.
 
-    Always an equality join on `by` with a range condition; of spans of one
-    width the later start counts, then the greater name. points must have a key
-    column `point_id`.
+    Spans lie in one or two cells as wide as the next power of two, and a point
+    asks for its own cell of each width that occurs (64 at most), so the join is
+    on key, width and cell: a key with many spans is spread over its cells, and
+    only near spans are compared. Of spans of one width the later start counts,
+    then the greater name. points must have a key column `point_id`.
     """
-    held = points.join(spans, by).where((F.col("lo") <= F.col(at)) & (F.col(at) < F.col("hi")))
-    best = held.groupBy("point_id").agg(F.min_by(name, F.struct(F.col("hi") - F.col("lo"), -F.col("lo"), F.col(name))).alias(name))
+    width = F.when(F.col("hi") - F.col("lo") <= 1, F.lit(1)).otherwise(F.lit(2) ** F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double")))).cast("long")
+    held = spans.select(by, "lo", "hi", name, width.alias("__width")).where("lo < hi")
+    held = held.withColumn("__cell", F.explode(F.array_distinct(F.array(_cell(F.col("lo"), F.col("__width")), _cell(F.col("hi"), F.col("__width"))))))
+    widths = spans.sparkSession.createDataFrame([([r[0] for r in held.select("__width").distinct().collect()],)], "w array<bigint>")
+    asked = points.select("point_id", by, F.col(at).alias("__at")).join(F.broadcast(widths)).withColumn("__width", F.explode("w")).drop("w")
+    asked = asked.withColumn("__cell", _cell(F.col("__at"), F.col("__width")))
+    inside = asked.join(held, [by, "__width", "__cell"]).where("lo <= __at and __at < hi")
+    best = inside.groupBy("point_id").agg(F.min_by(name, F.struct(F.col("hi") - F.col("lo"), -F.col("lo"), F.col(name))).alias(name))
     return points.join(best, "point_id", "left")
 
 

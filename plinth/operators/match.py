@@ -18,18 +18,39 @@ def _score(a: Column, b: Column) -> Column:
     return F.when((a == ":") & (b == ":"), 2).when((a == ":") | (b == ":"), 1).when(a == b, 2)
 
 
+#: Parts of a path that join keys are made of; further parts are compared after the join.
+KEYED = 5
+
+
+def _keys(parts: Column, other: Column, hole: Column) -> Column:
+    """Join keys of a path: each of its first KEYED parts as it stands, or as the other side may meet it.
+
+    A literal part meets an equal literal, or `other`; a `:` part meets `:`, or
+    `hole`. The two sides swap these marks, so that a request and a route that
+    fit have exactly one key in common.
+    """
+    start = F.array(F.size(parts).cast("string"))
+
+    def step(keys: Column, part: Column) -> Column:
+        ways = F.when(part == ":", F.array(F.lit(":"), hole)).otherwise(F.array(part, other))
+        return F.flatten(F.transform(keys, lambda k: F.transform(F.array_compact(ways), lambda w: F.concat(k, F.lit("/"), w))))
+
+    return F.aggregate(F.slice(parts, F.lit(1), F.lit(KEYED)), start, step)
+
+
 def bridge(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """calls (call_id, verb, parts) with score, n_best, route_id and status.
 
-    Routes (route_id, verb, parts) serve their verb or ALL. Equality on the
-    number of parts makes it a hash join; a part that cannot match drops the
-    pair. status: matched by the only best route, ambiguous, unmatched, or
-    unread where the call has no verb or path.
+    Routes (route_id, verb, parts) serve their verb or ALL. Requests and routes
+    meet on verb and key, see _keys, so no request is compared with a route
+    that its first parts exclude. status: matched by the only best route,
+    ambiguous, unmatched, or unread where the call has no verb or path.
     """
-    asked = calls.withColumn("n", F.size("parts"))
-    served = routes.select("route_id", F.col("verb").alias("__verb"), F.col("parts").alias("__parts"), F.size("parts").alias("n"))
+    none, star = F.lit(None).cast("string"), F.lit("*")
+    asked = calls.where("verb is not null and parts is not null").withColumn("__verb", F.explode(F.array("verb", F.lit("ALL")))).where("not (verb = 'ALL' and __verb <> verb)").distinct().withColumn("__key", F.explode(_keys(F.col("parts"), F.lit(":"), star)))
+    served = routes.select("route_id", F.col("verb").alias("__verb"), F.col("parts").alias("__parts")).withColumn("__key", F.explode(_keys(F.col("__parts"), star, none)))
     scores = F.zip_with("parts", "__parts", _score)
-    pairs = asked.where("verb is not null and parts is not null").join(served, "n").where("__verb = verb or __verb = 'ALL'").withColumn("s", scores).where(~F.exists("s", lambda x: x.isNull()))
+    pairs = asked.join(served, ["__verb", "__key"]).withColumn("s", scores).where(~F.exists("s", lambda x: x.isNull()))
     scored = pairs.select("call_id", "route_id", F.aggregate("s", F.lit(0), lambda t, x: t + x).alias("score"))
     best = scored.groupBy("call_id").agg(F.max("score").alias("score"))
     of_best = scored.join(best, ["call_id", "score"]).groupBy("call_id").agg(F.max("score").alias("score"), F.count("*").alias("n_best"), F.min("route_id").alias("first"))

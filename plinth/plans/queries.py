@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions.paths import fingerprint, line_count, plain_name
-from plinth.operators import change, classify, graph, history, lookup, match, rules, sets
+from plinth.operators import change, classify, findings, graph, history, lookup, match, report, rollup, rules, sets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,13 +172,13 @@ def q12_ratchet(spark, d):
 
 
 @query("""WITH b AS (SELECT o_custkey AS k, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS body FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1),
-    h AS (SELECT o_custkey AS k, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS body FROM orders WHERE o_orderdate < TIMESTAMP '1999-03-01' AND o_orderkey % 97 <> 5 GROUP BY 1)
+    h AS (SELECT o_custkey AS k, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS body FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01' AND o_orderdate < TIMESTAMP '1999-03-01' GROUP BY 1)
     SELECT coalesce(b.k, h.k) AS brick, CASE WHEN b.k IS NULL THEN 'added' WHEN h.k IS NULL THEN 'removed' WHEN b.body = h.body THEN 'unchanged' ELSE 'edited' END AS status FROM b FULL JOIN h ON b.k = h.k""")
 def q13_status(spark, d):
     o = t(spark, d, "orders")
     body = lambda rows: rows.groupBy(F.col("o_custkey").alias("brick")).agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ",").alias("body"))
     day = lambda x: F.lit(x).cast("timestamp_ntz")
-    return change.statuses(body(o.where(F.col("o_orderdate") < day("1999-01-01"))), body(o.where((F.col("o_orderdate") < day("1999-03-01")) & (F.col("o_orderkey") % 97 != 5))), "brick", "body")
+    return change.statuses(body(o.where(F.col("o_orderdate") < day("1999-01-01"))), body(o.where((F.col("o_orderdate") >= day("1995-06-01")) & (F.col("o_orderdate") < day("1999-03-01")))), "brick", "body")
 
 
 _CO = """r AS (SELECT DISTINCT l_orderkey AS basket, l_suppkey AS item FROM lineitem), z AS (SELECT basket FROM r GROUP BY basket HAVING count(*) <= 6), c AS (SELECT * FROM r WHERE basket IN (SELECT basket FROM z)),
@@ -222,8 +222,7 @@ def q16_tests(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "lang")
     labels = t(spark, d, "labels").select("doc_id")
     gate = labels.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("lost")).crossJoin(F.broadcast(labels.agg(F.count("*").alias("specs")))).select((F.col("lost") <= 0.25 * F.col("specs")).alias("reliable"))
-    rows = docs.join(labels.distinct().withColumn("hit", F.lit(1)), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("total"), F.count("hit").alias("tested"))
-    return rows.withColumn("ratio", F.round(F.col("tested") / F.col("total"), 3)).crossJoin(F.broadcast(gate))
+    return rollup.ratios(docs, labels, "doc_id", "lang").crossJoin(F.broadcast(gate))
 
 
 OWNERS = (("", "root"), ("en", "english"), ("en/1", "first"), ("de", "german"), ("fr/4201", "one"))
@@ -253,12 +252,13 @@ _NATIONS = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_c
 
 @query(f"SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS w, (c_nationkey <> s_nationkey) AS crossing FROM {_NATIONS} GROUP BY ALL")
 def q19_module_edges(spark, d):
-    return _nation_lines(spark, d).groupBy("src", "dst").agg(F.count("*").alias("w")).withColumn("crossing", F.col("src") != F.col("dst"))
+    files = t(spark, d, "nation").select(F.col("n_nationkey").alias("path"), F.col("n_nationkey").alias("module"), F.lit("").alias("pattern"))
+    return rollup.level_edges(_nation_lines(spark, d), files, "module", 1).select("src", "dst", "w", "crossing")
 
 
 @query("SELECT c_nationkey AS module, c_mktsegment AS pattern, count(*) AS n FROM customer GROUP BY ALL")
 def q20_shape(spark, d):
-    return t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("module"), F.col("c_mktsegment").alias("pattern")).agg(F.count("*").alias("n"))
+    return rollup.shape(t(spark, d, "customer").select(F.col("c_nationkey").alias("module"), F.col("c_mktsegment").alias("pattern")))
 
 
 def _scored(spark, d):
@@ -285,10 +285,7 @@ def q22_churn(spark, d):
 @query(f"""WITH {_CO}, x AS (SELECT g.*, least(s.s_nationkey, u.s_nationkey) AS m1, greatest(s.s_nationkey, u.s_nationkey) AS m2 FROM g JOIN supplier s ON a = s.s_suppkey JOIN supplier u ON b = u.s_suppkey)
     SELECT m1, m2, a, b, degree FROM (SELECT *, row_number() OVER (PARTITION BY m1, m2 ORDER BY degree DESC, a, b) AS r FROM x) WHERE r = 1""")
 def q23_matrix_cell(spark, d):
-    s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    x = _pairs(spark, d).join(s.toDF("a", "na"), "a").join(s.toDF("b", "nb"), "b")
-    best = F.max_by(F.struct("a", "b", "degree"), F.struct("degree", -F.col("a"), -F.col("b")))
-    return x.groupBy(F.least("na", "nb").alias("m1"), F.greatest("na", "nb").alias("m2")).agg(best.alias("p")).select("m1", "m2", "p.a", "p.b", "p.degree")
+    return rollup.matrix_cells(_pairs(spark, d), t(spark, d, "supplier").select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").alias("module")))
 
 
 @query(f"SELECT item, commits, deps, score, row_number() OVER (ORDER BY score DESC, item) AS rank FROM ({_SCORE})")
@@ -348,7 +345,7 @@ def _traced(spark, d):
     return graph.traces(starts, down)
 
 
-@query(f"WITH {_TREE}, h AS (SELECT substr(dst, 2)::INTEGER AS start, 1 AS depth, src AS node, src AS o FROM tree WHERE starts_with(dst, 'r') UNION ALL SELECT substr(b.dst, 2)::INTEGER, 2, a.src, b.src || chr(1) || a.src FROM tree a JOIN tree b ON a.dst = b.src AND starts_with(a.src, 's') WHERE starts_with(b.dst, 'r')) SELECT start, (row_number() OVER (PARTITION BY start ORDER BY o) - 1)::INTEGER AS ord, depth, node, FALSE AS stalled FROM h")
+@query(f"WITH {_TREE}, h AS (SELECT substr(dst, 2)::INTEGER AS start, 1 AS depth, src AS node, src AS o FROM tree WHERE starts_with(dst, 'r') UNION ALL SELECT substr(b.dst, 2)::INTEGER, 2, a.src, b.src || chr(1) || a.src FROM tree a JOIN tree b ON a.dst = b.src WHERE starts_with(b.dst, 'r')) SELECT start, (row_number() OVER (PARTITION BY start ORDER BY o) - 1)::INTEGER AS ord, depth, node, FALSE AS stalled FROM h")
 def q28_trace(spark, d):
     return _traced(spark, d)
 
@@ -396,7 +393,7 @@ def q33_single_call(spark, d):
     return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_partkey").alias("l_partkey")).where("n = 1").drop("n")
 
 
-@query("""WITH c AS (SELECT event_id AS call_key, CASE WHEN event_type = 'error' THEN NULL ELSE list_concat(json_keys(props), [event_type]) END AS sent, CASE WHEN event_id % 2 = 0 THEN ['k', 'view', 'note'] ELSE ['k', 'click'] END AS names, CASE WHEN event_id % 2 = 0 THEN ['k'] ELSE ['k', 'click'] END AS needed FROM events WHERE event_id % 10 < 9),
+@query("""WITH c AS (SELECT event_id AS call_key, CASE WHEN event_type = 'error' THEN NULL ELSE list_concat(json_keys(props), [event_type]) END AS sent, CASE WHEN event_id % 2 = 0 THEN ['k', 'view', 'note'] ELSE ['k', 'click'] END AS names, CASE WHEN event_id % 2 = 0 THEN ['k'] ELSE ['k', 'click'] END AS needed FROM events),
     x AS (SELECT call_key, sent, list_sort(list_filter(sent, lambda s: NOT list_contains(names, s))) AS extra, list_sort(list_filter(needed, lambda s: NOT list_contains(sent, s))) AS missing FROM c)
     SELECT call_key, CASE WHEN sent IS NULL THEN NULL ELSE array_to_string(extra, ',') END AS extra, CASE WHEN sent IS NULL THEN NULL ELSE array_to_string(missing, ',') END AS missing, CASE WHEN sent IS NULL THEN 'unread' WHEN len(extra) > 0 OR len(missing) > 0 THEN 'differ' ELSE 'agree' END AS status FROM x""")
 def q34_contracts(spark, d):
@@ -473,3 +470,173 @@ def q44_uncovered(spark, d):
 @query("SELECT p_partkey, substr(sha1('r' || '|' || p_brand || '|' || p_type), 1, 12) AS fingerprint FROM part")
 def q45_fingerprint(spark, d):
     return t(spark, d, "part").select("p_partkey", fingerprint(F.lit("r"), F.col("p_brand"), F.col("p_type")).alias("fingerprint"))
+
+
+_FILES = "(SELECT 'c' || c_custkey AS path, c_nationkey AS folder, n_regionkey AS module, c_mktsegment AS pattern, c_custkey % 4 AS tier FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 's' || s_suppkey, s_nationkey, n_regionkey, 'SUPPLIER', 4 FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+_USES = "(SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def _files(spark, d):
+    n = t(spark, d, "nation")
+    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), "c_custkey").alias("path"), F.col("c_nationkey").alias("folder"), F.col("n_regionkey").alias("module"), F.col("c_mktsegment").alias("pattern"), (F.col("c_custkey") % 4).cast("int").alias("tier"))
+    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey"), "s_nationkey", "n_regionkey", F.lit("SUPPLIER"), F.lit(4))
+    return c.union(s)
+
+
+def _uses(spark, d):
+    li, o = t(spark, d, "lineitem"), t(spark, d, "orders")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+
+
+_LEVEL = "e AS (SELECT a.{0} AS f, b.{0} AS t, src || '>' || dst AS v FROM {1} JOIN {2} a ON src = a.path JOIN {2} b ON dst = b.path {3}), r AS (SELECT f, t, v, row_number() OVER (PARTITION BY f, t ORDER BY v) AS k FROM (SELECT DISTINCT f, t, v FROM e))"
+_LEVEL_OUT = ' SELECT e.f AS src, e.t AS dst, count(*) AS w, e.f <> e.t AS crossing, any_value(s.samples) AS samples FROM e JOIN (SELECT f, t, string_agg(v, \',\' ORDER BY v) AS samples FROM r WHERE k <= {0} GROUP BY f, t) s ON e.f = s.f AND e.t = s.t GROUP BY e.f, e.t'
+
+
+@query("WITH " + _LEVEL.format("folder", _USES, _FILES, "") + _LEVEL_OUT.format(6))
+def q46_folder_edges(spark, d):
+    return rollup.level_edges(_uses(spark, d), _files(spark, d), "folder", 6)
+
+
+@query("WITH " + _LEVEL.format("module", _USES, _FILES, "WHERE a.pattern <> 'MACHINERY' AND a.module <> b.module") + _LEVEL_OUT.format(4))
+def q47_module_edges(spark, d):
+    return rollup.level_edges(_uses(spark, d), _files(spark, d), "module", 4, (F.col("src_pattern") != "MACHINERY") & (F.col("src_module") != F.col("dst_module")))
+
+
+@query(f"SELECT module, count(*) AS files, count(DISTINCT folder) AS folders FROM {_FILES} GROUP BY module")
+def q48_modules(spark, d):
+    return rollup.modules(_files(spark, d))
+
+
+_CLAIMS = "c AS (SELECT DISTINCT o_orderkey AS path, o_custkey AS spec, (o_orderkey % 3)::INTEGER AS strategy FROM orders WHERE o_totalprice > 300000)"
+
+
+@query(f"WITH {_CLAIMS}, p AS (SELECT c_custkey, count(DISTINCT path) AS n FROM customer LEFT JOIN c ON spec = c_custkey GROUP BY 1) SELECT count(*) AS specs, count(*) FILTER (n <> 1) AS unmatched, count(*) FILTER (n <> 1) <= 0.25 * count(*) AS reliable, (SELECT strategy FROM c GROUP BY strategy ORDER BY count(*) DESC, strategy LIMIT 1) AS strategy FROM p")
+def q49_test_claims(spark, d):
+    claimed = t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("spec"), (F.col("o_orderkey") % 3).cast("int").alias("strategy"))
+    return rollup.claims(claimed, t(spark, d, "customer").select(F.col("c_custkey").alias("spec")))
+
+
+@query(f"""WITH f AS {_FILES}, e AS (SELECT n_regionkey AS module, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority LIKE '1%' GROUP BY 1),
+    v AS (SELECT module, count(*) AS n FROM f JOIN (SELECT 'c' || c_custkey AS path FROM customer WHERE c_acctbal < 0) USING (path) GROUP BY 1)
+    SELECT f.module, count(*) AS floors, array_to_string(list_filter([0, 1, 2, 3, 4, 5], lambda x: NOT list_contains(list(DISTINCT tier), x)), ',') AS missing, coalesce(any_value(e.n), 0) AS endpoints, coalesce(any_value(v.n), 0) AS findings FROM f LEFT JOIN e USING (module) LEFT JOIN v USING (module) GROUP BY f.module""")
+def q50_city(spark, d):
+    o, c, n = (t(spark, d, x) for x in ("orders", "customer", "nation"))
+    served = o.where("o_orderpriority like '1%'").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("module"))
+    found = c.where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("src"))
+    return rollup.city(_files(spark, d), (0, 1, 2, 3, 4, 5), served, found)
+
+
+@query("SELECT s_suppkey AS node, count(DISTINCT l_partkey) AS refs, CASE WHEN count(DISTINCT l_partkey) >= 60 THEN 'hub' ELSE 'leaf' END AS kind FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+def q51_inbound(spark, d):
+    edges = t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return rollup.inbound(t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), edges, 60)
+
+
+@query(f"SELECT extra AS side, count(*) FILTER (status = 'agree') AS agree, count(*) FILTER (status = 'differ') AS differ, count(*) FILTER (status = 'unread') AS unread FROM ({ORACLE_SQL['q34_contracts']}) WHERE extra IS NOT NULL GROUP BY extra")
+def q52_contract_tallies(spark, d):
+    rows = q34_contracts(spark, d).where("extra is not null").withColumnRenamed("extra", "side")
+    return rollup.tallies(rows, "side", "status", ("agree", "differ", "unread"))
+
+
+_BLAST = f"base AS (SELECT * FROM tree WHERE NOT starts_with(src, 's')), head AS (SELECT * FROM tree WHERE NOT starts_with(src, 'c')), seed(n) AS (VALUES ('r0'), ('n3')), ra(n, depth) AS (SELECT src, 1 FROM base JOIN seed ON dst = n UNION SELECT src, depth + 1 FROM ra JOIN base ON dst = n), rb(n, depth) AS (SELECT src, 1 FROM head JOIN seed ON dst = n UNION SELECT src, depth + 1 FROM rb JOIN head ON dst = n), u AS (SELECT n AS node, min(depth) AS depth FROM (FROM ra UNION ALL FROM rb) WHERE n NOT IN (FROM seed) GROUP BY 1)"
+
+
+def _blasted(spark, d):
+    tree = _tree(spark, d)
+    return report.blast(tree.where("src not like 's%'"), tree.where("src not like 'c%'"), spark.createDataFrame([("r0",), ("n3",)], "node string"))
+
+
+@query(f"WITH RECURSIVE {_TREE}, {_BLAST} SELECT * FROM u")
+def q53_diff_blast(spark, d):
+    return _blasted(spark, d)
+
+
+@query(f"WITH RECURSIVE {_TREE}, {_BLAST} SELECT count(*) FILTER (depth = 1) AS direct, count(*) AS transitive, (SELECT count(*) FROM tree) AS total, round(100 * count(*) / (SELECT count(*) FROM tree), 1) AS pct FROM u")
+def q54_diff_scope(spark, d):
+    return report.scope(_blasted(spark, d), _tree(spark, d))
+
+
+@query(f"""WITH {_CO}, ch AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey < 8), o AS (SELECT node, count(DISTINCT x) AS missing FROM (SELECT a AS node, b AS x FROM g WHERE a IN (FROM ch) AND b NOT IN (FROM ch) UNION ALL SELECT b, a FROM g WHERE b IN (FROM ch) AND a NOT IN (FROM ch)) GROUP BY 1),
+    k AS (SELECT l_suppkey AS node, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS rank FROM lineitem GROUP BY 1)
+    SELECT ch.node, k.rank, coalesce(missing, 0)::INTEGER AS missing, s.s_acctbal < 0 AS untested FROM ch JOIN supplier s ON node = s_suppkey LEFT JOIN o USING (node) LEFT JOIN k USING (node) WHERE k.rank IS NOT NULL OR missing > 0 OR s.s_acctbal < 0""")
+def q55_diff_risks(spark, d):
+    s = t(spark, d, "supplier")
+    ranked = history.ranked(t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.count("*").alias("score")), "node")
+    changed = s.where("s_nationkey < 8").select(F.col("s_suppkey").alias("node"))
+    return report.risks(changed, ranked, _pairs(spark, d), s.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("node")), spark.createDataFrame([(True,)], "reliable boolean"))
+
+
+_FOUND = "f AS (SELECT p_type AS finding, CASE WHEN p_type = 'PROMO' THEN 'note' WHEN p_type = 'LARGE' THEN 'crit' ELSE 'warn' END AS tone, p_type <> 'SMALL' AS gate, p_brand AS src, p_size::VARCHAR AS dst FROM part)"
+
+
+def _catalogue(spark, d):
+    tone = F.when(F.col("p_type") == "PROMO", "note").when(F.col("p_type") == "LARGE", "crit").otherwise("warn")
+    return t(spark, d, "part").select(F.col("p_type").alias("finding"), tone.alias("tone"), (F.col("p_type") != "SMALL").alias("gate"), F.col("p_brand").alias("src"), F.col("p_size").cast("string").alias("dst"))
+
+
+@query(f"WITH {_FOUND} SELECT DISTINCT substr(sha1(finding || '|' || src || '|' || dst), 1, 12) AS fingerprint, finding AS rule, src, dst, CASE finding WHEN 'ECONOMY' THEN 'crit' ELSE 'warn' END AS sev FROM f WHERE tone IN ('warn', 'crit') AND gate")
+def q56_violations(spark, d):
+    return report.violations(_catalogue(spark, d), spark.createDataFrame([("ECONOMY", "crit"), ("GIANT", "crit")], "rule string, sev string"))
+
+
+@query(f"WITH {_FOUND} SELECT finding, count(*) AS n FROM f WHERE tone IN ('warn', 'crit') AND NOT gate GROUP BY 1")
+def q57_ungated(spark, d):
+    return report.ungated(_catalogue(spark, d))
+
+
+_PART = "SELECT o_custkey AS brick, o_orderpriority AS part, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS body FROM orders WHERE o_orderdate {} GROUP BY 1, 2"
+
+
+@query(f"WITH b AS ({_PART.format(chr(60) + ' TIMESTAMP ' + chr(39) + '1997-06-01' + chr(39))}), h AS ({_PART.format('>= TIMESTAMP ' + chr(39) + '1995-06-01' + chr(39))}), k AS (SELECT brick FROM b INTERSECT SELECT brick FROM h), x AS (SELECT * FROM b WHERE brick IN (FROM k)), y AS (SELECT * FROM h WHERE brick IN (FROM k)) SELECT * FROM (SELECT coalesce(x.brick, y.brick) AS brick, coalesce(x.part, y.part) AS part, CASE WHEN x.body IS NULL THEN 'added' WHEN y.body IS NULL THEN 'removed' WHEN x.body = y.body THEN 'unchanged' ELSE 'edited' END AS status FROM x FULL JOIN y ON x.brick = y.brick AND x.part = y.part) WHERE status <> 'unchanged'")
+def q58_parts(spark, d):
+    o, day = t(spark, d, "orders"), lambda x: F.lit(x).cast("timestamp_ntz")
+    body = lambda rows: rows.groupBy(F.col("o_custkey").alias("brick"), F.col("o_orderpriority").alias("part")).agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ",").alias("body"))
+    return report.parts(body(o.where(F.col("o_orderdate") < day("1997-06-01"))), body(o.where(F.col("o_orderdate") >= day("1995-06-01"))))
+
+
+@query("SELECT DISTINCT 'fe:' || c_mktsegment AS src, 'be:' || p_brand AS dst, l_returnflag AS call FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey")
+def q59_stack_pairs(spark, d):
+    calls = _lines(spark, d).select(F.col("c_mktsegment").alias("brick"), F.col("l_partkey").alias("endpoint_id"), F.col("l_returnflag").alias("call")).distinct()
+    return report.across(calls, t(spark, d, "part").select(F.col("p_partkey").alias("endpoint_id"), F.col("p_brand").alias("brick"))).distinct()
+
+
+@query(f"SELECT item, commits, deps, score FROM ({_SCORE}) JOIN part ON item = p_partkey WHERE p_type NOT IN ('PROMO', 'SMALL') AND p_size >= 10 ORDER BY score DESC, item LIMIT 15")
+def q60_untested_risk(spark, d):
+    part = t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("pattern"), "p_size")
+    return history.top(history.untested_risk(_scored(spark, d), part, part.where("p_size < 10"), "item", ("PROMO", "SMALL")), 15, F.desc("score"), F.col("item"))
+
+
+@query(f"SELECT item, commits, deps, score FROM ({_SCORE}) JOIN part ON item = p_partkey WHERE p_type NOT IN ('PROMO', 'SMALL') ORDER BY score DESC, item LIMIT 15")
+def q61_quiet_hotspots(spark, d):
+    part = t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("pattern"))
+    return history.top(history.quiet(_scored(spark, d), part, "item", ("PROMO", "SMALL")), 15, F.desc("score"), F.col("item"))
+
+
+@query(f"""WITH {_CO} SELECT 'hotspots' AS finding, 'note' AS tone, FALSE AS gate, item::VARCHAR AS src, score::VARCHAR AS dst FROM (SELECT item, score FROM ({_SCORE}) ORDER BY score DESC, item LIMIT 15)
+    UNION ALL SELECT 'logical-coupling', 'note', FALSE, a::VARCHAR, b::VARCHAR FROM g WHERE degree >= 0.03 AND (a, b) NOT IN (SELECT a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey)
+    UNION ALL SELECT 'absent-patterns', 'note', FALSE, x, '' FROM (VALUES ('PROMO'), ('GIANT')) v(x) WHERE x NOT IN (SELECT p_type FROM part)
+    UNION ALL SELECT 'implicit-fk', 'note', FALSE, 'lineitem.' || x, x FROM (VALUES ('orderkey'), ('partkey')) v(x)
+    UNION ALL SELECT 'contract-drift', 'warn', FALSE, call_key::VARCHAR, '' FROM ({ORACLE_SQL['q34_contracts']}) WHERE status = 'differ'
+    UNION ALL SELECT 'controller-unregistered', 'warn', TRUE, s_name, s_suppkey::VARCHAR FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)
+    UNION ALL SELECT 'test-ratio', 'note', FALSE, lang, tested || '/' || total FROM ({ORACLE_SQL['q16_tests']}) WHERE reliable
+    UNION ALL SELECT 'untested-risk', 'warn', FALSE, item::VARCHAR, score::VARCHAR FROM ({ORACLE_SQL['q60_untested_risk']})""")
+def q62_findings(spark, d):
+    s = t(spark, d, "supplier")
+    far = t(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_suppkey").cast("string").alias("cls"))
+    keys = spark.createDataFrame([("lineitem", x, x) for x in ("orderkey", "partkey")], "cls string, column string, refers_to string")
+    tests = q16_tests(spark, d)
+    return findings.catalogue(
+        findings.hotspots(q21_hotspots(spark, d), "item"),
+        findings.coupled(q14b_explained(spark, d), 0.03),
+        findings.absent_patterns(classify.absent(t(spark, d, "part"), "p_type", ["PROMO", "GIANT"]), "p_type"),
+        findings.implicit_keys(keys),
+        findings.contract_drift(q34_contracts(spark, d)),
+        findings.unregistered(s.select(F.col("s_name").alias("path"), F.col("s_suppkey").cast("string").alias("cls")), far),
+        findings.test_ratios(tests.drop("reliable"), tests.select("reliable").limit(1), "lang"),
+        findings.untested_risk(q60_untested_risk(spark, d), "item"),
+    )
+
+
+@query("SELECT 'dag' AS finding, 'warn' AS tone, FALSE AS gate, min(node)::VARCHAR AS src, string_agg(node::VARCHAR, ',' ORDER BY node) FILTER (node <> comp) AS dst FROM (" + ORACLE_SQL["q25_components"] + ") WHERE graph = 'all' GROUP BY comp")
+def q63_module_cycles(spark, d):
+    return findings.module_cycles(_nation_graph(spark, d, 2))

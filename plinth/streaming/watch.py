@@ -23,8 +23,9 @@ def publish(bursts: DataFrame, recompute: Callable[[DataFrame, int], str], point
     """A stream writer that recomputes once per micro-batch with rows.
 
     recompute returns where its result is; pointer["current"] moves only when it
-    succeeds, so readers keep the last good result, and pointer["error"] says why
-    it did not.
+    succeeds, so readers keep the last good result. When it fails, pointer["error"]
+    says why and the stream stops: the batch is not committed, and the next run
+    recomputes it.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -36,5 +37,6 @@ def publish(bursts: DataFrame, recompute: Callable[[DataFrame, int], str], point
             pointer.pop("error", None)
         except Exception as e:  # the last good result stays
             pointer["error"] = str(e)
+            raise
 
     return bursts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
