@@ -66,6 +66,80 @@ def request_drift(calls: DataFrame) -> DataFrame:
     return calls.select("call_key", extra.alias("extra"), missing.alias("missing"), status.alias("status"))
 
 
+#: A message's shape: fields map a name to whether it is optional; literal tells keys that are sent from fields of a type.
+SHAPE = "struct<none:boolean,array:boolean,literal:boolean,open:boolean,fields:map<string,boolean>>"
+
+
+def _required(shape: Column) -> Column:
+    return F.map_keys(F.map_filter(shape["fields"], lambda k, optional: ~optional))
+
+
+def _verdict(unread: Column, agree: Column, differ: Column, lists: dict[str, Column]) -> list[Column]:
+    """status and the lists; these are empty unless the status comes from them."""
+    none = F.array().cast("array<string>")
+    compared = ~(unread | agree | differ)
+    kept = {k: F.when(compared, F.array_sort(v)).otherwise(none) for k, v in lists.items()}
+    uneven = F.lit(False)
+    for v in kept.values():
+        uneven = uneven | (F.size(v) > 0)
+    status = F.when(unread, "unread").when(agree, "agree").when(differ | uneven, "differ").otherwise("agree")
+    return [status.alias("status"), *[v.alias(k) for k, v in kept.items()]]
+
+
+def _is(flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False))
+
+
+def request_contracts(calls: DataFrame) -> DataFrame:
+    """(call_key, status, extra, missing, optional) of what a call sends (sent) and its endpoint reads (dto), both a SHAPE.
+
+    extra is sent and not read, missing is required and not sent, optional is
+    required and may be left out by the sender's type. A null shape or an array
+    is unread; an open shape has no extra or missing fields.
+    """
+    sent, dto = F.col("sent"), F.col("dto")
+    no_body, no_read = _is(sent["none"]), _is(dto["none"])
+    unread = sent.isNull() | dto.isNull() | ~(no_body | no_read) & (_is(sent["array"]) | _is(dto["array"])) | (no_body & ~no_read & _is(dto["array"]))
+    keys = F.when(no_body, F.array().cast("array<string>")).otherwise(F.map_keys(sent["fields"]))
+    none = F.array().cast("array<string>")
+    lists = {
+        "extra": F.when(_is(dto["open"]), none).otherwise(F.array_except(keys, F.map_keys(dto["fields"]))),
+        "missing": F.when(_is(sent["open"]), none).otherwise(F.array_except(_required(dto), keys)),
+        "optional": F.when(_is(sent["literal"]) | no_body, none).otherwise(F.filter(_required(dto), lambda k: _is(F.element_at(sent["fields"], k)))),
+    }
+    return calls.select("call_key", *_verdict(unread, ~unread & no_body & no_read, ~unread & ~no_body & no_read, lists))
+
+
+def response_contracts(calls: DataFrame) -> DataFrame:
+    """(call_key, status, missing) of what a call expects back (expects) and its handler returns (returns), both a SHAPE.
+
+    missing is required by the caller and not declared; fields that the caller
+    ignores are no difference. Null shapes, or fields, are unread.
+    """
+    e, r = F.col("expects"), F.col("returns")
+    known = e.isNotNull() & r.isNotNull()
+    agree = known & _is(e["none"])
+    uneven = known & ~_is(e["none"]) & (_is(r["none"]) | (_is(e["array"]) != _is(r["array"])))
+    unread = ~known | ~agree & ~uneven & (e["fields"].isNull() | r["fields"].isNull())
+    missing = F.when(_is(r["open"]), F.array().cast("array<string>")).otherwise(F.array_except(_required(e), F.map_keys(r["fields"])))
+    return calls.select("call_key", *_verdict(unread, agree, uneven, {"missing": missing}))
+
+
+def frames(base: DataFrame, later: DataFrame, key: str, body: str) -> DataFrame:
+    """(frame, key, status) of what each frame of later (frame, key, body) changes against the base (key, body), not against the frame before."""
+    numbers = later.select("frame").distinct()
+    old = base.join(F.broadcast(numbers)).select(F.struct("frame", key).alias("__k"), body)  # a row per frame of a history
+    new = later.select(F.struct("frame", key).alias("__k"), body)
+    return statuses(old, new, "__k", body).where("status <> 'unchanged'").select("__k.frame", f"__k.{key}", "status")
+
+
+def port_pairs(calls: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(src, dst, calls): calls (src, dst, call) as pairs, and those to a port (port, cls) from the port on to its class."""
+    direct = calls.select("src", "dst", "call")
+    through = calls.join(bindings.select(F.col("port").alias("dst"), "cls").distinct(), "dst").select(F.col("dst").alias("src"), F.col("cls").alias("dst"), "call")
+    return direct.union(through).groupBy("src", "dst").agg(F.array_sort(F.collect_set("call")).alias("calls"))
+
+
 def summary(classed: DataFrame) -> DataFrame:
     """(class, brick, n, calls): pairs by class and the existing brick they hang on.
 

@@ -76,6 +76,19 @@ def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, name: str)
     return points.join(best, "point_id", "left")
 
 
+def declared_in(uses: DataFrame, symbols: DataFrame, declarations: DataFrame) -> DataFrame:
+    """uses (path, type) with file: that which the import of the name (path, local, file) gives, else the own one if it declares it."""
+    own = declarations.select("path", F.col("name").alias("type")).distinct().withColumn("__own", F.col("path"))
+    known = symbols.groupBy("path", F.col("local").alias("type")).agg(F.min("file").alias("__file"))
+    out = uses.join(known, ["path", "type"], "left").join(own, ["path", "type"], "left")
+    return out.select(*uses.columns, F.coalesce("__file", "__own").alias("file"))
+
+
+def within_lines(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
+    """points (by, point_id, line) with every span (by, first, last, name) whose lines, both included, hold them."""
+    return points.join(spans, by).where((F.col("first") <= F.col("line")) & (F.col("line") <= F.col("last")))
+
+
 def uncovered(points: DataFrame, spans: DataFrame, by: str, at: str) -> DataFrame:
     """points in no span of their key."""
     p, s = points.alias("p"), spans.alias("s")

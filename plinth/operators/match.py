@@ -59,6 +59,15 @@ def bridge(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return joined.select("call_id", "score", "n_best", F.when(F.col("n_best") == 1, F.col("first")).alias("route_id"), status.alias("status"))
 
 
+def served_or_not(calls: DataFrame, served: DataFrame, unregistered: DataFrame) -> DataFrame:
+    """bridge() over served routes, and for calls that match none over unregistered ones: those have status unserved."""
+    first = bridge(calls, served)
+    lost = calls.join(first.where("status = 'unmatched'").select("call_id"), "call_id", "left_semi")
+    second = bridge(lost, unregistered).where("n_best > 0").select("call_id", F.col("route_id").alias("__route"))
+    out = first.join(second.withColumn("__found", F.lit(True)), "call_id", "left")
+    return out.select("call_id", "score", "n_best", F.coalesce("route_id", "__route").alias("route_id"), F.when(F.col("__found"), "unserved").otherwise(F.col("status")).alias("status"))
+
+
 def unreached(routes: DataFrame, bridged: DataFrame) -> DataFrame:
     return routes.join(bridged.where("status = 'matched'").select("route_id"), "route_id", "left_anti")
 

@@ -98,3 +98,18 @@ def inbound(nodes: DataFrame, edges: DataFrame, hub: int = 2) -> DataFrame:
 def tallies(rows: DataFrame, by: str, status: str, values: Sequence[str]) -> DataFrame:
     """by and the number of rows of each status value."""
     return rows.groupBy(by).agg(*[F.count(F.when(F.col(status) == v, 1)).alias(v) for v in values])
+
+
+def by_tone(found: DataFrame) -> DataFrame:
+    """(tone, findings, places): distinct findings of each tone and the places that they name."""
+    return found.groupBy("tone").agg(F.countDistinct("finding").alias("findings"), F.count("*").alias("places"))
+
+
+def extremes(scored: DataFrame, names: Sequence[str], item: str) -> DataFrame:
+    """One row: for each named column the item with its largest value, the smallest item of equals."""
+    return scored.agg(*[F.min_by(item, F.struct(-F.col(n), F.col(item))).alias(n) for n in names])
+
+
+def containing(rows: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
+    """rows in which the columns, joined by blanks, contain text whatever its case."""
+    return rows.where(F.lower(F.concat_ws(" ", *columns)).contains(text.lower()))

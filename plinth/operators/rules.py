@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,31 @@ def skip_rules(spark: SparkSession, flow: Sequence[str]) -> DataFrame:
     return pairs.select(F.concat_ws(">", "a.station", "b.station").alias("rule"), F.col("a.station").alias("from_pattern"), F.col("b.station").alias("to_pattern"), jump.alias("jump"), F.when(jump >= 2, "crit").otherwise("warn").alias("sev"))
 
 
+def stations(spark: SparkSession, flow: Sequence[str], aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """(pattern, idx): the place in the flow of each station and of the patterns that stand for one."""
+    place = {p: i for i, p in enumerate(flow)}
+    rows = [*place.items(), *((a, place[p]) for a, p in (aliases or {}).items() if p in place and a not in place)]
+    return spark.createDataFrame(rows, "pattern string, idx int")
+
+
+def skip_tags(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges (…, from_pattern, to_pattern) that skip stations, with jump and sev; aliases count as their station.
+
+    Unlike findings of skip_rules(), which name patterns literally.
+    """
+    side = lambda k: F.broadcast(known.select(F.col("pattern").alias(f"{k}_pattern"), F.col("idx").alias(f"__{k}")))  # noqa: E731  # a row per pattern
+    rows = edges.join(side("from"), "from_pattern").join(side("to"), "to_pattern").withColumn("jump", F.col("__to") - F.col("__from") - 1)
+    return rows.where("jump >= 1").withColumn("sev", F.when(F.col("jump") >= 2, "crit").otherwise("warn")).drop("__from", "__to")
+
+
+def severities(nodes: DataFrame, tagged: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes (node) with severity: the worst of their out-links (src, sev), else flagged if a finding (src) names them, else none."""
+    worst = tagged.groupBy(F.col("src").alias("node")).agg(F.max((F.col("sev") == "crit").cast("int")).alias("__crit"))
+    flagged = found.select(F.col("src").alias("node")).distinct().withColumn("__flag", F.lit(True))
+    out = nodes.join(worst, "node", "left").join(flagged, "node", "left")
+    return out.select(*nodes.columns, F.when(F.col("__crit") == 1, "crit").when(F.col("__crit") == 0, "warn").when(F.col("__flag"), "flagged").otherwise("none").alias("severity"))
+
+
 def expand_rules(spark: SparkSession, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> DataFrame:
     """(rule, from_pattern, to_pattern) of rules whose ends are lists."""
     rows = spark.createDataFrame([(r, list(a), list(b)) for r, a, b in rules], "rule string, f array<string>, t array<string>")

@@ -640,3 +640,75 @@ def q62_findings(spark, d):
 @query("SELECT 'dag' AS finding, 'warn' AS tone, FALSE AS gate, min(node)::VARCHAR AS src, string_agg(node::VARCHAR, ',' ORDER BY node) FILTER (node <> comp) AS dst FROM (" + ORACLE_SQL["q25_components"] + ") WHERE graph = 'all' GROUP BY comp")
 def q63_module_cycles(spark, d):
     return findings.module_cycles(_nation_graph(spark, d, 2))
+
+
+_STATIONS = "st(p, i) AS (VALUES ('BUILDING', 0), ('FURNITURE', 0), ('MACHINERY', 1), ('PROMO', 2), ('LARGE', 3), ('SMALL', 3))"
+
+
+def _tagged(spark, d):
+    edges = _lines(spark, d).select(F.col("c_mktsegment").alias("from_pattern"), F.col("p_type").alias("to_pattern"), F.col("o_custkey").alias("src"))
+    return rules.skip_tags(edges, rules.stations(spark, ("BUILDING", "MACHINERY", "PROMO", "LARGE"), {"FURNITURE": "BUILDING", "SMALL": "LARGE"}))
+
+
+@query(f"WITH {_STATIONS} SELECT c_mktsegment AS from_pattern, p_type AS to_pattern, b.i - a.i - 1 AS jump, CASE WHEN b.i - a.i - 1 >= 2 THEN 'crit' ELSE 'warn' END AS sev, count(*) AS n FROM {_EDGES} JOIN st a ON c_mktsegment = a.p JOIN st b ON p_type = b.p WHERE b.i - a.i >= 2 GROUP BY ALL")
+def q64_skip_tags(spark, d):
+    return _tagged(spark, d).groupBy("from_pattern", "to_pattern", "jump", "sev").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_STATIONS}, x AS (SELECT o_custkey AS node, max(b.i - a.i >= 3) AS crit FROM {_EDGES} JOIN st a ON c_mktsegment = a.p JOIN st b ON p_type = b.p WHERE b.i - a.i >= 2 GROUP BY 1) SELECT c_custkey AS node, CASE WHEN crit THEN 'crit' WHEN NOT crit THEN 'warn' WHEN c_acctbal < 0 THEN 'flagged' ELSE 'none' END AS severity FROM customer LEFT JOIN x ON node = c_custkey")
+def q65_severities(spark, d):
+    c = t(spark, d, "customer")
+    return rules.severities(c.select(F.col("c_custkey").alias("node")), _tagged(spark, d), c.where("c_acctbal < 0").select(F.col("c_custkey").alias("src")))
+
+
+def _some_routes(*ids):
+    return _BRIDGE.replace(_ROUTES, f"(SELECT * FROM {_ROUTES} WHERE route_id IN {ids}) r")
+
+
+@query(f"WITH x AS (WITH {_some_routes(1, 3)} SELECT * FROM o), y AS (WITH {_some_routes(2, 4, 5)} SELECT * FROM o) SELECT call_id, x.score, x.n_best, CASE WHEN x.status = 'unmatched' THEN y.route_id ELSE x.route_id END AS route_id, CASE WHEN x.status = 'unmatched' AND y.n_best > 0 THEN 'unserved' ELSE x.status END AS status FROM x JOIN y USING (call_id)")
+def q66_unserved(spark, d):
+    path = F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)
+    verb = F.when(F.col("page_id") % 11 == 0, None).when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
+    calls = t(spark, d, "pages").select(F.col("page_id").alias("call_id"), verb.alias("verb"), match.url_segments(path).alias("parts"))
+    routes = spark.createDataFrame(list(ROUTES), "route_id int, verb string, path string").select("route_id", "verb", match.url_segments(F.col("path")).alias("parts"))
+    return match.served_or_not(calls, routes.where("route_id in (1, 3)"), routes.where("route_id not in (1, 3)"))
+
+
+@query(f"WITH c AS (SELECT DISTINCT c_nationkey AS src, 100 + s_nationkey AS dst, l_returnflag AS call FROM {_NATIONS}), b AS (SELECT 100 + n_nationkey AS port, 200 + n_regionkey AS cls FROM nation WHERE n_nationkey < 5) SELECT src, dst, string_agg(DISTINCT call, ',' ORDER BY call) AS calls FROM (FROM c UNION ALL SELECT port, cls, call FROM c JOIN b ON dst = port) GROUP BY src, dst")
+def q67_port_pairs(spark, d):
+    li, o, c, s = (t(spark, d, x) for x in ("lineitem", "orders", "customer", "supplier"))
+    calls = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, F.col("l_suppkey") == s.s_suppkey).select(F.col("c_nationkey").alias("src"), (F.col("s_nationkey") + 100).alias("dst"), F.col("l_returnflag").alias("call"))
+    ports = t(spark, d, "nation").where("n_nationkey < 5").select((F.col("n_nationkey") + 100).alias("port"), (F.col("n_regionkey") + 200).alias("cls"))
+    return change.port_pairs(calls, ports).withColumn("calls", F.array_join("calls", ","))
+
+
+@query("""WITH b AS (SELECT o_custkey AS k, count(*)::VARCHAR AS body FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), n AS (SELECT DISTINCT o_orderpriority AS frame FROM orders WHERE o_orderpriority <> '1-URGENT'), x AS (SELECT frame, k, body FROM b, n), y AS (SELECT o_orderpriority AS frame, o_custkey AS k, count(*)::VARCHAR AS body FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1, 2)
+    SELECT * FROM (SELECT coalesce(x.frame, y.frame) AS frame, coalesce(x.k, y.k) AS brick, CASE WHEN x.body IS NULL THEN 'added' WHEN y.body IS NULL THEN 'removed' WHEN x.body = y.body THEN 'unchanged' ELSE 'edited' END AS status FROM x FULL JOIN y ON x.frame = y.frame AND x.k = y.k) WHERE status <> 'unchanged'""")
+def q68_frames(spark, d):
+    o = t(spark, d, "orders")
+    rows = o.groupBy(F.col("o_orderpriority").alias("frame"), F.col("o_custkey").alias("brick")).agg(F.count("*").cast("string").alias("body"))
+    return change.frames(rows.where("frame = '1-URGENT'").drop("frame"), rows.where("frame <> '1-URGENT'"), "brick", "body")
+
+
+@query(f"WITH {_FOUND} SELECT tone, count(DISTINCT finding) AS findings, count(*) AS places FROM f GROUP BY tone")
+def q69_by_tone(spark, d):
+    return rollup.by_tone(_catalogue(spark, d))
+
+
+@query(f"SELECT (SELECT item FROM ({_SCORE}) ORDER BY commits DESC, item LIMIT 1) AS commits, (SELECT item FROM ({_SCORE}) ORDER BY deps DESC, item LIMIT 1) AS deps, (SELECT item FROM ({_SCORE}) ORDER BY score DESC, item LIMIT 1) AS score")
+def q70_extremes(spark, d):
+    return rollup.extremes(_scored(spark, d), ("commits", "deps", "score"), "item")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'cold')")
+def q71_containing(spark, d):
+    return rollup.containing(t(spark, d, "part"), "COLD", ("p_name", "p_brand", "p_type")).select("p_partkey")
+
+
+@query("SELECT c_custkey AS path, n_name AS type, CASE WHEN n_regionkey = 1 THEN n_nationkey WHEN c_nationkey = n_nationkey THEN c_custkey END AS file FROM customer, nation WHERE n_nationkey < 6")
+def q72_declared_in(spark, d):
+    n, c = t(spark, d, "nation"), t(spark, d, "customer")
+    uses = c.select(F.col("c_custkey").alias("path")).join(F.broadcast(n.where("n_nationkey < 6").select(F.col("n_name").alias("type"))))  # six names
+    symbols = c.select(F.col("c_custkey").alias("path")).join(F.broadcast(n.where("n_regionkey = 1").select(F.col("n_name").alias("local"), F.col("n_nationkey").cast("long").alias("file"))))
+    own = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("path"), F.col("n_name").alias("name"))
+    return lookup.declared_in(uses, symbols, own)

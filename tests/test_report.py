@@ -87,3 +87,42 @@ def test_notes_are_kept_or_dropped(spark):
     was = spark.createDataFrame([("a", "why"), ("b", "gone"), ("c", None)], "fingerprint string, note string")
     now = spark.createDataFrame([("a",), ("c",), ("d",)], "fingerprint string")
     assert tuple(report.notes(now, was).first()) == (1, 1)
+
+
+def shape(**kw):
+    return {"none": False, "array": False, "literal": False, "open": False, "fields": {}, **kw}
+
+
+def test_request_and_response_contracts(spark):
+    needs = shape(fields={"a": False, "b": True})
+    sent = [shape(fields={"a": False}), shape(literal=True, fields={"a": False, "x": False}), shape(fields={"a": True}), shape(none=True), shape(none=True), shape(fields={"a": False}), None, shape(array=True), shape(open=True), shape(fields={"z": False})]
+    reads = [needs, needs, needs, needs, shape(none=True), shape(none=True), needs, needs, needs, shape(open=True, fields={"a": False})]
+    from plinth.operators import change
+
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(sent, reads))], f"call_key long, sent {change.SHAPE}, dto {change.SHAPE}")
+    got = {r.call_key: (r.status, *map(list, (r.extra, r.missing, r.optional))) for r in change.request_contracts(rows).collect()}
+    none = ([], [], [])
+    assert got == {0: ("agree", *none), 1: ("differ", ["x"], [], []), 2: ("differ", [], [], ["a"]), 3: ("differ", [], ["a"], []), 4: ("agree", *none), 5: ("differ", *none), 6: ("unread", *none), 7: ("unread", *none), 8: ("agree", *none), 9: ("differ", [], ["a"], [])}
+    expects = [needs, needs, shape(none=True), needs, needs, None, shape(array=True, fields={"a": False}), needs]
+    returns = [shape(fields={"a": True}), shape(fields={"b": False}), None, shape(none=True), shape(array=True, fields={"a": False}), needs, shape(array=True, fields={"a": False}), shape(open=True)]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(expects, returns))], f"call_key long, expects {change.SHAPE}, returns {change.SHAPE}")
+    got = {r.call_key: (r.status, list(r.missing)) for r in change.response_contracts(rows).collect()}
+    assert got == {0: ("agree", []), 1: ("differ", ["a"]), 2: ("unread", []), 3: ("differ", []), 4: ("differ", []), 5: ("unread", []), 6: ("agree", []), 7: ("agree", [])}
+
+
+def test_model_tables_and_baseline_are_kept(spark, tmp_path):
+    from plinth.sources import model
+
+    for snapshot, n in (("001", 1), ("002", 2)):
+        model.save({"file": spark.range(n).toDF("path")}, str(tmp_path / "m"), snapshot)
+    assert model.load(spark, str(tmp_path / "m"), ["file"], "001")["file"].count() == 1
+    assert {r.snapshot_id for r in model.load(spark, str(tmp_path / "m"), ["file"])["file"].collect()} == {"001", "002"}
+    now = spark.createDataFrame([("f1", "r", "a", "b"), ("f2", "r", "c", "d")], "fingerprint string, rule string, src string, dst string")
+    model.write_baseline(now, str(tmp_path / "b"), spark.createDataFrame([("f1", "known")], "fingerprint string, note string"))
+    assert {(r.fingerprint, r.note) for r in model.read_baseline(spark, str(tmp_path / "b")).collect()} == {("f1", "known"), ("f2", None)}
+
+
+def test_lines_hold_points(spark):
+    spans = spark.createDataFrame([("a", 1, 3, "x"), ("a", 3, 5, "y"), ("b", 1, 9, "z")], "path string, first int, last int, name string")
+    points = spark.createDataFrame([(1, "a", 3), (2, "b", 9), (3, "b", 10)], "point_id int, path string, line int")
+    assert {(r.point_id, r.name) for r in lookup.within_lines(points, spans, "path").collect()} == {(1, "x"), (1, "y"), (2, "z")}
