@@ -169,7 +169,7 @@ class _Counts:
 
     def add(self, text: str | None) -> None:
         found = chunks_of(text)
-        if len(max(found, key=len)) > WORD_CHARS:
+        if max(map(len, found)) > WORD_CHARS:
             for chunk in found:
                 if len(chunk) > WORD_CHARS:
                     self._count(chunk, 1)
