@@ -78,8 +78,9 @@ class WordBpe:
         self.model = self.library.model
         self.letters = dict(enumerate(byte_letters()))
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
-        self.digits = {i: str(i) for i in self.tokens}
+        tokens = self.library.get_vocab(with_added_tokens=True)
+        self.digits = {i: str(i) for i in tokens.values()}
+        self.tokens = {self.digits[i]: t for t, i in tokens.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def merge(self, word: str) -> list[int]:
@@ -120,41 +121,58 @@ def tokenizer(path: str) -> WordBpe:
 
 
 def chunks_of(text: str | None) -> list[str]:
-    """The text cut at spaces, tabs and line ends.
+    """The text cut at white space.
 
     Nothing reaches over white space: words hold none, and neither normal forms
-    nor lower case look across it. Other white space stays within a chunk.
+    nor lower case look across it. Python's split also cuts at the separators
+    U+001C to U+001F, which are none; texts with one are cut at common space alone.
     """
-    return (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    text = text or ""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [x for x in re.split("[ \t\n\r]+", text) if x]
+    return text.split()
 
 
 class _Chunks(Memory):
-    """One of chunks_of() -> its decimal ids and its tokens, both joined by spaces.
+    """One of chunks_of() -> its decimal ids, joined by spaces.
 
     A word goes to the transducer, then to the merges.
     """
 
+    #: One string a chunk, no tuple: small, and nothing for the garbage collector to walk.
+    ENTRY = 200
+
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None) -> None:
         super().__init__(REMEMBERED)
         self.bpe, self.lexicon = bpe, lexicon
 
     def ids(self, piece: str) -> list[int]:
-        if piece.startswith("<|") and (special := self.bpe.special.get(piece)) is not None:
+        if (special := self.bpe.special.get(piece)) is not None:
             return [special]
-        found = self.lexicon.get(piece.encode("utf-8", "surrogatepass")) if self.lexicon else None
+        found = None if self.lexicon is None else self.lexicon.get(piece.encode("utf-8", "surrogatepass"))
         return self.bpe.merge(piece) if found is None else found
 
-    def weigh(self, value: tuple[str, str]) -> int:
-        return len(value[0]) + len(value[1])
+    def weigh(self, value: str) -> int:
+        return len(value)
+
+    def make(self, chunk: str) -> str:
+        pieces = self.bpe.pieces(chunk)
+        ids = self.ids(pieces[0]) if len(pieces) == 1 else [i for piece in pieces for i in self.ids(piece)]
+        digits = self.bpe.digits
+        return digits[ids[0]] if len(ids) == 1 else " ".join([digits[i] for i in ids])
+
+    def encode(self, text: str | None) -> str:
+        """Ids of a whole text, joined by spaces."""
+        return " ".join(map(self.__getitem__, chunks_of(text)))
 
-    def make(self, chunk: str) -> tuple[str, str]:
-        ids = [i for piece in self.bpe.pieces(chunk) for i in self.ids(piece)]
-        return " ".join(map(self.bpe.digits.__getitem__, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
+    def decode(self, ids: str) -> str:
+        """The tokens of ids, joined by spaces."""
+        return " ".join(map(self.bpe.tokens.__getitem__, ids.split()))
 
     def text(self, text: str | None) -> tuple[str, str]:
         """Ids and tokens of a whole text, joined by spaces."""
-        found = [x for x in map(self.__getitem__, chunks_of(text)) if x[0]]
-        return " ".join([i for i, _ in found]), " ".join([t for _, t in found])
+        ids = self.encode(text)
+        return ids, self.decode(ids)
 
 
 def _memory(path: str, name: str | None) -> _Chunks:
@@ -169,7 +187,7 @@ class _Counts:
 
     def add(self, text: str | None) -> None:
         found = chunks_of(text)
-        if max(map(len, found)) > WORD_CHARS:
+        if max(map(len, found), default=0) > WORD_CHARS:
             for chunk in found:
                 if len(chunk) > WORD_CHARS:
                     self._count(chunk, 1)
@@ -277,8 +295,9 @@ def digests(docs: DataFrame, vocab: str, size: int = LEXICON) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, first, second = [], [], []
+            memory = _memory(vocab, name)
             for text in b.column("text"):
-                ids, tokens = _memory(vocab, name).text(text.as_py())
+                ids, tokens = memory.text(text.as_py())
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 first.append(hashlib.sha256(ids.encode()).hexdigest())
                 second.append(hashlib.sha256(tokens.encode()).hexdigest())

@@ -77,8 +77,9 @@ class Lexicon:
         if raw[:8].tobytes() != MAGIC:
             raise ValueError(f"{path} is not a lexicon")
         self.root, *sizes = struct.unpack("<8q", raw[8:72].tobytes())
-        #: Edges of the states that a lookup has come through.
-        self.edges: dict[int, dict[int, tuple[int, int]]] = {}
+        #: Edges of the states that a lookup has come through: state * 256 + label -> target * 256, output.
+        self.edges: dict[int, tuple[int, int]] = {}
+        self.seen: set[int] = set()
         at = 72
         for name, size in zip(_PARTS, sizes):
             setattr(self, name, memoryview(raw[at : at + size].view(_TYPES[name])))
@@ -91,19 +92,25 @@ class Lexicon:
     def states(self) -> int:
         return len(self.final)
 
+    def _edge(self, at: int, byte: int) -> tuple[int, int] | None:
+        """The edge of a state that edges has not shown; reads the state's edges when it is new."""
+        if at in self.seen:
+            return None
+        self.seen.add(at)
+        lo, hi = self.first[at >> 8], self.first[(at >> 8) + 1]
+        for label, target, output in zip(self.label[lo:hi], self.target[lo:hi], self.output[lo:hi]):
+            self.edges[at | label] = (target << 8, output)
+        return self.edges.get(at | byte)
+
     def get(self, word: bytes) -> list[int] | None:
         """The ids of word, or None if the automaton does not hold it."""
-        state, rank, known = self.root, 0, self.edges
+        at, rank, known = self.root << 8, 0, self.edges
         for byte in word:
-            edges = known.get(state)
-            if edges is None:
-                lo, hi = self.first[state], self.first[state + 1]
-                edges = known[state] = dict(zip(self.label[lo:hi], zip(self.target[lo:hi], self.output[lo:hi])))
-            step = edges.get(byte)
+            step = known.get(at | byte) or self._edge(at, byte)
             if step is None:
                 return None
-            state = step[0]
-            rank += step[1]
-        if not self.final[state]:
+            at, output = step
+            rank += output
+        if not self.final[at >> 8]:
             return None
         return self.ids[self.offset[rank] : self.offset[rank + 1]].tolist()
