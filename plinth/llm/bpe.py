@@ -80,7 +80,9 @@ class WordBpe:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.digits = {i: str(i) for i in tokens.values()}
-        self.tokens = {self.digits[i]: t for t, i in tokens.items()}
+        self.tokens = np.full(max(tokens.values()) + 1, "", object)
+        for t, i in tokens.items():
+            self.tokens[i] = t
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def merge(self, word: str) -> list[int]:
@@ -133,6 +135,11 @@ def chunks_of(text: str | None) -> list[str]:
     return text.split()
 
 
+def numbers(digits: str) -> np.ndarray:
+    """Decimals that stand apart by spaces, as numbers."""
+    return np.fromstring(digits, np.int32, sep=" ") if digits else np.zeros(0, np.int32)
+
+
 class _Chunks(Memory):
     """One of chunks_of() -> its decimal ids, joined by spaces.
 
@@ -157,6 +164,8 @@ class _Chunks(Memory):
 
     def make(self, chunk: str) -> str:
         pieces = self.bpe.pieces(chunk)
+        if len(pieces) == 2 and pieces[0].isascii() and (head := self.get(pieces[0])) is not None:  # a word of late with a mark
+            return head + " " + " ".join([self.bpe.digits[i] for i in self.ids(pieces[1])])
         ids = self.ids(pieces[0]) if len(pieces) == 1 else [i for piece in pieces for i in self.ids(piece)]
         digits = self.bpe.digits
         return digits[ids[0]] if len(ids) == 1 else " ".join([digits[i] for i in ids])
@@ -165,14 +174,14 @@ class _Chunks(Memory):
         """Ids of a whole text, joined by spaces."""
         return " ".join(map(self.__getitem__, chunks_of(text)))
 
-    def decode(self, ids: str) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The tokens of ids, joined by spaces."""
-        return " ".join(map(self.bpe.tokens.__getitem__, ids.split()))
+        return " ".join(self.bpe.tokens[ids].tolist())
 
     def text(self, text: str | None) -> tuple[str, str]:
-        """Ids and tokens of a whole text, joined by spaces."""
-        ids = self.encode(text)
-        return ids, self.decode(ids)
+        """Ids and tokens of a whole text, both joined by spaces."""
+        digits = self.encode(text)
+        return digits, self.decode(numbers(digits))
 
 
 def _memory(path: str, name: str | None) -> _Chunks:
@@ -275,9 +284,9 @@ def encode_decode(docs: DataFrame, vocab: str, size: int = LEXICON) -> DataFrame
     def run(texts: pa.Array) -> pa.Array:
         ids, decoded, at = [], [], [0]
         for t in texts:
-            found, tokens = _memory(vocab, name).text(t.as_py())
-            ids.append(np.fromstring(found, np.int32, sep=" ") if found else np.zeros(0, np.int32))
-            decoded.append(tokens)
+            memory = _memory(vocab, name)
+            ids.append(numbers(memory.encode(t.as_py())))
+            decoded.append(memory.decode(ids[-1]))
             at.append(at[-1] + len(ids[-1]))
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(decoded, pa.string())], ["token_ids", "decoded"])
