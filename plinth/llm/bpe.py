@@ -30,7 +30,7 @@ from plinth.llm.lexicon import Lexicon, compile_lexicon
 #: Words that the transducer holds: a few MB of file, whatever the corpus.
 LEXICON = 32768
 #: Bytes of the chunks of text that a worker remembers of late, and chunks that it counts at once.
-REMEMBERED = 24 << 20
+REMEMBERED = 64 << 20
 COUNTED = 1 << 17
 #: Longest word, in characters, that is counted for the lexicon.
 WORD_CHARS = 64
