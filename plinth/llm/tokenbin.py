@@ -167,7 +167,8 @@ class _Words(Memory):
         if word.isalpha():  # letters after a space are one piece
             return self.pieces.make(" " + word)
         if word[-1:] in _MARKS and word[:-1].isalpha():  # and so is the mark
-            return self.pieces.make(" " + word[:-1]) + self.pieces[word[-1]]
+            head = self.get(word[:-1])  # a word of late
+            return (self.pieces.make(" " + word[:-1]) if head is None else head) + self.pieces[word[-1]]
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
 
 
