@@ -41,7 +41,7 @@ FRAME_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 #: Bytes of the words, and of the pieces, that a worker remembers of late.
-REMEMBERED_WORDS, REMEMBERED_PIECES = 48 << 20, 16 << 20
+REMEMBERED_WORDS, REMEMBERED_PIECES = 112 << 20, 16 << 20
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("frame", "<u4")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
@@ -156,6 +156,8 @@ class _Pieces(Memory):
 class _Words(Memory):
     """What stands between two single spaces -> ids of it and of the space before it."""
 
+    ENTRY = 200
+
     def __init__(self, pieces: _Pieces) -> None:
         super().__init__(REMEMBERED_WORDS)
         self.pieces = pieces
@@ -192,7 +194,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, with the end id."""
         end = END_ID.to_bytes(4, "little")
-        if "<|" in text or HIGH.search(text) and unassigned().search(text):
+        if "<|" in text or not text.isascii() and HIGH.search(text) and unassigned().search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
         if "  " in text:
             return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text))) + end
