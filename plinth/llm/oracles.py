@@ -68,3 +68,46 @@ t AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (
     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) FILTER (kind <> 'entropy') AS bs, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS spans FROM spans GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy FROM d LEFT JOIN t USING (r)
 """
+
+
+def prefix_trie_sql() -> str:
+    """Nodes as digests of whole beginnings; subtree totals by adding every node to all its ancestors."""
+    step = "CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_prepend(ascii(c)::BIGINT, list_transform(range(8), lambda k: (-1)::BIGINT))))), lambda a, x: {step}), 4294967295)"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, length(role) || ':' || role || text AS said, length(text) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos FROM t),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS donor, {crc} % 6 AS h FROM t GROUP BY conv_id),
+g AS (SELECT c.conv_id, c.h, least(c.h, coalesce(d.n, 0)) AS got, c.donor FROM c LEFT JOIN c d ON d.conv_id = c.donor),
+r AS (SELECT g.conv_id, o.pos, o.said, o.chars FROM g JOIN o ON o.conv_id = g.donor AND o.pos <= g.got
+    UNION ALL SELECT g.conv_id, o.pos - g.h + g.got, o.said, o.chars FROM g JOIN o ON o.conv_id = g.conv_id AND o.pos > g.h),
+p AS (SELECT conv_id, 0 AS depth, '' AS node, NULL AS up, 0 AS chars FROM c
+    UNION ALL SELECT conv_id, pos, sha256(string_agg(sha256(said), '') OVER w), CASE WHEN pos = 1 THEN '' ELSE sha256(string_agg(sha256(said), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END, chars
+    FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+s AS (SELECT conv_id, max(depth) AS size FROM p GROUP BY conv_id),
+n AS (SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE depth = size), '')) AS ends_sha256 FROM p JOIN s USING (conv_id) GROUP BY depth, node),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+u AS (SELECT p.node, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(f.own) AS saved_tokens FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.node)
+SELECT f.conv_id::BIGINT AS conv_id, f.depth::BIGINT AS depth, up.conv_id::BIGINT AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+    u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN u USING (node) LEFT JOIN f up ON up.node = f.up
+"""
+
+
+def fill_in_middle_sql() -> str:
+    """Units as a list of matches; parts are slices of it."""
+    draw = lambda k: f"('0x' || substr(s, {8 * k + 1}, 8))::BIGINT"
+    part = lambda a, b: f"array_to_string(us[{a}:{b}], '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS us, {draw(0)} AS h1, {draw(1)} AS h2,
+    CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR {draw(2)} % 100 >= 90 THEN 'plain' WHEN {draw(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b FROM u),
+p AS (SELECT *, {part(1, 'a')} AS prefix, {part('a + 1', 'b')} AS middle, {part('b + 1', 'n')} AS suffix FROM c)
+SELECT doc_id::BIGINT AS doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""

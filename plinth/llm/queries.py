@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm.common import table
-from plinth.llm.oracles import quality_rules_sql, secret_scan_sql
+from plinth.llm.oracles import fill_in_middle_sql, prefix_trie_sql, quality_rules_sql, secret_scan_sql
 
 
 def _vocab(name: str) -> str:
@@ -120,6 +120,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *[f"p_{c}" for c in CATEGORIES], "is_toxic")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plinth.llm.prefix_trie import shared_beginnings
+
+    return shared_beginnings(table(spark, sf_dir, "conversations"))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plinth.llm.piece_bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), _vocab("piece_bpe_32k.model"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plinth.llm.fill_in_middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -131,9 +149,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality_model": op9_quality_model,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_piece_bpe": op12_piece_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_secret_scan": secret_scan_sql(),
     "op7_quality_rules": quality_rules_sql(),
+    "op11_prefix_trie": prefix_trie_sql(),
+    "op13_fill_in_middle": fill_in_middle_sql(),
 }
