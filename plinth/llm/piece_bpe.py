@@ -4,15 +4,20 @@ Text becomes symbols, one a character, and an agenda holds all pairs of
 neighbours that together are a piece. The pair of the best score, the leftmost
 of equals, is merged, its new neighbours' pairs join the agenda, and pairs
 whose symbols have changed meanwhile are passed over. What no piece covers
-falls back to bytes. Texts are cut where no piece can reach across, and the ids
-of short cuts are remembered, so the agenda runs once for most words. Every
-Arrow batch is then encoded and decoded by the sentencepiece library too, and
-column `checked` says whether both agree.
+falls back to bytes. Texts are cut where no piece can reach across, which the
+vocabulary tells, and the ids of short cuts are remembered, so the agenda runs
+once for most words.
+
+The sentencepiece library checks every Arrow batch: it encodes all cuts that
+the agenda has merged for the batch and decodes the ids of every text. Column
+`checked` says whether both agree; a cut that was remembered has been checked
+when it was merged.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -27,7 +32,11 @@ from plinth.llm.common import Memory, held, python_workers
 #: What stands for a space in pieces (a fixed value).
 SPACE = "▁"
 #: Bytes of the cuts that a worker remembers of late, twice.
-REMEMBERED = 64 << 20
+REMEMBERED = 112 << 20
+#: Symbols up to which an agenda is a list, and the rank of no piece.
+FEW, _NONE = 48, 1 << 62
+#: Letters; numerals that are none of the decimal digits can stand in pieces with marks.
+_LETTER = r"[^\W\d_¹²³¼-¾]"
 
 
 class PieceBpe:
@@ -40,7 +49,9 @@ class PieceBpe:
         self.pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         plain = [i for i in range(len(self.pieces)) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.scores = {self.pieces[i]: m.get_score(i) for i in plain}
+        best = {score: k for k, score in enumerate(sorted({m.get_score(i) for i in plain}, reverse=True))}
+        #: A piece's place by score, in the high bits of a number whose low bits take a place in the text.
+        self.ranks = {self.pieces[i]: best[m.get_score(i)] << 32 for i in plain}
         self.end = m.eos_id()
         byte_ids = {int(self.pieces[i][1:-1], 16): i for i in range(len(self.pieces)) if m.is_byte(i)}
         if len(byte_ids) != 256:
@@ -48,13 +59,24 @@ class PieceBpe:
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.bytes = {i: b for b, i in byte_ids.items()}
         self.silent = {i for i in range(len(self.pieces)) if m.is_control(i)}
+        # What an id spells; parts of a character have to be taken together, see decode().
+        self.spelt = np.array(["" if i in self.silent else chr(self.bytes[i]) if i in self.bytes else p for i, p in enumerate(self.pieces)], object)
+        self.partial = np.array([self.bytes.get(i, 0) > 127 for i in range(len(self.pieces))])
         self._check(path)
-        joined = "".join(p for p in self.ids if len(p) > 1)
-        # Characters that no longer piece holds stand alone; a space mark begins a cut, unless another stands before it.
+        longer = [p for p in self.ids if len(p) > 1]
+        joined = set("".join(longer))
+        # Characters that no longer piece holds stand alone; a space mark begins a cut, unless another stands before it;
+        # letters end before a mark that no piece holds right after a letter.
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
-        starts = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        word = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if starts else f"[^{alone}]+"
-        self.cuts = re.compile(f"[{alone}]|{word}" if alone else word)
+        after = {y for p in longer for x, y in zip(p, p[1:]) if re.match(_LETTER, x)}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in after)
+        letters = [f"{SPACE}*{_LETTER}+(?=[{marks}])"] if marks else []
+        starts = all(SPACE not in p.lstrip(SPACE) for p in longer)
+        rest = [f"{SPACE}*[^{SPACE}{alone}]+", f"{SPACE}+"] if starts else [f"[^{alone}]+"]
+        self.cuts = re.compile("|".join(([f"[{alone}]"] if alone else []) + (letters if starts else []) + rest))
+        #: A character that merges with nothing, and its ids at the beginning of a text.
+        self.guard = next(c for c in "\n\ue000" if c not in joined)
+        self.guard_ids = m.encode(self.guard)
 
     def _check(self, path: str) -> None:
         """Refuses models whose normaliser changes text, so that nothing is encoded otherwise than the library does."""
@@ -65,64 +87,82 @@ class PieceBpe:
             raise ValueError(f"{path} has other settings")
 
     def merge(self, cut: str) -> list[int]:
-        """Ids of one cut by the agenda of its pairs."""
-        scores, symbols = self.scores, list(cut)
+        """Ids of one cut by the agenda of its pairs: a list in text order for few symbols, a heap for many."""
+        return self._ids(self._few(list(cut)) if len(cut) <= FEW else self._many(cut))
+
+    def _few(self, symbols: list[str]) -> list[str]:
+        rank = self.ranks.get
+        agenda = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := min(agenda)) < _NONE:
+            left = agenda.index(best)
+            symbols[left] += symbols.pop(left + 1)
+            del agenda[left]
+            if left < len(agenda):
+                agenda[left] = rank(symbols[left] + symbols[left + 1], _NONE)
+            if left:
+                agenda[left - 1] = rank(symbols[left - 1] + symbols[left], _NONE)
+        return symbols
+
+    def _many(self, cut: str) -> list[str]:
+        ranks, symbols = self.ranks, list(cut)
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-        agenda = [(-scores[pair], k, pair) for k, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if pair in scores]
+        agenda = [ranks[pair] + k for k, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if pair in ranks]
         heapify(agenda)
         while agenda:
-            _, left, pair = heappop(agenda)
+            entry = heappop(agenda)
+            left = entry & 0xFFFFFFFF
             right = after[left]
-            # A pair is out of date when either symbol has been merged since: what stands there spells another text.
-            if right < 0 or not symbols[left] or symbols[left] + symbols[right] != pair:
+            # A pair is out of date when either symbol has been merged since: what stands there has another rank.
+            if right < 0 or ranks.get(pair := symbols[left] + symbols[right]) != entry - left:
                 continue
             symbols[left], symbols[right] = pair, ""
             after[left] = follow = after[right]
             after[right] = -1
             if follow >= 0:
                 before[follow] = left
-                if (new := pair + symbols[follow]) in scores:
-                    heappush(agenda, (-scores[new], left, new))
-            if (lead := before[left]) >= 0 and (new := symbols[lead] + pair) in scores:
-                heappush(agenda, (-scores[new], lead, new))
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol:
-                found = self.ids.get(symbol)
-                out.extend([self.byte_ids[b] for b in symbol.encode()] if found is None else [found])
-        return out
+                if (rank := ranks.get(pair + symbols[follow])) is not None:
+                    heappush(agenda, rank + left)
+            if (lead := before[left]) >= 0 and (rank := ranks.get(symbols[lead] + pair)) is not None:
+                heappush(agenda, rank + lead)
+        return [x for x in symbols if x]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
+        try:
+            return [self.ids[x] for x in symbols]
+        except KeyError:
+            return [i for x in symbols for i in ([self.ids[x]] if x in self.ids else [self.byte_ids[b] for b in x.encode()])]
 
     def cut(self, text: str) -> list[str]:
         return self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def decode(self, ids: list[int]) -> str:
+    def agrees(self, cuts: list[str], digits: list[str]) -> list[bool]:
+        """Whether the library gives each cut these ids, after a character that merges with nothing."""
+        n = len(self.guard_ids)
+        theirs = self.library.encode([self.guard + c.replace(SPACE, " ") for c in cuts], num_threads=1)
+        return [t[:n] == self.guard_ids and " ".join(map(str, t[n:])) == d for t, d in zip(theirs, digits)]
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: runs of byte ids as UTF-8, invalid bytes as U+FFFD each, the first piece without its leading space."""
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            if (b := self.bytes.get(i)) is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(_utf8(run))
-                run = bytearray()
-            if i not in self.silent:
-                out.append(self.pieces[i])
-        if run:
-            out.append(_utf8(run))
-        text = "".join(out)
-        first = next((i for i in ids if i not in self.silent), None)
-        return (text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text).replace(SPACE, " ")
-
-
-def _utf8(run: bytearray) -> str:
+        spelt = self.spelt[ids].tolist()
+        if (partial := self.partial[ids]).any():
+            where = np.flatnonzero(partial)
+            for run in np.split(where, np.flatnonzero(np.diff(where) != 1) + 1):
+                spelt[run[0]] = _utf8(bytes(map(ord, spelt[run[0] : run[-1] + 1])))
+                spelt[run[0] + 1 : run[-1] + 1] = [""] * (len(run) - 1)
+        first = next((k for k, i in enumerate(ids) if i not in self.silent), None)
+        if first is not None and self.pieces[ids[first]].startswith(SPACE):
+            spelt[first] = spelt[first][1:]
+        return "".join(spelt).replace(SPACE, " ")
+
+
+def _utf8(run: bytes) -> str:
     try:
         return run.decode()
     except UnicodeDecodeError:
         return "".join(_one(run))
 
 
-def _one(run: bytearray) -> Iterator[str]:
+def _one(run: bytes) -> Iterator[str]:
     """Whole characters, and U+FFFD for each byte that begins none."""
     at = 0
     while at < len(run):
@@ -145,13 +185,21 @@ class _Cuts(Memory):
 
     def __init__(self, bpe: PieceBpe) -> None:
         super().__init__(REMEMBERED)
-        self.bpe = bpe
+        self.bpe, self.made, self.wrong = bpe, {}, set()
 
     def weigh(self, value: str) -> int:
         return len(value)
 
     def make(self, cut: str) -> str:
-        return " ".join(map(str, self.bpe.merge(cut)))
+        self.made[cut] = out = " ".join(map(str, self.bpe.merge(cut)))
+        return out
+
+    def check(self, texts: list[str]) -> list[bool]:
+        """Have the library encode what was merged since the last call; whether each text's cuts have all agreed."""
+        same = self.bpe.agrees(list(self.made), list(self.made.values()))
+        self.wrong.update(c for c, ok in zip(self.made, same) if not ok)
+        self.made.clear()
+        return [not self.wrong or self.wrong.isdisjoint(self.bpe.cut(t)) for t in texts]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, with the end id last."""
@@ -167,7 +215,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
     A null text is as an empty one: the end id alone and an empty decoded text.
     Texts of any length are encoded whole; `checked` tells that the library gave
-    the same ids and text. Columns of docs with the new names are replaced. An
+    the same ids for its cuts and the same text. Columns of docs with the new names are replaced. An
     empty table gives an empty result.
     """
     python_workers(docs.sparkSession)
@@ -177,10 +225,9 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
         cuts = memory(model)
         plain = [t or "" for t in texts.to_pylist()]
         ids = [cuts.encode(t) for t in plain]
-        decoded = [cuts.bpe.decode(i.tolist()) for i in ids]
-        library = cuts.bpe.library
-        theirs = library.encode(plain, add_eos=True, num_threads=1)
-        same = [a.tolist() == b and c == d for a, b, c, d in zip(ids, theirs, decoded, library.decode(theirs, num_threads=1))]
+        decoded = [cuts.bpe.decode(i) for i in ids]
+        theirs = cuts.bpe.library.decode([i.tolist() for i in ids], num_threads=1)
+        same = [a and b == c for a, b, c in zip(cuts.check(plain), decoded, theirs)]
         at = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at), flat), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["token_ids", "decoded", "checked"])

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -91,14 +92,21 @@ ODD = ["", " ", "   ", "▁x ▁▁", "<s> </s> <unk> <0x41>", "日本語 😀 
 @settings(max_examples=400, deadline=None)
 def test_pieces_equal_the_library(cuts, text):
     want = cuts.bpe.library.encode(text, add_eos=True)
-    assert cuts.encode(text).tolist() == want
-    assert cuts.bpe.decode(want) == cuts.bpe.library.decode(want)
+    assert cuts.encode(text).tolist() == want and cuts.check([text]) == [True]
+    assert cuts.bpe.decode(np.array(want)) == cuts.bpe.library.decode(want)
+
+
+def test_a_wrong_cut_is_found(cuts):
+    own = piece_bpe._Cuts(cuts.bpe)
+    own.encode("some words")
+    own.made["▁words"] = "5 6"
+    assert own.check(["some words", "some", "words, too"]) == [False, True, False]
 
 
 @given(st.lists(st.integers(2, 31999) | st.integers(3, 258) | st.just(2), max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_any_ids_decode_as_in_the_library(cuts, ids):
-    assert cuts.bpe.decode(ids) == cuts.bpe.library.decode(ids)
+    assert cuts.bpe.decode(np.array(ids, int)) == cuts.bpe.library.decode(ids)
 
 
 def test_piece_query_equals_the_library(spark, sf, cuts):
