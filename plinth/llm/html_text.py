@@ -9,10 +9,11 @@ path: a branch joins if it is as dense, mostly outside links, and has a fair
 part of the target's own density sum; so do headings before and all that stands
 between two branches that joined.
 
-Element, class, id and role names only correct what density cannot know:
-notices, adverts and reader comments are prose too. Such branches are left out,
-but a form or a named branch that holds most of the page's characters outside
-links, with no article beside it, wraps the page and stays.
+Element, class, id and role names correct what density cannot know: notices,
+adverts and reader comments are prose too. Named branches are left out as long
+as prose stands elsewhere, however large they are. Where none does, and for
+forms, density decides: what holds the node with the largest density sum wraps
+the page and stays, the other ones go.
 """
 
 from __future__ import annotations
@@ -43,8 +44,13 @@ WRAPS = frozenset(("form",))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Part of the target's density sum that a branch beside the path must have.
 FAIR = 0.25
-#: Class, id and role names that mark what is not the article; so do names put together of these alone.
-CUT_NAMES = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs combx comment comments contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split())
+#: Characters of one block's own text, outside links, that make a page's prose, and those that do below a heading.
+PROSE, HEADED = 80, 25
+#: Class, id and role names that mark what is not the article.
+CUT_NAMES = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs combx comment comments consent contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted promotion recommended related replies reply respond response responses search share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split())
+#: Words that add nothing to a name of CUT_NAMES, and words of comments, notices and adverts, which count in any name.
+FILLERS = frozenset("area articles block box container content footer global group holder inner items list main outer page panel posts row section site slot stories thread top user wrap wrapper zone".split())
+PROSE_NAMES = frozenset("ad ads advert advertisement adverts adsense combx comment comments consent cookie cookies disqus newsletter notice outbrain popup promoted promotion replies responses sponsor sponsored taboola".split())
 #: Start tag -> open elements that it ends, looked for up to the nearest of SCOPE.
 BLOCKS = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr"}, "tfoot": {"tbody", "tr"}}
@@ -52,21 +58,26 @@ SCOPE = frozenset("article aside blockquote body button details div fieldset fig
 MAIN = frozenset(("article", "main"))
 
 
-def _is_cut(name: str) -> bool:
-    """Whether all parts of a class, id or role name are CUT_NAMES."""
-    parts = [x for x in re.split(r"[^a-z]+", name) if x]
-    return bool(parts) and CUT_NAMES.issuperset(parts)
+#: What is known of a node: nothing, that density decides, that it is left out where prose stands elsewhere, that it is left out.
+FREE, OPEN, DOUBTED, SURE = range(4)
+
+
+def _named(name: str) -> int:
+    """DOUBTED for a class, id or role name of CUT_NAMES, with FILLERS or without, and one with a part of PROSE_NAMES; else FREE."""
+    parts = {x for x in re.split(r"[^a-z]+", name) if x}
+    whole = not parts.isdisjoint(CUT_NAMES) and parts <= CUT_NAMES | FILLERS
+    return DOUBTED if whole or not parts.isdisjoint(PROSE_NAMES & CUT_NAMES) else FREE
 
 
 class Tree:
     """Nodes in page order; a node's subtree is the range from it to its end. Items are (place of node, text).
 
-    cut has the branches that are no prose; doubted the nodes that settle() cuts
-    with their branches or lets stand.
+    cut has the branches that are left out for sure; doubt has OPEN or DOUBTED
+    for those of which Page decides.
     """
 
     def __init__(self, page: str) -> None:
-        self.tag, self.up, self.cut, self.doubted = ["#"], [-1], [False], [False]
+        self.tag, self.up, self.cut, self.doubt = ["#"], [-1], [False], [FREE]
         self.items: list[tuple[int, str | None]] = []
         open_: list[int] = [0]
         #: How many elements of a name are open.
@@ -98,8 +109,9 @@ class Tree:
             self.tag.append(name)
             self.up.append(open_[-1])
             top = name in ("html", "body") or name in MAIN
-            self.cut.append(self.cut[open_[-1]] or name in CUT)
-            self.doubted.append(not top and (name in ASIDE or any(map(_is_cut, names))))
+            said = FREE if top else max((OPEN if name in WRAPS else SURE if name in ASIDE else FREE, *map(_named, names)))
+            self.cut.append(self.cut[open_[-1]] or name in CUT or said == SURE)
+            self.doubt.append(FREE if said == SURE else said)
             body = body or name == "body"
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -107,25 +119,6 @@ class Tree:
             open_.append(len(self.tag) - 1)
             self.open[name] += 1
 
-    def settle(self, items: list[tuple[int, str | None]], link: list[bool]) -> None:
-        """Cut the doubted nodes' branches but those that hold most of the body's characters outside links."""
-        n = len(self.tag)
-        if not any(self.doubted):
-            return
-        plain = [0] * n
-        for i, text in items:
-            if text and not self.cut[i] and not link[i]:
-                plain[i] += sum(map(len, text.split()))
-        for i in range(n - 1, 0, -1):
-            plain[self.up[i]] += plain[i]
-        body = next((i for i in range(n) if self.tag[i] == "body" and plain[i]), 0)
-        under = [False] * n
-        for i in range(1, n):
-            under[i] = under[self.up[i]] or self.doubted[i]
-        beside = any(self.tag[i] in MAIN and plain[i] and not under[i] and not self.cut[i] for i in range(n))
-        for i in range(1, n):
-            self.cut[i] = self.cut[i] or self.cut[self.up[i]] or self.doubted[i] and (beside or self.tag[i] in ASIDE - WRAPS or 2 * plain[i] <= plain[body])
-
     def _imply(self, open_: list[int], name: str) -> None:
         """End what the start tag `name` ends by itself."""
         ends = ENDS.get(name) or ({"p"} if name in BLOCKS else ())
@@ -175,42 +168,97 @@ class Page:
     def __init__(self, page: str) -> None:
         tree = self.tree = Tree(page)
         up, tag, n = tree.up, tree.tag, len(tree.tag)
-        link = [False] * n
+        link = self.link = [False] * n
         for i in range(1, n):
             link[i] = link[up[i]] or tag[i] == "a"
-        items = [(i, None if t is None else html.unescape(t)) for i, t in tree.items if not tree.cut[i]]
-        tree.settle(items, link)
-        self.items = [x for x in items if not tree.cut[x[0]]]
-        own = self.own = [0] * n
+        self.items = [(i, None if t is None else html.unescape(t)) for i, t in tree.items if not tree.cut[i]]
+        #: Characters of a node's own text.
+        self.written = [0] * n
         for i, text in self.items:
             if text:
-                own[i] += sum(map(len, text.split()))
+                self.written[i] += sum(map(len, text.split()))
+        self._settle()
+        self.items = [x for x in self.items if not self.cut[x[0]]]
+
+    def _settle(self) -> None:
+        """Measure the page with its doubted branches left out or not."""
+        tree, n = self.tree, len(self.tree.tag)
+        doubt = tree.doubt
+        if not any(doubt):
+            self._measure(tree.cut)
+            return
+        within = [FREE] * n
+        for i in range(1, n):
+            within[i] = max(within[tree.up[i]], doubt[i])
+        if any(tree.tag[i] in MAIN and not within[i] and self._prose(i, within) for i in range(1, n)):
+            self._measure([c or w > FREE for c, w in zip(tree.cut, within)])
+            return
+        self._measure([c or w == DOUBTED for c, w in zip(tree.cut, within)])
+        if DOUBTED in doubt and not self._prose(self.body, within):
+            self._measure(tree.cut)
+        kept, i = set(), self.target()
+        while i > 0:
+            kept.add(i)
+            i = tree.up[i]
+        cut = tree.cut[:]
+        for i in range(1, n):
+            cut[i] = cut[i] or cut[tree.up[i]] or doubt[i] > FREE and i not in kept
+        self._measure(cut)
+
+    def _prose(self, top: int, within: list[int]) -> bool:
+        """Whether prose stands below a node and in no DOUBTED branch: a long block, or any block after a heading."""
+        up, tag, headed = self.tree.up, self.tree.tag, False
+        below = {top}
+        for i in range(top, len(tag)):
+            if i != top and up[i] not in below:
+                if i > top and top:
+                    break
+                continue
+            below.add(i)
+            if within[i] == DOUBTED or self.tree.cut[i] or self.link[i]:
+                continue
+            if tag[i] in HEADINGS:
+                headed = headed or self.written[i] > 0
+            elif self.written[i] >= (HEADED if headed else PROSE):
+                return True
+        return False
+
+    def _measure(self, cut: list[bool]) -> None:
+        """Characters, tags, densities and sums of the nodes that are not cut."""
+        tree, link = self.tree, self.link
+        up, tag, n = tree.up, tree.tag, len(tree.tag)
+        self.cut = cut
+        own = self.own = [0 if c else w for c, w in zip(cut, self.written)]
         chars, tags, in_link, link_tags = own[:], [0] * n, [own[i] if link[i] else 0 for i in range(n)], [0] * n
         for i in range(n - 1, 0, -1):
-            if not tree.cut[i]:
+            if not cut[i]:
                 p = up[i]
                 chars[p] += chars[i]
                 in_link[p] += in_link[i]
                 tags[p] += tags[i] + 1
                 link_tags[p] += link_tags[i] + (tag[i] == "a")
-        self.chars, self.in_link = chars, in_link
+        self.chars, self.in_link, self.tags, self.link_tags = chars, in_link, tags, link_tags
         self.body = next((i for i in range(n) if tag[i] == "body" and chars[i]), 0)
         share = in_link[self.body] / chars[self.body] if chars[self.body] else 0.0
-        self.dense = [0.0 if tree.cut[i] else density(chars[i], tags[i], in_link[i], link_tags[i], share) for i in range(n)]
+        self.dense = [0.0 if cut[i] else density(chars[i], tags[i], in_link[i], link_tags[i], share) for i in range(n)]
         #: The density of a node's own text, as if it were a child.
         self.alone = [density(own[i], 0, own[i] if link[i] else 0, 0, share) if own[i] else 0.0 for i in range(n)]
         self.total = self.alone[:]
         for i in range(1, n):
             self.total[up[i]] += self.dense[i]
+        self.under = [False] * n
+        self.under[self.body] = True
+        for i in range(self.body + 1, n):
+            self.under[i] = self.under[up[i]] and not cut[i]
+
+    def target(self) -> int:
+        """The node of the body with the largest density sum, the first of equals."""
+        return max((i for i, under in enumerate(self.under) if under), key=lambda i: (self.total[i], -i))
 
     def chosen(self) -> list[bool]:
         """Which nodes' own text belongs to the main text."""
         up, n = self.tree.up, len(self.tree.tag)
-        under = [False] * n
-        under[self.body] = True
-        for i in range(self.body + 1, n):
-            under[i] = under[up[i]] and not self.tree.cut[i]
-        target = max((i for i in range(n) if under[i]), key=lambda i: (self.total[i], -i))
+        under, target = self.under, self.target()
         path = [target]
         while path[-1] != self.body:
             path.append(up[path[-1]])

@@ -6,6 +6,7 @@ import re
 from datetime import datetime
 
 import duckdb
+import pytest
 
 from plinth.llm import html_text as H
 from plinth.llm import url_filter as U
@@ -132,3 +133,70 @@ def test_op8_deep_pages_take_time_in_proportion():
         began = time.process_time()
         assert H.main_text(page) == "deep"
         assert time.process_time() - began < 1.5
+
+
+PROSE = ["Sentence of the article says this and that, and goes on for quite a while. " * 3, "Another paragraph adds more, with details that matter to the reader. " * 3]
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "comments-area", "user-comments", "comment-section", "responses", "comment-thread-7", "cookie-consent", "ad-slot", "sponsored-content", "related-posts", "site-footer", "sidebar"])
+@pytest.mark.parametrize("size", [0.5, 1, 4])
+def test_op8_named_branches_never_replace_the_article(name, size):
+    want = " ".join("".join(PROSE).split())
+    other = "".join(f"<div><p>{PROSE[0] if size >= 1 else PROSE[0][:110]}</p></div>" for _ in range(max(1, int(2 * size))))
+    article = "".join(f"<p>{p}</p>" for p in PROSE)
+    for page in (f"<body><div><div>{article}</div><div class='{name}'>{other}</div></div></body>", f"<body><div id='{name}'>{other}</div><div>{article}</div></body>", f"<body><div>{article}<section class='x {name}'>{other}</section></div></body>"):
+        assert H.main_text(page) == want, page
+
+
+def unmarked(page):
+    """The page without what names the article or its surroundings."""
+    page = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_op8_density_changes_pages_without_names(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    read = [H.main_text(unmarked(p)) for p in pages]
+    right = sum(r == article(p) for r, p in zip(read, pages))
+    monkeypatch.setattr(H, "density", lambda chars, *_: 1.0 if chars else 0.0)
+    other = [H.main_text(unmarked(p)) for p in pages]
+    assert right >= 0.9 * len(pages) and sum(a != b for a, b in zip(read, other)) >= 0.1 * len(pages)
+    assert sum(r == article(p) for r, p in zip(other, pages)) < right
+
+
+def test_op8_densities_and_sums_equal_a_plain_count():
+    """Every node's measures, counted by walking its whole subtree again."""
+    import math
+
+    page = f"<body><div><a href=/>Home</a> <a href=/b>B b</a></div><div><h1>Top</h1><p>{PROSE[0]}<a href=/c>more</a> to read</p><p>{PROSE[1]}</p><div class=comments><p>{PROSE[0]}</p></div></div></body>"
+    read = H.Page(page)
+    tree, n = read.tree, len(read.tree.tag)
+    inside = [[j for j in range(n) if _below(tree.up, j, i) and not read.cut[j]] for i in range(n)]
+    chars = [sum(len("".join(t.split())) for k, t in read.items if t and k in set(js)) for js in inside]
+    linked = [sum(len("".join(t.split())) for k, t in read.items if t and k in set(js) and any(tree.tag[a] == "a" for a in _above(tree.up, k))) for js in inside]
+    share = linked[read.body] / chars[read.body]
+    for i in range(n):
+        if read.cut[i]:
+            continue
+        tags, link_tags = len(inside[i]) - 1, sum(tree.tag[j] == "a" for j in inside[i] if j != i)
+        assert (read.chars[i], read.in_link[i], read.tags[i], read.link_tags[i]) == (chars[i], linked[i], tags, link_tags)
+        if chars[i]:
+            c, lc, t, lt = chars[i], linked[i] or 1, tags or 1, link_tags or 1
+            base = math.log(c / ((c - linked[i]) or 1) * linked[i] + share * c + math.e)
+            want = c / t * math.log(max(c * t / (lc * lt), 1.0)) / (math.log(base) if base > 1 + 1e-9 else 1.0)
+            assert math.isclose(read.dense[i], want, rel_tol=1e-9)
+        own = sum(len("".join(x.split())) for k, x in read.items if x and k == i)
+        alone = H.density(own, 0, own if any(tree.tag[a] == "a" for a in _above(tree.up, i)) else 0, 0, share) if own else 0.0
+        assert math.isclose(read.total[i], alone + sum(read.dense[j] for j in range(1, n) if tree.up[j] == i), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def _above(up, i):
+    while i >= 0:
+        yield i
+        i = up[i]
+
+
+def _below(up, j, i):
+    return i in set(_above(up, j))
