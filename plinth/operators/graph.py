@@ -1,4 +1,4 @@
-"""Graph operators over edge tables (src, dst): reachability, components, traces."""
+"""Graph operators over edge tables (src, dst): reachability and components."""
 
 from __future__ import annotations
 
@@ -103,51 +103,6 @@ def _labels(edges: DataFrame) -> DataFrame:
         now = new.select("node", "label")
 
 
-def traces(starts: DataFrame, calls: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(start, ord, depth, node, stalled): the pre-order walk from each start (start, node).
-
-    calls (src, ord, dst) are followed in order, and a walk visits a node once,
-    so recorded depths are of the walk and not the shortest. Depth beyond
-    max_depth stalls. Each start's own reachable calls are found with joins
-    first and only those go to its task.
-    """
-    held = reach_within(starts, calls, max_depth + 1)
-
-    def walk(key, pdf):
-        import pandas as pd
-
-        after: dict = {}
-        for r in pdf.dropna(subset=["src"]).sort_values(["src", "ord", "dst"]).itertuples():
-            after.setdefault(r.src, []).append(r.dst)
-        (root,) = pdf["root"].unique()[:1]
-        out, seen, stack = [], {root}, [(d, 1) for d in reversed(after.get(root, []))]
-        while stack:
-            node, depth = stack.pop()
-            if node in seen:
-                continue
-            seen.add(node)
-            out.append((key[0], len(out), depth, node, depth > max_depth))
-            if depth <= max_depth:
-                stack.extend((d, depth + 1) for d in reversed(after.get(node, [])))
-        return pd.DataFrame(out, columns=["start", "ord", "depth", "node", "stalled"])
-
-    kind = dict(calls.dtypes)["dst"]
-    return held.groupBy("start").applyInPandas(walk, f"start {dict(starts.dtypes)['start']}, ord int, depth int, node {kind}, stalled boolean")
-
-
-def reach_within(starts: DataFrame, calls: DataFrame, depth: int) -> DataFrame:
-    """(start, root, src, ord, dst) of the calls within `depth` steps of each start; a null call where it has none."""
-    front = starts.select("start", F.col("node").alias("root"), "node").distinct()
-    nodes = settled(front)
-    for _ in range(depth - 1):
-        found = front.join(calls, front.node == calls.src).select("start", "root", F.col("dst").alias("node")).distinct()
-        front = settled(found.join(nodes, ["start", "root", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        nodes = settled(nodes.union(front))
-    return nodes.join(calls, nodes.node == calls.src, "left").select("start", "root", "src", "ord", "dst").distinct()
-
-
 def affected(hops: DataFrame, changed: DataFrame, start: str = "start") -> DataFrame:
     """(start, via): starts of which a hop (start, node) has changed, with the changed nodes in order."""
     return hops.join(changed.select("node").distinct(), "node", "left_semi").groupBy(start).agg(F.array_sort(F.collect_set("node")).alias("via"))

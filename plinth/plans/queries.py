@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.extract import brackets
 from plinth.functions.paths import fingerprint, line_count, plain_name
-from plinth.operators import change, classify, findings, graph, history, lookup, match, report, rollup, rules, sets
+from plinth.operators import change, classify, findings, graph, history, lookup, match, report, rollup, rules, sets, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -342,7 +343,7 @@ def q27_blast_radius(spark, d):
 def _traced(spark, d):
     down = _tree(spark, d).select(F.col("dst").alias("src"), F.lit(0).alias("ord"), F.col("src").alias("dst"))
     starts = t(spark, d, "region").select("r_regionkey", F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node")).select(F.col("r_regionkey").alias("start"), "node")
-    return graph.traces(starts, down)
+    return trace.traces(starts, down)
 
 
 @query(f"WITH {_TREE}, h AS (SELECT substr(dst, 2)::INTEGER AS start, 1 AS depth, src AS node, src AS o FROM tree WHERE starts_with(dst, 'r') UNION ALL SELECT substr(b.dst, 2)::INTEGER, 2, a.src, b.src || chr(1) || a.src FROM tree a JOIN tree b ON a.dst = b.src WHERE starts_with(b.dst, 'r')) SELECT start, (row_number() OVER (PARTITION BY start ORDER BY o) - 1)::INTEGER AS ord, depth, node, FALSE AS stalled FROM h")
@@ -350,6 +351,19 @@ def q28_trace(spark, d):
     return _traced(spark, d)
 
 
+@query(f"""WITH RECURSIVE {_TREE}, e(src, dst) AS (SELECT dst, src FROM tree UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem),
+    w(start, node, path) AS (SELECT r_regionkey, 'r' || r_regionkey, []::VARCHAR[] FROM region UNION ALL SELECT start, e.dst, list_append(path, e.dst) FROM w JOIN e ON e.src = w.node),
+    f AS (SELECT start, node, min(path) AS path FROM w WHERE len(path) > 0 GROUP BY start, node)
+    SELECT start, (row_number() OVER (PARTITION BY start ORDER BY path) - 1)::INTEGER AS ord, len(path)::INTEGER AS depth, node, FALSE AS stalled FROM f""")
+def q75_trace_shared(spark, d):
+    """Regions to nations, customers, orders and parts; a part is visited by the first order that has it."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    o = t(spark, d, "orders").select(key("c", "o_custkey").alias("src"), key("o", "o_orderkey").alias("dst"))
+    li = t(spark, d, "lineitem").select(key("o", "l_orderkey").alias("src"), key("p", "l_partkey").alias("dst"))
+    edges = _tree(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(o).unionByName(li).withColumn("ord", F.lit(0))
+    return trace.traces(t(spark, d, "region").select(F.col("r_regionkey").alias("start"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node")), edges)
+
+
 @query(f"WITH {_TREE} SELECT substr(dst, 2)::INTEGER AS start, list(src ORDER BY src) AS via FROM tree WHERE starts_with(dst, 'r') AND src IN ('n3', 'n6', 'n11', 'n21') GROUP BY dst")
 def q29_affected(spark, d):
     return graph.affected(_traced(spark, d), spark.createDataFrame([("n3",), ("n6",), ("n11",), ("n21",)], "node string"))
@@ -712,3 +726,45 @@ def q72_declared_in(spark, d):
     symbols = c.select(F.col("c_custkey").alias("path")).join(F.broadcast(n.where("n_regionkey = 1").select(F.col("n_name").alias("local"), F.col("n_nationkey").cast("long").alias("file"))))
     own = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("path"), F.col("n_name").alias("name"))
     return lookup.declared_in(uses, symbols, own)
+
+
+_PASSED_SQL = r"""//[^\n]*|/\*[^*]*(?:\*+[^*/][^*]*)*\*+/|''(?:[^''\\\n]|\\.)*''|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\[\s\S])*`"""
+
+
+def _tokens_sql(pattern: str) -> str:
+    return f"""WITH m AS (SELECT page_id, string_split_regex(html, '{pattern}') AS gaps, regexp_extract_all(html, '{pattern}') AS found FROM pages),
+    u AS (SELECT page_id, unnest(found) AS token, unnest(gaps[1:len(found)]) AS gap, unnest(range(len(found))) AS ord FROM m),
+    tok AS (SELECT page_id, ord, token, sum(length(gap) + length(token)) OVER (PARTITION BY page_id ORDER BY ord) - length(token) AS pos FROM u)"""
+
+
+_PAIRS_SQL = """lv AS (SELECT *, sum(step) OVER (PARTITION BY page_id, kind ORDER BY pos) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS level FROM k),
+    nx AS (SELECT *, lead(pos) OVER w AS hi, lead(step) OVER w AS following FROM lv WINDOW w AS (PARTITION BY page_id, kind, level ORDER BY pos)),
+    pr AS (SELECT page_id, kind, level, pos AS lo, hi FROM nx WHERE step = 1 AND following = -1)
+    SELECT pr.page_id, pr.kind, pr.level::BIGINT AS level, pr.lo::BIGINT AS lo, pr.hi::BIGINT AS hi, max(up.lo)::BIGINT AS up FROM pr LEFT JOIN pr up ON up.page_id = pr.page_id AND up.kind = pr.kind AND up.lo < pr.lo AND up.hi > pr.hi GROUP BY ALL"""
+
+
+def _page_files(spark, d):
+    return t(spark, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("text"))
+
+
+def _paired(tokens):
+    found = brackets.parents(brackets.pairs(tokens))
+    return found.select(F.col("path").alias("page_id"), "kind", F.col("level").cast("long").alias("level"), *[F.col(c).cast("long").alias(c) for c in ("lo", "hi", "up")])
+
+
+@query(rf"""{_tokens_sql(_PASSED_SQL + r"|[()\[\]{}]")},
+    k AS (SELECT page_id, pos, CASE WHEN token IN ('(', ')') THEN '(' WHEN token IN ('[', ']') THEN '[' ELSE '{{' END AS kind, CASE WHEN token IN ('(', '[', '{{') THEN 1 ELSE -1 END AS step FROM tok WHERE regexp_full_match(token, '[()\[\]{{}}]')),
+    {_PAIRS_SQL}""")
+def q73_brackets(spark, d):
+    kind, step = brackets.kind_and_step(F.col("token"))
+    return _paired(brackets.scanned(_page_files(spark, d)).where("role = 'bracket'").withColumns({"kind": kind, "step": step}))
+
+
+@query(f"""{_tokens_sql("<!--(?:[^-]|-[^-]|--+[^->])*-+->|</?(?:html|head|body|nav|article|section|div|ul|li|p|table|tr)[ >]")},
+    k AS (SELECT page_id, pos, regexp_extract(token, '[a-z]+') AS kind, CASE WHEN starts_with(token, '</') THEN -1 ELSE 1 END AS step FROM tok WHERE NOT starts_with(token, '<!')),
+    {_PAIRS_SQL}""")
+def q74_elements(spark, d):
+    """Elements of pages as brackets of their own kinds, comments passed over."""
+    tokens = brackets.scanned(_page_files(spark, d), marks="</?(?:html|head|body|nav|article|section|div|ul|li|p|table|tr)[ >]", brackets="(?!)", passed="<!--(?:[^-]|-[^-]|--+[^->])*+-+->")
+    rows = tokens.where(~F.col("token").startswith("<!")).withColumns({"kind": F.regexp_extract("token", "[a-z]+", 0), "step": F.when(F.col("token").startswith("</"), -1).otherwise(1)})
+    return _paired(rows)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plinth.functions import paths
-from plinth.operators import change, classify, graph, history, lookup, match, rules, sets
+from plinth.operators import change, classify, graph, history, lookup, match, rules, sets, trace
 
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -67,8 +67,8 @@ def test_orphans_and_no_roots(spark):
 def test_trace_is_depth_first_and_stalls(spark):
     calls = spark.createDataFrame([("s", 0, "a"), ("a", 0, "b"), ("b", 0, "c"), ("s", 1, "c"), ("c", 0, "s"), ("c", 1, "d")], "src string, ord int, dst string")
     starts = spark.createDataFrame([(1, "s"), (2, "zz")], "start int, node string")
-    assert rows(graph.traces(starts, calls, max_depth=2)) == [(1, 0, 1, "a", False), (1, 1, 2, "b", False), (1, 2, 3, "c", True)]
-    assert [r[:4] for r in rows(graph.traces(starts, calls))] == [(1, 0, 1, "a"), (1, 1, 2, "b"), (1, 2, 3, "c"), (1, 3, 4, "d")]
+    assert rows(trace.traces(starts, calls, max_depth=2)) == [(1, 0, 1, "a", False), (1, 1, 2, "b", False), (1, 2, 3, "c", True)]
+    assert [r[:4] for r in rows(trace.traces(starts, calls))] == [(1, 0, 1, "a"), (1, 1, 2, "b"), (1, 2, 3, "c"), (1, 3, 4, "d")]
 
 
 def test_cochange_degree_and_cap(spark):

@@ -106,6 +106,6 @@ def test_long_declarations_are_read(spark):
     text = f"@Controller({{ path: 'big', version: '1' }})\nclass Big {{ constructor({many}) {{}}\n @Get(':id')\n @Guard(roles(1), all())\n async one(@Param('id') id: string) {{}}\n @Post(NAME)\n two() {{}}\n}}"
     files = tree.from_mapping(spark, {"big.ts": text, "odd.ts": "@Controller(PREFIX) class Odd { @Get() a() {} }"})
     assert W.injections(files).count() == 3000
-    assert {tuple(r) for r in W.endpoints(files).collect()} == {("big.ts", "Big", "GET", "/big/:id", "one"), ("odd.ts", "Odd", "GET", "/", "a")}
+    assert {tuple(r)[:5] for r in W.endpoints(files).collect()} == {("big.ts", "Big", "GET", "/big/:id", "one"), ("odd.ts", "Odd", "GET", "/", "a")}
     assert [tuple(r) for r in W.unread_routes(files).collect()] == [("big.ts", "@Post(NAME)")]
     assert [tuple(r) for r in W.unread_prefixes(files).collect()] == [("odd.ts", "(PREFIX)")]
