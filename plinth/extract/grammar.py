@@ -21,9 +21,9 @@ def literal(arguments: Column, key: str) -> Column:
 
 
 def decorators(text: Column) -> Column:
-    """array<struct<marks, name, type>> of decorated members with a type: all their decorators, name and first word of the type."""
-    pattern = F.lit(rf"((?:{DECORATOR})++){MODIFIERS}({NAME})\s*+[?!]?+\s*+:\s*+({NAME}(?:\.{NAME})*+)")
-    return F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(k)).alias(n) for k, n in enumerate(("marks", "name", "type"), 1)])
+    """array<struct<marks, name, mark, type>> of decorated members with a type: all their decorators, name, `?` or `!`, and the type up to its end."""
+    pattern = F.lit(rf"((?:{DECORATOR})++){MODIFIERS}({NAME})\s*+([?!]?+)\s*+:\s*+([^;=]++)")
+    return F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(k)).alias(n) for k, n in enumerate(("marks", "name", "mark", "type"), 1)])
 
 
 def arguments_of(text: Column, name: str) -> Column:

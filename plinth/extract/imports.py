@@ -12,12 +12,12 @@ from plinth.functions.paths import plain_name
 from plinth.operators.lookup import resolve
 
 #: `import` or `export`, what it names, and the module; the names are read from the clause afterwards.
-STATIC = r"""(?m)^\s*(?:import|export)\s(?:[^'"`;]*?\sfrom\s*)?['"]([^'"]+)['"]"""
+STATIC = r"""(?m)^[ \t]*+(?:import|export)\s(?:[^'"`;]*?\sfrom\s*)?['"]([^'"]+)['"]"""
 DYNAMIC = r"""\bimport\(\s*['"`]([^'"`]+)['"`]\s*\)"""
-CLAUSE = r"""(?m)^\s*import\b([^'"`;()]*?)\bfrom\s*["']([^"'\n]+)["']"""
-#: Files that are imported but hold no code, by kind.
-ASSETS = {"data": "json", "fonts": "eot otf ttf woff woff2", "media": "mp3 mp4 ogg webm", "pictures": "avif bmp gif ico jpeg jpg png svg webp", "styles": "css less sass scss"}
-ASSET = rf"\.(?:{'|'.join(x for kind in ASSETS.values() for x in kind.split())})$"
+CLAUSE = r"""(?m)^[ \t]*+import\b([^'"`;()]*?)\bfrom\s*["']([^"'\n]+)["']"""
+#: Endings of files that are imported but hold no code; a query may follow.
+ASSETS = "css gif html ico jpeg jpg json less md png sass scss svg txt webp woff woff2".split()
+ASSET = rf"(?i)\.(?:{'|'.join(ASSETS)})(?:\?.*)?$"
 CANDIDATES = ("", ".ts", ".tsx", "/index.ts", "/index.tsx")
 
 
@@ -80,12 +80,13 @@ RELATIONS = ("ManyToOne", "OneToMany", "OneToOne", "ManyToMany")
 def entities(files: DataFrame) -> DataFrame:
     """(path, cls, tbl, columns, relations) of files that declare an entity.
 
-    columns have name, type, nullable and pk; relations have name (their kind),
+    columns have name, type as written, nullable (a `?` or a null in the type)
+    and pk; relations have name (their kind),
     type (the other class) and via (the member).
     """
     marked = lambda names: rf"@(?:{'|'.join(names)})\b"
     rows = files.where(F.col("text").rlike(r"@Entity\s*\(")).withColumn("members", decorators(F.col("text")))
-    columns = F.transform(F.filter("members", lambda m: m["marks"].rlike(marked(COLUMNS))), lambda m: F.struct(m["name"].alias("name"), m["type"].alias("type"), m["marks"].rlike(r"\bnullable\s*:\s*true\b").alias("nullable"), m["marks"].rlike("@Primary").alias("pk")))
+    columns = F.transform(F.filter("members", lambda m: m["marks"].rlike(marked(COLUMNS))), lambda m: F.struct(m["name"].alias("name"), F.trim(F.regexp_replace(m["type"], r"\s+", " ")).alias("type"), ((m["mark"] == "?") | m["type"].rlike(r"\bnull\b")).alias("nullable"), m["marks"].rlike("@Primary").alias("pk")))
     relations = F.transform(F.filter("members", lambda m: m["marks"].rlike(marked(RELATIONS))), lambda m: F.struct(F.regexp_extract(m["marks"], rf"@({'|'.join(RELATIONS)})\b", 1).alias("name"), F.regexp_extract(m["marks"], rf"=>\s*\(?\s*({NAME})", 1).alias("type"), m["name"].alias("via")))
     return rows.select("path", F.regexp_extract("text", CLASS, 1).alias("cls"), literal(arguments_of(F.col("text"), "Entity"), "name").alias("tbl"), columns.alias("columns"), relations.alias("relations"))
 

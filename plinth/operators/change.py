@@ -22,7 +22,7 @@ def statuses(base: DataFrame, head: DataFrame, key: str, body: str) -> DataFrame
 
 def normalised(text: Column) -> Column:
     """Text whose lines have lost their trailing blanks, so that moving a part does not edit it."""
-    return F.regexp_replace(text, "(?m)[ \\t\\r]+$", "")
+    return F.regexp_replace(text, "(?m)(?<![ \\t\\r])[ \\t\\r]++$", "")
 
 
 def pair_classes(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -127,10 +127,16 @@ def response_contracts(calls: DataFrame) -> DataFrame:
 
 def frames(base: DataFrame, later: DataFrame, key: str, body: str) -> DataFrame:
     """(frame, key, status) of what each frame of later (frame, key, body) changes against the base (key, body), not against the frame before."""
-    numbers = later.select("frame").distinct()
-    old = base.join(F.broadcast(numbers)).select(F.struct("frame", key).alias("__k"), body)  # a row per frame of a history
-    new = later.select(F.struct("frame", key).alias("__k"), body)
-    return statuses(old, new, "__k", body).where("status <> 'unchanged'").select("__k.frame", f"__k.{key}", "status")
+    digest = F.sha2(F.col(body).cast("string"), 256)
+    old = base.select(F.col(key), digest.alias("__a"), F.lit(True).alias("__in_a"))
+    new = later.select("frame", F.col(key), digest.alias("__b"))
+    met = new.join(old, key, "left").where("__in_a is null or not (__a <=> __b)").select("frame", key, F.when(F.col("__in_a").isNull(), "added").otherwise("edited").alias("status"))
+    # A frame that lacks a base key has removed it; a key lists the frames that have it, of a history's few.
+    kind = dict(later.dtypes)["frame"]
+    every = F.array(*[F.lit(r.frame) for r in later.select("frame").distinct().collect()]).cast(f"array<{kind}>")
+    held = later.groupBy(key).agg(F.collect_set("frame").alias("__has"))
+    lost = old.select(key).distinct().join(held, key, "left").select(F.explode(F.array_except(every, F.coalesce("__has", F.array().cast(f"array<{kind}>")))).alias("frame"), key)
+    return met.unionByName(lost.withColumn("status", F.lit("removed")))
 
 
 def port_pairs(calls: DataFrame, bindings: DataFrame) -> DataFrame:

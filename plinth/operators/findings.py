@@ -56,8 +56,10 @@ def naming(files: DataFrame, tests: Mapping[str, str]) -> DataFrame:
 
 
 def dead_shims(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Files (path, text) that only re-export one module and that nobody imports."""
-    shims = files.where(F.trim("text").rlike(r"(?s)^export\s*(\*|\{[^}]*\})\s*from\s*['\"][^'\"]+['\"];?$")).select(F.col("path").alias("src"))
+    """Files (path, text) that nobody imports and that hold one re-export of names in braces, nothing else."""
+    only = F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), ";$", "")
+    names, module = F.regexp_extract(only, r"^export\s*\{([^}]*)\}", 0), F.regexp_extract(only, "\\bfrom\\s*([\"'][^\"']+[\"'])$", 0)
+    shims = files.where((names != "") & (module != "") & (F.concat(names, module) == F.regexp_replace(only, r"\}\s*from", "}from"))).select(F.col("path").alias("src"))
     return _found(shims.join(edges.select(F.col("dst").alias("src")), "src", "left_anti").withColumn("dst", F.lit("")), "dead-shims")
 
 
@@ -79,9 +81,14 @@ def orphaned(files: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     return _found(graph.orphans(nodes, edges, roots).select(F.col("node").alias("src"), F.lit("").alias("dst")), "orphans")
 
 
-def broken_calls(bridged: DataFrame) -> DataFrame:
-    """Calls that no endpoint, or more than one, serves best."""
-    return _found(bridged.where("status in ('unmatched', 'ambiguous')").select(F.col("call_id").alias("src"), F.col("status").alias("dst")), "http-broken")
+def broken_calls(calls: DataFrame, bridged: DataFrame) -> DataFrame:
+    """Calls (call_id, path, verb, url) that no endpoint serves, or more than one best: from their file to `VERB url`.
+
+    A call to an endpoint whose controller no module lists is broken too; one
+    whose verb or URL could not be read is not.
+    """
+    lost = bridged.where("status in ('unmatched', 'ambiguous', 'unserved')").select("call_id")
+    return _found(calls.join(lost, "call_id").select(F.col("path").alias("src"), F.concat_ws(" ", "verb", "url").alias("dst")), "http-broken")
 
 
 def _noted(rows: DataFrame, finding: str) -> DataFrame:

@@ -6,16 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What stands for a hole within a part; no URL holds it.
+HOLE = "\u0001"
+
+
 def url_segments(path: Column, prefix: str = "") -> Column:
-    """Parts of a path without prefix, query and fragment; `${…}` and `:name` parts count as holes `:`."""
-    bare = F.regexp_replace(F.regexp_replace(path, "\\$\\{[^}]*\\}", ":"), "[?#].*$", "")
+    """Parts of a path without prefix, query and fragment; `${…}` and `:name` parts count as holes `:`.
+
+    A part that is partly a hole, as `note-${id}`, keeps HOLE in the hole's place.
+    """
+    bare = F.regexp_replace(F.regexp_replace(path, "\\$\\{[^}]*\\}", HOLE), "[?#].*$", "")
     bare = F.regexp_replace(bare, f"^/?{prefix}(/|$)", "/") if prefix else bare
-    return F.transform(F.filter(F.split(bare, "/"), lambda s: s != ""), lambda s: F.when(s.startswith(":"), ":").otherwise(s))
+    return F.transform(F.filter(F.split(bare, "/"), lambda s: s != ""), lambda s: F.when((s == HOLE) | s.startswith(":"), ":").otherwise(s))
 
 
 def _score(a: Column, b: Column) -> Column:
-    """Of a request's part and a route's: equal literals 2, hole and parameter 2, literal and parameter 1, hole and literal 1, else no match."""
-    return F.when((a == ":") & (b == ":"), 2).when((a == ":") | (b == ":"), 1).when(a == b, 2)
+    """Of a request's part and a route's: equal literals 2, hole and parameter 2, literal and parameter 1, hole and literal 1, else no match.
+
+    A part with a hole in it has 1 with a parameter, and with a literal that it
+    fits, of one character or more for each hole.
+    """
+    fits = F.concat(F.lit("^\\Q"), F.replace(F.replace(a, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(HOLE), F.lit("\\E.+\\Q")), F.lit("\\E$"))
+    return F.when((a == ":") & (b == ":"), 2).when((a == ":") | (b == ":"), 1).when(a.contains(HOLE), F.when(F.regexp_like(b, fits), 1)).when(a == b, 2)
 
 
 #: Parts of a path that join keys are made of; further parts are compared after the join.
@@ -26,13 +38,13 @@ def _keys(parts: Column, other: Column, hole: Column) -> Column:
     """Join keys of a path: each of its first KEYED parts as it stands, or as the other side may meet it.
 
     A literal part meets an equal literal, or `other`; a `:` part meets `:`, or
-    `hole`. The two sides swap these marks, so that a request and a route that
+    `hole`, and so does a part with HOLE, whose fit is told after the join. The two sides swap these marks, so that a request and a route that
     fit have exactly one key in common.
     """
     start = F.array(F.size(parts).cast("string"))
 
     def step(keys: Column, part: Column) -> Column:
-        ways = F.when(part == ":", F.array(F.lit(":"), hole)).otherwise(F.array(part, other))
+        ways = F.when((part == ":") | part.contains(HOLE), F.array(F.lit(":"), hole)).otherwise(F.array(part, other))
         return F.flatten(F.transform(keys, lambda k: F.transform(F.array_compact(ways), lambda w: F.concat(k, F.lit("/"), w))))
 
     return F.aggregate(F.slice(parts, F.lit(1), F.lit(KEYED)), start, step)

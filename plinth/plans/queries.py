@@ -132,8 +132,8 @@ def q10_innermost(spark, d):
 
 ROUTES = ((1, "GET", "en/:id"), (2, "ALL", ":lang/:id"), (3, "GET", "de/925"), (4, "GET", ":lang/231"), (5, "POST", "fr/:id"))
 _ROUTES = "(VALUES (1, 'GET', ['en', ':']), (2, 'ALL', [':', ':']), (3, 'GET', ['de', '925']), (4, 'GET', [':', '231']), (5, 'POST', ['fr', ':'])) r(route_id, verb, parts)"
-_CALLS = "(SELECT page_id AS call_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS verb, list_filter(string_split(regexp_extract(url, '://[^/]+(/[^?#]*)', 1), '/'), lambda s: s <> '') AS parts FROM pages)"
-_BRIDGE = f"""p AS (SELECT call_id, route_id, list_transform(list_zip(c.parts, r.parts), lambda z: CASE WHEN z[1] = ':' AND z[2] = ':' THEN 2 WHEN z[1] = ':' OR z[2] = ':' THEN 1 WHEN z[1] = z[2] THEN 2 ELSE -99 END) AS s
+_CALLS = "(SELECT page_id AS call_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS verb, list_filter(string_split(regexp_extract(url, '://[^/]+(/[^?#]*)', 1), '/'), lambda s: s <> '') AS whole, list_transform(whole, lambda s, i: CASE WHEN page_id % 7 = 0 AND i = len(whole) THEN s[1] || '${x}' ELSE s END) AS parts FROM pages)"
+_BRIDGE = f"""p AS (SELECT call_id, route_id, list_transform(list_zip(c.parts, r.parts), lambda z: CASE WHEN z[1] = ':' AND z[2] = ':' THEN 2 WHEN z[1] = ':' OR z[2] = ':' THEN 1 WHEN contains(z[1], '$') THEN CASE WHEN z[2] LIKE replace(z[1], '${{x}}', '_%') THEN 1 ELSE -99 END WHEN z[1] = z[2] THEN 2 ELSE -99 END) AS s
     FROM {_CALLS} c JOIN {_ROUTES} ON len(c.parts) = len(r.parts) AND (c.verb = r.verb OR r.verb = 'ALL') WHERE c.verb IS NOT NULL),
     b AS (SELECT call_id, max(list_sum(s)) AS score, count(*) FILTER (list_sum(s) = m) AS n_best, min(route_id) FILTER (list_sum(s) = m) AS first FROM (SELECT *, max(list_sum(s)) OVER (PARTITION BY call_id) AS m FROM p WHERE NOT list_contains(s, -99)) GROUP BY call_id),
     o AS (SELECT c.call_id, b.score::INTEGER AS score, coalesce(n_best, 0) AS n_best, CASE WHEN n_best = 1 THEN first END AS route_id, CASE WHEN verb IS NULL THEN 'unread' WHEN coalesce(n_best, 0) = 0 THEN 'unmatched' WHEN n_best = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM {_CALLS} c LEFT JOIN b USING (call_id))"""
@@ -142,7 +142,9 @@ _BRIDGE = f"""p AS (SELECT call_id, route_id, list_transform(list_zip(c.parts, r
 def _bridged(spark, d):
     path = F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)
     verb = F.when(F.col("page_id") % 11 == 0, None).when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
-    calls = t(spark, d, "pages").select(F.col("page_id").alias("call_id"), verb.alias("verb"), match.url_segments(path).alias("parts"))
+    # Every seventh call names the first character of its last part alone.
+    holed = F.when(F.col("page_id") % 7 == 0, F.regexp_replace(path, "([^/])[^/]*(/*)$", "$1\\${x}$2")).otherwise(path)
+    calls = t(spark, d, "pages").select(F.col("page_id").alias("call_id"), verb.alias("verb"), match.url_segments(holed).alias("parts"))
     routes = spark.createDataFrame(list(ROUTES), "route_id int, verb string, path string").select("route_id", "verb", match.url_segments(F.col("path")).alias("parts"))
     return match.bridge(calls, routes), routes
 
@@ -376,7 +378,7 @@ def q30_grip(spark, d):
     return match.grip(part.select("p_partkey"), ordered, part.where("p_type = 'PROMO'"), part.where("p_type = 'LARGE'"), "p_partkey")
 
 
-_PAIR = f"SELECT c_nationkey AS src, 100 + s_nationkey AS dst, l_returnflag AS call FROM {_NATIONS} WHERE l_extendedprice > 90000 AND"
+_PAIR = f"SELECT c_nationkey AS src, 100 + s_nationkey AS dst, l_returnflag AS call FROM {_NATIONS} WHERE"
 
 
 @query(f"""WITH b AS (SELECT src, dst, list(DISTINCT call) AS old FROM ({_PAIR} l_shipdate < TIMESTAMP '1995-06-01') GROUP BY ALL), h AS (SELECT src, dst, list(DISTINCT call) AS new FROM ({_PAIR} l_shipdate >= TIMESTAMP '1995-06-01' AND l_shipdate < TIMESTAMP '1996-01-01') GROUP BY ALL),
@@ -385,8 +387,7 @@ _PAIR = f"SELECT c_nationkey AS src, 100 + s_nationkey AS dst, l_returnflag AS c
     list_sort(list_filter(coalesce(new, []), lambda x: NOT list_contains(coalesce(old, []), x))) AS n, list_sort(list_filter(coalesce(old, []), lambda x: NOT list_contains(coalesce(new, []), x))) AS g FROM j)
     SELECT src, dst, class, array_to_string(n, ',') AS new_calls, array_to_string(g, ',') AS gone_calls FROM k WHERE class <> 'kept' OR len(n) > 0 OR len(g) > 0""")
 def q31_pair_classes(spark, d):
-    li = t(spark, d, "lineitem").where("l_extendedprice > 90000")
-    o, c, s = (t(spark, d, x) for x in ("orders", "customer", "supplier"))
+    li, o, c, s = (t(spark, d, x) for x in ("lineitem", "orders", "customer", "supplier"))
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, F.col("l_suppkey") == s.s_suppkey).select(F.col("c_nationkey").alias("src"), (F.col("s_nationkey") + 100).alias("dst"), F.col("l_returnflag").alias("call"), "l_shipdate")
     day = lambda x: F.lit(x).cast("timestamp_ntz")
     base, head = rows.where(F.col("l_shipdate") < day("1995-06-01")), rows.where((F.col("l_shipdate") >= day("1995-06-01")) & (F.col("l_shipdate") < day("1996-01-01")))
@@ -521,12 +522,12 @@ def q48_modules(spark, d):
     return rollup.modules(_files(spark, d))
 
 
-_CLAIMS = "c AS (SELECT DISTINCT o_orderkey AS path, o_custkey AS spec, (o_orderkey % 3)::INTEGER AS strategy FROM orders WHERE o_totalprice > 300000)"
+_CLAIMS = "c AS (SELECT DISTINCT o_orderkey AS path, o_custkey AS spec, (o_orderkey % 3)::INTEGER AS strategy FROM orders)"
 
 
 @query(f"WITH {_CLAIMS}, p AS (SELECT c_custkey, count(DISTINCT path) AS n FROM customer LEFT JOIN c ON spec = c_custkey GROUP BY 1) SELECT count(*) AS specs, count(*) FILTER (n <> 1) AS unmatched, count(*) FILTER (n <> 1) <= 0.25 * count(*) AS reliable, (SELECT strategy FROM c GROUP BY strategy ORDER BY count(*) DESC, strategy LIMIT 1) AS strategy FROM p")
 def q49_test_claims(spark, d):
-    claimed = t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("spec"), (F.col("o_orderkey") % 3).cast("int").alias("strategy"))
+    claimed = t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("spec"), (F.col("o_orderkey") % 3).cast("int").alias("strategy"))
     return rollup.claims(claimed, t(spark, d, "customer").select(F.col("c_custkey").alias("spec")))
 
 
@@ -631,12 +632,12 @@ def q61_quiet_hotspots(spark, d):
     UNION ALL SELECT 'absent-patterns', 'note', FALSE, x, '' FROM (VALUES ('PROMO'), ('GIANT')) v(x) WHERE x NOT IN (SELECT p_type FROM part)
     UNION ALL SELECT 'implicit-fk', 'note', FALSE, 'lineitem.' || x, x FROM (VALUES ('orderkey'), ('partkey')) v(x)
     UNION ALL SELECT 'contract-drift', 'warn', FALSE, call_key::VARCHAR, '' FROM ({ORACLE_SQL['q34_contracts']}) WHERE status = 'differ'
-    UNION ALL SELECT 'controller-unregistered', 'warn', TRUE, s_name, s_suppkey::VARCHAR FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)
+    UNION ALL SELECT 'controller-unregistered', 'warn', TRUE, s_name, s_suppkey::VARCHAR FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)
     UNION ALL SELECT 'test-ratio', 'note', FALSE, lang, tested || '/' || total FROM ({ORACLE_SQL['q16_tests']}) WHERE reliable
     UNION ALL SELECT 'untested-risk', 'warn', FALSE, item::VARCHAR, score::VARCHAR FROM ({ORACLE_SQL['q60_untested_risk']})""")
 def q62_findings(spark, d):
     s = t(spark, d, "supplier")
-    far = t(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_suppkey").cast("string").alias("cls"))
+    far = t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("cls"))
     keys = spark.createDataFrame([("lineitem", x, x) for x in ("orderkey", "partkey")], "cls string, column string, refers_to string")
     tests = q16_tests(spark, d)
     return findings.catalogue(
@@ -683,7 +684,9 @@ def _some_routes(*ids):
 def q66_unserved(spark, d):
     path = F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)
     verb = F.when(F.col("page_id") % 11 == 0, None).when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
-    calls = t(spark, d, "pages").select(F.col("page_id").alias("call_id"), verb.alias("verb"), match.url_segments(path).alias("parts"))
+    # Every seventh call names the first character of its last part alone.
+    holed = F.when(F.col("page_id") % 7 == 0, F.regexp_replace(path, "([^/])[^/]*(/*)$", "$1\\${x}$2")).otherwise(path)
+    calls = t(spark, d, "pages").select(F.col("page_id").alias("call_id"), verb.alias("verb"), match.url_segments(holed).alias("parts"))
     routes = spark.createDataFrame(list(ROUTES), "route_id int, verb string, path string").select("route_id", "verb", match.url_segments(F.col("path")).alias("parts"))
     return match.served_or_not(calls, routes.where("route_id in (1, 3)"), routes.where("route_id not in (1, 3)"))
 

@@ -31,7 +31,13 @@ def test_renames_explain_findings(spark):
 
 
 def test_placement(spark):
-    files = spark.createDataFrame([("m/card/card.tsx", "component"), ("m/card/parts/x.ts", "util"), ("m/a.tsx", "component"), ("m/b.tsx", "component"), ("m/u.ts", "util"), ("m/t.spec.ts", "spec")], "path string, pattern string")
-    edges = spark.createDataFrame([("m/a.tsx", "m/u.ts"), ("m/b.tsx", "m/u.ts"), ("m/t.spec.ts", "m/a.tsx"), ("m/a.tsx", "m/b.tsx")], "src string, dst string")
-    got = {r.path: (r.kind, r.owner) for r in placement.placements(files, edges, ["component"], ["spec"]).collect()}
-    assert got["m/card/parts/x.ts"] == ("owned", "m/card/card.tsx") and got["m/u.ts"][0] == "shared" and got["m/a.tsx"][0] == "unused" and got["m/b.tsx"][0] == "single"
+    """Own folders by the station's stem, none for a module's root, the next one up for the station itself; a deeper root still counts."""
+    listed = [("m/card/card.tsx", "component"), ("m/card/parts/x.ts", "util"), ("m/card/parts/deep/y.css.ts", "style"), ("m/card/parts/list/list.tsx", "component"), ("m/a.tsx", "component"), ("m/b.tsx", "component"), ("m/u.ts", "util"), ("m/t.spec.ts", "spec"), ("m/ca/card2.tsx", "component"), ("m/ca/z.ts", "util")]
+    files = spark.createDataFrame([(p, k, "m") for p, k in listed] + [("n/n.service.ts", "component", "n"), ("n/v.ts", "util", "n"), ("a/n/n.ts", "component", "a/n"), ("a/n/w.ts", "util", "a/n")], "path string, pattern string, module string")
+    edges = spark.createDataFrame([("m/a.tsx", "m/u.ts"), ("m/b.tsx", "m/u.ts"), ("m/u.ts", "m/u.ts"), ("m/t.spec.ts", "m/a.tsx"), ("m/a.tsx", "m/b.tsx")], "src string, dst string")
+    got = {r.path: (r.kind, r.owner, r.users) for r in placement.placements(files, edges, ["component"], ["style"], ["spec"]).collect()}
+    assert got == {
+        "m/card/card.tsx": ("anchored", None, []), "m/card/parts/x.ts": ("cohesive", "m/card/card.tsx", []), "m/card/parts/deep/y.css.ts": ("owned", "m/card/card.tsx", []), "m/card/parts/list/list.tsx": ("anchored", "m/card/card.tsx", []),
+        "m/a.tsx": ("anchored", None, []), "m/b.tsx": ("anchored", None, ["m/a.tsx"]), "m/u.ts": ("cohesive", None, ["m/a.tsx", "m/b.tsx"]), "m/ca/card2.tsx": ("anchored", None, []), "m/ca/z.ts": ("cohesive", None, []),
+        "n/n.service.ts": ("anchored", None, []), "n/v.ts": ("cohesive", None, []), "a/n/n.ts": ("anchored", None, []), "a/n/w.ts": ("cohesive", None, []),
+    }

@@ -1,5 +1,7 @@
 """Wiring extraction and the finding catalogue on small hand-made trees."""
 
+from pyspark.sql import functions as F
+
 from plinth.extract import wiring as W
 from plinth.operators import findings as N
 from plinth.operators import rules
@@ -36,6 +38,28 @@ def test_endpoints_injections_and_calls(spark):
     assert rows(W.ui_routes(front), "route", "component") == [("/n/:id", "NotePage")]
 
 
+def test_broken_calls_are_kept_by_file_and_url(spark):
+    calls = spark.createDataFrame([(1, "a.ts", "GET", "/x"), (2, "a.ts", "GET", "/x"), (3, "b.ts", "POST", "/y"), (4, "b.ts", "GET", "/z"), (5, "c.ts", "GET", "/ok"), (6, "c.ts", None, None)], "call_id int, path string, verb string, url string")
+    states = spark.createDataFrame([(1, "unmatched"), (2, "unmatched"), (3, "ambiguous"), (4, "unserved"), (5, "matched"), (6, "unread")], "call_id int, status string")
+    assert rows(N.broken_calls(calls, states), "src", "dst") == [("a.ts", "GET /x"), ("b.ts", "GET /z"), ("b.ts", "POST /y")]
+
+
+def test_dead_shims_re_export_names_and_nothing_else(spark):
+    texts = {"a": "export { A } from './a';", "b": "\n export {\n A,\n B as C } from \"./b\" \n", "c": "export * from './c'", "d": "export { A } from './a'; export const x = 1", "e": "export { A } from './a'; // done", "f": "export { A }", "g": "export {} from './g'", "used": "export { A } from './a'"}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    assert [r[0] for r in rows(N.dead_shims(files, spark.createDataFrame([("x", "used")], "src string, dst string")), "src")] == ["a", "b", "g"]
+
+
+def test_parts_of_urls_with_holes(spark):
+    from plinth.operators import match
+
+    route = [(1, "GET", "/notes/note-5"), (2, "GET", "/notes/:id"), (3, "GET", "/files/a.json"), (4, "GET", "/files/b.json"), (5, "GET", "/only/x-1-y"), (6, "GET", "/only/x--y"), (7, "GET", "/dot/a+b")]
+    call = [(1, "GET", "/notes/note-${id}"), (2, "GET", "/files/${id}.json"), (3, "GET", "/only/x-${n}-y"), (4, "GET", "/notes/${id}"), (5, "GET", "/files/${a}.css"), (6, "GET", "/dot/a+${c}"), (7, "GET", "/dot/a.${c}"), (8, "GET", "/notes/note-5?x=${y}")]
+    parts = lambda rows_, k: spark.createDataFrame(rows_, f"{k} int, verb string, url string").select(k, "verb", match.url_segments(F.col("url")).alias("parts"))
+    got = {r.call_id: (r.score, r.n_best, r.route_id, r.status) for r in match.bridge(parts(call, "call_id"), parts(route, "route_id")).collect()}
+    assert got == {1: (3, 2, None, "ambiguous"), 2: (3, 2, None, "ambiguous"), 3: (3, 1, 5, "matched"), 4: (4, 1, 2, "matched"), 5: (None, 0, None, "unmatched"), 6: (3, 1, 7, "matched"), 7: (None, 0, None, "unmatched"), 8: (4, 1, 1, "matched")}
+
+
 def test_catalogue(spark):
     files = spark.createDataFrame([("a/x.controller.ts", "controller", "a", "a", ""), ("b/y.service.ts", "service", "b", "b", ""), ("b/z.repo.ts", "repository", "b", "b", ""), ("b/s.ts", "service", "b", "b/s", "export { a } from './y';"), ("apps/q.ts", "other", "apps", "apps", ""), ("x/app/r.ts", "other", "x", "x", "")], "path string, pattern string, module string, folder string, text string")
     edges = spark.createDataFrame([("a/x.controller.ts", "b/z.repo.ts"), ("b/y.service.ts", "b/z.repo.ts"), ("b/z.repo.ts", "b/y.service.ts"), ("b/s.ts", "b/y.service.ts")], "src string, dst string")

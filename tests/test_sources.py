@@ -86,6 +86,27 @@ def test_entities(spark):
     assert [tuple(r) for r in X.implicit_relations(found).collect()] == [("Note", "userId", "User")]
 
 
+def test_blank_lines_take_time_in_proportion(spark):
+    import time
+
+    from plinth.operators.change import normalised
+
+    files = tree.from_mapping(spark, {"a.ts": "\n" * 200_000 + "import './b';\n" + " \t" * 100_000 + "x"})
+    began = time.time()
+    assert [r.spec for r in X.imports(files).collect()] == ["./b"] and X.clauses(files).count() == 0
+    assert files.select(normalised(files.text).alias("t")).first().t.endswith("x")
+    assert time.time() - began < 30
+
+
+def test_assets_and_nullable_columns(spark):
+    names = ["./a.md", "./b.TXT", "./c.html?raw", "./d.svg?url=1", "./e.woff2", "./f.mdx"]
+    files = tree.from_mapping(spark, {"a.ts": "".join(f"import '{n}';\n" for n in names)})
+    assert {r.spec: r.status for r in X.edges(files).collect()} == {**{n: "asset" for n in names[:5]}, "./f.mdx": "unresolved"}
+    text = "@Entity()\nclass E {\n @Column({ nullable: true }) a: string;\n @Column() b?: Map<string, number>;\n @Column() c: Date |\n null = null;\n @Column() nullish!: string | nullable;\n}"
+    (row,) = X.entities(tree.from_mapping(spark, {"e.ts": text})).collect()
+    assert [(c.name, c.type, c.nullable) for c in row.columns] == [("a", "string", False), ("b", "Map<string, number>", True), ("c", "Date | null", True), ("nullish", "string | nullable", False)]
+
+
 def test_import_clauses(spark):
     files = tree.from_mapping(spark, {"a.ts": "import React, { useState as use, type Ref } from 'react';\nimport * as path from \"path\"\nimport type { Only } from './only';\nimport def from './d'\n"})
     got = {tuple(r) for r in X.clauses(files).collect()}
