@@ -174,6 +174,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     full = nodes.join(children, NODE, "left").join(_peeled(nodes), NODE, "left").join(ends(found), NODE, "left")
     full = full.withColumns({"n_children": F.coalesce("n_children", zero), "ends_sha256": F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256))})
     full = full.withColumns({"leaves": F.coalesce("leaves", zero) + F.when(F.col("n_children") == 0, 1).otherwise(0), "saved": F.coalesce("saved", zero) + F.col("own")})
+    full = durable(full)  # read twice: for the totals of its cells and for its rows
     return running(full, "run", "depth", [], True, n_leaves=(F.sum, "leaves"), saved_tokens=(F.sum, "saved")).select(*COLUMNS)
 
 
