@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import held, python_workers
+from plinth.llm.common import durable, held, python_workers
 
 SIMILARITY = 0.8
 
@@ -288,20 +288,38 @@ class Index:
             yield now
 
 
-def _blocks(items: DataFrame) -> Iterator[Broadcast]:
-    """The distinct items in blocks of about BLOCK_WORDS words, each broadcast under a name of its own."""
+def _blocks(items: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """The distinct items in blocks of about BLOCK_WORDS words, each broadcast under a name of its own, and whether there are others.
+
+    Where there are, a block's work is done when the next one is asked for, and
+    its broadcast goes.
+    """
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     words = tests.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
     blocks = -(-words // BLOCK_WORDS)
     for k in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r.item_id, words_of(r.text)) for r in part), key=str)))
+        block = items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r.item_id, words_of(r.text)) for r in part), key=str)))
+        yield block, blocks > 1
+        if blocks > 1:
+            block.destroy()
+
+
+class _Slot:
+    """The one index that a worker holds: that of the block it worked on last."""
+
+    key = index = None
+
+    def get(self, key: str, items: list) -> Index:
+        if self.key != key:
+            self.index = None
+            self.index, self.key = Index(items), key
+        return self.index
 
 
 def _index(block) -> Index:
-    """The index of a broadcast block, built once in a worker."""
-    key, items = block.value
-    return held("decontaminate", key, lambda: Index(items))
+    """The index of a broadcast block, built once in a worker, in place of any other."""
+    return held("decontaminate", "index", _Slot).get(*block.value)
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -314,13 +332,17 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     words; null doc_ids and item_ids are carried. Repeated rows of docs come
     back as often as they match, repeated items once. Empty tables give an empty
     result; other columns are not looked at.
+
+    Of more items than a block holds, each block is a job of its own whose hits
+    are written to the shared folder, so neither tasks nor executors ever hold
+    two blocks.
     """
     spark = docs.sparkSession
     python_workers(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance long, first_word long, end_word long"
     out = None
-    for block in _blocks(items):
+    for block, several in _blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -330,6 +352,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(map(_int, c), pa.int64()) for c in cols], ["doc_id", "item_id", "distance", "first_word", "end_word"])
 
         found = rows.mapInArrow(run, schema)
+        found = durable(found) if several else found
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -351,10 +374,13 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold an item, with docs' own columns.
 
     Decided row by row, so no text is shuffled. A row with a null doc_id is
-    decided like any other.
+    decided like any other. Of more items than a block holds, each block is a
+    job of its own over what the one before has kept, written to the shared
+    folder.
     """
     python_workers(docs.sparkSession)
     out = docs
-    for block in _blocks(items):
+    for block, several in _blocks(items):
         out = out.where(~_holder(block)(F.col("text").cast("string")))
+        out = durable(out) if several else out
     return out

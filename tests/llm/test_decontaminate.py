@@ -3,6 +3,8 @@
 import random
 import time
 
+import pytest
+
 from plinth.llm import decontaminate as D
 from plinth.llm.queries import QUERIES
 
@@ -77,8 +79,34 @@ def test_many_blocks_find_the_same(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, D.contamination(docs, items).collect()))
-    monkeypatch.setattr(D, "BLOCK_WORDS", 200)
+    words = sum(len(r.text.split()) for r in items.distinct().collect())
+    monkeypatch.setattr(D, "BLOCK_WORDS", words // 20)
+    sent, gone = [], []
+    monkeypatch.setattr(D.Index, "__init__", lambda self, found, make=D.Index.__init__: (sent.append(1), make(self, found))[1])
+    for b, several in D._blocks(items):
+        assert several
+        slot = D.held("decontaminate", "index", D._Slot)
+        slot.get(*b.value)
+        gone.append(b)
+    assert len(gone) >= 20 and len(sent) == len(gone) and sum(isinstance(x, D.Index) for x in vars(slot).values()) == 1
+    monkeypatch.undo()
+    monkeypatch.setattr(D, "BLOCK_WORDS", words // 20)
     assert sorted(map(tuple, D.contamination(docs, items).collect())) == one and one
+    dirty = {r[0] for r in one}
+    assert sorted(r.doc_id for r in D.clean(docs, items).collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id not in dirty)
+    # Workers are reused by all blocks: none holds more than one index, and a block's broadcast can no longer be read.
+
+    def held_indexes(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Index" and hasattr(x, "walks") for x in gc.get_objects())], pa.int64())], ["n"])
+
+    assert max(r.n for r in spark.range(64, numPartitions=16).mapInArrow(held_indexes, "n long").collect()) == 1
+    with pytest.raises(Exception):
+        spark.range(1).mapInArrow(lambda bs, b=gone[0]: (b.value and x for x in bs), "id long").collect()
 
 
 def edited(lengths, seed, each=60):
