@@ -2,12 +2,15 @@
 
 Dated list entries (add or remove) become validity intervals; an as-of join
 then evaluates every capture against the entries that were active at its fetch
-time. A capture asks for its host, every suffix of it, and every path prefix on
-it, so the join is on equal keys and never compares all entries with all URLs.
+time. A capture asks for its host, for suffixes of it and for path prefixes, of
+the lengths that entries have, so the join is on equal keys and never compares
+all entries with all URLs, and a URL of any length has few keys.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +33,32 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """The keys that a list entry can have to name this URL."""
+class Sizes(NamedTuple):
+    """Numbers of labels of domain entries, and of path parts of prefix entries, each once."""
+
+    domain: list[int]
+    prefix: list[int]
+
+
+def sizes_of(valid: DataFrame) -> Sizes:
+    """The sizes that occur among intervals(); a few numbers of a whole list."""
+    kind, rest = F.substring_index("key", ":", 1), F.regexp_extract("key", "^[a-z]+:(.*)$", 1)
+    path = F.regexp_extract(rest, "/(.*)$", 1)
+    size = F.when(kind == "domain", F.size(F.split(rest, "\\."))).when(kind == "prefix", F.when(path == "", 0).otherwise(F.size(F.split(path, "/"))))
+    found = {}
+    for r in valid.select(kind.alias("kind"), size.alias("size")).where("size is not null").distinct().collect():
+        found.setdefault(r.kind, []).append(r.size)
+    return Sizes(*(sorted(found.get(k, [])) for k in Sizes._fields))
+
+
+def keys_of(url: Column, sizes: Sizes) -> Column:
+    """The keys that list entries of these sizes can have to name this URL."""
+    given = lambda ns: F.array(*map(F.lit, ns)).cast("array<int>")
 
     def make(p: Column) -> Column:
         labels, parts = F.split(p["host"], "\\."), F.filter(F.split(p["path"], "/"), lambda s: s != "")
-        domains = let(labels, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(x, i, F.size(x)), "."))))
-        prefixes = let(parts, lambda x: F.transform(F.sequence(F.lit(0), F.size(x)), lambda i: F.concat(F.lit("prefix:"), p["host"], F.lit("/"), F.array_join(F.slice(x, F.lit(1), i), "/"))))
+        domains = let(labels, lambda x: F.transform(F.filter(given(sizes.domain), lambda n: n <= F.size(x)), lambda n: F.concat(F.lit("domain:"), F.array_join(F.slice(x, F.size(x) - n + 1, n), "."))))
+        prefixes = let(parts, lambda x: F.transform(F.filter(given(sizes.prefix), lambda n: n <= F.size(x)), lambda n: F.concat(F.lit("prefix:"), p["host"], F.lit("/"), F.array_join(F.slice(x, F.lit(1), n), "/"))))
         return F.when(p["host"].isNotNull(), F.concat(F.array(F.concat(F.lit("host:"), p["host"])), domains, prefixes)).otherwise(F.array().cast("array<string>"))
 
     return let(F.struct(host_of(url).alias("host"), path_of(url).alias("path")), make)
@@ -67,8 +89,8 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
     asked = rows.where("url is not null and fetched_at is not null").select("url", "fetched_at").distinct()
-    asked = asked.select("url", "fetched_at", F.explode(F.array_distinct(keys_of(F.col("url")))).alias("key"))
     valid = intervals(entries)
+    asked = asked.select("url", "fetched_at", F.explode(F.array_distinct(keys_of(F.col("url"), sizes_of(valid)))).alias("key"))
     active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     if valid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hits = asked.join(F.broadcast(valid), "key").where(active)

@@ -148,6 +148,18 @@ def test_op8_named_branches_never_replace_the_article(name, size):
         assert H.main_text(page) == want, page
 
 
+def test_op1_long_urls_have_few_keys(spark):
+    """A URL of a megabyte, deep in path and host, against entries of several depths."""
+    deep = "/".join(f"p{i}" for i in range(150_000))
+    day = datetime(2024, 5, 1)
+    captures = spark.createDataFrame([(1, f"http://a.b.example.com/{deep}", day), (2, "http://" + "x." * 400_000 + "example.com/p0", day), (3, "http://example.com", day)], "page_id long, url string, fetched_at timestamp")
+    entries = spark.createDataFrame([("l", "prefix", "a.b.example.com/p0/p1/p2/", "add", day), ("l", "prefix", "a.b.example.com/p0/p2", "add", day), ("m", "domain", "example.com", "add", day), ("n", "prefix", "example.com", "add", day), ("o", "domain", "b.example.com", "add", day)], U.ENTRIES)
+    began = time.time()
+    got = {r.page_id: r.matches for r in U.url_filter(captures, entries).collect()}
+    assert got == {1: "l=prefix:a.b.example.com/p0/p1/p2,m=domain:example.com,o=domain:b.example.com", 2: "m=domain:example.com", 3: "m=domain:example.com,n=prefix:example.com/"}
+    assert time.time() - began < 60
+
+
 def unmarked(page):
     """The page without what names the article or its surroundings."""
     page = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside)\b[^>]*>", r"<\1div>", page)
