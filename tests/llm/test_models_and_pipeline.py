@@ -56,6 +56,27 @@ def test_op10_finds_toxic_documents(spark):
     assert len(rows) == 10000 and np.mean(toxic) > 0.93 and np.mean(clean) < 0.005
 
 
+def test_op10_on_rows_it_never_saw(spark):
+    """Fitted without the doc_ids whose crc32 is divisible by 5, graded on those."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    unseen = labels.where("crc32(cast(doc_id as string)) % 5 = 0")
+    chain = T.train(docs, labels.join(unseen, "doc_id", "left_anti"))
+    got = T.score(docs.join(unseen, "doc_id"), chain).select("toxic", "is_toxic").collect()
+    toxic, clean = [r.is_toxic for r in got if r.toxic], [r.is_toxic for r in got if not r.toxic]
+    print("held out:", len(toxic), np.mean(toxic), len(clean), np.mean(clean))
+    assert len(toxic) > 80 and np.mean(toxic) > 0.85 and np.mean(clean) < 0.005
+
+
+def test_a_sample_has_one_row_a_doc_id(spark):
+    from plinth.llm.labelled import sample
+
+    docs = spark.createDataFrame([(1, f"text {i % 50}", i) for i in range(400)] + [(2, "b", 0)], "doc_id long, text string, extra int")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = sample(docs, labels, ["toxic"], 10, train_only=False, keep=("extra",)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and sample(docs.orderBy("extra"), labels, ["toxic"], 10, train_only=False, keep=("extra",)).collect()[0].asDict().keys() == {"doc_id", "text", "extra", "y_toxic"}
+
+
 def test_chain_uses_out_of_fold_predictions_and_order():
     rnd = np.random.default_rng(3)
     rows = T.Rows.of([np.array(sorted(rnd.choice(40, 8, replace=False))) for _ in range(400)])
