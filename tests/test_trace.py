@@ -2,6 +2,7 @@
 
 import random
 
+from plinth.operators import graph
 from plinth.operators import trace as T
 
 
@@ -79,3 +80,67 @@ def test_hops_cross_ports_and_fields_and_stalls_are_told(spark):
     short = T.hops(starts.where("file = 'ctl'"), resolved, injections, data, max_depth=1)
     assert [r.file for r in short.orderBy("ord").collect()] == ["svc", "impl", "cache"]
     assert ("impl", "load", "depth-cap", 2) in {tuple(r) for r in T.stalls(starts.where("file = 'ctl'"), short, resolved, bodies, ports, 1).collect()}
+
+
+def plain_components(pairs):
+    """Components by mutual reachability, each node's reach walked anew."""
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+
+    def reached(n):
+        seen, todo = set(), [n]
+        while todo:
+            for m in after.get(todo.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        return seen
+
+    far = {n: reached(n) for n in {x for p in pairs for x in p}}
+    groups = {n: {m for m in far[n] if n in far[m]} | {n} for n in far}
+    return {(n, min(g)) for n, g in groups.items() if len(g) > 1}
+
+
+def test_components_of_contracted_graphs(spark, monkeypatch):
+    """Rings, chains between components, chains back to their head, two chains between one pair, tails and random graphs."""
+    monkeypatch.setattr(graph, "CONTRACTED_FROM", 1)
+    r = random.Random(5)
+    fixed = [(1, 2), (2, 3), (3, 1), (3, 10), (10, 11), (11, 12), (12, 20), (20, 21), (21, 22), (22, 20), (22, 23), (23, 24), (24, 20), (50, 50), (60, 61), (61, 62), (62, 63), (70, 71), (71, 72), (72, 70), (70, 73), (73, 74), (74, 70)]
+    for extra in ([], [(24, 1)], *[[(r.randrange(100, 118), r.randrange(100, 118)) for _ in range(k)] for k in (20,)]):
+        pairs = fixed + extra
+        got = graph.components(spark.createDataFrame([*pairs, (None, 1), (1, None)], "src int, dst int"))
+        assert {tuple(x) for x in got.collect()} == plain_components(pairs)
+
+
+def test_reach_beyond_the_plain_rounds(spark, monkeypatch):
+    """Least depths over chains with side branches, shortcuts and cycles, and a cap inside a chain."""
+    monkeypatch.setattr(graph, "PLAIN_ROUNDS", 2)
+    r = random.Random(8)
+    for _ in range(3):
+        pairs = [(i, i + 1) for i in range(40)] + [(r.randrange(60), r.randrange(60)) for _ in range(25)] + [(100, 101), (101, 100)]
+        after, depth, todo = {}, {0: 0}, [0]
+        for a, b in pairs:
+            after.setdefault(a, []).append(b)
+        for n in todo:
+            for m in after.get(n, ()):
+                if m not in depth:
+                    depth[m] = depth[n] + 1
+                    todo.append(m)
+        edges, seeds = spark.createDataFrame(pairs, "src int, dst int"), spark.createDataFrame([(0,)], "node int")
+        assert {tuple(x) for x in graph.reach(edges, seeds).collect()} == set(depth.items())
+        assert {tuple(x) for x in graph.reach(edges, seeds, max_depth=9).collect()} == {x for x in depth.items() if x[1] <= 9}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, keep = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (rounds.append(1), keep(df))[1])
+    monkeypatch.setattr(graph, "written", lambda df, keep=graph.written: (rounds.append(1), keep(df))[1])
+    edges = spark.range(10_000).selectExpr("id as src", "id + 1 as dst")
+    got = graph.reach(edges, spark.createDataFrame([(0,)], "node long"))
+    assert got.selectExpr("count(*) as n", "max(depth) as d", "sum(depth - node) as wrong").first() == (10_001, 10_000, 0) and len(rounds) < 40
+    rounds.clear()
+    assert graph.components(edges).count() == 0 and len(rounds) < 40
+    rounds.clear()
+    ring = edges.union(spark.createDataFrame([(10_000, 0)], "src long, dst long"))
+    assert graph.components(ring).selectExpr("count(*)", "max(comp)").first() == (10_001, 0) and len(rounds) < 40
