@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.paths import directory, folded, segments
+from plinth.operators.graph import settled
 
 
 def resolve(imports: DataFrame, files: DataFrame, suffixes: Sequence[str]) -> DataFrame:
@@ -84,6 +85,42 @@ def declared_in(uses: DataFrame, symbols: DataFrame, declarations: DataFrame) ->
     return out.select(*uses.columns, F.coalesce("__file", "__own").alias("file"))
 
 
+#: Imports that a name is followed through.
+CHAIN = 8
+
+
+def scoped(uses: DataFrame, imports: DataFrame, declared: DataFrame) -> DataFrame:
+    """uses (path, name) with file, declared, hops and status: where a name's meaning is declared, and under which name.
+
+    imports (path, local, file, imported) lead from a name to the one that its
+    file gives it, renamed or default ones too, and to a null file outside the
+    tree; a file that passes a name on has a row for it. declared has (path,
+    name). status: own or imported where the last file declares the name; unique
+    where it does not but one file alone does; else ambiguous or unknown;
+    external; deep after more than CHAIN imports, as in a circle. Of several
+    imports of one name the least counts. Pointers double each round, so four
+    rounds tell all.
+    """
+    step = imports.groupBy("path", F.col("local").alias("name")).agg(F.min(F.struct("file", "imported")).alias("to"))
+    now = step.select("path", "name", F.col("to.file").alias("file"), F.col("to.imported").alias("declared"), F.lit(1).alias("hops"))
+    for _ in range(CHAIN.bit_length()):
+        then = now.select(F.col("path").alias("file"), F.col("name").alias("declared"), F.struct("file", "declared", "hops").alias("__to"))
+        joined = now.join(then, ["file", "declared"], "left")
+        ends = F.when(F.col("__to").isNotNull(), F.col("__to.file")).otherwise(F.col("file"))
+        now = settled(joined.select("path", "name", ends.alias("file"), F.coalesce("__to.declared", "declared").alias("declared"), (F.col("hops") + F.coalesce("__to.hops", F.lit(0))).alias("hops")))
+    found = uses.select("path", "name").distinct().join(now, ["path", "name"], "left")
+    own = F.col("hops").isNull()
+    found = found.select("path", "name", F.when(own, F.col("path")).otherwise(F.col("file")).alias("file"), F.coalesce("declared", "name").alias("declared"), F.coalesce("hops", F.lit(0)).alias("hops"))
+    there = declared.select(F.col("path").alias("file"), F.col("name").alias("declared"), F.lit(True).alias("__there")).distinct()
+    named = declared.distinct().groupBy(F.col("name").alias("declared")).agg(F.count("*").alias("__n"), F.min("path").alias("__only"))
+    rows = found.join(there, ["file", "declared"], "left").join(named, "declared", "left")
+    status = F.when(F.col("hops") > CHAIN, "deep").when(F.col("file").isNull(), "external").when(F.col("__there"), F.when(F.col("hops") == 0, "own").otherwise("imported")).when(F.col("__n") == 1, "unique").when(F.col("__n") > 1, "ambiguous").otherwise("unknown")
+    rows = rows.withColumn("status", status)
+    file = F.when(F.col("status").isin("own", "imported"), F.col("file")).when(F.col("status") == "unique", F.col("__only"))
+    known = rows.select("path", "name", file.alias("file"), F.when(file.isNotNull(), F.col("declared")).alias("declared"), F.least("hops", F.lit(CHAIN + 1)).alias("hops"), "status")
+    return uses.join(known, ["path", "name"])
+
+
 def within_lines(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """points (by, point_id, line) with every span (by, first, last, name) whose lines, both included, hold them."""
     return points.join(spans, by).where((F.col("first") <= F.col("line")) & (F.col("line") <= F.col("last")))

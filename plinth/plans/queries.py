@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.extract import brackets
 from plinth.functions.paths import fingerprint, line_count, plain_name
-from plinth.operators import change, classify, findings, graph, history, lookup, match, report, rollup, rules, sets, trace
+from plinth.operators import change, classify, findings, graph, history, lookup, match, placement, report, rollup, rules, sets, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -771,3 +771,56 @@ def q74_elements(spark, d):
     tokens = brackets.scanned(_page_files(spark, d), marks="</?(?:html|head|body|nav|article|section|div|ul|li|p|table|tr)[ >]", brackets="(?!)", passed="<!--(?:[^-]|-[^-]|--+[^->])*+-+->")
     rows = tokens.where(~F.col("token").startswith("<!")).withColumns({"kind": F.regexp_extract("token", "[a-z]+", 0), "step": F.when(F.col("token").startswith("</"), -1).otherwise(1)})
     return _paired(rows)
+
+
+_IMPORTS = """i AS (SELECT p_partkey AS path, 'T' AS local, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey // 2 END AS file, CASE WHEN p_partkey % 4 = 1 THEN 'U' ELSE 'T' END AS imported FROM part WHERE p_partkey % 3 <> 0
+    UNION ALL SELECT p_partkey, 'U', p_partkey - 1, 'U' FROM part WHERE p_partkey % 20 <> 0),
+    d AS (SELECT p_partkey AS path, 'T' AS name FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT p_partkey, 'U' FROM part WHERE p_partkey % 40 = 0 UNION ALL SELECT p_partkey, 'B' || p_size FROM part),
+    u AS (SELECT path, local AS name FROM i UNION ALL SELECT p_partkey, 'T' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'B' || (p_size + 1) FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {_IMPORTS}, w(path, name, file, declared, hops) AS (SELECT path, name, path, name, 0 FROM u UNION ALL SELECT w.path, w.name, i.file, i.imported, hops + 1 FROM w JOIN i ON i.path = w.file AND i.local = w.declared WHERE hops < 9),
+    l AS (SELECT path, name, max(hops) AS hops, arg_max(struct_pack(f := file), hops).f AS file, arg_max(declared, hops) AS declared FROM w GROUP BY path, name),
+    n AS (SELECT name, count(DISTINCT path) AS n, min(path) AS only_one FROM d GROUP BY name),
+    s AS (SELECT l.*, n.only_one, CASE WHEN hops > 8 THEN 'deep' WHEN file IS NULL THEN 'external' WHEN (file, declared) IN (SELECT path, name FROM d) THEN CASE WHEN hops = 0 THEN 'own' ELSE 'imported' END WHEN n.n = 1 THEN 'unique' WHEN n.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS status FROM l LEFT JOIN n ON n.name = l.declared)
+    SELECT path, name, CASE WHEN status IN ('own', 'imported') THEN file WHEN status = 'unique' THEN only_one END AS file, CASE WHEN status IN ('own', 'imported', 'unique') THEN declared END AS declared, hops, status FROM s""")
+def q76_scoped_types(spark, d):
+    """Parts as files that import names from others, renamed, from outside, and over chains of up to 19 files."""
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("path"), "p_size")
+    text = lambda x: F.lit(x).alias
+    imports = p.where("path % 3 <> 0").select("path", text("T")("local"), F.when(F.col("path") % 7 != 0, F.expr("path div 2")).alias("file"), F.when(F.col("path") % 4 == 1, "U").otherwise("T").alias("imported"))
+    imports = imports.unionByName(p.where("path % 20 <> 0").select("path", text("U")("local"), (F.col("path") - 1).alias("file"), text("U")("imported")))
+    sized = lambda n: F.concat(F.lit("B"), (F.col("p_size") + n).cast("string")).alias("name")
+    declared = p.where("path % 6 = 0").select("path", text("T")("name")).unionByName(p.where("path % 40 = 0").select("path", text("U")("name"))).unionByName(p.select("path", sized(0)))
+    uses = imports.select("path", F.col("local").alias("name")).unionByName(p.where("path % 3 = 0").select("path", text("T")("name"))).unionByName(p.select("path", sized(1)))
+    return lookup.scoped(uses, imports, declared)
+
+
+@query(f"""WITH {_BRIDGE}, c AS (SELECT page_id AS call_id, regexp_extract(url, '://([^/]+)', 1) AS src, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END || ' ' || url AS dst FROM pages)
+    SELECT DISTINCT 'http-broken' AS finding, 'warn' AS tone, TRUE AS gate, src, dst FROM o JOIN c USING (call_id) WHERE status IN ('unmatched', 'ambiguous') OR status = 'matched' AND route_id = 3""")
+def q77_http_broken(spark, d):
+    """Pages as calls of their hosts; route 3 is in no module's list, and no other route of its shape is as good."""
+    bridged = _bridged(spark, d)[0]
+    verb = F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
+    calls = t(spark, d, "pages").select(F.col("page_id").alias("call_id"), F.regexp_extract("url", "://([^/]+)", 1).alias("path"), verb.alias("verb"), "url")
+    dark = bridged.withColumn("status", F.when((F.col("status") == "matched") & (F.col("route_id") == 3), "unserved").otherwise(F.col("status")))
+    return findings.broken_calls(calls, dark)
+
+
+_PLACED = """f AS (SELECT DISTINCT trim(regexp_extract(url, '://[^/]+(/[^?#]*)', 1), '/') AS path FROM pages), g AS (SELECT path, string_split(path, '/') AS parts, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM f),
+    x AS (SELECT dir || CASE WHEN dir = '' THEN '' ELSE '/' END || parts[len(parts)] || '/' || parts[len(parts)] || '.tsx' AS path, 'component' AS pattern, parts[1] AS module FROM g WHERE length(path) % 3 = 0
+        UNION ALL SELECT dir || CASE WHEN dir = '' THEN '' ELSE '/' END || parts[len(parts)] || '/' || 'inner.ts', CASE WHEN length(path) % 2 = 0 THEN 'style' ELSE 'util' END, parts[1] FROM g),
+    a AS (SELECT DISTINCT path, pattern, module, regexp_replace(path, '/[^/]*$', '') AS folder, string_split(path, '/') AS ps FROM x)"""
+
+
+@query(f"""WITH {_PLACED}, o AS (SELECT folder, any_value(path) AS owner FROM a WHERE pattern = 'component' GROUP BY folder HAVING count(*) = 1 AND any_value(module) <> folder AND starts_with(string_split(folder, '/')[-1], string_split(string_split(any_value(path), '/')[-1], '.')[1]))
+    SELECT path, CASE pattern WHEN 'component' THEN 'anchored' WHEN 'style' THEN 'owned' ELSE 'cohesive' END AS kind, (SELECT arg_max(o.owner, length(o.folder)) FROM o WHERE o.owner <> a.path AND (a.folder = o.folder OR starts_with(a.folder, o.folder || '/'))) AS owner, 0 AS users FROM a""")
+def q78_placements(spark, d):
+    """Pages as folders that hold a component of the same name, each third one, and a file beside it."""
+    path = F.btrim(F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1), F.lit("/"))
+    g = t(spark, d, "pages").select(path.alias("path")).distinct().withColumns({"last": F.regexp_extract("path", "[^/]*$", 0), "module": F.substring_index("path", "/", 1)})
+    own = g.where(F.length("path") % 3 == 0).select(F.concat("path", F.lit("/"), "last", F.lit(".tsx")).alias("path"), F.lit("component").alias("pattern"), "module")
+    inner = g.select(F.concat("path", F.lit("/inner.ts")).alias("path"), F.when(F.length("path") % 2 == 0, "style").otherwise("util").alias("pattern"), "module")
+    files = own.unionByName(inner).distinct()
+    out = placement.placements(files, files.select(F.col("path").alias("src"), F.col("path").alias("dst")), ["component"], ["style"])
+    return out.withColumn("users", F.size("users"))
