@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.extract import brackets
@@ -64,10 +64,18 @@ def q04_coverage(spark, d):
     return classify.coverage(_parts(spark, d))
 
 
-@query("""WITH f(i, s) AS (VALUES (0, 'URGENT'), (1, 'HIGH'), (2, 'MEDIUM'), (3, 'LOW'), (4, 'NONE'))
-    SELECT a.s || '>' || b.s AS rule, a.s AS from_pattern, b.s AS to_pattern, b.i - a.i - 1 AS jump, CASE WHEN b.i - a.i - 1 >= 2 THEN 'crit' ELSE 'warn' END AS sev FROM f a JOIN f b ON b.i >= a.i + 2""")
+@query("""WITH f(i, s) AS (VALUES (0, 'URGENT'), (1, 'HIGH'), (2, 'MEDIUM'), (3, 'LOW'), (4, 'NONE')),
+    x AS (SELECT a.s || '>' || b.s AS rule, a.s AS from_pattern, b.s AS to_pattern, b.i - a.i - 1 AS jump, CASE WHEN b.i - a.i - 1 >= 2 THEN 'crit' ELSE 'warn' END AS sev FROM f a JOIN f b ON b.i >= a.i + 2),
+    o AS (SELECT regexp_extract(o_orderpriority, '[A-Z]+') AS from_pattern, lead(regexp_extract(o_orderpriority, '[A-Z]+')) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS to_pattern FROM orders)
+    SELECT x.*, count(o.from_pattern) AS n FROM x LEFT JOIN o USING (from_pattern, to_pattern) GROUP BY ALL""")
 def q05_skip_rules(spark, d):
-    return rules.skip_rules(spark, FLOW)
+    """How often a customer's next order skips stations of the priorities' flow, by rule."""
+    word = F.regexp_extract("o_orderpriority", "[A-Z]+", 0)
+    following = F.lead(word).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = t(spark, d, "orders").select(word.alias("from_pattern"), following.alias("to_pattern"))
+    table = rules.skip_rules(spark, FLOW)
+    hits = rules.rule_hits(edges, table).groupBy("rule").agg(F.count("*").alias("n"))
+    return table.join(hits, "rule", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("SELECT x AS p_type FROM (VALUES ('PROMO'), ('LARGE'), ('GIANT'), ('TINY')) v(x) WHERE x NOT IN (SELECT p_type FROM part)")
@@ -76,17 +84,18 @@ def q06_absent(spark, d):
 
 
 @query("""WITH f AS (SELECT DISTINCT page_id, ltrim(regexp_extract(url, '://[^/]+(/[^?#]*)', 1), '/') AS path FROM pages),
-    i AS (SELECT DISTINCT a.path AS src, '../x/../' || regexp_replace(rtrim(b.path, '/'), '[.]html$', '') AS spec, regexp_replace(rtrim(b.path, '/'), '[.]html$', '') AS base FROM f a JOIN f b ON b.page_id = a.page_id + 1 WHERE regexp_matches(a.path, '^[a-z]+/[0-9]+')),
+    i AS (SELECT DISTINCT a.path AS src, repeat('../', len(string_split(rtrim(a.path, '/'), '/')) - 1) || './x/../' || regexp_replace(rtrim(b.path, '/'), '[.]html$', '') AS spec, regexp_replace(rtrim(b.path, '/'), '[.]html$', '') AS base FROM f a JOIN f b ON b.page_id = a.page_id + 1),
     tried AS (SELECT src, spec, base || s AS path, pos FROM i, (VALUES (0, ''), (1, '.html'), (2, '/')) v(pos, s)),
     r AS (SELECT src, spec, arg_min(path, pos) AS dst, min(pos) AS pos FROM tried WHERE path IN (SELECT path FROM f) GROUP BY src, spec)
     SELECT i.src, i.spec, r.dst, r.pos FROM i LEFT JOIN r USING (src, spec)""")
 def q07_resolve(spark, d):
     path = F.ltrim(F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1), F.lit("/"))
     files = t(spark, d, "pages").select("page_id", path.alias("path")).distinct()
-    a = files.where(F.col("path").rlike("^[a-z]+/[0-9]+")).select((F.col("page_id") + 1).alias("page_id"), F.col("path").alias("src"))
+    a = files.select((F.col("page_id") + 1).alias("page_id"), F.col("path").alias("src"))
     bare = F.regexp_replace(F.rtrim("path", F.lit("/")), "[.]html$", "")
     # A trailing slash makes a source's own folder one deeper; its page is taken to lie beside it.
-    imports = a.join(files, "page_id").select("src", F.concat(F.lit("../x/../"), bare).alias("spec")).distinct()
+    up = F.repeat(F.lit("../"), F.size(F.split(F.rtrim("src", F.lit("/")), "/")) - 1)
+    imports = a.join(files, "page_id").select("src", F.concat(up, F.lit("./x/../"), bare).alias("spec")).distinct()
     flat = imports.withColumn("__src", F.regexp_replace("src", "/$", ""))
     found = lookup.resolve(flat.select(F.col("__src").alias("src"), "spec").distinct(), files, ["", ".html", "/"])
     return flat.join(found.withColumnRenamed("src", "__src"), ["__src", "spec"]).select("src", "spec", "dst", "pos")
@@ -207,16 +216,18 @@ def q14b_explained(spark, d):
     return history.explained(_pairs(spark, d), a.join(b, "s_nationkey").where("src <> dst")).select("a", "b", "degree", "imports")
 
 
-COLUMNS = ("c_nationkeys", "s_nationkey", "o_custkey", "l_orderkey", "l_partkey", "n_regionkey", "p_size", "x_companieskey")
-
-
-@query("""WITH c(col) AS (VALUES ('c_nationkeys'), ('s_nationkey'), ('o_custkey'), ('l_orderkey'), ('l_partkey'), ('n_regionkey'), ('p_size'), ('x_companieskey')),
-    e(entity) AS (VALUES ('nations'), ('Region'), ('orders'), ('parts'), ('company'), ('customer'))
-    SELECT col, entity AS refers_to FROM c JOIN e ON regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(col, '^[a-z]_(.*)keys?$', 1), 'ies$', 'y'), 'ses$', 's'), 's$', ''), '', '') = regexp_replace(regexp_replace(regexp_replace(lower(entity), 'ies$', 'y'), 'ses$', 's'), 's$', '')""")
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part),
+    c AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN b || 'Id' WHEN 1 THEN upper(b) || '_id' ELSE b END AS col FROM w),
+    e AS (SELECT DISTINCT CASE length(a) % 3 WHEN 0 THEN a || 's' WHEN 1 THEN upper(a) ELSE a END AS entity FROM w UNION SELECT b FROM w),
+    n AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(entity), '[^a-z0-9]', '', 'g'), 'ies$', 'y'), 'ses$', 's'), 's$', '') AS name, max(entity) AS refers_to FROM e GROUP BY 1)
+    SELECT p_partkey, col, refers_to FROM c JOIN n ON name = regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(col, '^(.+)(Id|_id)$', 1)), '[^a-z0-9]', '', 'g'), 'ies$', 'y'), 'ses$', 's'), 's$', '') AND regexp_matches(col, '(Id|_id)$')""")
 def q15_implicit_keys(spark, d):
-    columns = spark.createDataFrame([(c,) for c in COLUMNS], "col string")
-    entities = spark.createDataFrame([(e,) for e in ("nations", "Region", "orders", "parts", "company", "customer")], "entity string")
-    return lookup.implicit_keys(columns, entities, plain_name(F.regexp_extract("col", "^[a-z]_(.*)keys?$", 1)), plain_name(F.col("entity"))).select("col", "refers_to")
+    """Parts' last words as columns, all first and last words as entities, in several spellings."""
+    words = t(spark, d, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 1).alias("a"), F.element_at(F.split("p_name", " "), -1).alias("b"))
+    columns = words.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("b", F.lit("Id"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.upper("b"), F.lit("_id"))).otherwise(F.col("b")).alias("col")).where(F.col("col").rlike("(Id|_id)$"))
+    spelt = F.when(F.length("a") % 3 == 0, F.concat("a", F.lit("s"))).when(F.length("a") % 3 == 1, F.upper("a")).otherwise(F.col("a"))
+    entities = words.select(spelt.alias("entity")).union(words.select("b")).distinct()
+    return lookup.implicit_keys(columns, entities, plain_name(F.regexp_extract("col", "^(.+)(Id|_id)$", 1)), plain_name(F.col("entity"))).select("p_partkey", "col", "refers_to")
 
 
 @query("""SELECT lang, count(*) AS total, count(l.doc_id) AS tested, round(count(l.doc_id) / count(*), 3) AS ratio, (SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) <= 0.25 * count(*) FROM labels) AS reliable
@@ -630,7 +641,7 @@ def q61_quiet_hotspots(spark, d):
 @query(f"""WITH {_CO} SELECT 'hotspots' AS finding, 'note' AS tone, FALSE AS gate, item::VARCHAR AS src, score::VARCHAR AS dst FROM (SELECT item, score FROM ({_SCORE}) ORDER BY score DESC, item LIMIT 15)
     UNION ALL SELECT 'logical-coupling', 'note', FALSE, a::VARCHAR, b::VARCHAR FROM g WHERE degree >= 0.03 AND (a, b) NOT IN (SELECT a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey)
     UNION ALL SELECT 'absent-patterns', 'note', FALSE, x, '' FROM (VALUES ('PROMO'), ('GIANT')) v(x) WHERE x NOT IN (SELECT p_type FROM part)
-    UNION ALL SELECT 'implicit-fk', 'note', FALSE, 'lineitem.' || x, x FROM (VALUES ('orderkey'), ('partkey')) v(x)
+    UNION ALL SELECT DISTINCT 'implicit-fk', 'note', FALSE, 'part.' || col, refers_to FROM ({ORACLE_SQL['q15_implicit_keys']})
     UNION ALL SELECT 'contract-drift', 'warn', FALSE, call_key::VARCHAR, '' FROM ({ORACLE_SQL['q34_contracts']}) WHERE status = 'differ'
     UNION ALL SELECT 'controller-unregistered', 'warn', TRUE, s_name, s_suppkey::VARCHAR FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)
     UNION ALL SELECT 'test-ratio', 'note', FALSE, lang, tested || '/' || total FROM ({ORACLE_SQL['q16_tests']}) WHERE reliable
@@ -638,7 +649,7 @@ def q61_quiet_hotspots(spark, d):
 def q62_findings(spark, d):
     s = t(spark, d, "supplier")
     far = t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("cls"))
-    keys = spark.createDataFrame([("lineitem", x, x) for x in ("orderkey", "partkey")], "cls string, column string, refers_to string")
+    keys = q15_implicit_keys(spark, d).select(F.lit("part").alias("cls"), F.col("col").alias("column"), "refers_to")
     tests = q16_tests(spark, d)
     return findings.catalogue(
         findings.hotspots(q21_hotspots(spark, d), "item"),
