@@ -51,11 +51,10 @@ def paths(starts: DataFrame, calls: DataFrame, max_depth: int = 5, max_rounds: i
         open_ = now.where(F.size("path") <= max_depth)
         reached = open_.join(calls, open_.node == calls.src).select("start", "root", F.col("call.dst").alias("node"), F.concat("path", F.array("call")).alias("path"))
         least = reached.where("node <> root").groupBy("start", "root", "node").agg(F.min("path").alias("path"))
-        new = settled(first.unionByName(least))
         known = now.select("start", "root", "node", F.col("path").alias("was"))
-        done = new.join(known, ["start", "root", "node"], "full").where("not (path <=> was)").isEmpty()
-        now = new
-        if done:
+        new = settled(first.unionByName(least).join(known, ["start", "root", "node"], "full"))
+        now = new.where("path is not null").drop("was")
+        if new.where("not (path <=> was)").isEmpty():
             break
     return now.where("node <> root").select("start", "node", "path")
 
