@@ -46,6 +46,12 @@ _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("frame", "<u4")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
 
+def arrow_uri(uri: str) -> str:
+    """A folder's URI as Arrow names it: Spark's s3a and s3n are s3 there."""
+    scheme, mark, rest = uri.partition("://")
+    return f"s3{mark}{rest}" if scheme in ("s3a", "s3n") else uri
+
+
 class Writer:
     """Builds one file's bytes; documents must come in the order they shall have."""
 
@@ -236,7 +242,7 @@ def write_tokens(docs: DataFrame, vocab: str, to: str) -> list[Part]:
         from pyarrow import fs
 
         task, done, writer, n = TaskContext.get().partitionId(), [], Writer(), 0
-        store, base = fs.FileSystem.from_uri(to)
+        store, base = fs.FileSystem.from_uri(arrow_uri(to))
 
         def save() -> None:
             nonlocal writer, n
@@ -279,7 +285,7 @@ def read_tokens(spark: SparkSession, folder: str, files: list[Part], each, schem
 
         for b in batches:
             for name, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
-                store, at = fs.FileSystem.from_uri(f"{folder}/{name}")
+                store, at = fs.FileSystem.from_uri(arrow_uri(f"{folder}/{name}"))
                 with store.open_input_file(at) as f:
 
                     def read(start: int, n: int) -> bytes:

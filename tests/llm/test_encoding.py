@@ -118,3 +118,11 @@ def test_frames_are_plain_zstandard():
     w.add(1, np.arange(5, dtype=np.uint32))
     raw = w.finish()
     assert zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(20) == np.arange(5, dtype="<u4").tobytes()
+
+
+def test_folders_are_named_as_arrow_does():
+    from pyarrow import fs
+
+    assert [tokenbin.arrow_uri(u) for u in ("s3a://b/x/y", "s3n://b", "s3://b", "hdfs://n/x", "file:///tmp", "/tmp/x")] == ["s3://b/x/y", "s3://b", "s3://b", "hdfs://n/x", "file:///tmp", "/tmp/x"]
+    store, at = fs.FileSystem.from_uri(tokenbin.arrow_uri("s3a://bucket/x/y") + "?region=eu-west-1")
+    assert store.type_name == "s3" and at == "bucket/x/y"
