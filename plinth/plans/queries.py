@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.extract import brackets
 from plinth.functions.paths import fingerprint, line_count, plain_name
-from plinth.operators import change, classify, findings, graph, history, lookup, match, placement, report, rollup, rules, sets, trace
+from plinth.operators import change, classify, findings, graph, history, lookup, match, placement, report, rollup, rules, sets, shapes, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -835,3 +835,56 @@ def q78_placements(spark, d):
     files = own.unionByName(inner).distinct()
     out = placement.placements(files, files.select(F.col("path").alias("src"), F.col("path").alias("dst")), ["component"], ["style"])
     return out.withColumn("users", F.size("users"))
+
+
+_TYPES = """n0 AS (SELECT p_partkey AS node, CASE p_partkey % 9 WHEN 0 THEN 'union' WHEN 1 THEN 'intersection' WHEN 2 THEN 'promise' WHEN 3 THEN 'array' WHEN 4 THEN 'partial' WHEN 5 THEN 'record' WHEN 6 THEN 'reference' WHEN 7 THEN CASE WHEN p_size % 4 = 0 THEN 'null' WHEN p_size % 4 = 1 THEN 'generic' ELSE 'object' END ELSE 'object' END AS kind, p_size % 7 = 0 AS is_open FROM part),
+    c0 AS (SELECT p_partkey AS parent, 0 AS place, p_partkey // 2 AS child FROM part UNION ALL SELECT p_partkey, 1, p_partkey * 5 // 8 + 1 FROM part WHERE p_partkey % 9 IN (0, 1) UNION ALL SELECT p_partkey, 2, p_partkey - 4 FROM part WHERE p_partkey % 9 = 5 AND p_size % 2 = 0),
+    fl AS (SELECT l_partkey AS node, 'f' || (l_suppkey % 10) AS name, arg_max(l_returnflag = 'R', l_orderkey * 10 + l_linenumber) AS optional FROM lineitem GROUP BY ALL),
+    un AS (SELECT parent, count(*) AS n, min(child) AS child FROM c0 JOIN n0 p ON p.node = parent AND p.kind = 'union' LEFT JOIN n0 c ON c.node = child WHERE c.kind IS DISTINCT FROM 'null' GROUP BY parent),
+    n AS (SELECT node, CASE WHEN kind <> 'union' THEN kind WHEN un.n = 1 THEN 'promise' ELSE 'generic' END AS kind, is_open FROM n0 LEFT JOIN un ON un.parent = node),
+    c AS (SELECT parent, place, c0.child FROM c0 JOIN n0 ON node = parent WHERE kind IN ('intersection', 'record', 'promise', 'reference', 'array', 'partial') UNION ALL SELECT parent, 0, child FROM un WHERE n = 1)"""
+
+
+def _types_sql(rounds: int) -> str:
+    """States ('o' object, 'a' array of one, 'x' another array, 'n' none, null unread) and fields, a round after the other."""
+    out = [f"""WITH {_TYPES},
+    s0 AS MATERIALIZED (SELECT node, CASE kind WHEN 'object' THEN 'o' WHEN 'null' THEN 'n' WHEN 'array' THEN 'x' END AS st, kind = 'object' AND is_open AS op FROM n),
+    f0 AS MATERIALIZED (SELECT fl.* FROM fl JOIN n USING (node) WHERE kind = 'object')"""]
+    for r in range(1, rounds + 1):
+        out.append(f"""
+    s{r} AS MATERIALIZED (SELECT n.node, CASE WHEN any_value(kind) IN ('object', 'null', 'generic') THEN CASE any_value(kind) WHEN 'object' THEN 'o' WHEN 'null' THEN 'n' END
+            WHEN any_value(kind) IN ('intersection', 'record') THEN CASE WHEN bool_and(coalesce(s.st, '') = 'o') THEN 'o' END
+            WHEN any_value(kind) = 'array' THEN CASE WHEN any_value(s.st) = 'o' THEN 'a' ELSE 'x' END
+            WHEN any_value(kind) = 'partial' THEN CASE WHEN any_value(s.st) = 'o' THEN 'o' END ELSE any_value(s.st) END AS st,
+            coalesce(bool_or(s.op), FALSE) OR any_value(kind) IN ('object', 'record') AND any_value(is_open) AS op
+        FROM n LEFT JOIN c ON c.parent = n.node LEFT JOIN s{r - 1} s ON s.node = c.child GROUP BY n.node),
+    f{r} AS MATERIALIZED (SELECT node, name, arg_max(optional, place) AS optional FROM (
+            SELECT node, name, optional, 99 AS place FROM fl JOIN n USING (node) WHERE kind IN ('object', 'record')
+            UNION ALL SELECT c.parent, f.name, f.optional OR n.kind = 'partial', c.place FROM c JOIN n ON n.node = c.parent JOIN f{r - 1} f ON f.node = c.child)
+        WHERE node IN (SELECT node FROM s{r} WHERE st IN ('o', 'a')) GROUP BY node, name)""")
+    return ",".join(out) + f"""
+    SELECT s.node, coalesce(st IN ('a', 'x'), FALSE) AS is_array, CASE WHEN st IS NULL THEN 'unread' WHEN st = 'n' THEN 'none' WHEN st = 'x' THEN 'element' ELSE 'fields' END AS kind, coalesce(st IN ('o', 'a') AND op, FALSE) AS is_open,
+        coalesce(list_sort(list(name || CASE WHEN optional THEN '?' ELSE '' END) FILTER (name IS NOT NULL)), []) AS fields
+    FROM s{rounds} s LEFT JOIN f{rounds} f ON f.node = s.node GROUP BY ALL"""
+
+
+def _type_nodes(spark, d):
+    """Parts as nodes of type expressions that refer to parts before them, their suppliers as fields."""
+    p, node = t(spark, d, "part"), F.col("p_partkey")
+    names = ["union", "intersection", "promise", "array", "partial", "record", "reference", None, "object"]
+    other = F.when(F.col("p_size") % 4 == 0, "null").when(F.col("p_size") % 4 == 1, "generic").otherwise("object")
+    kind = F.coalesce(F.get(F.array(*map(F.lit, names)), (node % 9).cast("int")), other)
+    nodes = p.select(node.alias("node"), kind.alias("kind"), (F.col("p_size") % 7 == 0).alias("open"))
+    link = lambda rows, place, child: rows.select(node.alias("parent"), F.lit(place).alias("place"), F.expr(child).cast("long").alias("child"))
+    children = link(p, 0, "p_partkey div 2").unionByName(link(p.where("p_partkey % 9 in (0, 1)"), 1, "p_partkey * 5 div 8 + 1")).unionByName(link(p.where("p_partkey % 9 = 5 and p_size % 2 = 0"), 2, "p_partkey - 4"))
+    fields = t(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.concat(F.lit("f"), (F.col("l_suppkey") % 10).cast("string")).alias("name"), (F.col("l_returnflag") == "R").alias("optional"))
+    return nodes, children, fields
+
+
+@query(_types_sql(shapes.DEPTH))
+def q79_shapes(spark, d):
+    s = F.col("shape")
+    kind = F.when(s.isNull(), "unread").when(s["none"], "none").when(s["fields"].isNull(), "element").otherwise("fields")
+    named = F.array_sort(F.transform(F.map_entries(s["fields"]), lambda e: F.concat(e["key"], F.when(e["value"], "?").otherwise(""))))
+    none = F.array().cast("array<string>")
+    return shapes.shapes(*_type_nodes(spark, d)).select("node", F.coalesce(s["array"], F.lit(False)).alias("is_array"), kind.alias("kind"), F.coalesce(s["open"], F.lit(False)).alias("is_open"), F.coalesce(named, none).alias("fields"))
