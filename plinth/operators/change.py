@@ -147,13 +147,14 @@ def port_pairs(calls: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def summary(classed: DataFrame) -> DataFrame:
-    """(class, brick, n, calls): pairs by class and the existing brick they hang on.
+    """(class, brick, n, n_calls, calls): pairs by class and the existing brick they hang on.
 
     Grafts hang on their source, attachments on their target; other classes on
-    their source.
+    their source. In order of class, most pairs, most new calls, brick.
     """
     brick = F.when(F.col("class") == "attachment", F.col("dst")).otherwise(F.col("src"))
-    return classed.groupBy("class", brick.alias("brick")).agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("new_calls")))).alias("calls"))
+    grouped = classed.groupBy("class", brick.alias("brick")).agg(F.count("*").alias("n"), F.sum(F.size("new_calls")).alias("n_calls"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("new_calls")))).alias("calls"))
+    return grouped.orderBy("class", F.desc("n"), F.desc("n_calls"), "brick")
 
 
 def endpoint_delta(base: DataFrame, head: DataFrame, calls_base: DataFrame, calls_head: DataFrame) -> DataFrame:

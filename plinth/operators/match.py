@@ -91,3 +91,9 @@ def grip(studs: DataFrame, by_brick: DataFrame, by_route: DataFrame, by_framewor
         out = out.join(held.select(key).distinct().withColumn(f"__{name}", F.lit(True)), key, "left")
     kind = F.when(F.col("__brick"), "brick").when(F.col("__route"), "route").when(F.col("__framework"), "framework").otherwise("unseen")
     return out.select(*studs.columns, kind.alias("grip"))
+
+
+def routed(studs: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """studs (path, cls, method) with routes: the sorted `VERB route` of the endpoints (path, cls, handler, verb, route) that they handle, empty if none."""
+    held = endpoints.groupBy("path", "cls", F.col("handler").alias("method")).agg(F.array_sort(F.collect_set(F.concat_ws(" ", "verb", "route"))).alias("routes"))
+    return studs.join(held, ["path", "cls", "method"], "left").withColumn("routes", F.coalesce("routes", F.array().cast("array<string>")))

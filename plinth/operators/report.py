@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.paths import fingerprint
-from plinth.operators import change, graph, sets
+from plinth.operators import change, graph, rules, sets
 from plinth.operators.rollup import percent
 
 
@@ -16,6 +19,74 @@ def blast(base: DataFrame, head: DataFrame, seeds: DataFrame) -> DataFrame:
     return reached.join(seeds.select("node").distinct(), "node", "left_anti")
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """One end of a difference: files (path), edges (src, dst), endpoints (endpoint_id, path) and the files that they call, traced (endpoint_id, path)."""
+
+    files: DataFrame
+    edges: DataFrame
+    endpoints: DataFrame
+    traced: DataFrame
+
+
+def file_counts(changes: DataFrame) -> DataFrame:
+    """One row (total, added, modified, deleted, renamed) of changes (status, path, old_path); copies count as modified."""
+    n = lambda *kinds: F.count(F.when(F.col("status").isin(*kinds), 1)).alias(kinds[0])
+    return changes.agg(F.count("*").alias("total"), n("added"), n("modified", "copied"), n("deleted"), n("renamed"))
+
+
+def changed_paths(changes: DataFrame) -> DataFrame:
+    """(node) of every path that changes name, old ones too."""
+    return changes.select(F.col("path").alias("node")).union(changes.select("old_path")).where("node is not null").distinct()
+
+
+def blast_of(changes: DataFrame, base: Snapshot, head: Snapshot) -> DataFrame:
+    """(node, depth) of what depends on the changed files, without these, by the least depth.
+
+    A file is looked for where it exists: at the head by its path; at the base
+    if it was deleted, or by the path it was renamed or copied from.
+    """
+    here = changes.select(F.col("path").alias("node")).join(head.files.select(F.col("path").alias("node")), "node", "left_semi")
+    gone = changes.where("status = 'deleted'").select(F.col("path").alias("node")).union(changes.where("status in ('renamed', 'copied')").select("old_path"))
+    gone = gone.join(base.files.select(F.col("path").alias("node")), "node", "left_semi")
+    reached = sets.union_least([graph.blast_radius(head.edges, here), graph.blast_radius(base.edges, gone)], "node", "depth")
+    return reached.join(changed_paths(changes), "node", "left_anti")
+
+
+def endpoint_effects(changes: DataFrame, base: Snapshot, head: Snapshot) -> DataFrame:
+    """(endpoint_id, effect, via): endpoints of the head that own or call a changed file, those files, and the endpoints of deleted files."""
+    files = head.endpoints.select("endpoint_id", "path").union(head.traced.select("endpoint_id", "path").join(head.endpoints.select("endpoint_id"), "endpoint_id", "left_semi"))
+    met = files.join(changed_paths(changes).withColumnRenamed("node", "path"), "path").groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("via"))
+    lost = base.endpoints.join(changes.where("status = 'deleted'").select("path"), "path", "left_semi").groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("via"))
+    return met.select("endpoint_id", F.lit("affected").alias("effect"), "via").union(lost.select("endpoint_id", F.lit("removed"), "via"))
+
+
+def difference(changes: DataFrame, base: Snapshot, head: Snapshot, found: tuple[DataFrame, DataFrame] | None = None, risk: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> Mapping[str, DataFrame]:
+    """The report of changes (status, path, old_path) between two snapshots, as tables.
+
+    Always: `summary`, one row of file_counts, scope and the numbers of affected
+    and removed endpoints; `blast`; `endpoints`, of endpoint_effects. With found,
+    the findings (fingerprint, rule, src, dst) of baseline and head: `added`,
+    of change.violation_delta, and `fixed`. With risk, what `risks` takes after
+    the changed nodes: `risks`.
+    """
+    reached, effects = graph.settled(blast_of(changes, base, head)), graph.settled(endpoint_effects(changes, base, head))
+    n = lambda kind: F.count(F.when(F.col("effect") == kind, 1)).alias(kind)
+    counts = effects.agg(n("affected"), n("removed"))
+    # Each side of these joins is one row.
+    out = {"summary": file_counts(changes).join(F.broadcast(scope(reached, head.files).withColumnRenamed("total", "tree"))).join(F.broadcast(counts.withColumnRenamed("removed", "endpoints_removed").withColumnRenamed("affected", "endpoints_affected"))), "blast": reached, "endpoints": effects}
+    if found is not None:
+        compared = rules.ratchet(*found)
+        moves = changes.where("status = 'renamed'").select(F.col("old_path").alias("old"), F.col("path").alias("new"))
+        added, fixed = (compared.where(F.col("status") == x).drop("status") for x in ("added", "fixed"))
+        out["added"] = change.violation_delta(added, fixed, moves, changed_paths(changes).withColumnRenamed("node", "path"))
+        moved = change.renamed(change.renamed(fixed, moves, "src"), moves, "dst")
+        out["fixed"] = moved.join(added.select("rule", "src", "dst").distinct(), ["rule", "src", "dst"], "left_anti").select("fingerprint").join(fixed, "fingerprint")
+    if risk is not None:
+        out["risks"] = risks(changed_paths(changes), *risk)
+    return out
+
+
 def scope(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row (direct, transitive, total, pct) of reached (node, depth) among all nodes."""
     sizes = nodes.agg(F.count("*").alias("total"))

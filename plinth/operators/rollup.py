@@ -113,3 +113,28 @@ def extremes(scored: DataFrame, names: Sequence[str], item: str) -> DataFrame:
 def containing(rows: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
     """rows in which the columns, joined by blanks, contain text whatever its case."""
     return rows.where(F.lower(F.concat_ws(" ", *columns)).contains(text.lower()))
+
+
+def grip_counts(gripped: DataFrame) -> DataFrame:
+    """One row (total, brick, route, framework, unseen) of studs (grip)."""
+    return gripped.agg(F.count("*").alias("total"), *[F.count(F.when(F.col("grip") == x, 1)).alias(x) for x in ("brick", "route", "framework", "unseen")])
+
+
+def socket_counts(sockets: DataFrame) -> DataFrame:
+    """One row (sockets, resolved, port, framework, unresolved) of sockets (status); ports and frameworks are resolved too."""
+    n = lambda name, *kinds: F.count(F.when(F.col("status").isin(*kinds), 1)).alias(name)
+    return sockets.agg(F.count("*").alias("sockets"), n("resolved", "resolved", "port", "framework"), n("port", "port"), n("framework", "framework"), n("unresolved", "unresolved"))
+
+
+def data_model(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row (entities, columns, declared, inferred, crossing, untabled) of entities (tbl, columns array) and relations (declared, crossing)."""
+    n = lambda rows: F.count(F.when(rows, 1))
+    of = entities.agg(F.count("*").alias("entities"), F.coalesce(F.sum(F.size(F.coalesce("columns", F.array().cast(dict(entities.dtypes)["columns"])))), F.lit(0)).alias("columns"), n(F.col("tbl").isNull()).alias("untabled"))
+    between = relations.agg(n(F.col("declared")).alias("declared"), n(~F.coalesce("declared", F.lit(False))).alias("inferred"), n(F.col("crossing")).alias("crossing"))
+    return of.join(F.broadcast(between)).select("entities", "columns", "declared", "inferred", "crossing", "untabled")  # one row each
+
+
+def totals(scored: DataFrame) -> DataFrame:
+    """One row (files, most_changes, most_deps, lines, untested) of files (commits, deps, added, removed, untested); the most are null of no file."""
+    lines = F.coalesce(F.sum(F.coalesce("added", F.lit(0)) + F.coalesce("removed", F.lit(0))), F.lit(0))
+    return scored.agg(F.count("*").alias("files"), F.max("commits").alias("most_changes"), F.max("deps").alias("most_deps"), lines.alias("lines"), F.count(F.when(F.col("untested"), 1)).alias("untested"))

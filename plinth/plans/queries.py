@@ -888,3 +888,100 @@ def q79_shapes(spark, d):
     named = F.array_sort(F.transform(F.map_entries(s["fields"]), lambda e: F.concat(e["key"], F.when(e["value"], "?").otherwise(""))))
     none = F.array().cast("array<string>")
     return shapes.shapes(*_type_nodes(spark, d)).select("node", F.coalesce(s["array"], F.lit(False)).alias("is_array"), kind.alias("kind"), F.coalesce(s["open"], F.lit(False)).alias("is_open"), F.coalesce(named, none).alias("fields"))
+
+
+_CHANGES = """f AS (SELECT p_partkey AS k, p_size AS z FROM part), bf AS (SELECT k AS path FROM f WHERE k % 11 <> 0), hf AS (SELECT k AS path FROM f WHERE k % 13 <> 0),
+    ch AS (SELECT CASE WHEN z % 5 = 0 AND k % 13 = 1 THEN 'renamed' WHEN k % 11 = 0 THEN 'added' ELSE 'modified' END AS status, k AS path, CASE WHEN z % 5 = 0 AND k % 13 = 1 THEN k - 1 END AS old_path FROM f WHERE k % 13 <> 0 AND z % 5 = 0
+        UNION ALL SELECT 'deleted', k, NULL FROM f WHERE k % 13 = 0 AND k % 11 <> 0 AND z % 2 = 0),
+    np AS (SELECT DISTINCT unnest([path, old_path]) AS node FROM ch), be AS (SELECT k AS src, k // 2 AS dst FROM f WHERE k % 11 <> 0 AND (k // 2) % 11 <> 0 AND k > 0), he AS (SELECT k AS src, k // 2 AS dst FROM f WHERE k % 13 <> 0 AND (k // 2) % 13 <> 0 AND k > 0),
+    ep AS (SELECT s_suppkey AS endpoint_id, s_suppkey * 7 AS path, s_acctbal FROM supplier), bep AS (SELECT * FROM ep WHERE path IN (FROM bf)), hep AS (SELECT * FROM ep WHERE path IN (FROM hf)), tr AS (SELECT DISTINCT l_suppkey AS endpoint_id, l_partkey AS path FROM lineitem WHERE l_quantity > 25),
+    eff AS (SELECT endpoint_id, 'affected' AS effect, list_sort(list(DISTINCT path)) AS via FROM (SELECT endpoint_id, path FROM hep UNION ALL SELECT endpoint_id, path FROM tr WHERE endpoint_id IN (SELECT endpoint_id FROM hep)) WHERE path IN (SELECT node FROM np) GROUP BY 1
+        UNION ALL SELECT endpoint_id, 'removed', [path] FROM bep WHERE path IN (SELECT path FROM ch WHERE status = 'deleted'))"""
+_REACHED = """rh(n, depth) AS (SELECT src, 1 FROM he WHERE dst IN (SELECT path FROM ch WHERE path IN (FROM hf)) UNION SELECT src, depth + 1 FROM rh JOIN he ON dst = n),
+    rb(n, depth) AS (SELECT src, 1 FROM be WHERE dst IN (SELECT CASE status WHEN 'deleted' THEN path ELSE old_path END FROM ch WHERE status IN ('deleted', 'renamed')) UNION SELECT src, depth + 1 FROM rb JOIN be ON dst = n),
+    bl AS (SELECT n AS node, min(depth) AS depth FROM (FROM rh UNION ALL FROM rb) WHERE n NOT IN (SELECT node FROM np WHERE node IS NOT NULL) GROUP BY 1)"""
+
+
+def _difference(spark, d):
+    """Parts as files of two snapshots that lack each eleventh and each thirteenth, suppliers as endpoints, lines as traced calls."""
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    changed = p.where("p_size % 5 = 0 and p_partkey % 13 <> 0")
+    status = F.when(k % 13 == 1, "renamed").when(k % 11 == 0, "added").otherwise("modified")
+    changes = changed.select(status.alias("status"), k.alias("path"), F.when(k % 13 == 1, k - 1).alias("old_path"))
+    changes = changes.union(p.where("p_partkey % 13 = 0 and p_partkey % 11 <> 0 and p_size % 2 = 0").select(F.lit("deleted"), k, F.lit(None).cast("long")))
+    traced = t(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_suppkey").alias("endpoint_id"), F.col("l_partkey").alias("path")).distinct()
+
+    def snapshot(step: int) -> report.Snapshot:
+        files = p.where(k % step != 0).select(k.alias("path"))
+        edges = p.select(k.alias("src"), F.expr("p_partkey div 2").alias("dst")).where((F.col("src") % step != 0) & (F.col("dst") % step != 0) & (F.col("src") > 0))
+        served = t(spark, d, "supplier").select(F.col("s_suppkey").alias("endpoint_id"), (F.col("s_suppkey") * 7).alias("path")).join(files, "path", "left_semi")
+        return report.Snapshot(files, edges, served, traced)
+
+    return changes, snapshot(11), snapshot(13)
+
+
+@query(f"""WITH RECURSIVE {_CHANGES}, {_REACHED} SELECT count(*) AS total, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status = 'renamed') AS renamed,
+    (SELECT count(*) FROM bl WHERE depth = 1) AS direct, (SELECT count(*) FROM bl) AS transitive, (SELECT count(*) FROM hf) AS tree, round(100 * (SELECT count(*) FROM bl) / (SELECT count(*) FROM hf), 1) AS pct,
+    (SELECT count(*) FROM eff WHERE effect = 'affected') AS endpoints_affected, (SELECT count(*) FROM eff WHERE effect = 'removed') AS endpoints_removed FROM ch""")
+def q80_difference(spark, d):
+    return report.difference(*_difference(spark, d))["summary"]
+
+
+@query(f"WITH {_CHANGES} SELECT * FROM eff")
+def q81_endpoint_effects(spark, d):
+    return report.endpoint_effects(*_difference(spark, d))
+
+
+_STUDS = """st AS (SELECT DISTINCT l_suppkey AS path, l_linestatus AS cls, l_linenumber AS method FROM lineitem), en AS (SELECT o_custkey AS path, o_orderstatus AS cls, o_orderkey % 7 + 1 AS method, list_sort(list(DISTINCT 'GET ' || o_orderpriority)) AS routes FROM orders GROUP BY ALL),
+    br AS (SELECT DISTINCT l_suppkey AS path, l_linestatus AS cls, l_linenumber AS method FROM lineitem WHERE l_quantity >= 49), fr AS (SELECT DISTINCT l_suppkey AS path, l_linestatus AS cls, l_linenumber AS method FROM lineitem WHERE l_tax = 0),
+    gr AS (SELECT st.*, coalesce(routes, []) AS routes, CASE WHEN (path, cls, method) IN (SELECT (path, cls, method) FROM br) THEN 'brick' WHEN routes IS NOT NULL THEN 'route' WHEN (path, cls, method) IN (SELECT (path, cls, method) FROM fr) THEN 'framework' ELSE 'unseen' END AS grip FROM st LEFT JOIN en USING (path, cls, method))"""
+
+
+def _gripped(spark, d):
+    """Suppliers' line numbers as methods, orders as the endpoints that some handle, large lines as calls."""
+    method = [F.col("l_suppkey").alias("path"), F.col("l_linestatus").alias("cls"), F.col("l_linenumber").alias("method")]
+    li = t(spark, d, "lineitem")
+    endpoints = t(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderstatus").alias("cls"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("handler"), F.lit("GET").alias("verb"), F.col("o_orderpriority").alias("route"))
+    keyed = lambda rows: rows.withColumn("key", F.struct("path", "cls", "method"))
+    studs = keyed(match.routed(li.select(*method).distinct(), endpoints))
+    gripped = match.grip(studs, keyed(li.where("l_quantity >= 49").select(*method)), studs.where("size(routes) > 0"), keyed(li.where("l_tax = 0").select(*method)), "key")
+    return gripped.drop("key")
+
+
+@query(f"WITH {_STUDS} SELECT path, cls, method, array_to_string(routes, ',') AS routes, grip FROM gr")
+def q82_handlers(spark, d):
+    return _gripped(spark, d).withColumn("routes", F.array_join("routes", ","))
+
+
+@query(f"WITH {_STUDS} SELECT count(*) AS total, count(*) FILTER (grip = 'brick') AS brick, count(*) FILTER (grip = 'route') AS route, count(*) FILTER (grip = 'framework') AS framework, count(*) FILTER (grip = 'unseen') AS unseen FROM gr")
+def q83_grip_counts(spark, d):
+    return rollup.grip_counts(_gripped(spark, d))
+
+
+@query("""WITH s AS (SELECT CASE WHEN p.p_partkey IS NULL THEN 'unresolved' WHEN p_type = 'PROMO' THEN 'port' WHEN p_type = 'LARGE' THEN 'framework' ELSE 'resolved' END AS status FROM lineitem LEFT JOIN part p ON p_partkey = l_partkey AND p_size <> l_linenumber)
+    SELECT count(*) AS sockets, count(*) FILTER (status <> 'unresolved') AS resolved, count(*) FILTER (status = 'port') AS port, count(*) FILTER (status = 'framework') AS framework, count(*) FILTER (status = 'unresolved') AS unresolved FROM s""")
+def q84_socket_counts(spark, d):
+    """Lines as sockets that their part fills, unless its size is the line's number."""
+    met = t(spark, d, "lineitem").join(t(spark, d, "part"), (F.col("p_partkey") == F.col("l_partkey")) & (F.col("p_size") != F.col("l_linenumber")), "left")
+    status = F.when(F.col("p_partkey").isNull(), "unresolved").when(F.col("p_type") == "PROMO", "port").when(F.col("p_type") == "LARGE", "framework").otherwise("resolved")
+    return rollup.socket_counts(met.select(status.alias("status")))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_suppkey AS a, o_custkey AS b, l_returnflag <> 'N' AS declared FROM lineitem JOIN orders ON l_orderkey = o_orderkey), x AS (SELECT declared, s_nationkey <> c_nationkey AS crossing FROM r JOIN supplier ON s_suppkey = a JOIN customer ON c_custkey = b),
+    e AS (SELECT s_suppkey, s_acctbal, count(DISTINCT l_linenumber) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL)
+    SELECT count(*) AS entities, sum(n) AS columns, (SELECT count(*) FROM x WHERE declared) AS declared, (SELECT count(*) FROM x WHERE NOT declared) AS inferred, (SELECT count(*) FROM x WHERE crossing) AS crossing, count(*) FILTER (s_acctbal < 0) AS untabled FROM e""")
+def q85_data_model(spark, d):
+    """Suppliers as entities with their line numbers as columns, related to their customers."""
+    li, s = t(spark, d, "lineitem"), t(spark, d, "supplier")
+    columns = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("l_linenumber").alias("columns"))
+    entities = s.join(columns, "s_suppkey", "left").select(F.when(F.col("s_acctbal") >= 0, F.col("s_name")).alias("tbl"), "columns")
+    pairs = li.join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey", (F.col("l_returnflag") != "N").alias("declared")).distinct()
+    relations = pairs.join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return rollup.data_model(entities, relations.select("declared", (F.col("s_nationkey") != F.col("c_nationkey")).alias("crossing")))
+
+
+@query("""WITH c AS (SELECT l_partkey AS item, count(DISTINCT l_orderkey) AS commits, count(DISTINCT l_suppkey) AS deps, sum(l_quantity::BIGINT) AS added, sum(l_linenumber) AS removed FROM lineitem GROUP BY 1)
+    SELECT count(*) AS files, max(commits) AS most_changes, max(deps) AS most_deps, sum(added + removed) AS lines, count(*) FILTER (p_size % 4 = 0) AS untested FROM c JOIN part ON p_partkey = item""")
+def q86_totals(spark, d):
+    changed = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_orderkey").alias("commits"), F.count_distinct("l_suppkey").alias("deps"), F.sum(F.col("l_quantity").cast("long")).alias("added"), F.sum("l_linenumber").alias("removed"))
+    return rollup.totals(changed.join(t(spark, d, "part"), "p_partkey").withColumn("untested", F.col("p_size") % 4 == 0))
