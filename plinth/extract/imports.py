@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.extract.grammar import NAME, arguments_of, decorators, literal
@@ -21,6 +21,12 @@ ASSET = rf"(?i)\.(?:{'|'.join(ASSETS)})(?:\?.*)?$"
 CANDIDATES = ("", ".ts", ".tsx", "/index.ts", "/index.tsx")
 
 
+def class_name(path: Column, text: Column) -> Column:
+    """The first class that the text exports, else the file's name without `.ts`; null text exports none."""
+    found = F.regexp_extract(text, r"\bexport\s++(?:abstract\s++)?class\s++(\w+)", 1)
+    return F.when(found != "", found).otherwise(F.regexp_replace(F.regexp_extract(path, "[^/]*$", 0), r"\.ts$", ""))
+
+
 def imports(files: DataFrame, dynamic: bool = False) -> DataFrame:
     """(src, spec): a row for every import in the text, repeated ones too."""
     found = F.regexp_extract_all("text", F.lit(STATIC), F.lit(1))

@@ -79,6 +79,13 @@ def test_imports_and_symbols(spark):
     assert {tuple(r) for r in X.symbols(files).collect()} == {("src/a.ts", "Bee", "B", "./b"), ("src/a.ts", "C", "C", "./b")}
 
 
+def test_class_names(spark):
+    texts = {"a/b.ts": "class A {}\nexport  abstract class Base {}\nexport class C {}", "a/note.service.ts": "export const x = 1", "view.tsx": "", "d.ts": "reexport class D {}", "e.ts": "export " * 20_000 + " " * 100_000}
+    rows = tree.from_mapping(spark, texts).unionByName(spark.createDataFrame([("none.ts", None)], tree.SCHEMA))
+    got = {r.path: r.name for r in rows.select("path", X.class_name(F.col("path"), F.col("text")).alias("name")).collect()}
+    assert got == {"a/b.ts": "Base", "a/note.service.ts": "note.service", "view.tsx": "view.tsx", "d.ts": "d", "e.ts": "e", "none.ts": "none"}
+
+
 def test_entities(spark):
     found = X.entities(tree.from_mapping(spark, FILES))
     note = found.where("cls = 'Note'").first()
