@@ -6,23 +6,29 @@ least of its callers' own paths with the call added. Rounds compute that from
 the paths of the round before, for all starts and nodes at once, until a round
 changes nothing: a caller that is reached earlier after all takes its node's
 path along, and paths that hung on the old one go within as many rounds as a
-path is long. No start's graph is held by one task.
+path is long. A round follows the calls of nodes that moved in the one before
+and of no others. No start's graph is held by one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators.graph import settled
+from plinth.operators.graph import written
 
 #: Why a walk goes no further, besides depth-cap and body-not-found.
 NOT_INJECTED, UNKNOWN_FIELD = "dep-not-injected", "field-unknown"
+#: Rows of a round that are broadcast; more are shuffled.
+FEW = 1000
 
 
-def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
-    """rows with ord from 0 within each group, without a task that holds a group: places within range partitions, less the group's first."""
-    placed = settled(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id()))
+def numbered(rows: DataFrame, group: str, *order: Column, without: Sequence[str] = ()) -> DataFrame:
+    """rows with ord from 0 within each group, without a task that holds a group: places within range partitions, less the group's first. Columns named by without order the rows and are left out."""
+    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed.drop(*without))
     part = F.shiftright("__at", 33)
     counts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     before, total = [], 0
@@ -31,8 +37,42 @@ def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
         total += n
     offsets = rows.sparkSession.createDataFrame(before, "__part long, __before long")
     places = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn("__at", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1))
-    firsts = places.groupBy(group).agg(F.min("__at").alias("__first"))
-    return places.join(firsts, group).withColumn("ord", (F.col("__at") - F.col("__first")).cast("int")).drop("__part", "__before", "__at", "__first")
+    firsts = written(places.groupBy(group).agg(F.min("__at").alias("__first")))
+    return places.join(sized(firsts, firsts.count()), group).withColumn("ord", (F.col("__at") - F.col("__first")).cast("int")).drop("__part", "__before", "__at", "__first")
+
+
+def sized(rows: DataFrame, n: int) -> DataFrame:
+    """rows to be joined: broadcast if they are few, else sorted and merged, so that none go through the driver."""
+    return F.broadcast(rows) if n <= FEW else rows.hint("merge")
+
+
+def _come(moved: DataFrame, n: int, one_size: bool, calls: DataFrame) -> DataFrame:
+    """(start, root, node, new): the least path that moved nodes (start, root, node, path, at) give to those they call.
+
+    Paths of one length compare as their places at, so these stand for them
+    among the calls; of several lengths the paths of the least places compare.
+    """
+    callers = moved.select("start", "root", F.col("node").alias("src"), "at", F.size("path").alias("size"))
+    sent = sized(callers, n).join(calls, "src").where(F.col("call.dst") != F.col("root"))
+    least = sent.groupBy("start", "root", F.col("call.dst").alias("node"), "size").agg(F.min(F.struct("at", "call.ord")).alias("by"))
+    least = least.select("start", "root", "node", F.col("by.at").alias("at"), F.struct("by.ord", F.col("node").alias("dst")).alias("call"))
+    new = least.join(sized(moved.select("at", "path"), n), "at").select("start", "root", "node", F.concat("path", F.array("call")).alias("new"))
+    return new if one_size else new.groupBy("start", "root", "node").agg(F.min("new").alias("new"))
+
+
+def _gone(moved: DataFrame, n: int, calls: DataFrame) -> DataFrame:
+    """(start, root, node, old): the least path that moved nodes (start, root, node, was) gave before."""
+    callers = moved.select("start", "root", F.col("node").alias("src"), "was")
+    sent = sized(callers, n).join(calls, "src").where(F.col("call.dst") != F.col("root"))
+    return sent.groupBy("start", "root", F.col("call.dst").alias("node")).agg(F.min(F.concat("was", F.array("call"))).alias("old"))
+
+
+def _again(lost: DataFrame, calls: DataFrame, now: DataFrame, max_depth: int) -> DataFrame:
+    """lost nodes (start, root, node, was) with the least path that any caller gives, where that has changed."""
+    at = now.where(F.size("path") <= max_depth).select("start", "root", F.col("node").alias("src"), "path").hint("merge")
+    into = lost.select("start", "root", "node").hint("merge").join(calls, F.col("node") == F.col("call.dst")).join(at, ["start", "root", "src"])
+    least = into.groupBy("start", "root", "node").agg(F.min(F.concat("path", F.array("call"))).alias("path"))
+    return lost.join(least.hint("merge"), ["start", "root", "node"], "left").where("not (path <=> was)")
 
 
 def paths(starts: DataFrame, calls: DataFrame, max_depth: int = 5, max_rounds: int = 10_000) -> DataFrame:
@@ -41,27 +81,44 @@ def paths(starts: DataFrame, calls: DataFrame, max_depth: int = 5, max_rounds: i
     calls (src, ord, dst) are followed by ord, equal ones by dst; path holds
     (ord, dst) of each call. A node whose path has more than max_depth calls is
     visited but not expanded.
+
+    A node takes the least path that its moved callers give, if its own is not
+    less. If its own has gone with a caller's and what comes is no less, all its
+    callers are looked at again: one that has not moved may give the least.
     """
-    calls = settled(calls.select("src", F.struct("ord", "dst").alias("call")).where("src is not null and call.dst is not null").distinct())
-    kind = f"array<{dict(calls.dtypes)['call']}>"
-    roots = settled(starts.select("start", F.col("node").alias("root")).distinct())
-    first = roots.select("start", "root", F.col("root").alias("node"), F.array().cast(kind).alias("path"))
-    now = settled(first)
+    calls = written(calls.select("src", F.struct("ord", "dst").alias("call")).where("src is not null and call.dst is not null"))
+    kind, key = f"array<{dict(calls.dtypes)['call']}>", ["start", "root", "node"]
+    roots = starts.select("start", F.col("node").alias("root")).distinct()
+    moved = written(roots.select("start", "root", F.col("root").alias("node"), F.lit(None).cast(kind).alias("was"), F.array().cast(kind).alias("path")))
+    now = moved.select(*key, "path")
+    opened = lambda path: F.col(path).isNotNull() & (F.size(path) <= max_depth)
     for _ in range(max_rounds):
-        open_ = now.where(F.size("path") <= max_depth)
-        reached = open_.join(calls, open_.node == calls.src).select("start", "root", F.col("call.dst").alias("node"), F.concat("path", F.array("call")).alias("path"))
-        least = reached.where("node <> root").groupBy("start", "root", "node").agg(F.min("path").alias("path"))
-        known = now.select("start", "root", "node", F.col("path").alias("was"))
-        new = settled(first.unionByName(least).join(known, ["start", "root", "node"], "full"))
-        now = new.where("path is not null").drop("was")
-        if new.where("not (path <=> was)").isEmpty():
+        size = F.when(opened("path"), F.size("path"))
+        n, held, shortest, longest = moved.agg(F.count(size), F.count(F.when(opened("was"), 1)), F.min(size), F.max(size)).first()
+        ranked = written(moved.where(opened("path")).repartitionByRange("path").sortWithinPartitions("path").withColumn("at", F.monotonically_increasing_id()).select(*key, "path", "at"))
+        come = _come(ranked, n, shortest == longest, calls)
+        if held:
+            come = come.join(_gone(moved.where(opened("was")), held, calls).hint("merge"), key, "full")
+        else:
+            come = come.withColumn("old", F.lit(None).cast(kind))
+        met = come.join(now.withColumnRenamed("path", "was").hint("merge"), key, "left")
+        better = F.col("new").isNotNull() & (F.col("was").isNull() | (F.col("new") < F.col("was")))
+        lost = F.coalesce(F.col("old") == F.col("was"), F.lit(False)) & ~F.coalesce(F.col("new") <= F.col("was"), F.lit(False))
+        met = written(met.where(better | lost).select(*key, "was", F.col("new").alias("path"), lost.alias("lost")))
+        moved = met.where("not lost").drop("lost")
+        if held and not met.where("lost").isEmpty():
+            moved = written(moved.unionByName(_again(met.where("lost").select(*key, "was"), calls, now, max_depth)))
+        if moved.isEmpty():
             break
+        if not moved.where("was is not null").isEmpty():
+            now = written(now.join(moved.select(*key).hint("merge"), key, "left_anti"))
+        now = now.unionByName(moved.where("path is not null").select(*key, "path"))
     return now.where("node <> root").select("start", "node", "path")
 
 
 def traces(starts: DataFrame, calls: DataFrame, max_depth: int = 5) -> DataFrame:
     """(start, ord, depth, node, stalled): the visited nodes in pre-order; those beyond max_depth stall."""
-    found = numbered(paths(starts, calls, max_depth).withColumn("depth", F.size("path")), "start", F.asc("path"))
+    found = numbered(paths(starts, calls, max_depth).withColumn("depth", F.size("path")), "start", F.asc("path"), without=["path"])
     return found.select("start", "ord", "depth", "node", (F.col("depth") > max_depth).alias("stalled"))
 
 
@@ -113,7 +170,7 @@ def hops(starts: DataFrame, resolved: DataFrame, injections: DataFrame, data: Da
     held = held.join(data.select(F.col("file").alias("to")).distinct(), "to", "left_anti")
     step = F.array(F.struct(F.lit(0).alias("ord"), F.concat_ws("#", "prop", "to").alias("dst"))).cast(dict(found.dtypes)["path"])
     guessed = idle.select("start", "file").join(held, "file").select("start", step.alias("path"), F.col("to").alias("file"), F.lit(None).cast("string").alias("method"), "prop", F.col("port.type").alias("via_port"), F.col("port.token").alias("token"), F.col("port.bound_in").alias("bound_in"), F.lit(False).alias("via_field"), F.lit(True).alias("inferred"))
-    out = numbered(walked.unionByName(guessed).withColumn("depth", F.size("path")), "start", F.asc("path"))
+    out = numbered(walked.unionByName(guessed).withColumn("depth", F.size("path")), "start", F.asc("path"), without=["path"])
     return out.select("start", "ord", "depth", "file", "method", "prop", "via_port", "token", "bound_in", "via_field", "inferred")
 
 

@@ -144,3 +144,40 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     rounds.clear()
     ring = edges.union(spark.createDataFrame([(10_000, 0)], "src long, dst long"))
     assert graph.components(ring).selectExpr("count(*)", "max(comp)").first() == (10_001, 0) and len(rounds) < 40
+
+
+def _fixpoint(root, calls, cap):
+    """Paths by whole rounds over all nodes, as the definition has them."""
+    now = {root: ()}
+    while True:
+        new = {root: ()}
+        for src, ordinal, dst in calls:
+            if src in now and len(now[src]) <= cap and dst != root:
+                path = (*now[src], (ordinal, dst))
+                new[dst] = min(new.get(dst, path), path)
+        if new == now:
+            return new
+        now = new
+
+
+def test_paths_of_random_graphs_with_nodes_that_move_and_are_lost(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for g in range(60):
+        calls = {(f"{g}.{rng.randrange(9)}", rng.randrange(4), f"{g}.{rng.randrange(9)}") for _ in range(20)}
+        rows += calls
+        want |= {(g, node): path for node, path in _fixpoint(f"{g}.0", calls, 2).items() if path}
+    starts = spark.createDataFrame([(g, f"{g}.0") for g in range(60)], "start int, node string")
+    found = T.paths(starts, spark.createDataFrame(rows, "src string, ord int, dst string"), 2).collect()
+    assert {(r.start, r.node): tuple((c.ord, c.dst) for c in r.path) for r in found} == want
+    assert len(found) == len(want)
+
+
+def test_rounds_follow_the_calls_of_moved_nodes_alone(spark, monkeypatch):
+    sizes = []
+    for name in ("settled", "written"):
+        kept = getattr(T, name, None)
+        if kept:
+            monkeypatch.setattr(T, name, lambda df, kept=kept: (out := kept(df), sizes.append(out.count()))[0])
+    calls = spark.createDataFrame([(str(i), 0, str(i + 1)) for i in range(12)], "src string, ord int, dst string")
+    assert T.paths(spark.createDataFrame([(1, "0")], "start int, node string"), calls, 20).count() == 12
+    assert sum(sizes) < 60  # whole rounds write 12 * 13 / 2 paths and more
