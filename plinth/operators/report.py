@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from plinth.functions.paths import fingerprint
 from plinth.operators import change, graph, rules, sets
+from plinth.operators.graph import merged
 from plinth.operators.rollup import percent
 
 
 def blast(base: DataFrame, head: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth): what depends on the seeds (node) at the base or at the head, by the least depth, without the seeds."""
     reached = sets.union_least([graph.blast_radius(base, seeds), graph.blast_radius(head, seeds)], "node", "depth")
-    return reached.join(seeds.select("node").distinct(), "node", "left_anti")
+    return reached.join(merged(seeds.select("node").distinct()), "node", "left_anti")
 
 
 @dataclass(frozen=True)
@@ -46,18 +47,18 @@ def blast_of(changes: DataFrame, base: Snapshot, head: Snapshot) -> DataFrame:
     A file is looked for where it exists: at the head by its path; at the base
     if it was deleted, or by the path it was renamed or copied from.
     """
-    here = changes.select(F.col("path").alias("node")).join(head.files.select(F.col("path").alias("node")), "node", "left_semi")
+    here = changes.select(F.col("path").alias("node")).join(merged(head.files.select(F.col("path").alias("node"))), "node", "left_semi")
     gone = changes.where("status = 'deleted'").select(F.col("path").alias("node")).union(changes.where("status in ('renamed', 'copied')").select("old_path"))
-    gone = gone.join(base.files.select(F.col("path").alias("node")), "node", "left_semi")
+    gone = gone.join(merged(base.files.select(F.col("path").alias("node"))), "node", "left_semi")
     reached = sets.union_least([graph.blast_radius(head.edges, here), graph.blast_radius(base.edges, gone)], "node", "depth")
-    return reached.join(changed_paths(changes), "node", "left_anti")
+    return reached.join(merged(changed_paths(changes)), "node", "left_anti")
 
 
 def endpoint_effects(changes: DataFrame, base: Snapshot, head: Snapshot) -> DataFrame:
     """(endpoint_id, effect, via): endpoints of the head that own or call a changed file, those files, and the endpoints of deleted files."""
-    files = head.endpoints.select("endpoint_id", "path").union(head.traced.select("endpoint_id", "path").join(head.endpoints.select("endpoint_id"), "endpoint_id", "left_semi"))
-    met = files.join(changed_paths(changes).withColumnRenamed("node", "path"), "path").groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("via"))
-    lost = base.endpoints.join(changes.where("status = 'deleted'").select("path"), "path", "left_semi").groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("via"))
+    files = head.endpoints.select("endpoint_id", "path").union(head.traced.select("endpoint_id", "path").join(merged(head.endpoints.select("endpoint_id")), "endpoint_id", "left_semi"))
+    met = files.join(merged(changed_paths(changes).withColumnRenamed("node", "path")), "path").groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("via"))
+    lost = base.endpoints.join(merged(changes.where("status = 'deleted'").select("path")), "path", "left_semi").groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("via"))
     return met.select("endpoint_id", F.lit("affected").alias("effect"), "via").union(lost.select("endpoint_id", F.lit("removed"), "via"))
 
 

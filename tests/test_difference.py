@@ -58,3 +58,14 @@ def test_handlers_and_counters(spark):
     scored = spark.createDataFrame([(3, 1, 10, None, True), (5, 0, 1, 2, False)], "commits int, deps int, added int, removed int, untested boolean")
     assert tuple(rollup.totals(scored).first()) == (2, 5, 1, 13, 1)
     assert tuple(rollup.totals(scored.limit(0)).first()) == (0, None, None, 0, 0)
+
+
+def test_rounds_of_a_search_send_no_table_through_the_driver(spark, monkeypatch):
+    from plinth.operators import graph
+
+    plans, kept = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (kept(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 30)], "src long, dst long")
+    found = graph.reach(edges, spark.createDataFrame([(0,)], "node long"), reverse=True)
+    assert {(r.node, r.depth) for r in found.collect()} == {(i, i.bit_length()) for i in range(30)}
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
