@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.operators.change import SHAPE
-from plinth.operators.graph import written
+from plinth.operators.graph import merged, written
 
 #: Kinds that pass their child on, and those whose fields come from several children.
 PASSING, MERGING = ("pass", "promise", "reference", "alias"), ("intersection", "record")
@@ -25,18 +25,19 @@ def _own(nodes: DataFrame, fields: DataFrame) -> DataFrame:
     """nodes with own, the map of their fields; of a name given twice the last counts."""
     last = fields.where("name is not null").groupBy("node", "name").agg(F.max_by(F.coalesce("optional", F.lit(False)), F.struct("place", "optional")).alias("optional"))
     maps = last.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("name", "optional"))).alias("own"))
-    return nodes.join(maps, "node", "left").withColumn("own", F.coalesce("own", F.create_map().cast("map<string,boolean>")))
+    return nodes.join(merged(maps), "node", "left").withColumn("own", F.coalesce("own", F.create_map().cast("map<string,boolean>")))
 
 
 def _without_unions(nodes: DataFrame, children: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unions of one alternative beside null pass it on, others cannot be read; children without those of unions that are gone."""
     kinds = nodes.select(F.col("node").alias("child"), F.col("kind").alias("__kind"))
-    of_unions = children.join(nodes.where("kind = 'union'").select(F.col("node").alias("parent")), "parent", "left_semi")
-    real = of_unions.join(kinds, "child", "left").where("not (__kind <=> 'null')").groupBy("parent").agg(F.count("*").alias("n"), F.min("child").alias("only"))
+    unions = merged(nodes.where("kind = 'union'").select(F.col("node").alias("parent")))
+    of_unions = children.join(unions, "parent", "left_semi")
+    real = of_unions.join(merged(kinds), "child", "left").where("not (__kind <=> 'null')").groupBy("parent").agg(F.count("*").alias("n"), F.min("child").alias("only"))
     one = real.where("n = 1").select(F.col("parent").alias("node"), "only")
     kind = F.when(F.col("kind") != "union", F.col("kind")).when(F.col("only").isNotNull(), "pass").otherwise("unread")
-    links = children.join(nodes.where("kind = 'union'").select(F.col("node").alias("parent")), "parent", "left_anti").select("parent", "place", "child")
-    return nodes.join(one, "node", "left").withColumn("kind", kind).drop("only"), links.unionByName(one.select(F.col("node").alias("parent"), F.lit(0).cast(dict(links.dtypes)["place"]).alias("place"), F.col("only").alias("child")))
+    links = children.join(unions, "parent", "left_anti").select("parent", "place", "child")
+    return nodes.join(merged(one), "node", "left").withColumn("kind", kind).drop("only"), links.unionByName(one.select(F.col("node").alias("parent"), F.lit(0).cast(dict(links.dtypes)["place"]).alias("place"), F.col("only").alias("child")))
 
 
 def _merged(kids: Column, own: Column) -> Column:
@@ -51,11 +52,11 @@ def _round(waiting: DataFrame, kids: DataFrame) -> DataFrame:
     kind, first = F.col("kind"), F.element_at("kids", 1)["shape"]
     is_object = lambda s: s.isNotNull() & ~s["none"] & ~s["array"]
     some_open = F.exists("kids", lambda k: k["shape"]["open"])
-    merged = F.when(F.forall("kids", lambda k: is_object(k["shape"])), _shape(open=some_open | (kind == "record") & F.col("open"), fields=_merged(F.col("kids"), F.when(kind == "record", F.col("own")).otherwise(F.create_map().cast("map<string,boolean>")))))
+    folded = F.when(F.forall("kids", lambda k: is_object(k["shape"])), _shape(open=some_open | (kind == "record") & F.col("open"), fields=_merged(F.col("kids"), F.when(kind == "record", F.col("own")).otherwise(F.create_map().cast("map<string,boolean>")))))
     element = F.when(is_object(first), _shape(array=True, open=first["open"], fields=first["fields"])).otherwise(_shape(array=True))
     loose = F.when(is_object(first), _shape(open=first["open"], fields=F.transform_values(first["fields"], lambda k, v: F.lit(True))))
-    shape = F.when(kind.isin(*MERGING), merged).when(kind == "array", element).when(kind == "partial", loose).otherwise(first)
-    return waiting.drop("shape", "final").join(kids, "node").select("node", "kind", "open", "own", shape.alias("shape"), F.col("__final").alias("final"))
+    shape = F.when(kind.isin(*MERGING), folded).when(kind == "array", element).when(kind == "partial", loose).otherwise(first)
+    return waiting.drop("shape", "final").join(merged(kids), "node").select("node", "kind", "open", "own", shape.alias("shape"), F.col("__final").alias("final"))
 
 
 def shapes(nodes: DataFrame, children: DataFrame, fields: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -81,22 +82,22 @@ def shapes(nodes: DataFrame, children: DataFrame, fields: DataFrame, depth: int
     """
     flat = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("kind", F.coalesce("open", F.lit(False)).alias("open"))).alias("__n")).select("node", "__n.*")
     flat, links = _without_unions(flat, children.where("parent is not null and child is not null").select("parent", "place", "child").distinct())
-    several = links.join(flat.where(F.col("kind").isin(*MERGING)).select(F.col("node").alias("parent")), "parent", "left_semi")
-    one = links.join(flat.where(F.col("kind").isin(*PASSING, "array", "partial")).select(F.col("node").alias("parent")), "parent", "left_semi").groupBy("parent").agg(F.min(F.struct("place", "child")).alias("__c")).select("parent", "__c.*")
+    several = links.join(merged(flat.where(F.col("kind").isin(*MERGING)).select(F.col("node").alias("parent"))), "parent", "left_semi")
+    one = links.join(merged(flat.where(F.col("kind").isin(*PASSING, "array", "partial")).select(F.col("node").alias("parent"))), "parent", "left_semi").groupBy("parent").agg(F.min(F.struct("place", "child")).alias("__c")).select("parent", "__c.*")
     links = written(several.unionByName(one))
     kind, inner = F.col("kind"), F.col("__inner").isNotNull()
     leaf = F.when(kind.isin("object", "record"), _shape(open=F.col("open"), fields=F.col("own"))).when(kind.isin("none", "null"), _shape(none=True))
     unread = F.when(kind == "array", _shape(array=True))
-    start = _own(flat, fields).join(links.select(F.col("parent").alias("node"), F.lit(True).alias("__inner")).distinct(), "node", "left")
+    start = _own(flat, fields).join(merged(links.select(F.col("parent").alias("node"), F.lit(True).alias("__inner")).distinct()), "node", "left")
     state, done = written(start.select("node", "kind", "open", "own", F.when(inner | (kind == "array"), unread).otherwise(leaf).alias("shape"), (~inner).alias("final"))), []
     for _ in range(depth):
         waiting = state.where("not final")
         if waiting.isEmpty():
             break
         done.append(state.where("final").select("node", "shape", "final"))
-        asked = links.join(waiting.select(F.col("node").alias("parent")), "parent", "left_semi")
+        asked = links.join(merged(waiting.select(F.col("node").alias("parent"))), "parent", "left_semi")
         known = reduce(DataFrame.union, [*done, waiting.select("node", "shape", "final")]).toDF("child", "shape", "__final")
         at = F.struct("place", "child").alias("at")
-        kids = asked.join(known, "child", "left").groupBy(F.col("parent").alias("node")).agg(F.collect_list(F.struct(at, "shape")).alias("kids"), F.min(F.coalesce("__final", F.lit(True))).alias("__final"))
+        kids = asked.join(merged(known), "child", "left").groupBy(F.col("parent").alias("node")).agg(F.collect_list(F.struct(at, "shape")).alias("kids"), F.min(F.coalesce("__final", F.lit(True))).alias("__final"))
         state = written(_round(waiting, kids))
     return reduce(DataFrame.union, [*[x.select("node", "shape") for x in done], state.select("node", "shape")])

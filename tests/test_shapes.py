@@ -96,3 +96,16 @@ def test_shapes_feed_the_contracts(spark):
     assert {r.call_key: (r.status, r.missing) for r in change.response_contracts(joined).collect()} == {"loose": ("agree", []), "strict": ("differ", ["text"])}
     sent = spark.createDataFrame([("c", 7, 4)], "call_key string, a long, b long").join(found.select(F.col("node").alias("a"), F.col("shape").alias("sent")), "a").join(found.select(F.col("node").alias("b"), F.col("shape").alias("dto")), "b")
     assert [(r.status, r.extra, r.missing) for r in change.request_contracts(sent).collect()] == [("differ", ["extra"], [])]
+
+
+def test_rounds_of_shapes_sort_and_merge_every_join(spark, monkeypatch):
+    from plinth.operators import shapes as operator
+
+    plans, kept = [], operator.written
+    monkeypatch.setattr(operator, "written", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1])
+    nodes = spark.createDataFrame([("a", "object", False), ("b", "reference", False), ("c", "array", False)], "node string, kind string, open boolean")
+    children = spark.createDataFrame([("b", 0, "a"), ("c", 0, "b")], "parent string, place int, child string")
+    found = operator.shapes(nodes, children, spark.createDataFrame([("a", 0, "x", False)], "node string, place int, name string, optional boolean"))
+    assert {r.node: r["shape"]["fields"] for r in found.collect()} == {x: {"x": False} for x in "abc"}
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
