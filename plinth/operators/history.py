@@ -31,6 +31,13 @@ def hotspots(churned: DataFrame, deps: DataFrame, item: str) -> DataFrame:
     return joined.select(item, "commits", "deps", (F.col("commits") * (1 + F.col("deps"))).alias("score"))
 
 
+def weighed(rows: DataFrame, item: str, src: str) -> DataFrame:
+    """hotspots of rows (item, src) that hold both changes and sources: rows are brought together once, by item and source."""
+    pairs = rows.groupBy(item, src).agg(F.count("*").alias("__n"))
+    counts = pairs.groupBy(item).agg(F.sum("__n").alias("commits"), F.count(src).alias("deps"))
+    return counts.select(item, "commits", "deps", (F.col("commits") * (1 + F.col("deps"))).alias("score"))
+
+
 def untested_risk(scored: DataFrame, files: DataFrame, tested: DataFrame, item: str, noise: Sequence[str]) -> DataFrame:
     """scored items that no test claims and whose pattern (files: item, pattern) is no noise."""
     return quiet(scored, files, item, noise).join(tested.select(item).distinct(), item, "left_anti")
@@ -87,3 +94,16 @@ def explained(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs (a, b) with imports 1 where an edge joins them in either direction."""
     either = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("imports", F.lit(1))
     return pairs.join(either, ["a", "b"], "left").withColumn("imports", F.coalesce("imports", F.lit(0)))
+
+
+def explained_within(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """pairs (a, b) with imports 1 where both ends, two items, share a module of places (item, module), else 0.
+
+    As explained by edges between all items of a module, whose number is the
+    square of theirs: here each end brings its modules, of which an item has few.
+    """
+    held = places.groupBy("item").agg(F.collect_set("module").alias("__in"))
+    side = lambda k: held.select(F.col("item").alias(k), F.col("__in").alias(f"__{k}"))
+    shared = F.coalesce(F.arrays_overlap("__a", "__b") & (F.col("a") != F.col("b")), F.lit(False))
+    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return rows.select(*pairs.columns, shared.cast("int").alias("imports"))

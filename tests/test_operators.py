@@ -1,6 +1,7 @@
 """Hand-computed cases and properties of the operators."""
 
 import hashlib
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -79,6 +80,32 @@ def test_cochange_degree_and_cap(spark):
     assert rows(linked, "imports") == [(1,)]
 
 
+def test_pairs_within_modules_are_those_of_all_their_edges(spark):
+    places = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("b", 2), ("c", 2), ("d", None), ("e", None), ("f", 3), (None, 1)], "item string, module int")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "a"), ("d", "e"), ("a", "x"), ("x", "y"), ("b", "f")], "a string, b string")
+    src, dst = places.withColumnRenamed("item", "src"), places.withColumnRenamed("item", "dst")
+    want = rows(history.explained(pairs, src.join(dst, "module").where("src <> dst")))
+    got = history.explained_within(pairs, places)
+    assert rows(got) == want and [r[:2] for r in want if r[2]] == [("a", "b"), ("b", "c")]
+    assert dict(got.dtypes)["imports"] == "int"
+
+
+@pytest.mark.parametrize("name", ["q14b_explained", "q62_findings"])
+def test_no_query_joins_all_suppliers_of_a_nation(spark, sf, name):
+    from plinth.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "s_nationkey" in plan and not re.search(r"Join .*s_nationkey#\d+ = s_nationkey#\d+", plan)
+
+
+def test_rows_weighed_at_once_are_hotspots(spark):
+    li = spark.createDataFrame([("i", "s"), ("i", "s"), ("i", "t"), ("j", "s"), ("j", None), ("k", None)], "item string, src string")
+    want = history.hotspots(li.groupBy("item").agg(F.count("*").alias("commits")), history.fan_in(li, "src", "item"), "item")
+    got = history.weighed(li, "item", "src")
+    assert rows(got) == rows(want) == [("i", 3, 2, 9), ("j", 2, 1, 4), ("k", 1, 0, 1)]
+    assert got.dtypes == want.dtypes
+
+
 def test_rank_equals_a_global_window(spark):
     scored = spark.createDataFrame([(f"i{k}", 7 - k % 4) for k in range(20)], "item string, score int")
     want = sorted((k, i + 1) for i, (_, k) in enumerate(sorted((-s, k) for k, s in map(tuple, scored.collect()))))
