@@ -109,3 +109,38 @@ def test_rounds_of_shapes_sort_and_merge_every_join(spark, monkeypatch):
     assert {r.node: r["shape"]["fields"] for r in found.collect()} == {x: {"x": False} for x in "abc"}
     joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_without_a_depth_all_levels_are_read(spark):
+    rng = random.Random(5)
+    nodes, children, fields = {}, {}, {}
+    for line in range(6):
+        # Each line of 30 types ends in an object, and its merges have a second part.
+        for i in range(line * 100, line * 100 + 30):
+            kind = rng.choice(["pass", "reference", "partial", "record", "record", "intersection", "union"] + ["array"] * (line == 5))
+            nodes[i], children[i] = (kind, rng.random() < 0.1), [(0, i + 1)]
+            nodes[i + 50], fields[i + 50] = ("null" if kind == "union" else "object", False), [(0, f"part{i % 4}", rng.random() < 0.5)]
+            if kind in ("record", "intersection", "union"):
+                children[i].append((rng.randint(0, 1), i + 50))
+            fields[i] = [(p, rng.choice("abcdef"), rng.random() < 0.5) for p in range(2)]
+        nodes[line * 100 + 30], fields[line * 100 + 30] = ("object", line == 1), [(0, "end", False)]
+    tables = [(i, *v) for i, v in nodes.items()], [(i, *v) for i, vs in children.items() for v in vs], [(i, *v) for i, vs in fields.items() for v in vs]
+    got = made(spark, *tables, depth=None)
+    assert got == {i: plain(nodes, children, fields, i, -100) for i in nodes}
+    assert all("end" in got[line * 100][3] for line in range(5))
+    assert made(spark, *tables, depth=3) == {i: plain(nodes, children, fields, i, 5) for i in nodes}
+
+
+def test_without_a_depth_circles_and_what_leads_there_are_unread(spark, monkeypatch):
+    from plinth.operators import shapes as operator
+
+    monkeypatch.setattr(operator, "ROUNDS_KEPT", 2)
+    # 1 and 2 refer to each other, 3 to 1; 4 merges itself, 5 merges 4; 6 is an array of 3, 7 refers to 6; 8 merges what is in no table.
+    kinds = {1: "reference", 2: "reference", 3: "partial", 4: "intersection", 5: "record", 6: "array", 7: "alias", 8: "record", 9: "array"}
+    children = [(1, 0, 2), (2, 0, 1), (3, 0, 1), (4, 0, 4), (4, 1, 20), (5, 0, 4), (6, 0, 3), (7, 0, 6), (8, 0, 99), (9, 0, 26)]
+    records = [(i, 0, i - 1) for i in range(21, 27)]
+    nodes = [(i, k, False) for i, k in kinds.items()] + [(20, "object", False)] + [(i, "record", i == 23) for i, _, _ in records]
+    got = made(spark, nodes, children + records, [(i, 0, f"f{i}", i % 2 == 0) for i in range(20, 27)], depth=None)
+    unread_array = (False, True, False, None)
+    assert {i: got[i] for i in range(1, 9)} == {1: None, 2: None, 3: None, 4: None, 5: None, 6: unread_array, 7: unread_array, 8: None}
+    assert got[26] == (False, False, True, {f"f{i}": i % 2 == 0 for i in range(20, 27)}) and got[9] == (False, True, *got[26][2:])
